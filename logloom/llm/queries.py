@@ -6,9 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import secrets
 from .ngram_join import Jaccard, jaccard_components
 
 
+def _secret_kind(k: int, kind: str, pattern: str, group: int, least: int) -> str:
+    pattern = pattern.replace("'", "''")
+    return f"SELECT doc_id, {k} AS k, '{kind}' AS kind, {least} AS least, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {group}) AS g, regexp_split_to_array(t, '{pattern}') AS p FROM d WHERE regexp_matches(t, '{pattern}')"
+
+
+SECRETS_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+c AS ({" UNION ALL ".join(_secret_kind(k, r.kind, r.long_pattern or r.pattern, r.group, r.least) for k, r in enumerate(secrets.RULES))}),
+i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM c),
+s AS (SELECT doc_id, k, kind, coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS b, length(m[i]) AS n
+      FROM i WHERE length(g[i]) >= least),
+l AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+      string_agg(kind || ':' || b::BIGINT || ':' || (b + n)::BIGINT, ',' ORDER BY b, k) FILTER (k < 3) AS base,
+      string_agg(kind || ':' || b::BIGINT || ':' || (b + n)::BIGINT, ',' ORDER BY b, k) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN l USING (doc_id)
+"""
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -17,9 +38,14 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), Jaccard(width=4, num=85, den=100))
 
 
+def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    findings, _ = secrets.scan(_table(spark, sf_dir, "documents"))
+    return secrets.digest(findings)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_ngram_jaccard,)}
+    return {f.__name__: f for f in (op3_secret_ledger, op7_ngram_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_secret_ledger": SECRETS_SQL}
