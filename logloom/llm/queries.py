@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import secrets
 from .ngram_join import Jaccard, jaccard_components
+from .sentencepiece_codec import encode_digests
 
 
 def _secret_kind(k: int, kind: str, pattern: str, group: int, least: int) -> str:
@@ -43,8 +44,22 @@ def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(findings)
 
 
+def piece_model(path: str | None = None) -> bytes:
+    """The bytes of a SentencePiece model: that of the public 32k vocabulary unless a path is given."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("piece_bpe_32k.model")
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(_table(spark, sf_dir, "documents"), piece_model())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_ledger, op7_ngram_jaccard)}
+    return {f.__name__: f for f in (op3_secret_ledger, op7_ngram_jaccard, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
