@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets
+from . import language_id, secrets
 from .ngram_join import Jaccard, jaccard_components
 from .sentencepiece_codec import encode_digests
 
@@ -39,6 +39,12 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), Jaccard(width=4, num=85, den=100))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language_id.predict(docs, language_id.fit_documents(docs), spans=False)
+    return found.select("doc_id", (language_id.fold(found["doc_id"], 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings, _ = secrets.scan(_table(spark, sf_dir, "documents"))
     return secrets.digest(findings)
@@ -59,7 +65,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_secret_ledger, op7_ngram_jaccard, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_language_id, op3_secret_ledger, op7_ngram_jaccard, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:

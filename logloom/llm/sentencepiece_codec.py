@@ -15,6 +15,7 @@ repeated rows and null ids are returned as they are; other columns are ignored w
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import heapq
 import re
@@ -123,24 +124,10 @@ class Codec:
         raw = b"".join([surface[i] for i in ids])
         if first < len(ids) and not self.is_byte[ids[first]] and surface[ids[first]].startswith(b" ") and ids[first] != self.unknown:
             raw = raw[1:]
-        return read_utf8(raw)
-
-
-def read_utf8(raw: bytes) -> str:
-    """UTF-8 with each byte that starts no whole character replaced."""
-    try:
-        return raw.decode()
-    except UnicodeDecodeError:
-        pass
-    out, at = [], 0
-    while at < len(raw):
-        try:
-            out.append(raw[at:].decode())
-            break
-        except UnicodeDecodeError as e:
-            out += [raw[at : at + e.start].decode(), "�"]
-            at += e.start + 1
-    return "".join(out)
+        return raw.decode(errors="each-byte")
+
+
+codecs.register_error("each-byte", lambda e: ("\ufffd", e.start + 1))
 
 
 def codec(model: bytes) -> Codec:
