@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language_id, secrets
+from . import language_id, secrets, toxicity
 from .ngram_join import Jaccard, jaccard_components
 from .sentencepiece_codec import encode_digests
 
@@ -50,6 +51,14 @@ def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(findings)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    learned = labels.where(language_id.fold(F.col("doc_id"), 5) != 0).select(F.col("doc_id").alias("key"), F.col("toxic").alias("label"))
+    model = toxicity.fit(docs.select(F.col("doc_id").alias("key"), "text"), learned)
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (language_id.fold(found["doc_id"], 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def piece_model(path: str | None = None) -> bytes:
     """The bytes of a SentencePiece model: that of the public 32k vocabulary unless a path is given."""
     if path is None:
@@ -65,7 +74,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_secret_ledger, op7_ngram_jaccard, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_language_id, op3_secret_ledger, op7_ngram_jaccard, op9_toxicity, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
