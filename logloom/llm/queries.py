@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, secrets, toxicity
+from . import language_id, secrets, toxicity, warc
 from .ngram_join import Jaccard, jaccard_components
 from .sentencepiece_codec import encode_digests
 
@@ -32,6 +32,18 @@ FROM d LEFT JOIN l USING (doc_id)
 """
 
 
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS top FROM p),
+v AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(x, (1 + 5 * i)::INT, 5))::INT) AS parts FROM d)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       list_aggregate(list_transform(parts, lambda n: list_aggregate(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + ((n >> s) & 31))::INT, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> top THEN top END AS refers_to
+FROM v
+"""
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -51,6 +63,10 @@ def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(findings)
 
 
+def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"), least_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     learned = labels.where(language_id.fold(F.col("doc_id"), 5) != 0).select(F.col("doc_id").alias("key"), F.col("toxic").alias("label"))
@@ -74,8 +90,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_secret_ledger, op7_ngram_jaccard, op9_toxicity, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_language_id, op3_secret_ledger, op5_arc_to_warc, op7_ngram_jaccard, op9_toxicity, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secret_ledger": SECRETS_SQL}
+    return {"op3_secret_ledger": SECRETS_SQL, "op5_arc_to_warc": WARC_SQL}
