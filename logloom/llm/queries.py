@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id, secrets, toxicity, warc
+from .nndescent import near_duplicates
 from .ngram_join import Jaccard, jaccard_components
 from .sentencepiece_codec import encode_digests
+from .topk import top_k
 
 
 def _secret_kind(k: int, kind: str, pattern: str, group: int, least: int) -> str:
@@ -44,10 +46,27 @@ FROM v
 """
 
 
+TOP_K_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2]))::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20, scale=64.0)
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), Jaccard(width=4, num=85, den=100))
 
@@ -90,8 +109,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_secret_ledger, op5_arc_to_warc, op7_ngram_jaccard, op9_toxicity, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_language_id, op3_secret_ledger, op5_arc_to_warc, op6_nn_descent, op7_ngram_jaccard, op8_exact_top_k, op9_toxicity, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secret_ledger": SECRETS_SQL, "op5_arc_to_warc": WARC_SQL}
+    return {"op3_secret_ledger": SECRETS_SQL, "op5_arc_to_warc": WARC_SQL, "op8_exact_top_k": TOP_K_SQL}
