@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, secrets, toxicity, warc
+from . import language_id, mixing, pii, secrets, toxicity, warc
 from .nndescent import near_duplicates
 from .ngram_join import Jaccard, jaccard_components
 from .sentencepiece_codec import encode_digests
@@ -82,6 +82,16 @@ def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(findings)
 
 
+def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return mixed.select("doc_id", "source", *[F.col(c).cast("long").alias(c) for c in ("mix_place", "mix_block", "mix_release", "mix_due", "mix_phase", "mix_slot")])
+
+
+def op4_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, secret="logloom-pseudonyms-1")
+
+
 def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"), least_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -109,7 +119,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_secret_ledger, op5_arc_to_warc, op6_nn_descent, op7_ngram_jaccard, op8_exact_top_k, op9_toxicity, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_language_id, op2_pfair_mix, op3_secret_ledger, op4_pii_feistel, op5_arc_to_warc, op6_nn_descent, op7_ngram_jaccard, op8_exact_top_k, op9_toxicity, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
