@@ -1,12 +1,69 @@
-"""A corpus pipeline of five stages over documents."""
+"""A corpus pipeline of five stages over documents.
+
+Language identification rejects texts without a language, the n-gram Jaccard join keeps one document of each group of near
+copies, the secret scan blanks out what it finds, mixing puts the rows in the order of the Pfair schedule (the files of its
+result hold the slots one after another), and SentencePiece turns them into token ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from logloom.llm import language_id, mixing, secrets
+from logloom.llm.ngram_join import Jaccard, jaccard_components
+from logloom.llm.queries import piece_model
+from logloom.llm.sentencepiece_codec import encode_documents
+from logloom.llm.shared import Scratch, few
+
+#: A text is rejected whose language is unknown, or whose score is under this.
+LEAST_LANGUAGE_SCORE = 0.25
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of an identified language."""
+    found = language_id.predict(docs, language_id.fit_documents(docs), spans=False)
+    rejected = found.where((F.col("lang_pred") == language_id.UND) | (F.col("score") < LEAST_LANGUAGE_SCORE))
+    kept = Scratch(spark, "language").keep(rejected.select("doc_id").distinct(), "rejected")
+    return docs.join(few(kept), "doc_id", "left_anti").select(*docs.columns)
+
+
+def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: the one whose id names the group."""
+    groups = jaccard_components(docs, Jaccard(width=5, num=80, den=100))
+    dropped = Scratch(spark, "copies").keep(groups.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
+    return docs.join(few(dropped), "doc_id", "left_anti").select(*docs.columns)
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the secrets in their texts blanked out."""
+    blob = F.sha2(F.coalesce("text", F.lit("")), 256)
+    ledger = secrets.scan_blobs(docs.select(blob.alias("blob"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["blob"]))
+    hits = ledger.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), "spans")
+    joined = docs.withColumn("_blob", blob).join(hits, "_blob", "left")
+    clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), F.col("spans")))
+    n_chars = F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    return joined.withColumn("text", clean).withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order of the schedule."""
+    return mixing.in_order(mixing.mix(docs), docs.columns)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids) of every document."""
+    coded = encode_documents(docs, piece_model())
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
-from logloom.llm.shared import Scratch
 
-STAGES: list = []
+STAGES = [
+    ("language", language_stage),
+    ("near_copies", near_copy_stage),
+    ("secrets", secret_stage),
+    ("mixing", mixing_stage),
+    ("tokens", token_stage),
+]
 
 #: Language identification and tokenisation have no SQL form; the run is tested against a brute-force version.
 ORACLE_SQL = None
