@@ -9,8 +9,7 @@ Surviving pairs accumulate overlap counts one column block after another and are
 cannot lift the count to that bound.
 
 Only what decides the components is multiplied. The first pass compares each entry of a column with the next
-one by size (columns that many rows hold are dealt over several tasks, whose first entries are compared in
-turn). The second pass takes what is left, tile by tile: pairs of a column whose rows are not yet in one
+one (columns that many rows hold are dealt over several tasks, whose first entries are compared in turn). The second pass takes what is left, tile by tile: pairs of a column whose rows are not yet in one
 component. So a group of many near copies costs its number of rows, and no link between components is missed.
 
 Shingles are 64-bit hashes, sets are told apart by 128 bits. Defined results: null, empty or blank texts have an
@@ -30,15 +29,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import Scratch, slices, text_buffers
+from .shared import Scratch, few, slices, text_buffers
 from .textkernel import mix, shingle_sets, sums
 
-#: Text bytes over which a worker counts columns to find frequent ones, and the count there that reports a column.
-COUNT_BYTES, COUNT_LEAST = 8 << 20, 4
+#: Text bytes over which a worker counts columns to find frequent ones, the count there that reports a column, and in all.
+COUNT_BYTES, COUNT_LEAST, FREQUENT_LEAST = 32 << 20, 2, 8
 #: Columns known as frequent at most (they only set the order, so any number gives the same pairs). 2 x 8 bytes each.
-FREQUENT_MOST = 1 << 16
+FREQUENT_MOST = 1 << 18
 #: Entries of one column that one task links; entries of one tile.
 CHUNK = 512
+#: The first round takes the entries of this many first columns, and those of every so manieth column.
+FIRST_PLACES = 6
+#: Entries before each one that it is compared with in the rounds of the first pass.
+NEIGHBOURS, ROUNDS = 3, 2
 #: Column blocks in which the overlap of a pair is accumulated.
 BLOCKS = 4
 
@@ -134,9 +137,8 @@ def _whole_sets(rule: Jaccard):
         for batch in batches:
             for part in slices(batch, "text"):
                 values, bounds = _sets(part, rule.width)
-                s1, s2 = _ids(values, bounds)
                 packed = [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(s1), pa.array(s2), pa.array(packed, pa.binary())], names=["id", "s1", "s2", "values"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(packed, pa.binary())], names=["id", "values"])
 
     return run
 
@@ -198,13 +200,6 @@ def _tile(rule: Jaccard):
     return run
 
 
-def _bounded(rule: Jaccard, n: str, place: str, m: str, other: str):
-    """The bounds for a pair of entries, the first not larger."""
-    least = F.ceil((F.col(n) + F.col(m)) * F.lit(rule.num) / F.lit(rule.num + rule.den) - F.lit(1e-6))
-    rest = 1 + F.least(F.col(n) - F.col(place) - 1, F.col(m) - F.col(other) - 1)
-    return (F.least(n, m) >= least) & (rest >= least)
-
-
 def jaccard_components(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row: its set's size, and the smallest id that links reach from it."""
     spark = docs.sparkSession
@@ -216,7 +211,7 @@ def jaccard_components(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str =
     classes = known.groupBy("s1", "s2").agg(F.min("id").alias("id"))
 
     # The frequent columns: at most FREQUENT_MOST, so small enough for every task.
-    counts = described.where("column IS NOT NULL").groupBy("column").agg(F.sum("count").alias("count")).where(F.col("count") >= CHUNK)
+    counts = described.where("column IS NOT NULL").groupBy("column").agg(F.sum("count").alias("count")).where(F.col("count") >= FREQUENT_LEAST)
     top = counts.orderBy(F.desc("count"), "column").limit(FREQUENT_MOST).toPandas()
     hot, often = top["column"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
     by_hash = np.argsort(hot)
@@ -225,18 +220,25 @@ def jaccard_components(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str =
     # One row for each class: its first columns. An entry of the index is what one row has in one column.
     prefixes = texts.where("id IS NOT NULL").mapInArrow(_prefixes(rule, hot, often), "id long, s1 long, s2 long, n long, entries array<struct<column long, place int, part int, dealt boolean>>")
     index = prefixes.join(classes, ["id", "s1", "s2"], "left_semi").select("id", "n", F.explode("entries").alias("e")).select("id", "n", "e.*")
-    by_size = Window.partitionBy("column", "part").orderBy("n", "id")
-    entry = F.struct("id", "n", "place")
-    index = index.withColumn("before", F.lag(entry).over(by_size)).withColumn("after", F.lead("id").over(by_size))
-    live = scratch.keep(index.where("before IS NOT NULL OR after IS NOT NULL OR dealt").drop("after"), "live")
-    heads = live.where("dealt AND before IS NULL").withColumn("before", F.lag(entry).over(Window.partitionBy("column").orderBy("n", "id")))
-    first = scratch.keep(_pairs(live.select("id", "n", "place", "before").union(heads.select("id", "n", "place", "before")), rule), "first")
-
-    links = scratch.keep(_linked(texts, first, rule), "links-1")
-    linked = scratch.keep(components(links, scratch, "graph-1"), "components-1")
-    rest = scratch.keep(_across(live.select("column", "id", "n", "place"), linked, rule), "rest")
-    more = scratch.keep(_linked(texts, rest, rule), "links-2")
-    linked = components(links.union(more), scratch, "graph-2")
+    count = F.count("*").over(Window.partitionBy("column", "part"))
+    live = scratch.keep(index.withColumn("entries", count).where("entries > 1 OR dealt").drop("entries"), "live-1")
+    some = live.where((F.col("place") < FIRST_PLACES) | (F.pmod(F.xxhash64("column"), F.lit(FIRST_PLACES)) == 0)).withColumn("component", F.col("id"))
+    links = linked = None
+    for k in range(1, ROUNDS + 2):
+        if k > 1:
+            live = scratch.keep(_open(live.drop("component", "major", "entries"), linked), f"live-{k}")
+            scratch.drop(f"live-{k - 1}")
+            # Further rounds are for columns that many rows share; the bounds of the last pass do for the others.
+            some = live.where(F.col("entries") > 4 * NEIGHBOURS)
+        if not live.limit(1).count():
+            break
+        # The last round takes all pairs that are left.
+        pairs = scratch.keep(_beside(some, rule, k) if k <= ROUNDS else _across(live, rule), f"pairs-{k}")
+        found = scratch.keep(_linked(texts, pairs, rule, scratch, f"needed-{k}"), f"links-{k}")
+        links = found if links is None else links.union(found)
+        linked = scratch.keep(components(links, scratch, f"graph-{k}"), f"components-{k}")
+    if linked is None:
+        linked = known.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
 
     named = known.join(classes.withColumnRenamed("id", "class"), ["s1", "s2"]).join(linked.withColumnRenamed("node", "class"), "class", "left")
     named = named.select("id", "n", F.coalesce("component", "class").alias("component_id"))
@@ -244,25 +246,41 @@ def jaccard_components(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str =
     return named.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _pairs(entries: DataFrame, rule: Jaccard) -> DataFrame:
-    entries = entries.where(F.col("before.id") != F.col("id")).where(_bounded(rule, "before.n", "before.place", "n", "place"))
-    return entries.select(F.least("id", "before.id").alias("a"), F.greatest("id", "before.id").alias("b")).distinct()
+def _beside(entries: DataFrame, rule: Jaccard, seed: int) -> DataFrame:
+    """Distinct pairs (a, b) of neighbours in a column that are in different components and whose sizes allow the similarity.
+
+    Each column has an order of its own, so rows which share many columns are compared with many others.
+    """
+    entry, order = F.struct("id", "n", "component"), [F.xxhash64("id", "column", F.lit(seed)), F.col("id")]
+    own = Window.partitionBy("column", "part").orderBy(*order)
+    near = F.array_compact(F.array(*[F.lag(entry, k).over(own) for k in range(1, NEIGHBOURS + 1)]))
+    entries = entries.withColumn("near", near)
+    heads = entries.where("dealt AND size(near) = 0").withColumn("near", F.array(F.lag(entry).over(Window.partitionBy("column").orderBy(*order))))
+    beside = entries.unionByName(heads).select("id", "n", "component", F.explode("near").alias("other"))
+    sized = F.least("n", "other.n") * rule.den >= F.greatest("n", "other.n") * rule.num
+    beside = beside.where(F.col("other.component") != F.col("component")).where(sized)
+    return beside.select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).distinct()
 
 
-def _linked(texts: DataFrame, pairs: DataFrame, rule: Jaccard) -> DataFrame:
+def _open(live: DataFrame, linked: DataFrame) -> DataFrame:
+    """The entries of columns whose rows are in several components, with their component and the column's largest one."""
+    entries = live.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = entries.groupBy("column", "component").count().groupBy("column").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.count("*").alias("components"), F.sum("count").alias("entries")).where("components > 1")
+    return entries.join(sizes.drop("components"), "column")
+
+
+def _linked(texts: DataFrame, pairs: DataFrame, rule: Jaccard, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) that have the similarity."""
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = texts.join(needed, "id", "left_semi").mapInArrow(_whole_sets(rule), "id long, s1 long, s2 long, values binary").dropDuplicates(["id", "s1", "s2"])
+    needed = scratch.keep(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), name)
+    sets = texts.join(few(needed), "id", "left_semi").mapInArrow(_whole_sets(rule), "id long, values binary")
     x = sets.select(F.col("id").alias("a"), F.col("values").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("values").alias("y"))
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(rule), "a long, b long").distinct()
 
 
-def _across(live: DataFrame, linked: DataFrame, rule: Jaccard) -> DataFrame:
+def _across(live: DataFrame, rule: Jaccard) -> DataFrame:
     """All pairs of entries of a column whose rows are in different components, within the bounds, tile by tile."""
-    entries = live.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = entries.groupBy("column", "component").count().groupBy("column").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.sum("count").alias("entries"), F.count("*").alias("components")).where("components > 1")
-    entries = entries.join(sizes, "column").withColumn("tile", F.pmod(F.xxhash64("id"), F.ceil(F.col("entries") / CHUNK)))
+    entries = live.withColumn("tile", F.pmod(F.xxhash64("id"), F.ceil(F.col("entries") / CHUNK)))
     listed = F.collect_list(F.struct("id", "n", "place", "component"))
     every = entries.groupBy("column", "tile").agg(listed.alias("ys"))
     minor = entries.where("component <> major").groupBy("column", F.col("tile").alias("other")).agg(listed.alias("xs"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker expands at once; one longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
@@ -35,8 +37,14 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as a table of this name and read it again."""
         df.write.mode("overwrite").parquet(self.path(name))
+        self.release()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of finished steps: it does once their plans are garbage on the driver."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
@@ -44,15 +52,13 @@ class Scratch:
         path.getFileSystem(conf).delete(path, True)
 
 
-def by_slices(f: Callable[[pa.RecordBatch], dict], text: str, size: int = SLICE_BYTES) -> Callable:
-    """A mapInArrow function that applies f to runs of rows holding about `size` bytes of the string column `text`."""
+#: Rows of 8 bytes that may be broadcast, after they have been counted.
+BROADCAST_ROWS = 400_000
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, text, size):
-                yield pa.RecordBatch.from_pydict(f(part))
 
-    return run
+def few(ids: DataFrame) -> DataFrame:
+    """ids (one long column, a written table), marked for broadcast if it has BROADCAST_ROWS rows at most."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
 def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
