@@ -128,9 +128,12 @@ def integer(text: Column) -> Column:
 
 def moment(text: Column, tz: str, year: Column) -> Column:
     """A timestamp: ISO with Z (read on the source's clock `tz`), ISO with an offset, or `Mon d HH:MM:SS` of `year`. NULL otherwise."""
+    return let(F.trim(text), lambda t: _moment(t, tz, year))
+
+
+def _moment(text: Column, tz: str, year: Column) -> Column:
     iso = r"^(\d{4})-(\d{2})-(\d{2})T(\d{2}):(\d{2}):(\d{2}(?:\.\d{1,6})?)(Z|[+-]\d{2}:?\d{2})$"
     bsd = r"^([A-Za-z]{3})\s+(\d{1,2})\s+(\d{2}):(\d{2}):(\d{2})$"
-    text = F.trim(text)
 
     def part(pattern: str, i: int, kind: str = "int") -> Column:
         return F.regexp_extract(text, pattern, i).try_cast(kind)

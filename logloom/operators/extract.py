@@ -1,7 +1,6 @@
 """Records from matched lines: header fields by extractor, field rules over the message, derived fields.
 
-Every field is one column, so a query that asks for few of them evaluates few patterns. Fields live in a struct
-named by the caller; NULL means missing.
+Every field is one column, so a query that asks for few of them evaluates few patterns. NULL means missing.
 """
 
 from __future__ import annotations
@@ -181,7 +180,10 @@ def rule_message(rules: list[Rule], patterns: list[Pattern], message: Column, in
 
 
 def add_records(lines: DataFrame, patterns: list[Pattern], rules: list[Rule] = (), options: Options = Options(), text: str = "value", prefix: str = "") -> DataFrame:
-    """The lines with <prefix>pattern_idx and <prefix>record, a struct of all fields, NULL where nothing matches."""
+    """The lines with <prefix>pattern_idx and a column <prefix>record_<field> for each field, NULL where nothing matches.
+
+    They are columns, not a struct, so that the optimiser keeps each from being worked out once for every use.
+    """
     df = match(lines, patterns, text, prefix)
     names = [g for g in GROUPS if any(g in translate(p.regex).groups for p in patterns)]
     df = df.withColumns({f"_{prefix}g_{g}": group_column(patterns, g, text, prefix) for g in names})
@@ -246,8 +248,7 @@ def add_records(lines: DataFrame, patterns: list[Pattern], rules: list[Rule] = (
     extra = [F.struct(F.lit(name).alias("key"), F.col(f"_{prefix}r_{name}").alias("value")) for name in ruled if name not in shown]
     pairs = F.filter(F.array(*extra), lambda e: e["value"].isNotNull()) if extra else None
     out["extra"] = F.map_from_entries(pairs) if extra else F.create_map().cast("map<string,string>")
-    record = F.struct(*[value.alias(name) for name, value in out.items()])
-    df = df.withColumn(f"{prefix}record", F.when(index.isNotNull(), record))
+    df = df.withColumns({f"{prefix}record_{name}": F.when(index.isNotNull(), value) for name, value in out.items()})
     return df.drop(*[c for c in df.columns if c.startswith(f"_{prefix}")])
 
 

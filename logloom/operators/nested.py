@@ -10,13 +10,14 @@ from logloom.plans.schema import event
 from logloom.sources.library import Pattern, Rule
 
 from .extract import Options, add_records
+from .match import match
 
 CANDIDATES = ("original_data", "message_content")
 
 
 def candidates(record: str) -> Column:
     """The distinct texts of a record that look like whole lines, two at most."""
-    texts = F.array_distinct(F.array_compact(F.array(*[F.col(record)[c] for c in CANDIDATES])))
+    texts = F.array_distinct(F.array_compact(F.array(*[F.col(f"{record}_{c}") for c in CANDIDATES])))
     return F.slice(F.filter(texts, nested_shape), 1, 2)
 
 
@@ -30,9 +31,9 @@ def with_nested(df: DataFrame, patterns: list[Pattern], rules: list[Rule], optio
         own = f"{prefix}{k}"
         df = df.withColumn(f"{own}line", F.try_element_at(candidates(record), F.lit(k + 1)))
         df = df.withColumn(f"{own}flat", F.regexp_replace(f"{own}line", r"(?U)\s+", " "))
-        for suffix, text in (("a", f"{own}line"), ("b", f"{own}flat")):
-            df = add_records(df, patterns, rules, options, text, f"{own}{suffix}")
-        df = df.withColumn(f"{own}record", F.coalesce(f"{own}arecord", f"{own}brecord")).drop(f"{own}arecord", f"{own}brecord", f"{own}apattern_idx", f"{own}bpattern_idx")
+        df = match(df, patterns, f"{own}line", f"{own}first")
+        df = df.withColumn(f"{own}text", F.when(F.col(f"{own}firstpattern_idx").isNull(), F.col(f"{own}flat")).otherwise(F.col(f"{own}line")))
+        df = add_records(df, patterns, rules, options, f"{own}text", own)
         inner = None
         if levels > 1:
             df = with_nested(df, patterns, rules, options, f"{own}record", f"{own}_", levels - 1)
@@ -41,4 +42,4 @@ def with_nested(df: DataFrame, patterns: list[Pattern], rules: list[Rule], optio
         names.append(f"{own}event")
     both = F.array_compact(F.array(*names))
     nested = F.when(F.size(both) == 1, both[0]).when(F.size(both) == 2, F.concat(F.lit("["), F.array_join(both, ","), F.lit("]")))
-    return df.withColumn(f"{prefix}nested", nested).drop(*[c for c in df.columns if c.startswith((f"{prefix}0", f"{prefix}1"))])
+    return df.withColumn(f"{prefix}nested", nested).drop(*[c for c in df.columns if c.startswith((f"{prefix}0", f"{prefix}1", f"_{prefix}"))])

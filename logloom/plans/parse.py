@@ -23,7 +23,7 @@ def parse(lines: DataFrame, patterns: list[Pattern], rules: list[Rule] = (), opt
     if nested:
         df = with_nested(df, patterns, list(rules), options, levels=nested)
         inner = F.col("_nested_nested")
-    return df.select(*lines.columns, "pattern_idx", F.col("record.pattern_name").alias("pattern_name"), F.col("record.extra").alias("extra"), event("record", "value", options, inner).alias("event"))
+    return df.select(*lines.columns, "pattern_idx", F.col("record_pattern_name").alias("pattern_name"), F.col("record_extra").alias("extra"), event("record", "value", options, inner).alias("event"))
 
 
 def events(parsed: DataFrame) -> DataFrame:

@@ -13,8 +13,13 @@ OPTIONAL = ("username", "user_domain", "protocol", "destination_ip", "source_por
 
 
 def event(record: str, line: str, options: Options = Options(), nested: Column | None = None) -> Column:
-    """The struct of an event from the record and line columns of these names; NULL for no record."""
-    r = F.col(record)
+    """The struct of an event from the columns <record>_<field> and the line column; NULL for no record."""
+
+    class Record:
+        def __getitem__(self, name: str) -> Column:
+            return F.col(f"{record}_{name}")
+
+    r = Record()
     empty = F.lit("")
 
     def text(*names: str) -> Column:
@@ -58,4 +63,4 @@ def event(record: str, line: str, options: Options = Options(), nested: Column |
         "parsed_content": F.struct(F.col(line).alias("syslog")),
     }
     fields |= {n: S.integer(r[n]) if n.endswith("_port") else S.clean(r[n]) for n in OPTIONAL}
-    return F.when(r.isNotNull(), F.struct(*[value.alias(name) for name, value in fields.items()]))
+    return F.when(r["parse_success"].isNotNull(), F.struct(*[value.alias(name) for name, value in fields.items()]))
