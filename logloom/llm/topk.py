@@ -10,7 +10,7 @@ Queries are joined with all candidates in blocks: query blocks are copied to eac
 blocks belong to one group each, so nothing is broadcast and a group's candidates go through one task.
 
 Scores are sums of integers, exact while they stay below 2^53 in double precision (checked; beyond it they are summed
-as 64-bit integers). Defined results: vectors that are null, or hold null or non-finite components, take no part; a
+as 64-bit integers, so they must fit those). Defined results: vectors that are null, or hold null or non-finite components, take no part; a
 vector of another length is no candidate; ties go to the smaller id; fewer than k candidates give all; rows that
 repeat an id are candidates each, but never of their own id; a null id takes no part; an empty vector scores 0 with
 the others; other columns are ignored whatever their names.
@@ -69,6 +69,7 @@ def block_scores(queries: np.ndarray, candidates: np.ndarray, least: np.ndarray)
     c_rest = np.sqrt(np.cumsum((candidates**2)[::-1], axis=0)[::-1])
     if not exact:
         total = queries.astype(np.int64).T @ candidates.astype(np.int64)
+        least = least - np.abs(np.where(np.isfinite(least), least, 0)) * 1e-12  # it has been rounded
     else:
         total = np.zeros((queries.shape[1], candidates.shape[1]))
         for at in range(0, dim, DIMENSIONS):
