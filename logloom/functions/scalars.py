@@ -78,13 +78,13 @@ def is_json_object(text: Column) -> Column:
 
 def json_value(text: Column, key: str) -> Column:
     """A top-level value as text: booleans read True and False, nested values stay JSON text."""
-    return let(json_payload(text), lambda p: _json_at(p, key))
+    return let(json_payload(text), lambda p: json_at(p, json_object(p), key))
 
 
-def _json_at(payload: Column, key: str) -> Column:
+def json_at(payload: Column, parsed: Column, key: str) -> Column:
+    """The same from a payload and its map, where those are columns already."""
     raw = r'"' + java_quote(key) + r'"\s*:\s*(true|false)\b'
-    value = F.try_element_at(json_object(payload), F.lit(key))
-    return F.when(value.isin("true", "false") & payload.rlike(raw), F.initcap(value)).otherwise(value)
+    return let(F.try_element_at(parsed, F.lit(key)), lambda v: F.when(v.isin("true", "false") & payload.rlike(raw), F.initcap(v)).otherwise(v))
 
 
 def kv_or_json(text: Column, key: str) -> Column:
@@ -97,7 +97,7 @@ def unescape(text: Column) -> Column:
 
     def once(value: Column, _: Column) -> Column:
         read = F.from_json(F.concat(F.lit('["'), value, F.lit('"]')), "array<string>")
-        whole = F.when(F.size(read) == 1, F.element_at(read, 1))
+        whole = let(read, lambda r: F.when(F.size(r) == 1, F.element_at(r, 1)).otherwise(value))
         return F.when(value.rlike(r"\\[urnt]"), F.coalesce(whole, value)).otherwise(value)
 
     return F.when(text.rlike(r"\\[urnt]"), F.aggregate(F.sequence(F.lit(1), F.lit(4)), text, once)).otherwise(text)
@@ -107,13 +107,8 @@ def truncated(text: Column, limit: int = 500) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text)
 
 
-def message_content(message: Column, raw: Column) -> tuple[Column, Column]:
-    """What a message says, and where that comes from."""
-    said = F.trim(F.regexp_replace(message, r"(?U)^\s+|\s+$", ""))
-    inner = filled(json_value(said, "event_content"))
-    content = F.when(F.coalesce(said, F.lit("")) == "", unescape(raw)).when(inner.isNotNull(), unescape(inner)).otherwise(unescape(said))
-    decision = F.when(F.coalesce(said, F.lit("")) == "", F.lit(UNDECIDED)).when(inner.isNotNull(), F.lit("JSON 载荷 event_content 字段")).otherwise(F.lit(FROM_MESSAGE))
-    return content, decision
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 # How the origin of the content is described.

@@ -42,11 +42,15 @@ class Options:
 
 @dataclass(frozen=True)
 class Fields:
-    """What an extractor works on: the captured groups, the line, and the options."""
+    """What an extractor works on: the captured groups, the line, and the options.
+
+    keep(name, column) makes an intermediate column of its own and gives a reference to it: for what several fields need.
+    """
 
     line: Column
     group: Callable[[str], Column]
     options: Options
+    keep: Callable[[str, Column], Column]
 
 
 Extractor = Callable[[Fields], dict[str, Column]]
@@ -60,11 +64,14 @@ def _stamp(f: Fields) -> Column:
 
 
 def generic(f: Fields) -> dict[str, Column]:
-    message = F.coalesce(f.group("message"), f.line)
+    message = f.keep("message", F.coalesce(f.group("message"), f.line))
     own = f.group("priority").try_cast("int")
-    pri = F.coalesce(own, S.leading_pri(f.line))
+    pri = f.keep("pri", F.coalesce(own, S.leading_pri(f.line)))
     own_severity = F.when(own.isNotNull(), f.group("severity").try_cast("int"))
-    content, decision = S.message_content(message, f.line)
+    said = f.keep("said", S.filled(S.stripped(message)))
+    inner = f.keep("inner", S.filled(S.json_value(said, "event_content")))
+    content = f.keep("content", S.unescape(F.coalesce(inner, said, f.line)))
+    decision = F.when(inner.isNotNull(), "JSON 载荷 event_content 字段").when(said.isNotNull(), S.FROM_MESSAGE).otherwise(S.UNDECIDED)
     return {
         "priority": pri, "facility": S.facility(pri), "severity": F.coalesce(own_severity, S.severity(pri)), "timestamp": _stamp(f), "hostname": f.group("hostname"),
         "event_id": f.group("event_id"), "source_ip": f.group("source_ip"), "dvc_event_category": f.group("program"),
@@ -74,10 +81,10 @@ def generic(f: Fields) -> dict[str, Column]:
 
 def kv_parser(f: Fields) -> dict[str, Column]:
     message = f.group("message")
-    pairs = S.kv_pairs(message)
-    said, original, given = S.filled(S.kv_last(pairs, "MESSAGE")), S.filled(S.kv_last(pairs, "ORIGINAL_DATA")), S.kv_last(pairs, "SEVERITY")
-    pri = S.inner_pri(original)
-    content = F.when(said.isNotNull(), S.unescape(said)).otherwise(message)
+    pairs = f.keep("pairs", S.kv_pairs(message))
+    said, original, given = (f.keep(k, S.filled(S.kv_last(pairs, k.upper()))) for k in ("message", "original_data", "severity"))
+    pri = f.keep("pri", S.inner_pri(original))
+    content = f.keep("content", F.when(said.isNotNull(), S.unescape(said)).otherwise(message))
     stamp = S.moment(F.coalesce(f.group("timestamp"), S.bsd_stamp(f.line)), f.options.tz, f.options.year)
     return {
         "priority": pri, "facility": S.facility(pri), "severity": F.coalesce(F.when(F.trim(given).rlike(r"^-*\d+$"), F.trim(given).try_cast("int")), S.severity(pri)),
@@ -108,7 +115,7 @@ def windows_event(f: Fields) -> dict[str, Column]:
     pri, source, message = f.group("priority").try_cast("int"), f.group("program"), f.group("message")
     named = f.group("timestamp").rlike("^[A-Za-z]{3}")
     stamp = F.when(named, f.group("timestamp")).otherwise(F.coalesce(S.bsd_stamp(f.line), f.group("timestamp")))
-    content = F.regexp_replace(message, r"(?U)^\s+|\s+$", "")
+    content = f.keep("content", S.stripped(message))
     kind = F.when(source.contains("Service_Control_Manager"), "service_control").when(source.contains("Security-Auditing"), "security_audit")
     return _with_pri(f, pri) | {
         "timestamp": S.moment(stamp, f.options.tz, f.options.year), "event_id": f.group("event_id").try_cast("long").cast("string"), "event_type": kind, "module": source, "risk_level": S.risk_of(S.severity(pri)),
@@ -131,16 +138,29 @@ RULE_FIELDS = (
 )
 
 
-def rule_value(rule: Rule, message: Column) -> Column:
+@dataclass(frozen=True)
+class Message:
+    """The text that rules work on, its JSON payload and the payload's top level."""
+
+    text: Column
+    payload: Column
+    parsed: Column
+
+    def json(self, key: str) -> Column:
+        return S.json_at(self.payload, self.parsed, key)
+
+
+def rule_value(rule: Rule, message: Message) -> Column:
     """What a rule takes from a message; NULL for nothing or an empty text."""
     if rule.extract_method == "kv_parse":
-        value = S.json_value(message, rule.json_key) if rule.json_key else S.kv_or_json(message, rule.kv_key)
+        key = rule.kv_key
+        value = message.json(rule.json_key) if rule.json_key else F.coalesce(message.json(key), message.json(key.lower()), S.kv_first(message.text, key))
         return S.filled(value)
     if rule.extract_method == "regex" and rule.regex:
         java = translate(rule.regex, anchored=False)
         if java.python_only:
             raise ValueError(f"rule {rule.name}: {rule.regex} has no Java form")
-        return S.captured(message, java.java, 1 if java.n_groups else 0)
+        return S.captured(message.text, java.java, 1 if java.n_groups else 0)
     return F.lit(None).cast("string")
 
 
@@ -150,7 +170,7 @@ def _applies(rule: Rule, patterns: list[Pattern], options: Options) -> list[int]
     return [i for i, p in enumerate(patterns) if not rule.type or not p.name or rule.type == p.name]
 
 
-def rule_columns(rules: list[Rule], patterns: list[Pattern], message: Column, index: Column, options: Options) -> dict[str, Column]:
+def rule_columns(rules: list[Rule], patterns: list[Pattern], message: Message, index: Column, options: Options) -> dict[str, Column]:
     """Each field that rules set: the last rule that applies and finds something wins."""
     found: dict[str, list[Column]] = {}
     for rule in rules:
@@ -159,20 +179,20 @@ def rule_columns(rules: list[Rule], patterns: list[Pattern], message: Column, in
     return {name: F.coalesce(*values) for name, values in found.items()}
 
 
-def rule_message(rules: list[Rule], patterns: list[Pattern], message: Column, index: Column, options: Options) -> tuple[Column, Column]:
+def rule_message(rules: list[Rule], patterns: list[Pattern], message: Message, index: Column, options: Options) -> tuple[Column, Column]:
     """Content and its origin by rules for message_content: first those with a key, in order, then whole texts."""
     content, decision = [], []
     own = [(r, _applies(r, patterns, options)) for r in rules if r.field_name == "message_content"]
     for rule, where in own:
-        for key, value, origin in ((rule.json_key, S.json_value, "JSON 载荷 {} 字段(LLM 标注)"), (rule.kv_key, S.kv_first, "KV 的 {} 字段(LLM 标注)")):
+        for key, value, origin in ((rule.json_key, message.json, "JSON 载荷 {} 字段(LLM 标注)"), (rule.kv_key, lambda k: S.kv_first(message.text, k), "KV 的 {} 字段(LLM 标注)")):
             if key and where:
-                got = F.when(index.isin(where), S.unescape(value(message, key)))
+                got = F.when(index.isin(where), S.unescape(value(key)))
                 content.append(got)
                 decision.append(F.when(got.isNotNull(), origin.format(key)))
     for rule, where in own:
         origin = {"whole": "整个 message 即告警信息(LLM 标注 whole)", "unknown": "无法确定告警信息,输出整句 message(LLM 标注不确定)"}.get(rule.source)
         if origin and where:
-            got = F.when(index.isin(where), message)
+            got = F.when(index.isin(where), message.text)
             content.append(got)
             decision.append(F.when(got.isNotNull(), origin))
     none = F.lit(None).cast("string")
@@ -192,9 +212,17 @@ def add_records(lines: DataFrame, patterns: list[Pattern], rules: list[Rule] = (
         return F.col(f"_{prefix}g_{name}") if name in names else F.lit(None).cast("string")
 
     index = F.col(f"{prefix}pattern_idx")
-    fields = Fields(F.col(text), group, options)
     kinds = [p.extractor if p.extractor in EXTRACTORS else "generic" for p in patterns]
-    made = {kind: EXTRACTORS[kind](fields) for kind in dict.fromkeys(kinds)}
+    made = {}
+    for kind in dict.fromkeys(kinds):
+        own = index.isin([i for i, k in enumerate(kinds) if k == kind])
+
+        def keep(name: str, column: Column, kind: str = kind, own: Column = own) -> Column:
+            nonlocal df
+            df = df.withColumn(f"_{prefix}k_{kind}_{name}", F.when(own, column))
+            return F.col(f"_{prefix}k_{kind}_{name}")
+
+        made[kind] = EXTRACTORS[kind](Fields(F.col(text), group, options, keep))
     # An extractor whose groups are missing makes no record, only an error.
     broken = [i for i, p in enumerate(patterns) if any(g not in translate(p.regex).groups for g in NEEDED.get(kinds[i], ()))]
     base = {}
@@ -211,7 +239,8 @@ def add_records(lines: DataFrame, patterns: list[Pattern], rules: list[Rule] = (
         return F.col(f"_{prefix}{name}")
 
     df = df.withColumn(f"_{prefix}input", S.filled(F.coalesce(at("message"), at("message_content"))))
-    message, ok = at("input"), ~index.isin(broken) if broken else F.lit(True)
+    df = df.withColumn(f"_{prefix}payload", S.json_payload(F.coalesce(at("input"), F.col(text)))).withColumn(f"_{prefix}parsed", S.json_object(F.col(f"_{prefix}payload")))
+    message, ok = Message(at("input"), at("payload"), at("parsed")), ~index.isin(broken) if broken else F.lit(True)
     ruled = rule_columns(list(rules), patterns, message, index, options)
     content, origin = rule_message(list(rules), patterns, message, index, options)
     set_by_rule = {f"_{prefix}r_{name}": F.when(ok, value) for name, value in ruled.items()} | {f"_{prefix}r_content": F.when(ok, content), f"_{prefix}r_origin": F.when(ok, origin)}
@@ -230,14 +259,14 @@ def add_records(lines: DataFrame, patterns: list[Pattern], rules: list[Rule] = (
     out["message_content"] = F.coalesce(F.col(f"_{prefix}r_content"), out["message_content"])
     out["decision"] = F.coalesce(F.col(f"_{prefix}r_origin"), out["decision"])
     # A device's fields from each other; only where there is a message.
-    there = message.isNotNull()
+    there = message.text.isNotNull()
     out["hostname"] = F.coalesce(S.clean(out["hostname"]), F.when(there, S.clean(out["device_name"])))
     for source, target in (("device_name", "source_device_name"), ("device_ip", "source_device_ip"), ("device_type", "source_device_type"), ("event_id", "event_code")):
         out[target] = F.coalesce(S.clean(out[target]), F.when(there, S.clean(out[source])))
     out["device_type"] = F.when(there, S.device_type(out["device_type"])).otherwise(out["device_type"])
     given = by_pattern(patterns, lambda p: p.format, prefix)
     kind = F.coalesce(S.filled(given), at("log_format"))
-    refined = F.when(S.is_json_object(F.coalesce(message, F.col(text))), "rfc5424_json").otherwise("generic")
+    refined = F.when(message.parsed.isNotNull(), "rfc5424_json").otherwise("generic")
     out["log_format"] = F.when(ok, F.when(kind.isin("rfc5424_json", "generic"), refined).otherwise(kind))
     out["severity_is_int"] = F.lit(True) if "severity" not in ruled else F.col(f"_{prefix}r_severity").isNull()
     out["pattern_name"] = by_pattern(patterns, lambda p: p.name, prefix)
