@@ -37,7 +37,7 @@ SCRIPT_SHARE = 0.002
 #: Rows on which the model is fitted at most; a larger set is thinned evenly by hash of the id.
 FIT_ROWS = 40_000
 #: Code points of text expanded at once.
-SLICE = 1 << 19
+SLICE = 1 << 18
 
 # First code point of each run of letters of a script.
 SCRIPTS = (
@@ -69,8 +69,8 @@ class Words:
     letters: np.ndarray  #: the number of its letters
     script: np.ndarray
     start: np.ndarray  #: its place in the text
-    grams: np.ndarray  #: bucket of each n-gram, in order of words
-    bounds: np.ndarray  #: each word's bounds in grams
+    grams: list[np.ndarray]  #: for each size the bucket of each n-gram, in order of words
+    starts: list[np.ndarray]  #: for each size the place of each word's first
     whole: np.ndarray  #: bucket of the word
 
 
@@ -95,7 +95,7 @@ class Reader:
         n = stops - starts
         if not len(starts):
             none = np.zeros(0, np.int64)
-            return Words(none, none, none, none, none, np.zeros(1, np.int64), none)
+            return Words(none, none, none, none, [none] * LONGEST, [none] * LONGEST, none)
         # Each word between two ends (0): length + 2 places.
         padded = n + 2
         first = np.concatenate(([0], np.cumsum(padded)))
@@ -104,26 +104,21 @@ class Reader:
         edge = (places == 0) | (places == np.repeat(padded, padded) - 1)
         chars = np.where(edge, 0, raw[np.clip(source, 0, len(raw) - 1)])
         chars = np.where(chars <= 0xFFFF, self.lower[np.minimum(chars, 0xFFFF)], chars).astype(np.uint64)
-        hashes, owners = [], []
-        owner = np.repeat(np.arange(len(n)), padded)
+        left = np.repeat(padded, padded) - places
+        grams, firsts = [], []
         h = chars + np.uint64(1)
         for size in range(1, LONGEST + 1):
             if size > 1:
                 h = h[:-1] * BASE + chars[size - 1 :] + np.uint64(size)
-            within = owner[: len(h)] == owner[size - 1 :]
-            if size == 1:
-                within = within & ~edge
-            hashes.append(mix(h[within]))
-            owners.append(owner[: len(h)][within])
-        grams, owner_of = np.concatenate(hashes), np.concatenate(owners)
-        order = np.argsort(owner_of, kind="stable")
-        grams = (grams[order] >> np.uint64(64 - GRAM_BITS)).astype(np.int64)
-        bounds = np.concatenate(([0], np.cumsum(np.bincount(owner_of, minlength=len(n)))))
+            within = ~edge if size == 1 else left[: len(h)] >= size
+            grams.append((mix(h[within]) >> np.uint64(64 - GRAM_BITS)).astype(np.int32))
+            counts = n if size == 1 else padded - size + 1
+            firsts.append(np.concatenate(([0], np.cumsum(counts)[:-1])))
         weights = np.cumprod(np.full(int(padded.max()), BASE))[places]
         whole = mix(np.add.reduceat(chars * weights, first[:-1])) >> np.uint64(64 - WORD_BITS)
         middle = raw[starts + n // 2]
         script = _NUMBERS[np.searchsorted(_STARTS, middle, side="right") - 1]
-        return Words(text, n, script, starts - (ends - lengths)[text], grams, bounds, whole.astype(np.int64))
+        return Words(text, n, script, starts - (ends - lengths)[text], grams, firsts, whole.astype(np.int64))
 
 
 @dataclass
@@ -139,7 +134,9 @@ class Model:
         """Word by language; -inf for no candidate, all 0 where the script has none."""
         if not len(words.text):
             return np.zeros((0, len(self.languages)), np.float32)
-        scores = np.add.reduceat(self.gram[words.grams], words.bounds[:-1], axis=0) + self.word[words.whole]
+        scores = self.word[words.whole]
+        for grams, starts in zip(words.grams, words.starts, strict=True):
+            scores += np.add.reduceat(self.gram[grams], starts, axis=0)
         allowed = self.scripts[words.script]
         scores = np.where(allowed, scores, -np.inf)
         scores[~allowed.any(1)] = 0
@@ -173,15 +170,18 @@ def _fit_counts(languages: list[str]):
     """Counts of n-grams, words and scripts by language, of one partition at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, k = Reader(), len(languages)
-        gram, word, script = (np.zeros((size, k)) for size in (1 << GRAM_BITS, 1 << WORD_BITS, len(NAMES)))
+        reader, width = Reader(), len(languages)
+        gram, word, script = (np.zeros((size, width)) for size in (1 << GRAM_BITS, 1 << WORD_BITS, len(NAMES)))
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 words = reader.words(part.column("text").to_pylist())
                 lang = np.array([languages.index(x) for x in part.column("lang").to_pylist()])[words.text] if len(words.text) else words.text
-                for table, keys, langs in ((gram, words.grams, np.repeat(lang, np.diff(words.bounds))), (word, words.whole, lang)):
-                    table += np.bincount(keys * k + langs, minlength=table.size).reshape(table.shape)
-                script += np.bincount(words.script * k + lang, weights=words.letters, minlength=script.size).reshape(script.shape)
+                if not len(words.text):
+                    continue
+                sizes = [np.diff(np.append(starts, len(grams))) for grams, starts in zip(words.grams, words.starts, strict=True)]
+                for table, keys, langs in (*((gram, g, np.repeat(lang, k)) for g, k in zip(words.grams, sizes, strict=True)), (word, words.whole, lang)):
+                    table += np.bincount(keys * np.int64(width) + langs, minlength=table.size).reshape(table.shape)
+                script += np.bincount(words.script * width + lang, weights=words.letters, minlength=script.size).reshape(script.shape)
         for kind, table in enumerate((gram, word, script)):
             keys, langs = np.nonzero(table)
             for at in range(0, len(keys), 50_000):
