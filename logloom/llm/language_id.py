@@ -8,14 +8,15 @@ switch, labels spans; the text's language is the one whose spans hold most lette
 A text whose best single language no excursion can beat (no run of words gains more than half the penalty for another
 language) is labelled at once; the others go through the full recursion. Both give the best path.
 
-Defined results: a null text, or one without a letter, is `und` with score 0; a text in scripts of no learned language
-is `und` too; a text's score is the share of its letters in spans of its language times the confidence in that
+Defined results: a null text, or one without a letter, is `und` with score 0; words in scripts of no learned language have
+all languages as candidates; a text's score is the share of its letters in spans of its language times the confidence in that
 language; ties go to the first language in alphabetical order. Without learned rows every text is `und`. Rows that repeat an id, and
 null ids, are each returned; other columns are ignored whatever their names.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -53,8 +54,13 @@ _NUMBERS = np.array([NAMES.index(name) for _, name in SCRIPTS])
 
 
 def _letters() -> np.ndarray:
-    """For each code point of the basic plane: whether it is a letter (or a mark within a word)."""
-    return np.array([chr(c).isalpha() or 0x0300 <= c < 0x0370 or 0x0900 <= c < 0x0E80 and chr(c).isprintable() and not chr(c).isdigit() for c in range(0x10000)])
+    """For each code point of the basic plane: whether it is a letter."""
+    return np.array([chr(c).isalpha() for c in range(0x10000)])
+
+
+def _marks() -> np.ndarray:
+    """For each code point of the basic plane: whether it is a mark that may stand within a word."""
+    return np.array([unicodedata.category(chr(c)).startswith("M") for c in range(0x10000)])
 
 
 def _lower() -> np.ndarray:
@@ -78,7 +84,7 @@ class Reader:
     """Cuts texts into words; holds the tables of letters."""
 
     def __init__(self) -> None:
-        self.letters, self.lower = _letters(), _lower()
+        self.letters, self.marks, self.lower = _letters(), _marks(), _lower()
 
     def words(self, texts: list[str]) -> Words:
         # A zero parts the texts; it is no letter.
@@ -87,10 +93,17 @@ class Reader:
         lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
         ends = np.cumsum(lengths)
         low = np.minimum(raw, 0xFFFF)
-        inside = self.letters[low] & (raw <= 0xFFFF) | (raw >= 0x20000) & (raw < 0x32000)
-        inside[ends - 1] = False
+        letter, high = self.letters[low], np.flatnonzero(raw > 0xFFFF)
+        if len(high):
+            seen, at = np.unique(raw[high], return_inverse=True)
+            letter[high] = np.array([chr(c).isalpha() for c in seen])[at]
+        inside = letter | self.marks[low] & (raw <= 0xFFFF)
         edges = np.flatnonzero(np.diff(np.concatenate(([0], inside.view(np.int8), [0]))))
         starts, stops = edges[::2], edges[1::2]
+        # A run of marks alone is no word.
+        total = np.concatenate(([0], np.cumsum(letter)))
+        some = total[stops] > total[starts]
+        starts, stops = starts[some], stops[some]
         text = np.searchsorted(ends, starts, side="right")
         n = stops - starts
         if not len(starts):
@@ -131,16 +144,14 @@ class Model:
     scripts: np.ndarray  #: script by language: is a candidate
 
     def word_scores(self, words: Words) -> np.ndarray:
-        """Word by language; -inf for no candidate, all 0 where the script has none."""
+        """Word by language; -inf for no candidate. All are candidates where the script has none."""
         if not len(words.text):
             return np.zeros((0, len(self.languages)), np.float32)
         scores = self.word[words.whole]
         for grams, starts in zip(words.grams, words.starts, strict=True):
             scores += np.add.reduceat(self.gram[grams], starts, axis=0)
         allowed = self.scripts[words.script]
-        scores = np.where(allowed, scores, -np.inf)
-        scores[~allowed.any(1)] = 0
-        return scores
+        return np.where(allowed | ~allowed.any(1, keepdims=True), scores, -np.inf)
 
 
 def best_path(scores: np.ndarray, penalty: float = PENALTY) -> np.ndarray:
@@ -216,17 +227,16 @@ def label(texts: list[str], reader: Reader, model: Model) -> Iterator[tuple[str,
     """Language, score and spans (start and end in code points, language) of each text."""
     words = reader.words(texts)
     scores = model.word_scores(words)
-    known = model.scripts[words.script].any(1) if len(words.text) else np.zeros(0, bool)
     bounds = np.searchsorted(words.text, np.arange(len(texts) + 1))
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        if a == b or not len(model.languages) or not known[a:b].any():
+        if a == b or not model.languages:
             yield UND, 0.0, []
             continue
         own, letters = scores[a:b], words.letters[a:b]
         path = best_path(own)
-        held = np.bincount(path, weights=letters * known[a:b], minlength=len(model.languages))
+        held = np.bincount(path, weights=letters, minlength=len(model.languages))
         lang = int(held.argmax())
-        inside = (path == lang) & known[a:b]
+        inside = path == lang
         # Confidence: a softmax over the mean word score in the spans, sharper with more words.
         sums = own[inside].astype(float).sum(0)
         sums = np.where(np.isfinite(sums), sums, -1e9) / np.sqrt(inside.sum())
