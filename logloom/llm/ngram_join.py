@@ -8,9 +8,11 @@ and positions: |x| >= t |y|, and shared so far + the shorter rest >= t / (1 + t)
 Surviving pairs accumulate overlap counts one column block after another and are discarded once the rest
 cannot lift the count to that bound.
 
-Only what decides the components is multiplied. The first pass compares each entry of a column with the next
-one (columns that many rows hold are dealt over several tasks, whose first entries are compared in turn). The second pass takes what is left, tile by tile: pairs of a column whose rows are not yet in one
-component. So a group of many near copies costs its number of rows, and no link between components is missed.
+Only what decides the components is multiplied. A few rounds compare each entry of a column with its next ones in
+an order that differs by column and round (columns that many rows hold are dealt over several tasks, whose first
+entries are compared in turn). The last pass takes what is left, tile by tile: all pairs of a column whose rows are
+not yet in one component. So a group of many near copies costs about its number of rows, and no link between
+components is missed.
 
 Shingles are 64-bit hashes, sets are told apart by 128 bits. Defined results: null, empty or blank texts have an
 empty set, are linked with nothing and form their own component; rows with a null id take no part in links and
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import Scratch, few, slices, text_buffers
+from .shared import Scratch, few, give_back, slices, text_buffers
 from .textkernel import mix, shingle_sets, sums
 
 #: Text bytes over which a worker counts columns to find frequent ones, the count there that reports a column, and in all.
@@ -81,11 +83,14 @@ def _describe(rule: Jaccard):
         size = 0
 
         def frequent() -> pa.RecordBatch:
-            seen, counts = np.unique(np.concatenate(held), return_counts=True)
+            every = np.concatenate(held)
+            held.clear()
+            every.sort()
+            first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
+            counts = np.diff(np.append(first, len(every)))
             often = counts >= COUNT_LEAST
-            k = int(often.sum())
-            none = pa.nulls(k, pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(seen[often].view(np.int64)), pa.array(counts[often])], names=["id", "n", "s1", "s2", "column", "count"])
+            none = pa.nulls(int(often.sum()), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(every[first[often]].view(np.int64)), pa.array(counts[often])], names=["id", "n", "s1", "s2", "column", "count"])
 
         for batch in batches:
             for part in slices(batch, "text"):
@@ -97,15 +102,16 @@ def _describe(rule: Jaccard):
                 size += part.column("text").nbytes
                 if size >= COUNT_BYTES:
                     yield frequent()
-                    held, size = [], 0
+                    size = 0
         if held:
             yield frequent()
+        give_back()
 
     return run
 
 
 def _prefixes(rule: Jaccard, hot: np.ndarray, often: np.ndarray):
-    """The first columns of each row in the global order, with their places, and the parts that frequent columns are dealt to."""
+    """The first columns of each row in the global order, and the part to which the row goes in each that is dealt out (-1: it is not)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,13 +127,14 @@ def _prefixes(rule: Jaccard, hot: np.ndarray, often: np.ndarray):
                 order = np.lexsort((values, rank, owner))
                 place = np.arange(len(values)) - np.repeat(bounds[:-1], n)
                 take = place < np.repeat(np.where(n > 0, rule.prefix(n), 0), n)
-                tokens, ranks, places, owners = values[order][take], rank[order][take], place[take], owner[take]
+                tokens, ranks, owners = values[order][take], rank[order][take], owner[take]
                 lengths = np.bincount(owners, minlength=len(n))
                 cuts = pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32))
                 parts = np.maximum(1, -(-ranks // CHUNK))
-                deal = mix(s1.view(np.uint64))[owners] % parts.astype(np.uint64)
-                entries = pa.StructArray.from_arrays([pa.array(tokens.view(np.int64)), pa.array(places.astype(np.int32)), pa.array(deal.astype(np.int32)), pa.array(parts > 1)], names=["column", "place", "part", "dealt"])
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(s1), pa.array(s2), pa.array(n), pa.ListArray.from_arrays(cuts, entries)], names=["id", "s1", "s2", "n", "entries"])
+                deal = (mix(s1.view(np.uint64))[owners] % parts.astype(np.uint64)).astype(np.int32)
+                columns = pa.ListArray.from_arrays(cuts, pa.array(tokens.view(np.int64)))
+                dealt = pa.ListArray.from_arrays(cuts, pa.array(np.where(parts > 1, deal, -1).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(s1), pa.array(s2), pa.array(n), columns, dealt], names=["id", "s1", "s2", "n", "columns", "parts"])
 
     return run
 
@@ -218,12 +225,15 @@ def jaccard_components(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str =
     hot, often = hot[by_hash], often[by_hash]
 
     # One row for each class: its first columns. An entry of the index is what one row has in one column.
-    prefixes = texts.where("id IS NOT NULL").mapInArrow(_prefixes(rule, hot, often), "id long, s1 long, s2 long, n long, entries array<struct<column long, place int, part int, dealt boolean>>")
-    index = prefixes.join(classes, ["id", "s1", "s2"], "left_semi").select("id", "n", F.explode("entries").alias("e")).select("id", "n", "e.*")
+    prefixes = texts.where("id IS NOT NULL").mapInArrow(_prefixes(rule, hot, often), "id long, s1 long, s2 long, n long, columns array<long>, parts array<int>")
+    index = prefixes.join(classes, ["id", "s1", "s2"], "left_semi").select("id", "n", F.posexplode(F.arrays_zip("columns", "parts")).alias("place", "e"))
+    # Size and place in one number: what is shuffled here is the largest table of all.
+    index = index.select("id", "e.columns", F.col("e.parts").cast("long").alias("part"), (F.shiftleft("n", 32) + F.col("place")).alias("np")).withColumnRenamed("columns", "column")
     count = F.count("*").over(Window.partitionBy("column", "part"))
-    live = scratch.keep(index.withColumn("entries", count).where("entries > 1 OR dealt").drop("entries"), "live-1")
+    index = index.withColumn("entries", count).where("entries > 1 OR part >= 0")
+    live = scratch.keep(index.select("id", F.shiftright("np", 32).alias("n"), "column", F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place"), "part", (F.col("part") >= 0).alias("dealt")), "live-1")
     some = live.where((F.col("place") < FIRST_PLACES) | (F.pmod(F.xxhash64("column"), F.lit(FIRST_PLACES)) == 0)).withColumn("component", F.col("id"))
-    links = linked = None
+    links = linked = last = None
     for k in range(1, ROUNDS + 2):
         if k > 1:
             live = scratch.keep(_open(live.drop("component", "major", "entries"), linked), f"live-{k}")
@@ -236,7 +246,8 @@ def jaccard_components(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str =
         pairs = scratch.keep(_beside(some, rule, k) if k <= ROUNDS else _across(live, rule), f"pairs-{k}")
         found = scratch.keep(_linked(texts, pairs, rule, scratch, f"needed-{k}"), f"links-{k}")
         links = found if links is None else links.union(found)
-        linked = scratch.keep(components(links, scratch, f"graph-{k}"), f"components-{k}")
+        linked, last = scratch.keep(components(links, scratch, f"graph-{k}"), f"components-{k}"), f"components-{k}"
+    scratch.drop_all_but("described", last)
     if linked is None:
         linked = known.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -30,6 +32,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/logloom-{name}-{uuid.uuid4().hex}"
+        self.names: set[str] = set()
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -37,6 +40,7 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write df as a table of this name and read it again."""
         df.write.mode("overwrite").parquet(self.path(name))
+        self.names.add(name)
         self.release()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
@@ -50,6 +54,12 @@ class Scratch:
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(self.path(name))
         path.getFileSystem(conf).delete(path, True)
+        self.names.discard(name)
+
+    def drop_all_but(self, *names: str) -> None:
+        """Delete what a result does not read. Its own tables stay: they go with the folder, after the run."""
+        for name in self.names - set(names):
+            self.drop(name)
 
 
 #: Rows of 8 bytes that may be broadcast, after they have been counted.
@@ -71,6 +81,14 @@ def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterato
         stop = min(max(stop, start + 1), batch.num_rows)
         yield batch.slice(start, stop - start)
         start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Return what a Python worker has freed to the system: workers live on between tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
