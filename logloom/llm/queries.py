@@ -55,6 +55,26 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+LINKS_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+u AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS n FROM v),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.n > 0 AND b.n > 0 AND list_inner_product(a.e, b.e) / a.n / b.n >= 0.98),
+r AS (SELECT vec_id AS a, vec_id AS c FROM v UNION SELECT p.b AS a, r.c FROM r JOIN p ON p.a = r.a),
+m AS (SELECT a AS vec_id, min(c) AS component_id FROM r GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM p WHERE p.a = m.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM m
+"""
+
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, list_aggregate(w[i:i + 3], 'string_agg', ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS a, doc_id AS c FROM w UNION SELECT l.b AS a, r.c FROM r JOIN l ON l.a = r.a)
+SELECT m.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id FROM (SELECT a AS doc_id, min(c) AS component_id FROM r GROUP BY a) m LEFT JOIN n USING (doc_id)
+"""
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -123,4 +143,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secret_ledger": SECRETS_SQL, "op5_arc_to_warc": WARC_SQL, "op8_exact_top_k": TOP_K_SQL}
+    return {"op3_secret_ledger": SECRETS_SQL, "op5_arc_to_warc": WARC_SQL, "op6_nn_descent": LINKS_SQL, "op7_ngram_jaccard": JACCARD_SQL, "op8_exact_top_k": TOP_K_SQL}
