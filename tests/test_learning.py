@@ -4,7 +4,6 @@ import json
 import random
 import re
 
-from pyspark.sql import functions as F
 
 from logloom.cli import main
 from logloom.operators import drain
@@ -16,7 +15,6 @@ from logloom.plans.learn import failing_samples, learn, rebuild_rules
 from logloom.sources import library as L
 from logloom.sources.lines import head, not_blank, read_lines, read_stream
 from logloom.streaming.parse import parse_stream, stream_to_jsonl
-from logloom.plans.parse import events, unmatched
 
 
 def some_lines(n=240, seed=5):
