@@ -4,7 +4,6 @@ import json
 import random
 import re
 
-
 from logloom.cli import main
 from logloom.operators import drain
 from logloom.operators.extract import Options
