@@ -14,7 +14,7 @@ entries are compared in turn). The last pass takes what is left, tile by tile: a
 not yet in one component. So a group of many near copies costs about its number of rows, and no link between
 components is missed.
 
-Shingles are 64-bit hashes, sets are told apart by 128 bits. Defined results: null, empty or blank texts have an
+Shingles are 64-bit hashes (48 of them where two sets are compared), sets are told apart by 128 bits. Defined results: null, empty or blank texts have an
 empty set, are linked with nothing and form their own component; rows with a null id take no part in links and
 have a null component; rows that repeat an id with the same text are one document (both rows are returned);
 other columns are ignored whatever their names.
@@ -139,13 +139,24 @@ def _prefixes(rule: Jaccard, hot: np.ndarray, often: np.ndarray):
     return run
 
 
+def packed(values: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted hashes: sets are shipped to be compared in pairs, where those tell columns apart."""
+    return (values >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(data) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel()
+
+
 def _whole_sets(rule: Jaccard):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 values, bounds = _sets(part, rule.width)
-                packed = [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(packed, pa.binary())], names=["id", "values"])
+                sets = [packed(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], names=["id", "values"])
 
     return run
 
@@ -176,7 +187,7 @@ def _verify(rule: Jaccard):
         for batch in batches:
             a, b, linked_a, linked_b = batch.column("a").to_pylist(), batch.column("b").to_pylist(), [], []
             for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = unpacked(x.as_buffer()), unpacked(y.as_buffer())
                 least = int(rule.least(len(x) + len(y)))
                 if min(len(x), len(y)) >= least and overlap(x, y, least) >= least:
                     linked_a.append(a[k])
