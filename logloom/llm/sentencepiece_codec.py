@@ -5,10 +5,14 @@ adjacent pairs whose union is a piece, best score first, ties leftmost; the best
 neighbours join the agenda until none is left. Symbols outside the vocabulary fall back to byte pieces.
 
 No piece holds a mark after another character, so merges never cross the place before a run of marks. Texts are cut
-there and each distinct cut is merged once and remembered (a bounded memory for each worker; it changes no result).
+there and each distinct cut is merged once and remembered (a bounded memory for each task; it changes no result).
 A vocabulary without this property is merged over whole texts.
 
-Every batch is also encoded and decoded by the sentencepiece library and compared; a difference is an error.
+Short cuts go through the agenda together: one row of a matrix for each cut holds the scores of its adjacent pairs, and
+each step takes the best pair of every row. Long ones have a heap of their own. Both give the same ids.
+
+The sentencepiece library checks it in each Arrow batch: every distinct cut as it is merged, and the first texts of
+the batch whole, ids and decoded text; a difference is an error.
 Defined results: a null text counts as empty; an empty text has only the begin and end ids and decodes to "";
 repeated rows and null ids are returned as they are; other columns are ignored whatever their names.
 """
@@ -19,20 +23,25 @@ import codecs
 import hashlib
 import heapq
 import re
-import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import give_back, slices
 
 MARK = "▁"
-#: Cuts that a worker remembers, and the longest of them.
-MEMORY, MEMORY_CHARS = 600_000, 48
+#: Cuts that a task remembers at most, in two generations; the longest cut that goes into a matrix, by width.
+MEMORY, WIDTHS, LONGEST = 200_000, (8, 12, 20, 32), 256
+#: Texts of an Arrow batch that the library encodes and decodes whole.
+CHECKED_TEXTS = 100
+#: Text bytes that are coded at once.
+SLICE = 1 << 19
+NEVER = np.iinfo(np.int32).max
 
 SCHEMA = "id long, ids array<int>, decoded string"
 
@@ -42,7 +51,10 @@ class Codec:
     """Encoder and decoder of one vocabulary file (the bytes of a .model file of merge type)."""
 
     model: bytes
-    known: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    checked: bool = True
+    #: Ids of cuts, as the bytes of little-endian 32-bit integers.
+    known: dict[str, bytes] = field(default_factory=dict)
+    older: dict[str, bytes] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         import sentencepiece
@@ -55,10 +67,11 @@ class Codec:
         self.byte = {int(pieces[i][3:-1], 16): i for i in range(size) if lib.is_byte(i)}
         self.begin, self.end, self.unknown = lib.bos_id(), lib.eos_id(), lib.unk_id()
         self.cuts = None if any(MARK in p.lstrip(MARK) for p in self.rank) else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        self._tabulate()
         # What each id decodes to, as bytes; bytes of byte pieces are put together before they are read.
         self.surface = [b"" if lib.is_control(i) else " ⁇ ".encode() if lib.is_unknown(i) else bytes([int(p[3:-1], 16)]) if lib.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.is_byte = np.array([lib.is_byte(i) for i in range(size)])
-        self.is_control = [lib.is_control(i) for i in range(size)]
+        self.is_control = np.array([lib.is_control(i) for i in range(size)])
 
     def merge(self, text: str) -> tuple[int, ...]:
         """Ids of an escaped text, by the agenda."""
@@ -99,89 +112,216 @@ class Codec:
                     ids.append(self.unknown)
         return tuple(ids)
 
+    def _tabulate(self) -> None:
+        """Pairs of symbols whose union is a piece, in a hash table: key, place in the order of scores, and the piece."""
+        ordered = sorted(self.rank, key=lambda p: self.rank[p][0])
+        place, last = {}, None
+        for p in ordered:  # equal scores have equal places
+            place[p] = len(place) if last is None or self.rank[p][0] != last[0] else last[1]
+            last = (self.rank[p][0], place[p])
+        own = {p: i for i, p in enumerate(self.rank)}
+        for p in self.rank:
+            for c in p:
+                own.setdefault(c, len(own))
+        self.symbol, self.n_symbols = own, len(own)
+        self.symbol_id = np.full(len(own), -1, np.int64)
+        for p, i in own.items():
+            if p in self.rank:
+                self.symbol_id[i] = self.rank[p][1]
+        self.char = np.full(0x110000, -1, np.int32)
+        for p, i in own.items():
+            if len(p) == 1:
+                self.char[ord(p)] = i
+        pairs = [(own[p[:k]] * self.n_symbols + own[p[k:]], place[p], own[p]) for p in self.rank for k in range(1, len(p)) if p[:k] in own and p[k:] in own]
+        keys, places, joined = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
+        bits = max(4, int(np.ceil(np.log2(len(keys) * 4))))
+        self.slots = 1 << bits
+        self.keys, self.places, self.joined = np.full(self.slots, -1, np.int64), np.full(self.slots, NEVER, np.int32), np.zeros(self.slots, np.int32)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            # Of those that ask for one free slot, one gets it.
+            free = left[self.keys[at[left]] < 0]
+            self.keys[at[free]] = keys[free]
+            got = left[self.keys[at[left]] == keys[left]]
+            self.places[at[got]], self.joined[at[got]] = places[got], joined[got]
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & (self.slots - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & (self.slots - 1)
+
+    def _pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and piece of pairs of symbols; NEVER where the union is no piece."""
+        keys = left.astype(np.int64) * self.n_symbols + right
+        at = self._slot(keys)
+        held = self.keys[at]
+        moved = np.flatnonzero((held != keys) & (held >= 0))
+        while len(moved):
+            at[moved] = (at[moved] + 1) & (self.slots - 1)
+            held[moved] = self.keys[at[moved]]
+            moved = moved[(held[moved] != keys[moved]) & (held[moved] >= 0)]
+        hit = held == keys
+        return np.where(hit, self.places[at], NEVER), self.joined[at]
+
+    def merge_many(self, cuts: list[str], width: int) -> list[bytes]:
+        """Ids of cuts of `width` characters at most, merged together."""
+        n = len(cuts)
+        lengths = np.fromiter(map(len, cuts), np.int64, n)
+        chars = np.frombuffer("".join(cuts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        first = np.cumsum(lengths) - lengths
+        row = np.repeat(np.arange(n), lengths)
+        # A place more than the width stands for the end of every row.
+        symbols = np.full((n, width + 1), -1, np.int32)
+        symbols[row, np.arange(len(chars)) - np.repeat(first, lengths)] = self.char[chars]
+        odd = np.zeros(n, bool)
+        odd[row[self.char[chars] < 0]] = True
+        after = np.tile(np.arange(1, width + 2, dtype=np.int64), (n, 1))
+        after = np.where(after >= lengths[:, None], width, after)
+        before = np.tile(np.arange(-1, width, dtype=np.int64), (n, 1))
+        places = np.full((n, width + 1), NEVER, np.int32)
+        joined = np.zeros((n, width + 1), np.int32)
+        r, c = np.nonzero((symbols[:, :-1] >= 0) & (symbols[:, 1:] >= 0))
+        places[r, c], joined[r, c] = self._pair(symbols[r, c], symbols[r, c + 1])
+        there = np.arange(width + 1) < lengths[:, None]
+        rows = np.flatnonzero(~odd)
+        while len(rows):
+            i = places[rows].argmin(1)
+            more = places[rows, i] != NEVER
+            rows, i = rows[more], i[more]
+            if not len(rows):
+                break
+            j = after[rows, i]
+            symbols[rows, i] = joined[rows, i]
+            there[rows, j], places[rows, j] = False, NEVER
+            k = after[rows, j]
+            after[rows, i] = k
+            places[rows, i] = NEVER
+            on = k < width
+            rk, ik, kk = rows[on], i[on], k[on]
+            before[rk, kk] = ik
+            places[rk, ik], joined[rk, ik] = self._pair(symbols[rk, ik], symbols[rk, kk])
+            h = before[rows, i]
+            on = h >= 0
+            rh, ih, hh = rows[on], i[on], h[on]
+            places[rh, hh], joined[rh, hh] = self._pair(symbols[rh, hh], symbols[rh, ih])
+        found = self.symbol_id[symbols[there]]
+        odd[np.nonzero(there)[0][found < 0]] = True
+        packed, start, out = found.astype("<u4").tobytes(), 0, []
+        for end in (4 * np.cumsum(there.sum(1))).tolist():
+            out.append(packed[start:end])
+            start = end
+        # Characters outside the vocabulary fall back to bytes, whose number differs.
+        for k in np.flatnonzero(odd).tolist():
+            out[k] = pack(self.merge(cuts[k]))
+        return out
+
+    def learn(self, cuts: list[str]) -> None:
+        """Put the ids of new cuts into `known`; the library must agree on each."""
+        by_width: dict[int, list[str]] = {}
+        for cut in cuts:
+            by_width.setdefault(next((w for w in WIDTHS if len(cut) <= w), 0), []).append(cut)
+        for width, own in by_width.items():
+            found = self.merge_many(own, width) if width else [pack(self.merge(c)) for c in own]
+            self.known.update(zip(own, found, strict=True))
+            if self.checked:
+                # The library puts the leading mark before a text itself, but not before an empty one.
+                there = self.library.encode([c[1:].replace(MARK, " ") for c in own], num_threads=1)
+                there = [x if len(c) > 1 else [self.rank[c][1]] if c in self.rank else x for x, c in zip(there, own, strict=True)] if MARK in own else there
+                counts = np.fromiter(map(len, there), np.int64, len(own))
+                if not np.array_equal(np.fromiter(chain.from_iterable(there), "<u4", int(counts.sum())), np.frombuffer(b"".join(found), "<u4")):
+                    raise ValueError("ids of a cut differ from the library's: " + next(repr(c) for c, x, y in zip(own, there, found, strict=True) if pack(x) != y))
+
+    def encode_packed(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts with begin and end ids, as bytes."""
+        escaped = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+        parts = [self.cuts.findall(t) if self.cuts else [t] * bool(t) for t in escaped]
+        fresh = set().union(*parts).difference(self.known)
+        for cut in fresh & self.older.keys():
+            self.known[cut] = self.older[cut]
+        self.learn(list(fresh.difference(self.known)))
+        get, begin, end = self.known.__getitem__, pack([self.begin]), pack([self.end])
+        out = [begin + b"".join(map(get, cuts)) + end for cuts in parts]
+        for cut in fresh:
+            if len(cut) > LONGEST:
+                del self.known[cut]
+        if len(self.known) > MEMORY // 2:
+            self.known, self.older = {}, self.known
+        return out
+
+    def encode_many(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts with begin and end ids."""
+        return [np.frombuffer(x, "<u4").tolist() for x in self.encode_packed(texts)]
+
     def encode(self, text: str) -> list[int]:
-        """Ids of a text with begin and end ids."""
-        ids = [self.begin]
-        if text:
-            escaped = MARK + text.replace(" ", MARK)
-            known = self.known
-            for cut in self.cuts.findall(escaped) if self.cuts else [escaped]:
-                got = known.get(cut)
-                if got is None:
-                    got = self.merge(cut)
-                    if len(cut) <= MEMORY_CHARS:
-                        if len(known) >= MEMORY:
-                            known.clear()
-                        known[cut] = got
-                ids += got
-        ids.append(self.end)
-        return ids
-
-    def decode(self, ids: list[int]) -> str:
+        return self.encode_many([text])[0]
+
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text of ids: the space of the leading mark goes, runs of byte pieces are read as UTF-8 and their bad bytes replaced."""
-        first = next((k for k, i in enumerate(ids) if not self.is_control[i]), len(ids))
-        surface = self.surface
-        raw = b"".join([surface[i] for i in ids])
-        if first < len(ids) and not self.is_byte[ids[first]] and surface[ids[first]].startswith(b" ") and ids[first] != self.unknown:
-            raw = raw[1:]
-        return raw.decode(errors="each-byte")
+        ids, parts, start = np.asarray(ids, np.int64), [], 0
+        # A control id ends a run of byte pieces.
+        for k in [*np.flatnonzero(self.is_control[ids]).tolist(), len(ids)]:
+            if k > start:
+                raw = b"".join(map(self.surface.__getitem__, ids[start:k].tolist()))
+                if not parts and raw.startswith(b" ") and not self.is_byte[ids[start]] and ids[start] != self.unknown:
+                    raw = raw[1:]
+                parts.append(raw.decode(errors="each-byte"))
+            start = k + 1
+        return "".join(parts)
 
 
-codecs.register_error("each-byte", lambda e: ("\ufffd", e.start + 1))
+def pack(ids) -> bytes:
+    return np.array(ids, "<u4").tobytes()
 
 
-def codec(model: bytes) -> Codec:
-    """The worker's codec of this model: kept between tasks, as its memory is."""
-    held = sys.__dict__.setdefault("_logloom_codecs", {})
-    key = hashlib.sha256(model).digest()
-    if key not in held:
-        held.clear()
-        held[key] = Codec(model)
-    return held[key]
+codecs.register_error("each-byte", lambda e: ("\ufffd", e.start + 1))
 
 
-def _coded(model: bytes, checked: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model)
+def _coded(model: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[str]]]:
+        own = Codec(model)
         for batch in batches:
-            for part in slices(batch, "text"):
+            left = CHECKED_TEXTS
+            for part in slices(batch, "text", SLICE):
                 texts = part.column("text").to_pylist()
-                ids = [own.encode(t) for t in texts]
+                packed = own.encode_packed(texts)
+                ids = [np.frombuffer(x, "<u4") for x in packed]
                 decoded = [own.decode(x) for x in ids]
-                if checked:
-                    if (ids_too := own.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)) != ids:
-                        at = next(k for k, (x, y) in enumerate(zip(ids, ids_too, strict=True)) if x != y)
-                        raise ValueError(f"ids differ from the library's for id {part.column('id')[at]}")
-                    if (texts_too := own.library.decode(ids, num_threads=1)) != decoded:
-                        at = next(k for k, (x, y) in enumerate(zip(decoded, texts_too, strict=True)) if x != y)
-                        raise ValueError(f"decoded text differs from the library's for id {part.column('id')[at]}")
-                yield part, ids, decoded
+                if left > 0:
+                    some = own.library.encode(texts[:left], add_bos=True, add_eos=True, num_threads=1)
+                    for k, (x, text) in enumerate(zip(some, own.library.decode(some, num_threads=1), strict=True)):
+                        if pack(x) != packed[k] or text != decoded[k]:
+                            raise ValueError(f"ids or decoded text differ from the library's for id {part.column('id')[k]}")
+                    left -= len(some)
+                yield part, packed, decoded
+        # A worker lives on after its task.
+        own.known, own.older = {}, {}
+        give_back()
 
     return run
 
 
-def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", checked: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids, decoded) of every row: its ids with begin and end, and what they decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ids, decoded in _coded(model, checked)(batches):
-            cuts = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-            flat = np.fromiter((i for x in ids for i in x), np.int32, int(cuts[-1]))
+        for part, ids, decoded in _coded(model)(batches):
+            cuts = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
+            flat = np.frombuffer(b"".join(ids), "<i4")
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat)), pa.array(decoded, pa.string())], names=["id", "ids", "decoded"])
 
     return _texts(docs, id_col, text_col).mapInArrow(run, SCHEMA).withColumnRenamed("id", id_col)
 
 
-def encode_digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", checked: bool = True) -> DataFrame:
+def encode_digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every row, without shipping ids and texts out of the workers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ids, decoded in _coded(model, checked)(batches):
+        for part, ids, decoded in _coded(model)(batches):
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("id"),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for x in ids], pa.string()),
+                    pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
                     pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string()),
                 ],
                 names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
