@@ -34,6 +34,8 @@ from .graph import components
 from .shared import Scratch, few, give_back, slices, text_buffers
 from .textkernel import mix, shingle_sets, sums
 
+#: Text bytes that are cut into shingles at once.
+SLICE = 1 << 19
 #: Text bytes over which a worker counts columns to find frequent ones, the count there that reports a column, and in all.
 COUNT_BYTES, COUNT_LEAST, FREQUENT_LEAST = 32 << 20, 2, 8
 #: Columns known as frequent at most (they only set the order, so any number gives the same pairs). 2 x 8 bytes each.
@@ -90,15 +92,15 @@ def _describe(rule: Jaccard):
             counts = np.diff(np.append(first, len(every)))
             often = counts >= COUNT_LEAST
             none = pa.nulls(int(often.sum()), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(every[first[often]].view(np.int64)), pa.array(counts[often])], names=["id", "n", "s1", "s2", "column", "count"])
+            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(every[first[often]].astype(np.int64)), pa.array(counts[often])], names=["id", "n", "s1", "s2", "column", "count"])
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 values, bounds = _sets(part, rule.width)
                 s1, s2 = _ids(values, bounds)
                 none = pa.nulls(part.num_rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(bounds)), pa.array(s1), pa.array(s2), none, none], names=["id", "n", "s1", "s2", "column", "count"])
-                held.append(values)
+                held.append((values >> np.uint64(32)).astype(np.uint32))
                 size += part.column("text").nbytes
                 if size >= COUNT_BYTES:
                     yield frequent()
@@ -115,15 +117,16 @@ def _prefixes(rule: Jaccard, hot: np.ndarray, often: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 values, bounds = _sets(part, rule.width)
                 s1, s2 = _ids(values, bounds)
                 n = np.diff(bounds)
                 owner = np.repeat(np.arange(len(n)), n)
                 rank = np.zeros(len(values), np.int64)
                 if len(hot) and len(values):
-                    at = np.minimum(np.searchsorted(hot, values), len(hot) - 1)
-                    rank = np.where(hot[at] == values, often[at], 0)
+                    upper = (values >> np.uint64(32)).astype(np.uint32)
+                    at = np.minimum(np.searchsorted(hot, upper), len(hot) - 1)
+                    rank = np.where(hot[at] == upper, often[at], 0)
                 order = np.lexsort((values, rank, owner))
                 place = np.arange(len(values)) - np.repeat(bounds[:-1], n)
                 take = place < np.repeat(np.where(n > 0, rule.prefix(n), 0), n)
@@ -153,7 +156,7 @@ def unpacked(data) -> np.ndarray:
 def _whole_sets(rule: Jaccard):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 values, bounds = _sets(part, rule.width)
                 sets = [packed(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], names=["id", "values"])
@@ -228,10 +231,11 @@ def jaccard_components(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str =
     known = rows.where("id IS NOT NULL AND n > 0")
     classes = known.groupBy("s1", "s2").agg(F.min("id").alias("id"))
 
-    # The frequent columns: at most FREQUENT_MOST, so small enough for every task.
+    # The frequent columns by the upper half of their hashes (a clash only moves a column in the order): at most
+    # FREQUENT_MOST, so small enough for every task.
     counts = described.where("column IS NOT NULL").groupBy("column").agg(F.sum("count").alias("count")).where(F.col("count") >= FREQUENT_LEAST)
     top = counts.orderBy(F.desc("count"), "column").limit(FREQUENT_MOST).toPandas()
-    hot, often = top["column"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
+    hot, often = top["column"].to_numpy(np.uint32), top["count"].to_numpy(np.int64)
     by_hash = np.argsort(hot)
     hot, often = hot[by_hash], often[by_hash]
 
