@@ -118,6 +118,22 @@ def test_nn_descent_against_brute_force(spark):
     assert near_duplicates(frame.limit(0)).count() == 0
 
 
+def two_groups(members=200, others=400, dim=64):
+    """Two groups of closest copies at a cosine of 0.985 from each other, among other vectors of the label."""
+    r = np.random.default_rng(7)
+    a, b = np.linalg.qr(r.normal(size=(dim, 2)))[0].T
+    b = 0.985 * a + np.sqrt(1 - 0.985**2) * b
+    near = np.concatenate([c + r.normal(size=(members, dim)) * 1e-4 for c in (a, b)])
+    every = np.concatenate([near, r.normal(size=(others, dim))])
+    return [(i, v.tolist(), 0) for i, v in enumerate(every)]
+
+
+def test_groups_stay_together_when_closer_copies_fill_the_lists(spark):
+    frame = spark.createDataFrame(two_groups(), "vec_id long, embedding array<double>, label int")
+    found = near_duplicates(frame).where("vec_id < 400").select("n_links", "component_id").distinct().collect()
+    assert [tuple(r) for r in found] == [(399, 0)]
+
+
 # 8
 
 
