@@ -134,6 +134,21 @@ def test_groups_stay_together_when_closer_copies_fill_the_lists(spark):
     assert [tuple(r) for r in found] == [(399, 0)]
 
 
+def test_lone_pairs_are_found_beside_a_large_group(spark):
+    r = np.random.default_rng(11)
+    one = r.normal(size=(600, 64))
+    one /= np.sqrt((one * one).sum(1))[:, None]
+    side = r.normal(size=one.shape)
+    side -= (side * one).sum(1)[:, None] * one
+    side /= np.sqrt((side * side).sum(1))[:, None]
+    group = r.normal(size=64) + r.normal(size=(500, 64)) * 1e-3
+    every = np.concatenate([one, 0.985 * one + np.sqrt(1 - 0.985**2) * side, r.normal(size=(9000, 64)), group])
+    frame = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(every)], "vec_id long, embedding array<double>, label int")
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_duplicates(frame).collect()}
+    assert [i for i in range(600) if found[i] != (1, i) or found[600 + i] != (1, i)] == []
+    assert {found[i] for i in range(10200, 10700)} == {(499, 10200)} and all(found[i] == (0, i) for i in range(1200, 10200))
+
+
 # 8
 
 
