@@ -139,15 +139,22 @@ def to_warc(record: ArcRecord, key: str = "", original: tuple[str, str] | None =
 
 
 class WarcStream:
-    """Takes bytes of WARC files as they come and gives (header, block) of each whole record."""
+    """Takes bytes of WARC files as they come and gives (header, block) of each whole record.
 
-    def __init__(self) -> None:
+    surplus: the empty lines that end a record may come twice, as no record begins with them.
+    """
+
+    def __init__(self, surplus: bool = False) -> None:
         self.held = bytearray()
+        self.surplus, self.ended = surplus, False
 
     def feed(self, data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         self.held += data
         at = 0
         while (cut := self.held.find(END, at)) >= 0:
+            if cut == at and self.surplus and self.ended:
+                at, self.ended = at + 4, False
+                continue
             head = bytes(self.held[at:cut]).decode("utf-8", "surrogateescape").split("\r\n")
             if not head[0].startswith("WARC/"):
                 raise ValueError(f"no WARC record: {head[0][:40]!r}")
@@ -156,7 +163,7 @@ class WarcStream:
             if len(self.held) < stop + 4:
                 break
             yield fields, bytes(self.held[cut + 4 : stop])
-            at = stop + 4
+            at, self.ended = stop + 4, True
         del self.held[:at]
 
 
@@ -198,7 +205,8 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = "2024
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    stream = WarcStream()
+    # A file whose last block ends in CRLF is split within its end: what is left, CRLF, comes as a piece of its own.
+    stream = WarcStream(surplus=True)
     for batch in batches:
         rows = []
         for piece in batch.column("value"):

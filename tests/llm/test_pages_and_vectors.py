@@ -64,6 +64,14 @@ def test_round_trip(spark):
     assert warc.round_trip(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("end", ["\r\n", "\r\n" * 2, "\r\n" * 3, "\r", "\n", "\r\n\r"])
+def test_round_trip_of_files_that_end_in_line_ends(spark, end):
+    pages = spark.createDataFrame([(i, "http://a", f"<p>{i}</p>{end}") for i in range(12)], "page_id long, url string, html string")
+    for n in (1, 12):
+        found = {r["page_id"]: r["payload_bytes"] for r in warc.round_trip(pages.limit(n)).collect()}
+        assert found == {i: len(f"<p>{i}</p>{end}") for i in range(n)}
+
+
 # 6
 
 
