@@ -5,15 +5,16 @@ k-th block (from 1) of a source of weight w is released at floor((k - 1) / w) an
 released block with the earliest deadline goes next. The weights of the sources sum to 1, so every block meets its
 deadline, and at any time each source is less than one block away from its target.
 
-Weights are whole parts of PARTS, so the schedule repeats after PARTS slots: one period is worked out, and the slot of
-every block follows from its number by arithmetic. When a source has no block left, a new phase begins in which the
-others share its part in proportion; there are at most as many phases as sources. No row is dropped or repeated.
+Weights are exact fractions (of their decimal form), so nothing drifts however many blocks there are: the driver deals
+out block after block, in whole numbers, and the slots come back as a table of one row for each block. When a source
+has no block left, a new phase begins in which the others share its part in proportion; there are at most as many
+phases as sources. No row is dropped or repeated.
 
 Places in a source come from a count for each bucket of the hash and a row number within the bucket, so that a source
 with most of the rows is dealt over many tasks.
 
 Defined results: a null source is a source of its own, and so is an empty one; a source without a given weight gets the
-mean of the given ones; a weight that is not positive counts as the smallest share (1 of PARTS), as do smaller ones; rows that
+mean of the given ones; a weight that is not positive counts as 1 of PARTS of the sum of the others (as 1 if there are none); rows that
 repeat an id have places of their own, in no defined order among equal rows; a null id counts as an empty one; clashing column names
 are kept from the input (the schedule's columns are prefixed with `mix_`).
 """
@@ -22,14 +23,19 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Mapping
+from fractions import Fraction
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block, parts into which weights are rounded, and hexadecimal digits of a bucket of the order.
-BLOCK_ROWS, PARTS, BUCKET_DIGITS = 64, 1000, 3
+from .shared import BROADCAST_ROWS
 
-Phase = tuple[int, dict[str, int], dict[str, int]]
+#: Rows of a block, parts of which a source without a positive weight gets one, and hexadecimal digits of a bucket of the order.
+BLOCK_ROWS, PARTS, BUCKET_DIGITS = 64, 1000, 3
+#: The largest deadline that is told apart.
+LATEST = 1 << 62
 
 
 def shares(weights: Mapping[str, float], parts: int = PARTS) -> dict[str, int]:
@@ -51,47 +57,44 @@ def windows(k: int, part: int, parts: int) -> tuple[int, int]:
     return (k - 1) * parts // part, -(-k * parts // part)
 
 
-def period(parts: Mapping[str, int]) -> list[str]:
-    """The source of each slot of one period: of the released blocks the one due first."""
-    total = sum(parts.values())
-    waiting = [(windows(1, p, total)[0], windows(1, p, total)[1], name, 1) for name, p in sorted(parts.items())]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    slots = []
-    for slot in range(total):
-        while waiting and waiting[0][0] <= slot:
-            _, due, name, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (due, name, k))
-        due, name, k = heapq.heappop(ready)
-        if due <= slot:
-            raise AssertionError(f"block {k} of {name} missed its deadline {due}")
-        slots.append(name)
-        if k < parts[name]:
-            heapq.heappush(waiting, (*windows(k + 1, parts[name], total), name, k + 1))
-    return slots
-
-
-def phases(blocks: Mapping[str, int], weights: Mapping[str, float], parts: int = PARTS) -> list[Phase]:
-    """Each phase: its first slot, its parts, and how many blocks each of its sources had before it."""
+def exact(weights: Mapping[str, float], parts: int = PARTS) -> dict[str, int]:
+    """Whole numbers in exactly the proportion of the weights."""
+    given = {n: max(Fraction(str(w)), Fraction(0)) for n, w in weights.items()}
+    least = sum(given.values(), Fraction(0)) / parts or Fraction(1)
+    given = {n: w or least for n, w in given.items()}
+    whole = lcm(*(w.denominator for w in given.values()))
+    return {n: int(w * whole) for n, w in given.items()}
+
+
+def schedule(blocks: Mapping[str, int], weights: Mapping[str, float], parts: int = PARTS) -> dict[str, list]:
+    """Columns of one row for each block, in the order of slots: of the released blocks the one due first has the next slot."""
+    own = exact(weights, parts)
     done = {n: 0 for n in blocks}
-    found, start = [], 0
-    while left := {n for n in blocks if done[n] < blocks[n]}:
-        own = shares({n: weights[n] for n in left}, parts)
-        slots = period(own)
-        total = len(slots)
-        found.append((start, own, {n: done[n] for n in left}))
+    out: dict[str, list] = {c: [] for c in ("mix_source", "mix_block", "mix_release", "mix_due", "mix_phase", "mix_slot")}
+    add = [c.append for c in out.values()]
+    start = phase = 0
+    while left := sorted(n for n in blocks if done[n] < blocks[n]):
+        total = sum(own[n] for n in left)
+        waiting = [(*windows(1, own[n], total), n, 1) for n in left]
+        heapq.heapify(waiting)
+        ready: list[tuple[int, str, int, int]] = []
+        slot, ended = 0, False
         # The phase ends with the slot of the last block of the source that is used up first.
-        ends = {}
-        for n in left:
-            last = blocks[n] - done[n] - 1
-            places = [i for i, m in enumerate(slots) if m == n]
-            ends[n] = last // own[n] * total + places[last % own[n]] + 1
-        length = min(ends.values())
-        whole, rest = divmod(length, total)
-        for n in left:
-            done[n] += whole * own[n] + sum(m == n for m in slots[:rest])
-        start += length
-    return found
+        while not ended:
+            while waiting and waiting[0][0] <= slot:
+                release, due, name, k = heapq.heappop(waiting)
+                heapq.heappush(ready, (due, name, k, release))
+            due, name, k, release = heapq.heappop(ready)
+            if due <= slot:
+                raise AssertionError(f"block {k} of {name} missed its deadline {due}")
+            for put, value in zip(add, (name, done[name], release, min(due, LATEST), phase, start + slot), strict=True):
+                put(value)
+            done[name] += 1
+            slot += 1
+            ended = done[name] == blocks[name]
+            heapq.heappush(waiting, (*windows(k + 1, own[name], total), name, k + 1))
+        start, phase = start + slot, phase + 1
+    return out
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.5, block_rows: int = BLOCK_ROWS, parts: int = PARTS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -109,44 +112,20 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: floa
     given = {("\0null" if n is None else n): float(w) for n, w in (weights or {}).items()}
     mean = sum(given.values()) / len(given) if given else 1.0
     wanted = {n: given.get(n, mean) if given else size**power for n, size in sizes.items()}
-    plan = phases({n: -(-size // block_rows) for n, size in sizes.items()}, wanted, parts)
-    # Slots of a period: at most PARTS rows for each phase.
-    slots = [(p, name, k, place) for p, (_, own, _) in enumerate(plan) for name, places in _places(own).items() for k, place in enumerate(places)]
-    spark = docs.sparkSession
-    slot_table = spark.createDataFrame(slots, "mix_phase int, mix_source string, mix_at long, mix_place_in_period long")
-    starts = [(p, name, start, sum(own.values()), own[name], done[name], _next(plan, p, name)) for p, (start, own, done) in enumerate(plan) for name in own]
-    start_table = spark.createDataFrame(starts, "mix_phase int, mix_source string, mix_start long, mix_total long, mix_part long, mix_done long, mix_until long")
+    slots = schedule({n: -(-size // block_rows) for n, size in sizes.items()}, wanted, parts)
+    types = {"mix_source": pa.string(), "mix_phase": pa.int32()}
+    slot_table = docs.sparkSession.createDataFrame(pa.table({c: pa.array(x, types.get(c, pa.int64())) for c, x in slots.items()}))
+    if len(slots["mix_slot"]) <= BROADCAST_ROWS:
+        slot_table = F.broadcast(slot_table)
 
     within = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_key", id_col)
     placed = rows.withColumn("mix_row", F.row_number().over(within)).join(offsets.drop("mix_n"), ["mix_source", "mix_bucket"])
     placed = placed.withColumn("mix_place", F.col("mix_before") + F.col("mix_row") - 1).withColumn("mix_block", F.floor(F.col("mix_place") / block_rows))
-    phase = (placed["mix_source"] == start_table["mix_source"]) & (F.col("mix_block") >= F.col("mix_done")) & (F.col("mix_block") < F.col("mix_until"))
-    placed = placed.join(F.broadcast(start_table), phase).drop(start_table["mix_source"])
-    number = F.col("mix_block") - F.col("mix_done")
-    placed = placed.withColumn("mix_at", number % F.col("mix_part")).join(F.broadcast(slot_table), ["mix_phase", "mix_source", "mix_at"])
-    placed = placed.withColumns(
-        {
-            "mix_slot": F.col("mix_start") + F.floor(number / F.col("mix_part")) * F.col("mix_total") + F.col("mix_place_in_period"),
-            "mix_release": F.floor(number * F.col("mix_total") / F.col("mix_part")),
-            "mix_due": F.ceil((number + 1) * F.col("mix_total") / F.col("mix_part")),
-        }
-    )
+    placed = placed.join(slot_table, ["mix_source", "mix_block"])
     source = F.when(F.col("mix_source") != "\0null", F.col("mix_source")).alias("mix_source")
     return placed.select(*[placed[c] for c in docs.columns], source, "mix_place", "mix_block", "mix_release", "mix_due", "mix_phase", "mix_slot")
 
 
-def _places(own: Mapping[str, int]) -> dict[str, list[int]]:
-    found: dict[str, list[int]] = {n: [] for n in own}
-    for i, n in enumerate(period(own)):
-        found[n].append(i)
-    return found
-
-
-def _next(plan: list[Phase], p: int, name: str) -> int:
-    """Blocks of the source that are done when phase p ends."""
-    return plan[p + 1][2].get(name, 1 << 62) if p + 1 < len(plan) else 1 << 62
-
-
 def in_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The rows in their mixed order: files written from it hold the slots one after another."""
     return mixed.repartitionByRange(F.col("mix_slot"), F.col("mix_place")).sortWithinPartitions("mix_slot", "mix_place").select(*columns)

@@ -101,6 +101,19 @@ def test_mixing_follows_the_schedule(spark):
     assert ordered.count() == 3000 and ordered.columns == ["doc_id", "source"]
 
 
+def test_mixing_stays_within_a_block_of_exact_weights():
+    weights = {str(i): 45.29 if i == 0 else (1000 - 45.29) / 19 for i in range(20)}
+    found = mixing.schedule({n: 20_000 for n in weights}, weights)
+    of = [n for n, p in zip(found["mix_source"], found["mix_phase"], strict=True) if p == 0]
+    seen, share = Counter(), {n: w / sum(weights.values()) for n, w in weights.items()}
+    for t, name in enumerate(of, 1):
+        seen[name] += 1
+        assert abs(seen[name] - share[name] * t) < 1
+    assert len(of) > 100_000 and all(abs(seen[n] - w * len(of)) < 1 for n, w in share.items())
+    many = mixing.schedule({str(i): 10 for i in range(1200)}, {str(i): 1.0 + (i == 7) for i in range(1200)})
+    assert many["mix_source"][:1201].count("7") == 2
+
+
 def test_mixing_odd_rows(spark, odd_docs, no_docs):
     assert mixing.mix(odd_docs).count() == odd_docs.count() and mixing.mix(no_docs).count() == 0
     assert mixing.mix(odd_docs, {"a": 1.0, "nowhere": 2.0, "b": -1}).count() == odd_docs.count()
