@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.llm import language_id, mixing, pii, secrets, toxicity
+from logloom.llm import language_id, mixing, pii, secrets, sentencepiece_codec, toxicity
 from logloom.llm.graph import components
 from logloom.llm.ngram_join import Jaccard, jaccard_components
 from logloom.llm.queries import piece_model
@@ -341,3 +341,11 @@ def test_token_queries(spark, odd_docs, no_docs, coder):
     assert digests[2]["n_tokens"] == digests[3]["n_tokens"] == 2 and digests[3]["decoded_sha256"] == hashlib.sha256(b"").hexdigest()
     for r in found.where("doc_id = 7").collect():
         assert r["decoded"] == "12345 !!! 😀" and digests[7]["ids_sha256"] == hashlib.sha256(np.array(r["ids"], "<u4").tobytes()).hexdigest()
+
+
+def test_decoded_texts_after_the_first_of_a_batch_are_checked(monkeypatch):
+    own = Codec.decode
+    monkeypatch.setattr(Codec, "decode", lambda self, ids: own(self, ids).replace("last", "lost"))
+    batch = pa.RecordBatch.from_pydict({"id": list(range(151)), "text": ["a text"] * 150 + ["the last"]})
+    with pytest.raises(ValueError, match="id 150"):
+        list(sentencepiece_codec._coded(piece_model())([batch]))
