@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, in_workers
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -34,15 +34,25 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"v": pa.array(some, pa.int64()), "r": pa.array([root(x) for x in some], pa.int64())})
 
 
-def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 40) -> DataFrame:
+#: Rows of stars (two numbers each) that one task may hold, once they have been counted.
+ONE_TASK = 1 << 20
+
+
+def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 40, one_task: int = ONE_TASK) -> DataFrame:
     """(node, component) of every node of edges (a, b): component is the smallest node it is linked with, directly or not.
 
     Each round contracts the edges of every partition to a forest of stars, then points each node and all its
-    roots at the root of the smallest of them, which halves the height of what is left. It ends when each node has one root and no root has another.
-    No edge list leaves the executors.
+    roots at the root of the smallest of them, which halves the height of what is left. It ends when each node has one
+    root and no root has another, or when what is left is counted to be small enough for one task, whose forest is
+    the answer. No edge list leaves the executors.
     """
-    stars = scratch.keep(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a != b").mapInArrow(_forest, "v long, r long"), f"{name}-0")
+    schema = "v long, r long"
+    stars = scratch.keep(in_workers(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a != b"), _forest, schema), f"{name}-0")
     for k in range(1, rounds):
+        if stars.count() <= one_task:
+            whole = stars.select(F.col("v").alias("a"), F.col("r").alias("b")).coalesce(1)
+            stars = scratch.keep(in_workers(whole, _forest, schema), f"{name}-{k}")
+            break
         least = stars.groupBy("v").agg(F.min("r").alias("m"), F.count_distinct("r").alias("n"))
         if not least.where("n > 1").limit(1).count() and not stars.join(stars.select(F.col("v").alias("r")), "r", "left_semi").limit(1).count():
             break
@@ -51,7 +61,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 40)
         least = least.join(above, "m", "left").select("v", F.coalesce("above", "m").alias("m"))
         joined = stars.join(least, "v")
         linked = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).union(joined.select(F.col("r").alias("a"), F.col("m").alias("b")))
-        stars = scratch.keep(linked.where("a != b").distinct().mapInArrow(_forest, "v long, r long"), f"{name}-{k}")
+        stars = scratch.keep(in_workers(linked.where("a != b").distinct(), _forest, schema), f"{name}-{k}")
         scratch.drop(f"{name}-{k - 1}")
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")

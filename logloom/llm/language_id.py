@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices
+from .shared import in_workers, slices
 from .textkernel import BASE, mix
 
 UND = "und"
@@ -212,7 +212,7 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     k = len(languages)
     share = min(1.0, fit_rows / max(rows, 1))
     chosen = labelled.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).select(F.coalesce("text", F.lit("")).alias("text"), "lang")
-    counts = chosen.mapInArrow(_fit_counts(languages), "kind long, k long, lang long, count double").groupBy("kind", "k", "lang").agg(F.sum("count").alias("count")).toPandas()
+    counts = chosen.transform(in_workers, _fit_counts(languages), "kind long, k long, lang long, count double").groupBy("kind", "k", "lang").agg(F.sum("count").alias("count")).toPandas()
     tables = []
     for kind, size in enumerate((1 << GRAM_BITS, 1 << WORD_BITS, len(NAMES))):
         table, some = np.zeros((size, k)), counts[counts["kind"] == kind]
@@ -262,7 +262,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     schema = "id long, lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans
     texts = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    return texts.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return texts.transform(in_workers, run, schema).withColumnRenamed("id", id_col)
 
 
 def fold(id_col: Column, folds: int) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import Scratch, few, give_back, slices, text_buffers
+from .shared import Scratch, few, give_back, in_workers, slices, text_buffers
 from .textkernel import mix, shingle_sets, sums
 
 #: Text bytes that are cut into shingles at once.
@@ -226,7 +226,7 @@ def jaccard_components(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str =
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
     texts = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    described = scratch.keep(texts.mapInArrow(_describe(rule), SET_SCHEMA), "described")
+    described = scratch.keep(texts.transform(in_workers, _describe(rule), SET_SCHEMA), "described")
     rows = described.where("column IS NULL").select("id", "n", "s1", "s2")
     known = rows.where("id IS NOT NULL AND n > 0")
     classes = known.groupBy("s1", "s2").agg(F.min("id").alias("id"))
@@ -240,7 +240,7 @@ def jaccard_components(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str =
     hot, often = hot[by_hash], often[by_hash]
 
     # One row for each class: its first columns. An entry of the index is what one row has in one column.
-    prefixes = texts.where("id IS NOT NULL").mapInArrow(_prefixes(rule, hot, often), "id long, s1 long, s2 long, n long, columns array<long>, parts array<int>")
+    prefixes = texts.where("id IS NOT NULL").transform(in_workers, _prefixes(rule, hot, often), "id long, s1 long, s2 long, n long, columns array<long>, parts array<int>")
     index = prefixes.join(classes, ["id", "s1", "s2"], "left_semi").select("id", "n", F.posexplode(F.arrays_zip("columns", "parts")).alias("place", "e"))
     # Size and place in one number: what is shuffled here is the largest table of all.
     index = index.select("id", "e.columns", F.col("e.parts").cast("long").alias("part"), (F.shiftleft("n", 32) + F.col("place")).alias("np")).withColumnRenamed("columns", "column")
@@ -298,10 +298,10 @@ def _open(live: DataFrame, linked: DataFrame) -> DataFrame:
 def _linked(texts: DataFrame, pairs: DataFrame, rule: Jaccard, scratch: Scratch, name: str) -> DataFrame:
     """The pairs (a, b) that have the similarity."""
     needed = scratch.keep(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), name)
-    sets = texts.join(few(needed), "id", "left_semi").mapInArrow(_whole_sets(rule), "id long, values binary")
+    sets = texts.join(few(needed), "id", "left_semi").transform(in_workers, _whole_sets(rule), "id long, values binary")
     x = sets.select(F.col("id").alias("a"), F.col("values").alias("x"))
     y = sets.select(F.col("id").alias("b"), F.col("values").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(rule), "a long, b long").distinct()
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").transform(in_workers, _verify(rule), "a long, b long").distinct()
 
 
 def _across(live: DataFrame, rule: Jaccard) -> DataFrame:
@@ -310,4 +310,4 @@ def _across(live: DataFrame, rule: Jaccard) -> DataFrame:
     listed = F.collect_list(F.struct("id", "n", "place", "component"))
     every = entries.groupBy("column", "tile").agg(listed.alias("ys"))
     minor = entries.where("component <> major").groupBy("column", F.col("tile").alias("other")).agg(listed.alias("xs"))
-    return minor.join(every, "column").select("xs", "ys").mapInArrow(_tile(rule), "a long, b long").distinct()
+    return minor.join(every, "column").select("xs", "ys").transform(in_workers, _tile(rule), "a long, b long").distinct()

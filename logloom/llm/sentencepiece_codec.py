@@ -4,15 +4,15 @@ A text is escaped (a leading mark, marks for spaces) and starts as one symbol fo
 adjacent pairs whose union is a piece, best score first, ties leftmost; the best pair is merged and its new
 neighbours join the agenda until none is left. Symbols outside the vocabulary fall back to byte pieces.
 
-No piece holds a mark after another character, so merges never cross the place before a run of marks. Texts are cut
-there and each distinct cut is merged once and remembered (a bounded memory for each task; it changes no result).
-A vocabulary without this property is merged over whole texts.
+Two neighbours that no piece holds side by side are never merged, nor anything across them. Texts are cut at all such
+places, which leaves merges and their order as they are, and each distinct cut is merged once and remembered (a bounded
+memory for each task, by a 64-bit hash).
 
 Short cuts go through the agenda together: one row of a matrix for each cut holds the scores of its adjacent pairs, and
 each step takes the best pair of every row. Long ones have a heap of their own. Both give the same ids.
 
-The sentencepiece library checks it in each Arrow batch: every distinct cut as it is merged, the decoded text of all
-ids of every text, and the ids of the first texts of the batch whole; a difference is an error.
+The sentencepiece library checks all of it in the same Arrow batch: the ids of every whole text, and the decoded text of all
+ids of every text; a difference is an error.
 Defined results: a null text counts as empty; an empty text has only the begin and end ids and decodes to "";
 repeated rows and null ids are returned as they are; other columns are ignored whatever their names.
 """
@@ -22,9 +22,8 @@ from __future__ import annotations
 import codecs
 import hashlib
 import heapq
-import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -32,13 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import give_back, slices
+from .shared import give_back, in_workers, slices
+from .textkernel import BASE, mix
 
 MARK = "▁"
-#: Cuts that a task remembers at most, in two generations; the longest cut that goes into a matrix, by width.
-MEMORY, WIDTHS, LONGEST = 200_000, (8, 12, 20, 32), 256
-#: Texts of an Arrow batch that the library encodes whole.
-CHECKED_TEXTS = 100
+#: Cuts that a task remembers at most; the longest cut that is remembered; widths of the matrices.
+MEMORY, LONGEST, WIDTHS = 200_000, 256, (8, 12, 20, 32)
 #: Text bytes that are coded at once.
 SLICE = 1 << 19
 NEVER = np.iinfo(np.int32).max
@@ -46,15 +44,45 @@ NEVER = np.iinfo(np.int32).max
 SCHEMA = "id long, ids array<int>, decoded string"
 
 
+class Table:
+    """Row numbers by 64-bit key: open addressing, all keys of a call together. Empty places hold row -1."""
+
+    def __init__(self, room: int):
+        self.slots = 1 << max(4, int(np.ceil(np.log2(max(room, 1) * 2.5))))
+        self.keys, self.rows = np.zeros(self.slots, np.uint64), np.full(self.slots, -1, np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * BASE) >> np.uint64(32)).astype(np.int64) & (self.slots - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key; -1 where there is none."""
+        at = self._slot(keys)
+        rows = self.rows[at]
+        moved = np.flatnonzero((rows >= 0) & (self.keys[at] != keys))
+        while len(moved):
+            at[moved] = on = (at[moved] + 1) & (self.slots - 1)
+            rows[moved] = self.rows[on]
+            moved = moved[(rows[moved] >= 0) & (self.keys[on] != keys[moved])]
+        return rows
+
+    def add(self, keys: np.ndarray, rows: np.ndarray) -> None:
+        """Put in distinct keys that are not there yet."""
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            # Of those that ask for one free place, one gets it.
+            free = left[self.rows[at[left]] < 0]
+            self.rows[at[free]] = rows[free]
+            won = free[self.rows[at[free]] == rows[free]]
+            self.keys[at[won]] = keys[won]
+            left = left[self.rows[at[left]] != rows[left]]
+            at[left] = (at[left] + 1) & (self.slots - 1)
+
+
 @dataclass
 class Codec:
     """Encoder and decoder of one vocabulary file (the bytes of a .model file of merge type)."""
 
     model: bytes
-    checked: bool = True
-    #: Ids of cuts, as the bytes of little-endian 32-bit integers.
-    known: dict[str, bytes] = field(default_factory=dict)
-    older: dict[str, bytes] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         import sentencepiece
@@ -66,12 +94,22 @@ class Codec:
         self.rank = {p: (-lib.get_score(i), i) for i, p in enumerate(pieces) if not special[i]}
         self.byte = {int(pieces[i][3:-1], 16): i for i in range(size) if lib.is_byte(i)}
         self.begin, self.end, self.unknown = lib.bos_id(), lib.eos_id(), lib.unk_id()
-        self.cuts = None if any(MARK in p.lstrip(MARK) for p in self.rank) else re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self._tabulate()
         # What each id decodes to, as bytes; bytes of byte pieces are put together before they are read.
-        self.surface = [b"" if lib.is_control(i) else " ⁇ ".encode() if lib.is_unknown(i) else bytes([int(p[3:-1], 16)]) if lib.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        surface = [b"" if lib.is_control(i) else " ⁇ ".encode() if lib.is_unknown(i) else bytes([int(p[3:-1], 16)]) if lib.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.surface, self.surfaces = surface, np.frombuffer(b"".join(surface), np.uint8)
+        self.surface_length = np.array([len(x) for x in surface], np.int64)
+        self.surface_at = np.cumsum(self.surface_length) - self.surface_length
         self.is_byte = np.array([lib.is_byte(i) for i in range(size)])
         self.is_control = np.array([lib.is_control(i) for i in range(size)])
+        self.forget()
+
+    def forget(self) -> None:
+        """Remember only two cuts: the begin id and the end id."""
+        self.known = Table(MEMORY)
+        self.ids = np.array([i for i in (self.begin, self.end) if i >= 0], np.int32)
+        self.lengths = np.array([self.begin >= 0, self.end >= 0], np.int64)
+        self.places = np.cumsum(self.lengths) - self.lengths
 
     def merge(self, text: str) -> tuple[int, ...]:
         """Ids of an escaped text, by the agenda."""
@@ -113,58 +151,52 @@ class Codec:
         return tuple(ids)
 
     def _tabulate(self) -> None:
-        """Pairs of symbols whose union is a piece, in a hash table: key, place in the order of scores, and the piece."""
+        """Pairs of symbols whose union is a piece, with their place in the order of scores; pairs of characters that some piece holds."""
         ordered = sorted(self.rank, key=lambda p: self.rank[p][0])
         place, last = {}, None
         for p in ordered:  # equal scores have equal places
             place[p] = len(place) if last is None or self.rank[p][0] != last[0] else last[1]
             last = (self.rank[p][0], place[p])
-        own = {p: i for i, p in enumerate(self.rank)}
+        # Characters come first.
+        own = {c: i for i, c in enumerate(dict.fromkeys("".join(self.rank)))}
+        self.n_chars = len(own)
         for p in self.rank:
-            for c in p:
-                own.setdefault(c, len(own))
-        self.symbol, self.n_symbols = own, len(own)
-        self.symbol_id = np.full(len(own), -1, np.int64)
+            own.setdefault(p, len(own))
+        self.n_symbols = len(own)
+        self.symbol_id = np.full(len(own), -1, np.int32)
         for p, i in own.items():
             if p in self.rank:
                 self.symbol_id[i] = self.rank[p][1]
         self.char = np.full(0x110000, -1, np.int32)
-        for p, i in own.items():
-            if len(p) == 1:
-                self.char[ord(p)] = i
+        self.char[[ord(c) for c in list(own)[: self.n_chars]]] = np.arange(self.n_chars)
         pairs = [(own[p[:k]] * self.n_symbols + own[p[k:]], place[p], own[p]) for p in self.rank for k in range(1, len(p)) if p[:k] in own and p[k:] in own]
-        keys, places, joined = (np.array(x, np.int64) for x in zip(*pairs, strict=True))
-        bits = max(4, int(np.ceil(np.log2(len(keys) * 4))))
-        self.slots = 1 << bits
-        self.keys, self.places, self.joined = np.full(self.slots, -1, np.int64), np.full(self.slots, NEVER, np.int32), np.zeros(self.slots, np.int32)
-        at, left = self._slot(keys), np.arange(len(keys))
-        while len(left):
-            # Of those that ask for one free slot, one gets it.
-            free = left[self.keys[at[left]] < 0]
-            self.keys[at[free]] = keys[free]
-            got = left[self.keys[at[left]] == keys[left]]
-            self.places[at[got]], self.joined[at[got]] = places[got], joined[got]
-            left = left[self.keys[at[left]] != keys[left]]
-            at[left] = (at[left] + 1) & (self.slots - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) & (self.slots - 1)
+        keys, self.pair_place, self.pair_joined = (np.array(x, kind) for x, kind in zip(zip(*pairs, strict=True), (np.uint64, np.int32, np.int32), strict=True))
+        self.pair_table = Table(len(keys))
+        self.pair_table.add(keys, np.arange(len(keys), dtype=np.int32))
+        beside = np.zeros((self.n_chars, self.n_chars), bool)
+        for p in self.rank:
+            if len(p) > 1:
+                chars = [own[c] for c in p]
+                beside[chars[:-1], chars[1:]] = True
+        self.beside = np.packbits(beside.ravel(), bitorder="little")
 
     def _pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place and piece of pairs of symbols; NEVER where the union is no piece."""
-        keys = left.astype(np.int64) * self.n_symbols + right
-        at = self._slot(keys)
-        held = self.keys[at]
-        moved = np.flatnonzero((held != keys) & (held >= 0))
-        while len(moved):
-            at[moved] = (at[moved] + 1) & (self.slots - 1)
-            held[moved] = self.keys[at[moved]]
-            moved = moved[(held[moved] != keys[moved]) & (held[moved] >= 0)]
-        hit = held == keys
-        return np.where(hit, self.places[at], NEVER), self.joined[at]
-
-    def merge_many(self, cuts: list[str], width: int) -> list[bytes]:
-        """Ids of cuts of `width` characters at most, merged together."""
+        row = self.pair_table.find(left.astype(np.uint64) * np.uint64(self.n_symbols) + right.astype(np.uint64))
+        return np.where(row >= 0, self.pair_place[row], NEVER), self.pair_joined[row]
+
+    def _starts(self, codes: np.ndarray, texts: np.ndarray) -> np.ndarray:
+        """Where cuts start: at the given starts of texts, and between neighbours that no piece holds side by side."""
+        chars = self.char[codes]
+        left, right = chars[:-1].astype(np.int64), chars[1:]
+        at = np.maximum(left * self.n_chars + right, 0)
+        start = np.ones(len(codes), bool)
+        start[1:] = ((self.beside[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 0) | (left < 0) | (right < 0)
+        start[texts[texts < len(codes)]] = True
+        return np.flatnonzero(start)
+
+    def merge_many(self, cuts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of cuts of `width` characters at most, merged together: all ids, and the number of each cut's."""
         n = len(cuts)
         lengths = np.fromiter(map(len, cuts), np.int64, n)
         chars = np.frombuffer("".join(cuts).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -204,53 +236,86 @@ class Codec:
             on = h >= 0
             rh, ih, hh = rows[on], i[on], h[on]
             places[rh, hh], joined[rh, hh] = self._pair(symbols[rh, hh], symbols[rh, ih])
-        found = self.symbol_id[symbols[there]]
+        found, counts = self.symbol_id[symbols[there]], there.sum(1)
         odd[np.nonzero(there)[0][found < 0]] = True
-        packed, start, out = found.astype("<u4").tobytes(), 0, []
-        for end in (4 * np.cumsum(there.sum(1))).tolist():
-            out.append(packed[start:end])
-            start = end
-        # Characters outside the vocabulary fall back to bytes, whose number differs.
-        for k in np.flatnonzero(odd).tolist():
-            out[k] = pack(self.merge(cuts[k]))
-        return out
-
-    def learn(self, cuts: list[str]) -> None:
-        """Put the ids of new cuts into `known`; the library must agree on each."""
-        by_width: dict[int, list[str]] = {}
-        for cut in cuts:
-            by_width.setdefault(next((w for w in WIDTHS if len(cut) <= w), 0), []).append(cut)
-        for width, own in by_width.items():
-            found = self.merge_many(own, width) if width else [pack(self.merge(c)) for c in own]
-            self.known.update(zip(own, found, strict=True))
-            if self.checked:
-                # The library puts the leading mark before a text itself, but not before an empty one.
-                there = self.library.encode([c[1:].replace(MARK, " ") for c in own], num_threads=1)
-                there = [x if len(c) > 1 else [self.rank[c][1]] if c in self.rank else x for x, c in zip(there, own, strict=True)] if MARK in own else there
-                counts = np.fromiter(map(len, there), np.int64, len(own))
-                if not np.array_equal(np.fromiter(chain.from_iterable(there), "<u4", int(counts.sum())), np.frombuffer(b"".join(found), "<u4")):
-                    raise ValueError("ids of a cut differ from the library's: " + next(repr(c) for c, x, y in zip(own, there, found, strict=True) if pack(x) != y))
-
-    def encode_packed(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts with begin and end ids, as bytes."""
+        if odd.any():
+            # Characters outside the vocabulary fall back to bytes, whose number differs.
+            parts = np.split(found, np.cumsum(counts)[:-1])
+            for k in np.flatnonzero(odd).tolist():
+                parts[k] = np.array(self.merge(cuts[k]), np.int32)
+                counts[k] = len(parts[k])
+            found = np.concatenate(parts)
+        return found, counts
+
+    def _learn(self, cuts: list[str]) -> np.ndarray:
+        """Put the ids of new cuts behind the others; the row of each."""
+        widths = np.array([*WIDTHS, 0])[np.searchsorted(WIDTHS, np.fromiter(map(len, cuts), np.int64, len(cuts)))]
+        rows, ids, lengths = np.zeros(len(cuts), np.int32), [self.ids], [self.lengths]
+        n = len(self.lengths)
+        for width in np.unique(widths).tolist():
+            own = np.flatnonzero(widths == width)
+            some = [cuts[k] for k in own.tolist()]
+            if width:
+                found, counts = self.merge_many(some, width)
+            else:
+                each = [self.merge(c) for c in some]
+                found, counts = np.array(list(chain.from_iterable(each)), np.int32), np.array([len(x) for x in each])
+            rows[own] = np.arange(n, n + len(own))
+            n += len(own)
+            ids.append(found)
+            lengths.append(counts)
+        self.ids, self.lengths = np.concatenate(ids), np.concatenate(lengths)
+        self.places = np.cumsum(self.lengths) - self.lengths
+        return rows
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts with begin and end ids, one text behind the other, and the bounds of each text."""
         escaped = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
-        parts = [self.cuts.findall(t) if self.cuts else [t] * bool(t) for t in escaped]
-        fresh = set().union(*parts).difference(self.known)
-        for cut in fresh & self.older.keys():
-            self.known[cut] = self.older[cut]
-        self.learn(list(fresh.difference(self.known)))
-        get, begin, end = self.known.__getitem__, pack([self.begin]), pack([self.end])
-        out = [begin + b"".join(map(get, cuts)) + end for cuts in parts]
-        for cut in fresh:
-            if len(cut) > LONGEST:
-                del self.known[cut]
-        if len(self.known) > MEMORY // 2:
-            self.known, self.older = {}, self.known
-        return out
+        joined = "".join(escaped)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, escaped), np.int64, len(texts)))))
+        starts = self._starts(codes, bounds[:-1]) if len(codes) else np.zeros(0, np.int64)
+        lengths = np.diff(np.append(starts, len(codes)))
+        rows = np.zeros(0, np.int32)
+        if len(starts):
+            within = np.arange(len(codes)) - np.repeat(starts, lengths)
+            powers = np.cumprod(np.full(int(lengths.max()), BASE))
+            keys = mix(np.add.reduceat((codes + np.uint64(1)) * powers[within], starts) + lengths.astype(np.uint64))
+            rows = self.known.find(keys)
+            fresh = np.flatnonzero(rows < 0)
+            if len(fresh):
+                new, first, which = np.unique(keys[fresh], return_index=True, return_inverse=True)
+                if len(self.lengths) + len(new) > MEMORY:
+                    self.forget()
+                    rows = np.full(len(keys), -1, np.int32)
+                    new, cut, which = np.unique(keys, return_index=True, return_inverse=True)
+                    where = np.arange(len(keys))
+                else:
+                    cut, where = fresh[first], fresh
+                found = self._learn([joined[a : a + n] for a, n in zip(starts[cut].tolist(), lengths[cut].tolist(), strict=True)])
+                rows[where] = found[which]
+                if len(self.lengths) <= MEMORY:
+                    short = lengths[cut] <= LONGEST
+                    self.known.add(new[short], found[short])
+        # Each text's cuts between the begin id (row 0) and the end id (row 1).
+        cuts = np.searchsorted(starts, bounds)
+        every = np.zeros(len(rows) + 2 * len(texts), np.int64)
+        owner = np.repeat(np.arange(len(texts)), np.diff(cuts))
+        every[np.arange(len(rows)) + 2 * owner + 1] = rows
+        every[cuts[1:] + 2 * np.arange(len(texts)) + 1] = 1
+        counts = self.lengths[every]
+        ends = np.cumsum(counts)
+        at = np.repeat(self.places[every] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+        ids = self.ids[at]
+        text_ends = np.concatenate(([0], ends[cuts[1:] + 2 * np.arange(len(texts)) + 1])) if len(texts) else np.zeros(1, np.int64)
+        if len(self.lengths) > MEMORY or len(self.ids) > 20 * MEMORY:
+            self.forget()
+        return ids, text_ends
 
     def encode_many(self, texts: list[str]) -> list[list[int]]:
         """Ids of texts with begin and end ids."""
-        return [np.frombuffer(x, "<u4").tolist() for x in self.encode_packed(texts)]
+        ids, bounds = self.encode_flat(texts)
+        return [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_many([text])[0]
@@ -268,6 +333,28 @@ class Codec:
             start = k + 1
         return "".join(parts)
 
+    def decode_flat(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """The texts of ids one behind the other. Control ids stand at the ends of a text; texts with others go through `decode`."""
+        lengths = self.surface_length[ids]
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        raw = self.surfaces[np.repeat(self.surface_at[ids] - ends[:-1], lengths) + np.arange(ends[-1])].tobytes()
+        inner = np.concatenate(([0], np.cumsum(~self.is_control[ids])))
+        out = []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            first, last = a, b
+            while first < last and self.is_control[ids[first]]:
+                first += 1
+            while last > first and self.is_control[ids[last - 1]]:
+                last -= 1
+            if inner[last] - inner[first] < last - first:
+                out.append(self.decode(ids[a:b]))
+                continue
+            start, stop = ends[first], ends[last]
+            if first < last and raw[start : start + 1] == b" " and not self.is_byte[ids[first]] and ids[first] != self.unknown:
+                start += 1
+            out.append(raw[start:stop].decode(errors="each-byte"))
+        return out
+
 
 def pack(ids) -> bytes:
     return np.array(ids, "<u4").tobytes()
@@ -276,28 +363,38 @@ def pack(ids) -> bytes:
 codecs.register_error("each-byte", lambda e: ("\ufffd", e.start + 1))
 
 
+#: The codec of this Python worker, which lives on between tasks.
+_own: dict[str, Codec] = {}
+
+
+def _codec(model: bytes) -> Codec:
+    name = hashlib.sha256(model).hexdigest()
+    if name not in _own:
+        _own.clear()
+        _own[name] = Codec(model)
+    return _own[name]
+
+
 def _coded(model: bytes):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes], list[str]]]:
-        own = Codec(model)
+    """For slices of rows: the rows, all ids, the bounds of each row's, and the decoded texts; the library must agree on all of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[str]]]:
+        own = _codec(model)
         for batch in batches:
-            left = CHECKED_TEXTS
             for part in slices(batch, "text", SLICE):
                 texts = part.column("text").to_pylist()
-                packed = own.encode_packed(texts)
-                ids = [np.frombuffer(x, "<u4") for x in packed]
-                decoded = [own.decode(x) for x in ids]
-                for k, text in enumerate(own.library.decode([x.tolist() for x in ids], num_threads=1)):
-                    if text != decoded[k]:
-                        raise ValueError(f"decoded text differs from the library's for id {part.column('id')[k]}")
-                if left > 0:
-                    some = own.library.encode(texts[:left], add_bos=True, add_eos=True, num_threads=1)
-                    for k, x in enumerate(some):
-                        if pack(x) != packed[k]:
-                            raise ValueError(f"ids differ from the library's for id {part.column('id')[k]}")
-                    left -= len(some)
-                yield part, packed, decoded
-        # A worker lives on after its task.
-        own.known, own.older = {}, {}
+                ids, bounds = own.encode_flat(texts)
+                there = own.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
+                counts = np.fromiter(map(len, there), np.int64, len(there))
+                if not np.array_equal(counts, np.diff(bounds)) or not np.array_equal(np.fromiter(chain.from_iterable(there), np.int32, len(ids)), ids):
+                    wrong = next(k for k, x in enumerate(there) if x != ids[bounds[k] : bounds[k + 1]].tolist())
+                    raise ValueError(f"ids differ from the library's for id {part.column('id')[wrong]}")
+                decoded = own.decode_flat(ids, bounds)
+                if (theirs := own.library.decode(there, num_threads=1)) != decoded:
+                    wrong = next(k for k, x in enumerate(theirs) if x != decoded[k])
+                    raise ValueError(f"decoded text differs from the library's for id {part.column('id')[wrong]}")
+                yield part, ids, bounds, decoded
+        own.forget()
         give_back()
 
     return run
@@ -307,30 +404,23 @@ def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text
     """(id, ids, decoded) of every row: its ids with begin and end, and what they decode to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ids, decoded in _coded(model)(batches):
-            cuts = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
-            flat = np.frombuffer(b"".join(ids), "<i4")
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat)), pa.array(decoded, pa.string())], names=["id", "ids", "decoded"])
+        for part, ids, bounds, decoded in _coded(model)(batches):
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), pa.array(decoded, pa.string())], names=["id", "ids", "decoded"])
 
-    return _texts(docs, id_col, text_col).mapInArrow(run, SCHEMA).withColumnRenamed("id", id_col)
+    return _texts(docs, id_col, text_col).transform(in_workers, run, SCHEMA).withColumnRenamed("id", id_col)
 
 
 def encode_digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of every row, without shipping ids and texts out of the workers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ids, decoded in _coded(model)(batches):
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("id"),
-                    pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                    pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string()),
-                ],
-                names=["id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return _texts(docs, id_col, text_col).mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+        for part, ids, bounds, decoded in _coded(model)(batches):
+            packed = ids.astype("<u4").tobytes()
+            digests = [hashlib.sha256(packed[4 * a : 4 * b]).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            texts = [hashlib.sha256(x.encode()).hexdigest() for x in decoded]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(bounds)), pa.array(digests, pa.string()), pa.array(texts, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return _texts(docs, id_col, text_col).transform(in_workers, run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -6,7 +6,7 @@ import contextlib
 import ctypes
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,41 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Bytes of an Arrow batch, where the session sets none: buffers of that size stand in executors and Python workers.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_workers(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with batches bounded by bytes, not by rows alone."""
+    conf = df.sparkSession.conf
+    if BATCH_SETTING not in conf.getAll:
+        conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+#: Folders of Scratch tables made within `cleared`, innermost last.
+_made: list[list[Scratch]] = []
+
+
+@contextlib.contextmanager
+def cleared() -> Iterator[None]:
+    """All Scratch tables made within are deleted at the end: what is to stay must be written elsewhere before."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for scratch in _made.pop():
+            scratch.drop_all_but()
+
+
+def free_name(name: str, taken: Iterable[str]) -> str:
+    """name, with underscores behind it until no column of the input has it."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Parquet tables of one run in the shared folder: they cut lineage and survive lost executors."""
 
@@ -33,6 +68,8 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/logloom-{name}-{uuid.uuid4().hex}"
         self.names: set[str] = set()
+        if _made:
+            _made[-1].append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import in_workers
+
 #: Dimensions that are accumulated at once, queries and candidates of a block.
 DIMENSIONS, QUERIES, CANDIDATES = 16, 512, 4096
 #: Candidate blocks that one group holds, about.
@@ -141,13 +143,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("vector"))
     rows = rows.where("id IS NOT NULL AND vector IS NOT NULL AND NOT exists(vector, x -> x IS NULL)")
     groups = max(1, -(-rows.count() // (CANDIDATES * GROUP_BLOCKS)))
-    candidates = rows.mapInArrow(_packed(scale, CANDIDATES), PACKED)
+    candidates = rows.transform(in_workers, _packed(scale, CANDIDATES), PACKED)
     candidates = candidates.select("dim", F.pmod(F.xxhash64("ids"), F.lit(groups)).alias("group"), F.col("ids").alias("c_ids"), F.col("matrix").alias("c_matrix"))
     # Queries are few: packed anew after a shuffle, so that their blocks are full.
-    asked = rows.where(is_query).dropDuplicates(["id", "vector"]).mapInArrow(_packed(scale, QUERIES), PACKED)
+    asked = rows.where(is_query).dropDuplicates(["id", "vector"]).transform(in_workers, _packed(scale, QUERIES), PACKED)
     asked = asked.select("dim", F.xxhash64("ids").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("group"), F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
     joined = candidates.join(asked, ["dim", "group"]).sortWithinPartitions("block")
-    found = joined.select("block", "dim", "q_ids", "q_matrix", "c_ids", "c_matrix").mapInArrow(_searched(k), "query_id long, id long, score long")
+    found = joined.select("block", "dim", "q_ids", "q_matrix", "c_ids", "c_matrix").transform(in_workers, _searched(k), "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices, text_buffers
+from .shared import in_workers, slices, text_buffers
 from .textkernel import LOWER, ORDER, mix, run_hashes, runs, sigmoid
 
 #: Rows learned from at most, passes over them, and buckets of features (the last is the bias).
@@ -112,8 +112,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, rates: Ftr
     hashed = F.xxhash64("key")
     chosen = labels.where(F.pmod(hashed, F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
     texts = docs.select("key", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "key")
-    rows = texts.mapInArrow(_featured, "key long, label int, features array<int>").repartition(1).sortWithinPartitions(hashed, "key", "label", F.hash("features"))
-    found = rows.mapInArrow(_learned(rates, passes), "bucket long, weight double").toPandas()
+    rows = texts.transform(in_workers, _featured, "key long, label int, features array<int>").repartition(1).sortWithinPartitions(hashed, "key", "label", F.hash("features"))
+    found = rows.transform(in_workers, _learned(rates, passes), "bucket long, weight double").toPandas()
     return found["bucket"].to_numpy(np.int64), found["weight"].to_numpy(float)
 
 
@@ -131,4 +131,4 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sigmoid(total[bounds[1:]] - total[bounds[:-1]] + dense[-1]))], names=["id", "score"])
 
     texts = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    return texts.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    return texts.transform(in_workers, run, "id long, score double").withColumnRenamed("id", id_col)

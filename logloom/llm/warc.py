@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, slices
+from .shared import Scratch, in_workers, slices
 
 # The header fields of the two ARC versions, as their version blocks list them.
 ARC_FIELDS = {
@@ -200,7 +200,7 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = "2024
     joined = rows.join(firsts.select("digest", F.col("first.key").alias("first"), F.col("first.url").alias("first_url")), "digest", "left")
     revisits = ~F.col("key").eqNullSafe(F.col("first"))
     joined = joined.select("key", "url", "payload", F.when(revisits, F.col("first")).alias("first"), F.when(revisits, F.col("first_url")).alias("first_url"))
-    records = joined.mapInArrow(_converted(date), "record binary").select(F.col("record").cast("string").alias("value"))
+    records = joined.transform(in_workers, _converted(date), "record binary").select(F.col("record").cast("string").alias("value"))
     records.write.mode("overwrite").option("lineSep", END.decode()).option("compression", "gzip").text(folder)
 
 
@@ -230,7 +230,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """The records of a folder that `write` has written."""
     pieces = spark.read.option("lineSep", END.decode()).text(folder).select(F.col("value").cast("binary").alias("value"))
-    return pieces.mapInArrow(_read, READ_SCHEMA)
+    return pieces.transform(in_workers, _read, READ_SCHEMA)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:

@@ -14,7 +14,7 @@ from logloom.llm import language_id, mixing, pii, secrets, sentencepiece_codec,
 from logloom.llm.graph import components
 from logloom.llm.ngram_join import Jaccard, jaccard_components
 from logloom.llm.queries import piece_model
-from logloom.llm.sentencepiece_codec import Codec, encode_digests, encode_documents, pack
+from logloom.llm.sentencepiece_codec import Codec, encode_digests, encode_documents
 from logloom.llm.shared import Scratch, text_buffers
 from logloom.llm.textkernel import shingle_sets
 
@@ -318,20 +318,31 @@ def test_ids_equal_the_library(coder):
     odd += ["".join(r.choice("ab▁ \n<>s0x41é日😀eth tioǹ�\x01") for _ in range(r.randint(0, 40))) for _ in range(1500)]
     ids = coder.encode_many(odd)
     assert ids == coder.library.encode(odd, add_bos=True, add_eos=True)
-    assert [coder.decode(x) for x in ids] == coder.library.decode(ids)
+    assert [coder.decode(x) for x in ids] == coder.decode_flat(*coder.encode_flat(odd)) == coder.library.decode(ids)
 
 
 def test_matrix_and_heap_agree(coder):
     r = random.Random(9)
     cuts = ["".join(r.choice("▁abcdeéthin日😀ß<>0x1") for _ in range(r.randint(1, 20))) for _ in range(3000)]
-    assert coder.merge_many(cuts, 20) == [pack(coder.merge(c)) for c in cuts]
+    ids, counts = coder.merge_many(cuts, 20)
+    assert [tuple(x.tolist()) for x in np.split(ids, np.cumsum(counts)[:-1])] == [coder.merge(c) for c in cuts]
+
+
+def test_ids_with_a_small_memory_and_long_cuts(coder, monkeypatch):
+    r = random.Random(11)
+    texts = ["".join(r.choice("abcdefgh 0日ß") for _ in range(r.choice([3, 30, 300]))) for _ in range(300)] + ["e" * 5000, "", "th" * 900]
+    wanted = coder.library.encode(texts, add_bos=True, add_eos=True)
+    for memory in (2, 50, 900):
+        monkeypatch.setattr(sentencepiece_codec, "MEMORY", memory)
+        own = Codec(piece_model())
+        assert [x for k in range(0, len(texts), 40) for x in own.encode_many(texts[k : k + 40])] == wanted and len(own.lengths) <= memory + 2
 
 
 def test_decoding_any_ids(coder):
     r = random.Random(10)
     for _ in range(1500):
         ids = [r.choice([0, 1, 2, *range(3, 259), *[29871, 259, 15043] * 20]) for _ in range(r.randint(0, 12))]
-        assert coder.decode(ids) == coder.library.decode(ids)
+        assert coder.decode(ids) == coder.decode_flat(np.array(ids, np.int32), np.array([0, len(ids)]))[0] == coder.library.decode(ids)
 
 
 def test_token_queries(spark, odd_docs, no_docs, coder):
@@ -343,9 +354,10 @@ def test_token_queries(spark, odd_docs, no_docs, coder):
         assert r["decoded"] == "12345 !!! 😀" and digests[7]["ids_sha256"] == hashlib.sha256(np.array(r["ids"], "<u4").tobytes()).hexdigest()
 
 
-def test_decoded_texts_after_the_first_of_a_batch_are_checked(monkeypatch):
-    own = Codec.decode
-    monkeypatch.setattr(Codec, "decode", lambda self, ids: own(self, ids).replace("last", "lost"))
+@pytest.mark.parametrize("name, put", [("decode_flat", lambda got: [x.replace("last", "lost") for x in got]), ("encode_flat", lambda got: (np.append(got[0][:-1], 5), got[1]))])
+def test_every_text_of_a_batch_is_checked(monkeypatch, name, put):
+    own = getattr(Codec, name)
+    monkeypatch.setattr(Codec, name, lambda self, *a: put(own(self, *a)))
     batch = pa.RecordBatch.from_pydict({"id": list(range(151)), "text": ["a text"] * 150 + ["the last"]})
     with pytest.raises(ValueError, match="id 150"):
         list(sentencepiece_codec._coded(piece_model())([batch]))
