@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,21 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"v": pa.array(some, pa.int64()), "r": pa.array([root(x) for x in some], pa.int64())})
 
 
+def stars_of(near: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the graph whose symmetric adjacency matrix is near: the id of each row that is no root, and of its root."""
+    busy = np.flatnonzero(near.any(1))
+    near, ids = near[np.ix_(busy, busy)], ids[busy]
+    top = np.arange(len(ids))
+    while len(ids):
+        after = np.minimum(top, np.where(near, top[None, :], len(ids)).min(1))
+        after = np.minimum(after, after[after])
+        if np.array_equal(after, top):
+            break
+        top = after
+    own = top != np.arange(len(ids))
+    return ids[own], ids[top[own]]
+
+
 #: Rows of stars (two numbers each) that one task may hold, once they have been counted.
 ONE_TASK = 1 << 20
 

@@ -3,18 +3,22 @@
 Rows of the incidence matrix are classes of documents with equal shingle sets, columns are hashed word
 shingles. The columns of a row are put in one global order, those that very many rows hold last. If two sets
 have Jaccard similarity t or more, they share a column among the first |x| - ceil(t |x|) + 1 of each (the
-size-derived prefix), so the product starts on that part. A pair there must also pass two bounds from sizes
-and positions: |x| >= t |y|, and shared so far + the shorter rest >= t / (1 + t) (|x| + |y|).
-Surviving pairs accumulate overlap counts one column block after another and are discarded once the rest
-cannot lift the count to that bound.
-
-Only what decides the components is multiplied. A few rounds compare each entry of a column with its next ones in
-an order that differs by column and round (columns that many rows hold are dealt over several tasks, whose first
-entries are compared in turn). The last pass takes what is left, tile by tile: all pairs of a column whose rows are
-not yet in one component. So a group of many near copies costs about its number of rows, and no link between
-components is missed.
-
-Shingles are 64-bit hashes (48 of them where two sets are compared), sets are told apart by 128 bits. Defined results: null, empty or blank texts have an
+size-derived prefix), so only rows that share a column of that part can be linked.
+
+The product is worked out in blocks of rows. A block's overlap counts are accumulated one column block after another, as
+products of the block's part of the incidence matrix with itself; pairs are discarded once the columns that are left cannot
+lift their count to ceil(t / (1 + t) (|x| + |y|)), and rows without a pair are dropped from the block.
+
+Only what decides the components is multiplied. In each of a few rounds, rows are put in blocks by the least of their
+shared columns (in another order each round), which gathers near copies; a large group makes many blocks, and the next
+round mixes its rows anew. What is left are columns whose rows are in several components: there the product of
+the prefix part accumulates the count of each pair of different components, tile by tile; pairs that pass the
+bounds of sizes, places and counts go into row blocks in which both meet, whose product decides them. So a group of m near
+copies costs about its number of rows, and no link between components is missed.
+
+Shingles are 64-bit hashes, sets are told apart by 128 bits. A column that workers do not report as frequent occurs at
+most once in each COUNT_BYTES of text, so it is too small a part of any table to make a task long.
+Defined results: null, empty or blank texts have an
 empty set, are linked with nothing and form their own component; rows with a null id take no part in links and
 have a null component; rows that repeat an id with the same text are one document (both rows are returned);
 other columns are ignored whatever their names.
@@ -30,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import components
-from .shared import Scratch, few, give_back, in_workers, slices, text_buffers
+from .graph import components, stars_of
+from .shared import Scratch, few, give_back, heavy_join, in_workers, slices, text_buffers
 from .textkernel import mix, shingle_sets, sums
 
 #: Text bytes that are cut into shingles at once.
@@ -40,14 +44,12 @@ SLICE = 1 << 19
 COUNT_BYTES, COUNT_LEAST, FREQUENT_LEAST = 32 << 20, 2, 8
 #: Columns known as frequent at most (they only set the order, so any number gives the same pairs). 2 x 8 bytes each.
 FREQUENT_MOST = 1 << 18
-#: Entries of one column that one task links; entries of one tile.
+#: Entries of one column that one task counts, and of one tile of a column.
 CHUNK = 512
-#: The first round takes the entries of this many first columns, and those of every so manieth column.
-FIRST_PLACES = 6
-#: Entries before each one that it is compared with in the rounds of the first pass.
-NEIGHBOURS, ROUNDS = 3, 2
-#: Column blocks in which the overlap of a pair is accumulated.
-BLOCKS = 4
+#: Rounds of row blocks; rows and entries of a row block; columns of a column block.
+ROUNDS, BLOCK_ROWS, BLOCK_ENTRIES, BLOCK_COLUMNS = 2, 256, 1 << 18, 2048
+#: Entries of one key of a round that one task takes.
+KEY_ENTRIES = 8 * BLOCK_ENTRIES
 
 SET_SCHEMA = "id long, n long, s1 long, s2 long, column long, count long"
 
@@ -142,81 +144,110 @@ def _prefixes(rule: Jaccard, hot: np.ndarray, often: np.ndarray):
     return run
 
 
-def packed(values: np.ndarray) -> bytes:
-    """The upper 48 bits of sorted hashes: sets are shipped to be compared in pairs, where those tell columns apart."""
-    return (values >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _whole_sets(rule: Jaccard, *carried: str):
+    """The sets of the texts, as bytes of sorted 64-bit hashes, with the carried columns."""
 
-
-def unpacked(data) -> np.ndarray:
-    wide = np.zeros((len(data) // 6, 8), np.uint8)
-    wide[:, 2:] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel()
-
-
-def _whole_sets(rule: Jaccard):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 values, bounds = _sets(part, rule.width)
-                sets = [packed(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.binary())], names=["id", "values"])
+                sets = [values[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carried], pa.array(sets, pa.binary())], names=[*carried, "values"])
 
     return run
 
 
-#: Ends of the column blocks: equal ranges of the hash.
-ENDS = (np.arange(1, BLOCKS + 1, dtype=np.float64) / BLOCKS * 2**64 - 1).clip(max=1.8446744073709550e19).astype(np.uint64)
-
+def linked_pairs(sets: list[np.ndarray], rule: Jaccard) -> np.ndarray:
+    """Which rows of a block have the similarity: the product of the block's incidence matrix with itself, by column block."""
+    n = np.array([len(x) for x in sets])
+    m = len(sets)
+    least = rule.least(n[:, None] + n[None, :])
+    values, owner = np.concatenate(sets), np.repeat(np.arange(m), n)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    column = np.cumsum(np.concatenate(([0], values[1:] != values[:-1]))) if len(values) else np.zeros(0, np.int64)
+    # A column of one row alone adds to no count.
+    shared = np.bincount(column)[column] > 1 if len(column) else np.zeros(0, bool)
+    owner, column = owner[shared], column[shared]
+    if len(column):
+        column = np.cumsum(np.concatenate(([0], column[1:] != column[:-1])))
+    rest = np.bincount(owner, minlength=m)
+    alive = np.minimum(rest[:, None], rest[None, :]) >= np.maximum(least, 1)
+    np.fill_diagonal(alive, False)
+    counts = np.zeros((m, m), np.float32)
+    n_columns = int(column[-1]) + 1 if len(column) else 0
+    for first in range(0, n_columns, BLOCK_COLUMNS):
+        rows = np.flatnonzero(alive.any(1))
+        if not len(rows):
+            break
+        place = np.full(m, -1)
+        place[rows] = np.arange(len(rows))
+        a, b = np.searchsorted(column, [first, first + BLOCK_COLUMNS])
+        own, at = place[owner[a:b]], column[a:b] - first
+        own, at = own[own >= 0], at[own >= 0]
+        block = np.zeros((len(rows), min(BLOCK_COLUMNS, n_columns - first)), np.float32)
+        block[own, at] = 1
+        square = np.ix_(rows, rows)
+        counts[square] += block @ block.T
+        rest[rows] -= np.bincount(own, minlength=len(rows))
+        alive[square] &= counts[square] + np.minimum(rest[rows][:, None], rest[rows][None, :]) >= least[square]
+    return alive
+
+
+def _products(rule: Jaccard, keys: list[str], cut: bool):
+    """Rows sorted by their keys: a forest of the links within each key. cut: a key's rows may go into several blocks."""
 
-def overlap(x: np.ndarray, y: np.ndarray, least: int) -> int:
-    """Number of columns that sorted rows x and y share, accumulated by column block; -1 once it cannot reach `least`."""
-    xs, ys = np.searchsorted(x, ENDS, side="right"), np.searchsorted(y, ENDS, side="right")
-    xs[-1], ys[-1] = len(x), len(y)
-    count = i = j = 0
-    for k in range(BLOCKS):
-        a, b = x[i : xs[k]], y[j : ys[k]]
-        if len(a) > len(b):
-            a, b = b, a
-        if len(a):
-            count += int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
-        i, j = xs[k], ys[k]
-        if count + min(len(x) - i, len(y) - j) < least:
-            return -1
-    return count
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[int] = []
+        sets: list[np.ndarray] = []
+        at, size = None, 0
 
+        def linked() -> Iterator[pa.RecordBatch]:
+            if len(sets) > 1:
+                a, b = stars_of(linked_pairs(sets, rule), np.array(ids, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            ids.clear()
+            sets.clear()
 
-def _verify(rule: Jaccard):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, linked_a, linked_b = batch.column("a").to_pylist(), batch.column("b").to_pylist(), [], []
-            for k, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                x, y = unpacked(x.as_buffer()), unpacked(y.as_buffer())
-                least = int(rule.least(len(x) + len(y)))
-                if min(len(x), len(y)) >= least and overlap(x, y, least) >= least:
-                    linked_a.append(a[k])
-                    linked_b.append(b[k])
-            yield pa.RecordBatch.from_arrays([pa.array(linked_a, pa.int64()), pa.array(linked_b, pa.int64())], names=["a", "b"])
+            named = zip(*(batch.column(k).to_pylist() for k in keys), strict=True)
+            for key, own, values in zip(named, batch.column("id").to_pylist(), batch.column("values"), strict=True):
+                own_set = np.frombuffer(values.as_buffer(), np.uint64)
+                if key != at or cut and (len(sets) == BLOCK_ROWS or size + len(own_set) > BLOCK_ENTRIES):
+                    yield from linked()
+                    at, size = key, 0
+                ids.append(own)
+                sets.append(own_set)
+                size += len(own_set)
+        yield from linked()
+        give_back()
 
     return run
 
 
 def _tile(rule: Jaccard):
-    """Pairs of a tile whose rows are in different components and pass the bounds from sizes and places."""
+    """Of a tile of one column: pairs of rows in different components, with the count that the columns up to this one must reach.
+
+    After this column, in the order, a pair can share no more columns than the shorter rest of the two rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def field(rows, name):
             return rows.values.field(name).to_numpy(zero_copy_only=False)[rows.offsets[0].as_py() : rows.offsets[-1].as_py()]
 
         for batch in batches:
-            for k in range(batch.num_rows):
+            for k, major in enumerate(batch.column("major").to_pylist()):
                 x, y = batch.column("xs").slice(k, 1), batch.column("ys").slice(k, 1)
                 (xi, xn, xp, xc), (yi, yn, yp, yc) = ([field(rows, f) for f in ("id", "n", "place", "component")] for rows in (x, y))
                 least = rule.least(xn[:, None] + yn[None, :])
-                rest = 1 + np.minimum((xn - xp - 1)[:, None], (yn - yp - 1)[None, :])
-                a, b = np.nonzero((xc[:, None] != yc[None, :]) & (np.minimum(xn[:, None], yn[None, :]) >= least) & (rest >= least))
-                low, high = np.minimum(xi[a], yi[b]), np.maximum(xi[a], yi[b])
+                needed = least - np.minimum((xn - xp - 1)[:, None], (yn - yp - 1)[None, :])
+                # Of two rows outside the major component, which meet twice, the smaller id comes from the left.
+                once = (yc == major)[None, :] | (xi[:, None] < yi[None, :])
+                a, b = np.nonzero((xc[:, None] != yc[None, :]) & once & (np.minimum(xn[:, None], yn[None, :]) >= least) & (needed <= np.minimum(xp[:, None], yp[None, :]) + 1))
+                low, high, needed = np.minimum(xi[a], yi[b]), np.maximum(xi[a], yi[b]), needed[a, b].astype(np.int64)
                 for at in range(0, len(low), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(low[at : at + 50_000]), pa.array(high[at : at + 50_000])], names=["a", "b"])
+                    some = slice(at, at + 50_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(low[some]), pa.array(high[some]), pa.array(needed[some])], names=["a", "b", "needed"])
 
     return run
 
@@ -229,7 +260,8 @@ def jaccard_components(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str =
     described = scratch.keep(texts.transform(in_workers, _describe(rule), SET_SCHEMA), "described")
     rows = described.where("column IS NULL").select("id", "n", "s1", "s2")
     known = rows.where("id IS NOT NULL AND n > 0")
-    classes = known.groupBy("s1", "s2").agg(F.min("id").alias("id"))
+    classes = scratch.keep(known.groupBy("s1", "s2").agg(F.min("id").alias("class"), F.count("*").alias("members")), "classes")
+    classed = scratch.keep(heavy_join(known, classes, ["s1", "s2"], "members").select("id", "n", "s1", "s2", "class"), "classed")
 
     # The frequent columns by the upper half of their hashes (a clash only moves a column in the order): at most
     # FREQUENT_MOST, so small enough for every task.
@@ -240,74 +272,89 @@ def jaccard_components(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str =
     hot, often = hot[by_hash], often[by_hash]
 
     # One row for each class: its first columns. An entry of the index is what one row has in one column.
+    copies = scratch.keep(classed.where("id != class").select("id", "s1", "s2"), "copies")
     prefixes = texts.where("id IS NOT NULL").transform(in_workers, _prefixes(rule, hot, often), "id long, s1 long, s2 long, n long, columns array<long>, parts array<int>")
-    index = prefixes.join(classes, ["id", "s1", "s2"], "left_semi").select("id", "n", F.posexplode(F.arrays_zip("columns", "parts")).alias("place", "e"))
+    index = prefixes.join(few(copies), ["id", "s1", "s2"], "left_anti").select("id", "n", F.posexplode(F.arrays_zip("columns", "parts")).alias("place", "e"))
     # Size and place in one number: what is shuffled here is the largest table of all.
     index = index.select("id", "e.columns", F.col("e.parts").cast("long").alias("part"), (F.shiftleft("n", 32) + F.col("place")).alias("np")).withColumnRenamed("columns", "column")
     count = F.count("*").over(Window.partitionBy("column", "part"))
     index = index.withColumn("entries", count).where("entries > 1 OR part >= 0")
-    live = scratch.keep(index.select("id", F.shiftright("np", 32).alias("n"), "column", F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place"), "part", (F.col("part") >= 0).alias("dealt")), "live-1")
-    some = live.where((F.col("place") < FIRST_PLACES) | (F.pmod(F.xxhash64("column"), F.lit(FIRST_PLACES)) == 0)).withColumn("component", F.col("id"))
-    links = linked = last = None
+    live = scratch.keep(index.select("id", F.shiftright("np", 32).alias("n"), "column", F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place")), "live-0")
+    links = linked = None
     for k in range(1, ROUNDS + 2):
-        if k > 1:
-            live = scratch.keep(_open(live.drop("component", "major", "entries"), linked), f"live-{k}")
-            scratch.drop(f"live-{k - 1}")
-            # Further rounds are for columns that many rows share; the bounds of the last pass do for the others.
-            some = live.where(F.col("entries") > 4 * NEIGHBOURS)
-        if not live.limit(1).count():
+        if live.isEmpty():
             break
-        # The last round takes all pairs that are left.
-        pairs = scratch.keep(_beside(some, rule, k) if k <= ROUNDS else _across(live, rule), f"pairs-{k}")
-        found = scratch.keep(_linked(texts, pairs, rule, scratch, f"needed-{k}"), f"links-{k}")
+        if k <= ROUNDS:
+            found = _gathered(texts, live, rule, scratch, k)
+        else:
+            found = _across(texts, live, rule, scratch)
+        found = scratch.keep(found, f"links-{k}")
         links = found if links is None else links.union(found)
-        linked, last = scratch.keep(components(links, scratch, f"graph-{k}"), f"components-{k}"), f"components-{k}"
-    scratch.drop_all_but("described", last)
-    if linked is None:
-        linked = known.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
-
-    named = known.join(classes.withColumnRenamed("id", "class"), ["s1", "s2"]).join(linked.withColumnRenamed("node", "class"), "class", "left")
-    named = named.select("id", "n", F.coalesce("component", "class").alias("component_id"))
+        linked = scratch.keep(components(links, scratch, f"graph-{k}"), f"components-{k}")
+        if k <= ROUNDS:
+            live = _open(live.select("id", "n", "column", "place"), linked, scratch, k)
+    # Rows of one class are named by a skew-safe join, so that none makes a task long. Classes of one id with several texts are one.
+    every = classes.groupBy("class").agg(F.sum("members").alias("members"))
+    if linked is not None:
+        every = every.join(linked.withColumnRenamed("node", "class"), "class", "left")
+    every = scratch.keep(every.withColumn("component_id", F.coalesce("component", "class") if linked is not None else F.col("class")).select("class", "members", "component_id"), "named")
+    scratch.drop_all_but("described", "classed", "named")
+    named = heavy_join(classed, every, ["class"], "members").select("id", "n", "component_id")
     alone = rows.where("id IS NULL OR n = 0").select("id", "n", F.col("id").alias("component_id"))
     return named.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _beside(entries: DataFrame, rule: Jaccard, seed: int) -> DataFrame:
-    """Distinct pairs (a, b) of neighbours in a column that are in different components and whose sizes allow the similarity.
+def _gathered(texts: DataFrame, live: DataFrame, rule: Jaccard, scratch: Scratch, k: int) -> DataFrame:
+    """Links (a, b) within row blocks: a row goes to the least of its columns, in an order of this round."""
+    keyed = scratch.keep(live.groupBy("id", "n").agg(F.min(F.xxhash64("column", F.lit(k))).alias("key")), f"keyed-{k}")
+    sizes = scratch.keep(keyed.groupBy("key").agg(F.sum("n").alias("entries"), F.count("*").alias("members")).where("members > 1"), f"keys-{k}")
+    parts = F.ceil(F.col("entries") / KEY_ENTRIES)
+    member = heavy_join(keyed, sizes, ["key"], "members").select("id", "key", F.pmod(F.xxhash64("id", F.lit(k)), parts).alias("part"))
+    member = scratch.keep(member, f"members-{k}")
+    sets = texts.join(few(member), "id").transform(in_workers, _whole_sets(rule, "id", "key", "part"), "id long, key long, part long, values binary")
+    return _multiplied(sets, ["key", "part"], rule, cut=True)
 
-    Each column has an order of its own, so rows which share many columns are compared with many others.
-    """
-    entry, order = F.struct("id", "n", "component"), [F.xxhash64("id", "column", F.lit(seed)), F.col("id")]
-    own = Window.partitionBy("column", "part").orderBy(*order)
-    near = F.array_compact(F.array(*[F.lag(entry, k).over(own) for k in range(1, NEIGHBOURS + 1)]))
-    entries = entries.withColumn("near", near)
-    heads = entries.where("dealt AND size(near) = 0").withColumn("near", F.array(F.lag(entry).over(Window.partitionBy("column").orderBy(*order))))
-    beside = entries.unionByName(heads).select("id", "n", "component", F.explode("near").alias("other"))
-    sized = F.least("n", "other.n") * rule.den >= F.greatest("n", "other.n") * rule.num
-    beside = beside.where(F.col("other.component") != F.col("component")).where(sized)
-    return beside.select(F.least("id", "other.id").alias("a"), F.greatest("id", "other.id").alias("b")).distinct()
-
-
-def _open(live: DataFrame, linked: DataFrame) -> DataFrame:
-    """The entries of columns whose rows are in several components, with their component and the column's largest one."""
-    entries = live.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = entries.groupBy("column", "component").count().groupBy("column").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.count("*").alias("components"), F.sum("count").alias("entries")).where("components > 1")
-    return entries.join(sizes.drop("components"), "column")
+
+def _multiplied(sets: DataFrame, keys: list[str], rule: Jaccard, cut: bool) -> DataFrame:
+    """A forest (a, b) of the links of rows (keys, id, values) with equal keys."""
+    number = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = sets.repartition(number, *keys).sortWithinPartitions(*keys)
+    return blocks.select(*keys, "id", "values").transform(in_workers, _products(rule, keys, cut), "a long, b long")
 
 
-def _linked(texts: DataFrame, pairs: DataFrame, rule: Jaccard, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (a, b) that have the similarity."""
-    needed = scratch.keep(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), name)
-    sets = texts.join(few(needed), "id", "left_semi").transform(in_workers, _whole_sets(rule), "id long, values binary")
-    x = sets.select(F.col("id").alias("a"), F.col("values").alias("x"))
-    y = sets.select(F.col("id").alias("b"), F.col("values").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").transform(in_workers, _verify(rule), "a long, b long").distinct()
+def _open(live: DataFrame, linked: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    """The entries of columns whose rows are in several components, with their component, and the column's number of entries and largest component."""
+    entries = live.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    entries = scratch.keep(entries, f"placed-{k}")
+    sizes = entries.groupBy("column", "component").count().groupBy("column").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.count("*").alias("components"), F.sum("count").alias("entries"))
+    sizes = scratch.keep(sizes.where("components > 1").drop("components"), f"columns-{k}")
+    out = scratch.keep(heavy_join(entries, sizes, ["column"], "entries"), f"live-{k}")
+    scratch.drop(f"placed-{k}")
+    return out
 
 
-def _across(live: DataFrame, rule: Jaccard) -> DataFrame:
-    """All pairs of entries of a column whose rows are in different components, within the bounds, tile by tile."""
-    entries = live.withColumn("tile", F.pmod(F.xxhash64("id"), F.ceil(F.col("entries") / CHUNK)))
+def _across(texts: DataFrame, live: DataFrame, rule: Jaccard, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between components: of pairs that share a column of their prefixes and pass the bounds."""
+    entries = live.withColumn("tiles", F.ceil(F.col("entries") / CHUNK)).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
     listed = F.collect_list(F.struct("id", "n", "place", "component"))
     every = entries.groupBy("column", "tile").agg(listed.alias("ys"))
-    minor = entries.where("component <> major").groupBy("column", F.col("tile").alias("other")).agg(listed.alias("xs"))
-    return minor.join(every, "column").select("xs", "ys").transform(in_workers, _tile(rule), "a long, b long").distinct()
+    minor = entries.where("component <> major").groupBy("column", F.col("tile").alias("own"), "tiles", "major").agg(listed.alias("xs"))
+    tiles = minor.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).join(every, ["column", "tile"])
+    # The count over the prefix part, up to the last column that can still decide.
+    counted = tiles.select("major", "xs", "ys").transform(in_workers, _tile(rule), "a long, b long, needed long")
+    pairs = counted.groupBy("a", "b").agg(F.count("*").alias("count"), F.max("needed").alias("needed")).where("count >= needed").select("a", "b")
+    pairs = scratch.keep(pairs, "pairs")
+    if pairs.isEmpty():
+        return pairs
+    # Row blocks in which both rows of each pair meet: within the groups of rows that pairs connect, by a bucket of each row.
+    groups = scratch.keep(components(pairs, scratch, "groups"), "groups")
+    sizes = groups.join(live.select(F.col("id").alias("node"), "n").distinct(), "node").groupBy("component").agg(F.sum("n").alias("entries"), F.count("*").alias("members"))
+    sizes = scratch.keep(sizes, "group-sizes")
+    buckets = F.ceil(F.greatest(F.col("members") / (BLOCK_ROWS // 2), F.col("entries") / BLOCK_ENTRIES))
+    placed = scratch.keep(heavy_join(groups, sizes, ["component"], "members").select("node", "component", F.pmod(F.xxhash64("node"), buckets).alias("bucket")), "buckets")
+    met = pairs.join(placed.toDF("a", "group", "i"), "a").join(placed.select(F.col("node").alias("b"), F.col("bucket").alias("j")), "b")
+    met = met.select("group", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.explode(F.array("a", "b")).alias("id")).distinct()
+    met = scratch.keep(met, "met")
+    needed = scratch.keep(met.select("id").distinct(), "needed")
+    sets = texts.join(few(needed), "id", "left_semi").transform(in_workers, _whole_sets(rule, "id"), "id long, values binary")
+    return _multiplied(met.join(sets, "id"), ["group", "i", "j"], rule, cut=False)

@@ -108,6 +108,21 @@ def few(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
 
 
+#: Keys that are joined by broadcast because many rows have them: those with more than 1 of so many rows.
+HEAVY = 1 << 16
+
+
+def heavy_join(rows: DataFrame, table: DataFrame, on: list[str], size: str) -> DataFrame:
+    """rows joined with a written table of one row for each key, whose column `size` says how many rows have the key.
+
+    Keys with more than a HEAVY-th of all rows (so fewer than HEAVY keys) are broadcast; no task of the other join meets a larger one.
+    rows is read twice, so it should be a written table too.
+    """
+    limit = (table.agg(F.sum(size)).first()[0] or 0) / HEAVY
+    heavy, light = F.broadcast(table.where(F.col(size) > limit)), table.where(F.col(size) <= limit)
+    return rows.join(heavy, on).unionByName(rows.join(heavy.select(*on), on, "left_anti").join(light, on))
+
+
 def slices(batch: pa.RecordBatch, text: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     if not batch.num_rows:
         return
