@@ -261,7 +261,6 @@ def jaccard_components(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str =
     rows = described.where("column IS NULL").select("id", "n", "s1", "s2")
     known = rows.where("id IS NOT NULL AND n > 0")
     classes = scratch.keep(known.groupBy("s1", "s2").agg(F.min("id").alias("class"), F.count("*").alias("members")), "classes")
-    classed = scratch.keep(heavy_join(known, classes, ["s1", "s2"], "members").select("id", "n", "s1", "s2", "class"), "classed")
 
     # The frequent columns by the upper half of their hashes (a clash only moves a column in the order): at most
     # FREQUENT_MOST, so small enough for every task.
@@ -272,7 +271,7 @@ def jaccard_components(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str =
     hot, often = hot[by_hash], often[by_hash]
 
     # One row for each class: its first columns. An entry of the index is what one row has in one column.
-    copies = scratch.keep(classed.where("id != class").select("id", "s1", "s2"), "copies")
+    copies = scratch.keep(heavy_join(known, classes, ["s1", "s2"], "members").where("id != class").select("id", "s1", "s2"), "copies")
     prefixes = texts.where("id IS NOT NULL").transform(in_workers, _prefixes(rule, hot, often), "id long, s1 long, s2 long, n long, columns array<long>, parts array<int>")
     index = prefixes.join(few(copies), ["id", "s1", "s2"], "left_anti").select("id", "n", F.posexplode(F.arrays_zip("columns", "parts")).alias("place", "e"))
     # Size and place in one number: what is shuffled here is the largest table of all.
@@ -284,22 +283,21 @@ def jaccard_components(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str =
     for k in range(1, ROUNDS + 2):
         if live.isEmpty():
             break
-        if k <= ROUNDS:
-            found = _gathered(texts, live, rule, scratch, k)
-        else:
-            found = _across(texts, live, rule, scratch)
+        found = _gathered(texts, live, rule, scratch, k) if k <= ROUNDS else _across(texts, live, rule, scratch)
         found = scratch.keep(found, f"links-{k}")
         links = found if links is None else links.union(found)
-        linked = scratch.keep(components(links, scratch, f"graph-{k}"), f"components-{k}")
+        linked = components(links, scratch, f"graph{k}")
         if k <= ROUNDS:
             live = _open(live.select("id", "n", "column", "place"), linked, scratch, k)
-    # Rows of one class are named by a skew-safe join, so that none makes a task long. Classes of one id with several texts are one.
-    every = classes.groupBy("class").agg(F.sum("members").alias("members"))
-    if linked is not None:
-        every = every.join(linked.withColumnRenamed("node", "class"), "class", "left")
-    every = scratch.keep(every.withColumn("component_id", F.coalesce("component", "class") if linked is not None else F.col("class")).select("class", "members", "component_id"), "named")
-    scratch.drop_all_but("described", "classed", "named")
-    named = heavy_join(classed, every, ["class"], "members").select("id", "n", "component_id")
+            scratch.drop(f"live-{k - 1}")
+    # Rows are named by a skew-safe join with their class, so that no large class makes a task long.
+    if linked is None:
+        named = classes.withColumn("component_id", F.col("class"))
+    else:
+        named = classes.join(linked.withColumnRenamed("node", "class"), "class", "left").withColumn("component_id", F.coalesce("component", "class"))
+    named = scratch.keep(named.select("s1", "s2", "members", "component_id"), "named")
+    scratch.drop_all_but("described", "named")
+    named = heavy_join(known, named, ["s1", "s2"], "members").select("id", "n", "component_id")
     alone = rows.where("id IS NULL OR n = 0").select("id", "n", F.col("id").alias("component_id"))
     return named.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
@@ -310,8 +308,8 @@ def _gathered(texts: DataFrame, live: DataFrame, rule: Jaccard, scratch: Scratch
     sizes = scratch.keep(keyed.groupBy("key").agg(F.sum("n").alias("entries"), F.count("*").alias("members")).where("members > 1"), f"keys-{k}")
     parts = F.ceil(F.col("entries") / KEY_ENTRIES)
     member = heavy_join(keyed, sizes, ["key"], "members").select("id", "key", F.pmod(F.xxhash64("id", F.lit(k)), parts).alias("part"))
-    member = scratch.keep(member, f"members-{k}")
-    sets = texts.join(few(member), "id").transform(in_workers, _whole_sets(rule, "id", "key", "part"), "id long, key long, part long, values binary")
+    number = sizes.agg(F.sum("members")).first()[0] or 0
+    sets = texts.join(few(member, number), "id").transform(in_workers, _whole_sets(rule, "id", "key", "part"), "id long, key long, part long, values binary")
     return _multiplied(sets, ["key", "part"], rule, cut=True)
 
 
@@ -324,13 +322,10 @@ def _multiplied(sets: DataFrame, keys: list[str], rule: Jaccard, cut: bool) -> D
 
 def _open(live: DataFrame, linked: DataFrame, scratch: Scratch, k: int) -> DataFrame:
     """The entries of columns whose rows are in several components, with their component, and the column's number of entries and largest component."""
-    entries = live.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    entries = scratch.keep(entries, f"placed-{k}")
+    entries = live.join(few(linked.withColumnRenamed("node", "id")), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = entries.groupBy("column", "component").count().groupBy("column").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.count("*").alias("components"), F.sum("count").alias("entries"))
     sizes = scratch.keep(sizes.where("components > 1").drop("components"), f"columns-{k}")
-    out = scratch.keep(heavy_join(entries, sizes, ["column"], "entries"), f"live-{k}")
-    scratch.drop(f"placed-{k}")
-    return out
+    return scratch.keep(heavy_join(entries, sizes, ["column"], "entries"), f"live-{k}")
 
 
 def _across(texts: DataFrame, live: DataFrame, rule: Jaccard, scratch: Scratch) -> DataFrame:
@@ -347,14 +342,13 @@ def _across(texts: DataFrame, live: DataFrame, rule: Jaccard, scratch: Scratch)
     if pairs.isEmpty():
         return pairs
     # Row blocks in which both rows of each pair meet: within the groups of rows that pairs connect, by a bucket of each row.
-    groups = scratch.keep(components(pairs, scratch, "groups"), "groups")
+    groups = components(pairs, scratch, "groups")
     sizes = groups.join(live.select(F.col("id").alias("node"), "n").distinct(), "node").groupBy("component").agg(F.sum("n").alias("entries"), F.count("*").alias("members"))
     sizes = scratch.keep(sizes, "group-sizes")
     buckets = F.ceil(F.greatest(F.col("members") / (BLOCK_ROWS // 2), F.col("entries") / BLOCK_ENTRIES))
-    placed = scratch.keep(heavy_join(groups, sizes, ["component"], "members").select("node", "component", F.pmod(F.xxhash64("node"), buckets).alias("bucket")), "buckets")
+    placed = heavy_join(groups, sizes, ["component"], "members").select("node", "component", F.pmod(F.xxhash64("node"), buckets).alias("bucket"))
     met = pairs.join(placed.toDF("a", "group", "i"), "a").join(placed.select(F.col("node").alias("b"), F.col("bucket").alias("j")), "b")
     met = met.select("group", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.explode(F.array("a", "b")).alias("id")).distinct()
     met = scratch.keep(met, "met")
-    needed = scratch.keep(met.select("id").distinct(), "needed")
-    sets = texts.join(few(needed), "id", "left_semi").transform(in_workers, _whole_sets(rule, "id"), "id long, values binary")
+    sets = texts.join(few(met.select("id").distinct()), "id", "left_semi").transform(in_workers, _whole_sets(rule, "id"), "id long, values binary")
     return _multiplied(met.join(sets, "id"), ["group", "i", "j"], rule, cut=False)

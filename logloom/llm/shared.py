@@ -103,9 +103,9 @@ class Scratch:
 BROADCAST_ROWS = 400_000
 
 
-def few(ids: DataFrame) -> DataFrame:
-    """ids (one long column, a written table), marked for broadcast if it has BROADCAST_ROWS rows at most."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+def few(ids: DataFrame, number: int | None = None) -> DataFrame:
+    """ids (some long columns, a written table), marked for broadcast if it has BROADCAST_ROWS rows at most; number: where it is known."""
+    return F.broadcast(ids) if (ids.count() if number is None else number) <= BROADCAST_ROWS else ids
 
 
 #: Keys that are joined by broadcast because many rows have them: those with more than 1 of so many rows.

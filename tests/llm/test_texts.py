@@ -280,10 +280,11 @@ def test_components_of_a_long_chain(spark):
     frame = spark.createDataFrame(edges, "a long, b long").repartition(16)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        found = dict(components(frame, Scratch(spark, "test"), "chain").collect())
+        scratch = Scratch(spark, "test")
+        found, other = (dict(components(frame, scratch, f"chain{limit}", one_task=limit).collect()) for limit in (20, 1 << 20))
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert {found[n] for n in nodes[:2000]} == {min(nodes[:2000])} and {found[n] for n in nodes[2001:2501]} == {min(nodes[2001:2501])}
+    assert found == other and {found[n] for n in nodes[:2000]} == {min(nodes[:2000])} and {found[n] for n in nodes[2001:2501]} == {min(nodes[2001:2501])}
 
 
 # 9
