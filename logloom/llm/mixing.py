@@ -1,60 +1,51 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 Rows of each source are put in a fixed pseudo-random order (by MD5 of the id) and cut into blocks of equal size. The
-k-th block (from 1) of a source of weight w is released at floor((k - 1) / w) and due at ceil(k / w); in every slot the
-released block with the earliest deadline goes next. The weights of the sources sum to 1, so every block meets its
-deadline, and at any time each source is less than one block away from its target.
-
-Weights are exact fractions (of their decimal form), so nothing drifts however many blocks there are: the driver deals
-out block after block, in whole numbers, and the slots come back as a table of one row for each block. When a source
-has no block left, a new phase begins in which the others share its part in proportion; there are at most as many
-phases as sources. No row is dropped or repeated.
+target is a fluid: in every slot each source that has rows left gets its share of one block, its weight over the weights of
+those sources; when one is used up, the others share its part in proportion. The k-th block (from 1) of a source is
+released in the slot in which its fluid begins and due at the end of the slot in which it ends; in every slot the
+released block with the earliest deadline goes next. The fluid fills every slot, so every block meets its deadline, and at any
+time each source is less than one block away from its target, counted from the beginning. As long as no source is used up, these are
+the windows floor((k - 1) / w) and ceil(k / w) of a weight w.
+
+Weights are exact fractions (of their decimal form), so nothing drifts however many blocks there are. With v, the fluid's
+time, source i has got min(w_i v, n_i) of its n_i blocks; the sum of these is the slot, which the driver knows in closed form
+between the times at which sources end. It deals out one block after another, in whole numbers, and the slots come back as a
+table of one row for each block. Blocks are larger where there are more than MOST_BLOCKS of them, so that the driver's work and
+the table have a bound (MOST_BLOCKS and one for each source). No row is dropped or repeated.
 
 Places in a source come from a count for each bucket of the hash and a row number within the bucket, so that a source
 with most of the rows is dealt over many tasks.
 
 Defined results: a null source is a source of its own, and so is an empty one; a source without a given weight gets the
 mean of the given ones; a weight that is not positive counts as 1 of PARTS of the sum of the others (as 1 if there are none); rows that
-repeat an id have places of their own, in no defined order among equal rows; a null id counts as an empty one; clashing column names
-are kept from the input (the schedule's columns are prefixed with `mix_`).
+repeat an id have places of their own, in no defined order among equal rows; a null id counts as an empty one; all columns of the input
+are kept whatever their names: a column of the schedule (prefixed with `mix_`) whose name is taken has underscores behind its name.
 """
 
 from __future__ import annotations
 
 import heapq
+from array import array
+from bisect import bisect_right
 from collections.abc import Mapping
 from fractions import Fraction
+from itertools import accumulate
 from math import lcm
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS
+from .shared import BROADCAST_ROWS, free_name
 
-#: Rows of a block, parts of which a source without a positive weight gets one, and hexadecimal digits of a bucket of the order.
-BLOCK_ROWS, PARTS, BUCKET_DIGITS = 64, 1000, 3
+#: Rows of a block at least, blocks of all sources at most (about), parts of which a source without a positive weight gets one, and hexadecimal digits of a bucket of the order.
+BLOCK_ROWS, MOST_BLOCKS, PARTS, BUCKET_DIGITS = 64, 1 << 18, 1000, 3
 #: The largest deadline that is told apart.
 LATEST = 1 << 62
-
-
-def shares(weights: Mapping[str, float], parts: int = PARTS) -> dict[str, int]:
-    """Whole parts, one at least for each source, that sum to `parts` and are nearest to the weights."""
-    names = sorted(weights)
-    parts = max(parts, len(names))
-    total = sum(max(weights[n], 0.0) for n in names)
-    exact = {n: max(weights[n], 0.0) / total * parts if total else parts / len(names) for n in names}
-    out = {n: max(1, int(exact[n])) for n in names}
-    while (left := parts - sum(out.values())) != 0:
-        step = 1 if left > 0 else -1
-        best = max((n for n in names if step > 0 or out[n] > 1), key=lambda n: (step * (exact[n] - out[n]), n))
-        out[best] += step
-    return out
-
-
-def windows(k: int, part: int, parts: int) -> tuple[int, int]:
-    """Release and deadline of the k-th block (from 1) of a source that has `part` of `parts`."""
-    return (k - 1) * parts // part, -(-k * parts // part)
+#: Columns of the schedule.
+COLUMNS = ("mix_source", "mix_place", "mix_block", "mix_release", "mix_due", "mix_phase", "mix_slot")
 
 
 def exact(weights: Mapping[str, float], parts: int = PARTS) -> dict[str, int]:
@@ -66,66 +57,98 @@ def exact(weights: Mapping[str, float], parts: int = PARTS) -> dict[str, int]:
     return {n: int(w * whole) for n, w in given.items()}
 
 
-def schedule(blocks: Mapping[str, int], weights: Mapping[str, float], parts: int = PARTS) -> dict[str, list]:
+class Fluid:
+    """The target: how many slots have passed when a source has got so much."""
+
+    def __init__(self, blocks: Mapping[str, int], own: Mapping[str, int]):
+        names = sorted(blocks, key=lambda n: Fraction(blocks[n], own[n]))
+        # Times at which sources end, what has ended before each, and the weights that are left after it.
+        self.ends = [Fraction(blocks[n], own[n]) for n in names]
+        self.ended = [0, *accumulate(blocks[n] for n in names)]
+        total = sum(own.values())
+        self.left = [total, *(total - w for w in accumulate(own[n] for n in names))]
+
+    def slots(self, got: int, weight: int) -> tuple[int, int]:
+        """The slots (whole, and whether a part of one more) that have passed when a source of this weight has got `got` blocks."""
+        k = bisect_right(self.ends, Fraction(got, weight))
+        whole, rest = divmod(got * self.left[k], weight)
+        return self.ended[k] + whole, int(rest > 0)
+
+    def phases(self) -> list[int]:
+        """The first slots after which one more source has ended."""
+        return [ended + -(-end.numerator * left // end.denominator) for end, ended, left in zip(self.ends, self.ended[1:], self.left[1:], strict=True)]
+
+
+def schedule(blocks: Mapping[str, int], weights: Mapping[str, float], parts: int = PARTS) -> dict[str, np.ndarray | list[str]]:
     """Columns of one row for each block, in the order of slots: of the released blocks the one due first has the next slot."""
-    own = exact(weights, parts)
-    done = {n: 0 for n in blocks}
-    out: dict[str, list] = {c: [] for c in ("mix_source", "mix_block", "mix_release", "mix_due", "mix_phase", "mix_slot")}
-    add = [c.append for c in out.values()]
-    start = phase = 0
-    while left := sorted(n for n in blocks if done[n] < blocks[n]):
-        total = sum(own[n] for n in left)
-        waiting = [(*windows(1, own[n], total), n, 1) for n in left]
-        heapq.heapify(waiting)
-        ready: list[tuple[int, str, int, int]] = []
-        slot, ended = 0, False
-        # The phase ends with the slot of the last block of the source that is used up first.
-        while not ended:
-            while waiting and waiting[0][0] <= slot:
-                release, due, name, k = heapq.heappop(waiting)
-                heapq.heappush(ready, (due, name, k, release))
-            due, name, k, release = heapq.heappop(ready)
-            if due <= slot:
-                raise AssertionError(f"block {k} of {name} missed its deadline {due}")
-            for put, value in zip(add, (name, done[name], release, min(due, LATEST), phase, start + slot), strict=True):
-                put(value)
-            done[name] += 1
-            slot += 1
-            ended = done[name] == blocks[name]
-            heapq.heappush(waiting, (*windows(k + 1, own[name], total), name, k + 1))
-        start, phase = start + slot, phase + 1
-    return out
+    blocks = {n: k for n, k in blocks.items() if k > 0}
+    own = exact({n: weights[n] for n in blocks}, parts)
+    fluid = Fluid(blocks, own)
+    names = sorted(blocks)
+    out = {c: array("q") for c in ("source", "mix_block", "mix_release", "mix_due", "mix_slot")}
+    # Of each source the block that is next: (release, due, source, number).
+    waiting: list[tuple[int, int, int, int]] = []
+    ready: list[tuple[int, int, int, int]] = []
+
+    def come(source: int, block: int, release: int) -> None:
+        due, part = fluid.slots(block + 1, own[names[source]])
+        heapq.heappush(waiting, (release, due + part, source, block))
+
+    for source in range(len(names)):
+        come(source, 0, 0)
+    for slot in range(sum(blocks.values())):
+        while waiting and waiting[0][0] <= slot:
+            release, due, source, block = heapq.heappop(waiting)
+            heapq.heappush(ready, (due, source, block, release))
+        due, source, block, release = heapq.heappop(ready)
+        if due <= slot:
+            raise AssertionError(f"block {block} of {names[source]} missed its deadline {due}")
+        for column, value in zip(out.values(), (source, block, release, min(due, LATEST), slot), strict=True):
+            column.append(value)
+        if block + 1 < blocks[names[source]]:
+            come(source, block + 1, fluid.slots(block + 1, own[names[source]])[0])
+    found = {c: np.frombuffer(x, np.int64) if len(x) else np.zeros(0, np.int64) for c, x in out.items()}
+    found["mix_phase"] = np.searchsorted(np.array(sorted(fluid.phases()), np.int64), found["mix_slot"], side="right")
+    return {"mix_source": [names[k] for k in found.pop("source").tolist()], **found}
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.5, block_rows: int = BLOCK_ROWS, parts: int = PARTS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """All rows with mix_source, mix_place (in the source), mix_block (from 0), mix_release, mix_due (within the phase), mix_phase and mix_slot.
+    """All rows with mix_source, mix_place (in the source), mix_block (from 0), mix_release, mix_due (slots), mix_phase (sources ended before) and mix_slot.
 
     Without weights, each source has its number of rows to the given power.
     """
     key = F.md5(F.coalesce(docs[id_col].cast("string"), F.lit("")))
-    rows = docs.select("*", F.coalesce(docs[source_col].cast("string"), F.lit("\0null")).alias("mix_source"), key.alias("mix_key")).withColumn("mix_bucket", F.substring("mix_key", 1, BUCKET_DIGITS))
+    source = F.coalesce(docs[source_col].cast("string"), F.lit("\0null"))
+    # The row is one column on the way, so that its names meet none of those here.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), source.alias("mix_source"), key.alias("key"), docs[id_col].alias("id")).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     # One row for each source and bucket: at most 16^BUCKET_DIGITS for each source.
-    counts = rows.groupBy("mix_source", "mix_bucket").agg(F.count("*").alias("mix_n"))
-    before = Window.partitionBy("mix_source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("mix_before", F.coalesce(F.sum("mix_n").over(before), F.lit(0)))
-    sizes = {r["mix_source"]: r["n"] for r in counts.groupBy("mix_source").agg(F.sum("mix_n").alias("n")).collect()}
+    counts = docs.select(source.alias("mix_source"), F.substring(key, 1, BUCKET_DIGITS).alias("bucket")).groupBy("mix_source", "bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("mix_source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    sizes = {r["mix_source"]: r["n"] for r in counts.groupBy("mix_source").agg(F.sum("n").alias("n")).collect()}
     given = {("\0null" if n is None else n): float(w) for n, w in (weights or {}).items()}
     mean = sum(given.values()) / len(given) if given else 1.0
     wanted = {n: given.get(n, mean) if given else size**power for n, size in sizes.items()}
+    block_rows = max(block_rows, -(-sum(sizes.values()) // MOST_BLOCKS))
     slots = schedule({n: -(-size // block_rows) for n, size in sizes.items()}, wanted, parts)
-    types = {"mix_source": pa.string(), "mix_phase": pa.int32()}
-    slot_table = docs.sparkSession.createDataFrame(pa.table({c: pa.array(x, types.get(c, pa.int64())) for c, x in slots.items()}))
+    slot_table = docs.sparkSession.createDataFrame(pa.table({c: pa.array(x, pa.string() if c == "mix_source" else pa.int64()) for c, x in slots.items()}))
     if len(slots["mix_slot"]) <= BROADCAST_ROWS:
         slot_table = F.broadcast(slot_table)
 
-    within = Window.partitionBy("mix_source", "mix_bucket").orderBy("mix_key", id_col)
-    placed = rows.withColumn("mix_row", F.row_number().over(within)).join(offsets.drop("mix_n"), ["mix_source", "mix_bucket"])
-    placed = placed.withColumn("mix_place", F.col("mix_before") + F.col("mix_row") - 1).withColumn("mix_block", F.floor(F.col("mix_place") / block_rows))
-    placed = placed.join(slot_table, ["mix_source", "mix_block"])
-    source = F.when(F.col("mix_source") != "\0null", F.col("mix_source")).alias("mix_source")
-    return placed.select(*[placed[c] for c in docs.columns], source, "mix_place", "mix_block", "mix_release", "mix_due", "mix_phase", "mix_slot")
+    within = Window.partitionBy("mix_source", "bucket").orderBy("key", "id")
+    placed = rows.withColumn("number", F.row_number().over(within)).join(offsets, ["mix_source", "bucket"])
+    placed = placed.withColumn("mix_place", F.col("before") + F.col("number") - 1).withColumn("mix_block", F.floor(F.col("mix_place") / block_rows))
+    placed = placed.join(slot_table, ["mix_source", "mix_block"]).withColumn("mix_source", F.when(F.col("mix_source") != "\0null", F.col("mix_source")))
+    own = schedule_columns(docs.columns)
+    return placed.select(*[F.col("row").getField(c).alias(c) for c in docs.columns], *[F.col(c).alias(own[c]) for c in COLUMNS])
+
+
+def schedule_columns(columns: list[str]) -> dict[str, str]:
+    """What the columns of the schedule are called beside these columns of the input."""
+    return {c: free_name(c, columns) for c in COLUMNS}
 
 
 def in_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The rows in their mixed order: files written from it hold the slots one after another."""
-    return mixed.repartitionByRange(F.col("mix_slot"), F.col("mix_place")).sortWithinPartitions("mix_slot", "mix_place").select(*columns)
+    own = schedule_columns(columns)
+    return mixed.repartitionByRange(F.col(own["mix_slot"]), F.col(own["mix_place"])).sortWithinPartitions(own["mix_slot"], own["mix_place"]).select(*columns)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -69,34 +70,49 @@ def test_scripts_narrow_candidates(spark):
 # 2
 
 
-def brute_schedule(blocks, parts):
-    """Slots by earliest deadline, one by one, over all blocks of one phase."""
-    total, done, out = sum(parts.values()), Counter(), []
-    while all(done[n] < blocks[n] for n in parts):
-        slot = len(out)
-        ready = [(mixing.windows(done[n] + 1, parts[n], total)[1], n) for n in parts if mixing.windows(done[n] + 1, parts[n], total)[0] <= slot]
-        due, name = min(ready)
-        assert due > slot
-        out.append(name)
-        done[name] += 1
+def brute_target(blocks, weights):
+    """What each source should have got after each slot, slot by slot and end by end, in fractions."""
+    got, out = dict.fromkeys(blocks, Fraction(0)), []
+    for _ in range(sum(blocks.values())):
+        room = Fraction(1)
+        while room and (left := [n for n in blocks if got[n] < blocks[n]]):
+            total = sum(weights[n] for n in left)
+            step = min(room, *((blocks[n] - got[n]) * total / weights[n] for n in left))
+            for n in left:
+                got[n] += step * weights[n] / total
+            room -= step
+        out.append(dict(got))
     return out
 
 
+@pytest.mark.parametrize("weights", [{"a": 0.2, "b": 0.3, "c": 0.5}, {"a": 2**0.5, "b": 3.14159265358979, "c": 0.1, "d": 9.0}])
+def test_schedule_follows_the_target(weights):
+    r = random.Random(12)
+    blocks = {n: r.randint(3, 60) for n in weights}
+    own = mixing.exact(weights)
+    found = mixing.schedule(blocks, weights)
+    seen, windows = Counter(), defaultdict(list)
+    for t, (name, target) in enumerate(zip(found["mix_source"], brute_target(blocks, {n: Fraction(w) for n, w in own.items()}), strict=True)):
+        seen[name] += 1
+        windows[name].append((int(found["mix_release"][t]), int(found["mix_due"][t]), int(found["mix_block"][t])))
+        assert all(abs(seen[n] - target[n]) < 1 for n in blocks) and found["mix_release"][t] <= t < found["mix_due"][t]
+        assert found["mix_phase"][t] == sum(x == blocks[n] for n, x in (brute_target(blocks, {n: Fraction(w) for n, w in own.items()})[t - 1] if t else {}).items())
+    assert seen == blocks and found["mix_phase"][-1] >= 1 and all([w[2] for w in own] == list(range(len(own))) for own in windows.values())
+
+
 def test_mixing_follows_the_schedule(spark):
     docs = spark.createDataFrame([(i, "abc"[min(2, i % 6 // 2 if i % 2 else 0)], "t") for i in range(3000)], "doc_id long, source string, mix_n string")
     weights = {"a": 0.2, "b": 0.3, "c": 0.5}
-    mixed = mixing.mix(docs, weights, block_rows=8, parts=10)
+    mixed = mixing.mix(docs, weights, block_rows=8)
     assert mixed.count() == 3000 and "mix_n" in mixed.columns
     slots = dict(mixed.select("mix_slot", "mix_source").distinct().collect())
     assert sorted(slots) == list(range(len(slots)))
     sizes = mixed.groupBy("mix_source", "mix_block").count()
     assert sizes.where("count > 8").count() == 0 and sizes.where("count < 8").count() <= 3
     blocks = {r["mix_source"]: r["n"] for r in sizes.groupBy("mix_source").agg(F.count("*").alias("n")).collect()}
-    wanted = brute_schedule(blocks, {"a": 2, "b": 3, "c": 5})
-    assert [slots[i] for i in range(len(wanted))] == wanted
-    for t in range(1, len(wanted) + 1):
-        seen = Counter(wanted[:t])
-        assert all(abs(seen[n] - w * t) < 1 for n, w in weights.items())
+    for t, target in enumerate(brute_target(blocks, {n: Fraction(str(w)) for n, w in weights.items()}), 1):
+        seen = Counter(slots[k] for k in range(t))
+        assert all(abs(seen[n] - target[n]) < 1 for n in weights)
     ordered = mixing.in_order(mixed, ["doc_id", "source"])
     assert ordered.count() == 3000 and ordered.columns == ["doc_id", "source"]
 
@@ -114,10 +130,29 @@ def test_mixing_stays_within_a_block_of_exact_weights():
     assert many["mix_source"][:1201].count("7") == 2
 
 
+def test_schedule_of_many_sources():
+    r = random.Random(13)
+    blocks = {str(i): r.randint(1, 4) for i in range(10_000)}
+    found = mixing.schedule(blocks, {n: r.random() for n in blocks})
+    assert Counter(found["mix_source"]) == blocks and found["mix_phase"].max() > 100 and (found["mix_due"] > found["mix_slot"]).all() and (found["mix_release"] <= found["mix_slot"]).all()
+
+
+def test_mixing_larger_blocks_beyond_the_most(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 10)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
+    mixed = mixing.mix(docs)
+    assert mixed.count() == mixed.select("doc_id").distinct().count() == 3000 and mixed.select("mix_slot").distinct().count() <= 12
+
+
 def test_mixing_odd_rows(spark, odd_docs, no_docs):
     assert mixing.mix(odd_docs).count() == odd_docs.count() and mixing.mix(no_docs).count() == 0
     assert mixing.mix(odd_docs, {"a": 1.0, "nowhere": 2.0, "b": -1}).count() == odd_docs.count()
-    assert mixing.shares({"a": 1.0, "b": 0.0}, 10) == {"a": 9, "b": 1} and sum(mixing.shares({str(i): 1.0 for i in range(7)}, 10).values()) == 10
+    names = ["mix_source", "mix_slot", "MIX_block", "key", "bucket", "row", "number", "before", "mix_place_"]
+    clashing = odd_docs.select("doc_id", "source", "text", *[F.lit(f"own {n}").alias(n) for n in names])
+    mixed = mixing.mix(clashing)
+    assert mixed.columns[: len(clashing.columns)] == clashing.columns and {"mix_source_", "mix_slot_", "mix_block_", "mix_place"} <= set(mixed.columns)
+    assert {tuple(r) for r in mixed.select(*names).collect()} == {tuple(f"own {n}" for n in names)}
+    assert mixing.in_order(mixed, clashing.columns).columns == clashing.columns
 
 
 # 3
