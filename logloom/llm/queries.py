@@ -109,7 +109,7 @@ def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, secret="logloom-pseudonyms-1")
+    return pii.pseudonymise(docs, secret=spark.conf.get("spark.logloom.pseudonym.key", "for tests only"))
 
 
 def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Operators over texts, against brute force and on odd rows."""
 
 import hashlib
+import hmac
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -213,19 +215,114 @@ def luhn(digits):
 
 
 def test_pseudonyms_keep_their_format(spark, odd_docs, no_docs):
-    texts = ["4111 1111 1111 1111, 4111111111111111; 4111111111111112", "1988-02-29 29.02.1988 1987-02-29", "10.0.0.1", "+1 (743) 555-3824", "mail a.b@x.org!", "1988-02-29", None, ""]
+    texts = ["4111 1111 1111 1111, 4111111111111111; 4111111111111112", "1988-02-29 29.02.1988 1987-02-29", "10.0.0.1", "+1 (743) 555-3824", "mail a.b@x.org!", "1988-02-29", None, "", "Ann.LEE9@x.org"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
     out = {r["doc_id"]: r for r in pii.pseudonymise(docs, "k").collect()}
     spaced, plain, bad = re.findall(r"[\d ]{15,}", out[0]["text"])
     assert spaced.strip().replace(" ", "") == plain.strip() != "4111111111111111" and luhn(plain.strip()) == 0 and bad.strip() == "4111111111111112" and out[0]["n_card"] == 2
     first, second, third = out[1]["text"].split(" ")
     assert first.split("-") == second.split(".")[::-1] and third == "1987-02-29" and out[5]["text"] == first and out[1]["n_date"] == 2
-    assert re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}", out[2]["text"]) and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", out[3]["text"]) and re.fullmatch(r"mail [a-z0-9]\.[a-z0-9]@x\.org!", out[4]["text"])
-    assert out[6]["text"] is None and out[7]["text"] == ""
+    assert re.fullmatch(r"(\d{1,3}\.){3}\d{1,3}", out[2]["text"]) and re.fullmatch(r"\+1 \(7\d{2}\) 5\d{2}-\d{4}", out[3]["text"]) and re.fullmatch(r"mail [a-z0-9]\.[a-z0-9]@x\.org!", out[4]["text"])
+    assert out[6]["text"] is None and out[7]["text"] == "" and re.fullmatch(r"[A-Z0-9][a-z0-9]{2}\.[A-Z0-9]{3}[a-z0-9]@x\.org", out[8]["text"])
     assert pii.pseudonymise(docs, "other").where("doc_id = 2").first()["text"] != out[2]["text"]
     assert pii.pseudonymise(odd_docs, "k").count() == odd_docs.count() and pii.pseudonymise(no_docs, "k").count() == 0
 
 
+def test_pseudonyms_keep_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a@b.org", 7, "p", "x")], "doc_id long, text string, n_mail int, pii string, N_CARD string")
+    row = pii.pseudonymise(docs, "k").first().asDict()
+    assert (row["n_mail"], row["pii"], row["N_CARD"], row["n_mail_"], row["n_card_"], row["n_date"]) == (7, "p", "x", 1, 0, 0)
+
+
+def hmac_hex(secret, message):
+    return hmac.new(secret.encode(), message.encode(), "sha256").hexdigest()
+
+
+def brute_permuted(digits, secret, tweak, radix):
+    signs = "0123456789abcdefghijklmnopqrstuvwxyz"[:radix]
+    n, half = len(digits), len(digits) // 2
+    sizes = (radix**half, radix ** (n - half)) if n > 1 else {10: (2, 5), 36: (6, 6)}[radix]
+    left, right = divmod(int(digits, radix), sizes[1])
+    for k in range(pii.ROUNDS):
+        left = (left + int(hmac_hex(secret, f"{tweak}:{n}|{2 * k}|{right}")[:15], 16)) % sizes[0]
+        right = (right + int(hmac_hex(secret, f"{tweak}:{n}|{2 * k + 1}|{left}")[:15], 16)) % sizes[1]
+    value, out = left * sizes[1] + right, ""
+    for _ in range(n):
+        value, d = divmod(value, radix)
+        out = signs[d] + out
+    return out
+
+
+def brute_cards(text, secret):
+    """The whole replacement of card numbers."""
+
+    def card_at(groups, a):
+        for length in pii.CARD_LENGTHS:
+            for b in range(a + 1, min(a + 5, len(groups)) + 1):
+                digits = "".join(groups[a:b])
+                if len(digits) == length and re.match(pii.CARD_LAYOUTS, " ".join(str(len(g)) for g in groups[a:b])) and luhn(digits) == 0:
+                    return b
+        return 0
+
+    def run(m):
+        parts = re.split("([ -])", m[0])
+        groups, between = parts[::2], [*parts[1::2], ""]
+        a = 0
+        while a < len(groups):
+            if b := card_at(groups, a):
+                digits = "".join(groups[a:b])
+                new = brute_permuted(digits[:-1], secret, "card", 10)
+                new += next(c for c in "0123456789" if luhn(new + c) == 0)
+                for k in range(a, b):
+                    groups[k], new = new[: len(groups[k])], new[len(groups[k]) :]
+            a = b or a + 1
+        return "".join(g + s for g, s in zip(groups, between, strict=True))
+
+    return re.sub(r"(?<![0-9A-Za-z])[0-9]+(?![0-9A-Za-z])(?:[ -][0-9]+(?![0-9A-Za-z]))*", run, text)
+
+
+def test_cards_against_brute_force(spark):
+    r = random.Random(14)
+
+    def card(n):
+        body = "".join(r.choice("0123456789") for _ in range(n - 1))
+        return body + next(c for c in "0123456789" if luhn(body + c) == 0)
+
+    def written():
+        digits = card(r.choice([13, 14, 15, 16, 16, 16, 18, 19]))
+        sign = r.choice([" ", "-"])
+        cuts = r.choice([[len(digits)], [4] * 5, [4, 6, 5], [4, 6, 4], [5] * 4])
+        out = []
+        for c in cuts:
+            out, digits = [*out, digits[:c]], digits[c:]
+        return sign.join(x for x in [*out, digits] if x)
+
+    bits = [written, written, lambda: str(r.randint(0, 99)), lambda: "1988-02-29", lambda: "29th", lambda: "x", lambda: "a4111111111111111", lambda: "".join(r.choice("0123456789") for _ in range(r.randint(12, 24)))]
+    texts = [r.choice([" ", " ", "-", ", ", "\n"]).join(r.choice(bits)() for _ in range(r.randint(1, 9))) for _ in range(400)]
+    texts += ["call 29 4111111111111111 now", "on 1988-02-29 4111 1111 1111 1111", "4111 1111 1111 1111 29", " ".join("4111 1111 1111 1111" for _ in range(300)), "1 " * 5000 + "4111111111111111", "7" * 30_000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = pii.pseudonymise(docs, "key 1", kinds=tuple(k for k in pii.KINDS if k.name == "card"))
+    got = {x["doc_id"]: (x["text"], x["n_card"]) for x in found.collect()}
+    assert [i for i, t in enumerate(texts) if got[i][0] != brute_cards(t, "key 1")] == []
+    assert all(got[len(texts) - k][1] == 1 for k in (6, 5, 4, 2)) and got[len(texts) - 3][1] == 300 and got[len(texts) - 1][1] == 0
+
+
+def test_keyed_hash_is_hmac(spark):
+    for secret in ("k", "x" * 100, "ключ"):
+        assert spark.range(1).select(pii.keyed_hash(secret, F.lit("a|1|é"))).first()[0] == hmac_hex(secret, "a|1|é")
+
+
+@pytest.mark.parametrize("radix, n", [(10, 1), (36, 1), (10, 2), (36, 2), (36, 3)])
+def test_small_domains_are_permuted(spark, radix, n):
+    signs = "0123456789abcdefghijklmnopqrstuvwxyz"[:radix]
+    every = ["".join(x) for x in itertools.islice(itertools.product(signs, repeat=n), 2000)]
+    rows = spark.createDataFrame([(x,) for x in every], "d string")
+    out = dict(rows.select("d", pii.permute_digits(F.col("d"), "k", "x", radix)).collect())
+    assert out == {d: brute_permuted(d, "k", "x", radix) for d in every} and len(set(out.values())) == len(every)
+    # No shift: distances between values change.
+    assert len({(signs.index(out[d][-1]) - signs.index(d[-1])) % radix for d in every}) > 2
+
+
 def test_feistel_is_a_permutation(spark):
     numbers = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     out = numbers.select("d", pii.permute_digits(F.col("d"), "k", "x").alias("e")).select("d", "e", pii.permute_digits(F.col("e"), "k", "x", back=True).alias("b"))
