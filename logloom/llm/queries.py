@@ -11,17 +11,28 @@ from . import language_id, mixing, pii, secrets, toxicity, warc
 from .nndescent import near_duplicates
 from .ngram_join import Jaccard, jaccard_components
 from .sentencepiece_codec import encode_digests
+from .shared import Scratch
 from .topk import top_k
 
 
+# The base kinds, with the group and the number of its characters that decide, as the contract gives them.
+# Capital and small letters are spelled out, as other letters fold to them where case is ignored.
+SECRET_KINDS = (
+    ("assign", """(?:([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    ("access", "AKIA[A-Z0-9]+", 0, 18),
+    ("hex", "[0-9a-f]+", 0, 16),
+    ("private_key", "-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\\s]+-----END [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("web_token", "eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8,}", 0, 1),
+)
+
+
 def _secret_kind(k: int, kind: str, pattern: str, group: int, least: int) -> str:
-    pattern = pattern.replace("'", "''")
     return f"SELECT doc_id, {k} AS k, '{kind}' AS kind, {least} AS least, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {group}) AS g, regexp_split_to_array(t, '{pattern}') AS p FROM d WHERE regexp_matches(t, '{pattern}')"
 
 
 SECRETS_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-c AS ({" UNION ALL ".join(_secret_kind(k, r.kind, r.long_pattern or r.pattern, r.group, r.least) for k, r in enumerate(secrets.RULES))}),
+c AS ({" UNION ALL ".join(_secret_kind(k, *kind) for k, kind in enumerate(SECRET_KINDS))}),
 i AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM c),
 s AS (SELECT doc_id, k, kind, coalesce(list_sum(list_transform(p[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS b, length(m[i]) AS n
       FROM i WHERE length(g[i]) >= least),
@@ -55,6 +66,15 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+VERSIONS_SQL = """
+WITH t AS (SELECT DISTINCT coalesce(text, '') AS t FROM conversations),
+b AS (SELECT coalesce(text, '') AS t FROM conversations UNION ALL SELECT coalesce(text, '') FROM documents),
+s AS (SELECT count(*) AS n FROM b WHERE regexp_matches(t, '(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?[A-Za-z0-9+/_.=-]{12}|AKIA[A-Z0-9]{14}|[0-9a-f]{16}|-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\\s]+-----END [A-Z ]*PRIVATE KEY-----|eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]{8}'))
+SELECT (SELECT count(*) FROM t) AS scanned_first, (SELECT count(DISTINCT t) FROM b) - (SELECT count(*) FROM t) AS scanned_then, 0::BIGINT AS scanned_again,
+       (SELECT count(*) FROM b) AS paths, (SELECT count(*) FROM b) AS paths_scanned, (SELECT n FROM s) AS paths_with_secrets
+"""
+
+
 LINKS_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
 u AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS n FROM v),
@@ -98,8 +118,20 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    findings, _ = secrets.scan(_table(spark, sf_dir, "documents"))
-    return secrets.digest(findings)
+    docs = _table(spark, sf_dir, "documents")
+    ledger = secrets.Ledger(spark, Scratch(spark, "op3").path("ledger"))
+    ledger.update(docs)
+    return secrets.digest(ledger.findings(docs))
+
+
+def secret_ledger_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two updates of one ledger scan: conversations, then these and documents; only blobs unseen so far count."""
+    turns = _table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("path"), "text")
+    both = turns.unionByName(_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text"))
+    ledger = secrets.Ledger(spark, Scratch(spark, "versions").path("ledger"))
+    scanned = [ledger.update(x, path_col="path") for x in (turns, both, both)]
+    found = ledger.findings(both, path_col="path").agg(F.count("*").alias("paths"), F.count_if(F.size("spans") > 0).alias("paths_with_secrets"), F.count("spans").alias("paths_scanned"))
+    return found.select(F.lit(scanned[0]).cast("long").alias("scanned_first"), F.lit(scanned[1]).cast("long").alias("scanned_then"), F.lit(scanned[2]).cast("long").alias("scanned_again"), "paths", "paths_scanned", "paths_with_secrets")
 
 
 def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,8 +171,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_pfair_mix, op3_secret_ledger, op4_pii_feistel, op5_arc_to_warc, op6_nn_descent, op7_ngram_jaccard, op8_exact_top_k, op9_toxicity, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_language_id, op2_pfair_mix, op3_secret_ledger, op4_pii_feistel, op5_arc_to_warc, op6_nn_descent, op7_ngram_jaccard, op8_exact_top_k, op9_toxicity, op10_sentencepiece, secret_ledger_versions)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_secret_ledger": SECRETS_SQL, "op5_arc_to_warc": WARC_SQL, "op6_nn_descent": LINKS_SQL, "op7_ngram_jaccard": JACCARD_SQL, "op8_exact_top_k": TOP_K_SQL}
+    return {"op3_secret_ledger": SECRETS_SQL, "op5_arc_to_warc": WARC_SQL, "op6_nn_descent": LINKS_SQL, "op7_ngram_jaccard": JACCARD_SQL, "op8_exact_top_k": TOP_K_SQL, "secret_ledger_versions": VERSIONS_SQL}

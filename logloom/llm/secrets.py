@@ -1,14 +1,16 @@
 """Secret scans over an incremental blob ledger, in DataFrame functions only.
 
-Every version of a text is content-addressed by its SHA-256. A ledger holds one row for each blob and rule-set
-version that has been scanned, with the spans found. A scan takes the blobs of its input, leaves out the pairs
+Every version of a text is content-addressed by its SHA-256. The ledger is a Parquet folder with one row for each blob and
+rule-set version that has been scanned, with the spans found. An update takes the blobs of its input, leaves out the pairs
 of blob and rule version that the ledger has, runs the rules on the rest once for each blob, however many paths hold
-it, and joins findings back to all paths.
+it, and appends what it found. Findings are the ledger joined back to all paths.
 
-Spans are in code points, end exclusive. They come from two parallel cuts of a text, the matches and the pieces
-between them: the running sum of their lengths gives each match's place. Defined results: a null text counts as
-the empty blob; an empty text has no spans; rows that repeat a path are each returned; null paths are returned as
-they are; columns of the input other than path and text are ignored whatever their names.
+Which rows are to be scanned is settled on paths and hashes alone; texts are not shuffled as long as the rows to leave out are
+few enough to be broadcast. Spans are in code points, end exclusive. They come from two parallel cuts of a text, the matches and
+the pieces between them: the running sum of their lengths gives each match's place.
+
+Defined results: a null text counts as the empty blob; an empty text has no spans; rows that repeat a path are each returned; null
+paths are returned as they are; columns of the input other than path and text are ignored whatever their names.
 """
 
 from __future__ import annotations
@@ -16,9 +18,11 @@ from __future__ import annotations
 import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import Scratch, few
+
 SPANS = "array<struct<start:int,kind_no:int,kind:string,end:int>>"
 LEDGER_SCHEMA = f"blob string, rules string, spans {SPANS}"
 
@@ -77,19 +81,52 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return listed.select("blob", F.lit(rules_version(rules)).alias("rules"), F.col("spans").cast(SPANS).alias("spans"))
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(findings, news): for each row its path, blob and spans; and the ledger rows to append, of pairs not yet scanned."""
-    version = rules_version(rules)
-    texts = docs.select(docs[path_col].alias("path"), F.coalesce(docs[text_col], F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
-    unseen = texts.select("blob", "text")
-    if ledger is not None:
-        unseen = unseen.join(ledger.where(F.col("rules") == version).select("blob"), "blob", "left_anti")
-    news = scan_blobs(unseen.dropDuplicates(["blob"]), rules)
-    known = news if ledger is None else news.unionByName(ledger.where(F.col("rules") == version))
-    with_spans = known.where(F.size("spans") > 0).select("blob", "spans")
-    findings = texts.select("path", "blob").join(with_spans, "blob", "left")
-    findings = findings.select(F.col("path").alias(path_col), "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
-    return findings, news
+def _texts(docs: DataFrame, path_col: str, text_col: str) -> DataFrame:
+    return docs.select(docs[path_col].alias("path"), F.coalesce(docs[text_col], F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
+
+
+class Ledger:
+    """The table of scanned blobs in a folder that all executors share."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+        self.begun = False
+
+    def rows(self, rules: tuple[Rule, ...] | None = None) -> DataFrame:
+        """(blob, rules, spans), of this rule-set version if one is given."""
+        if not self.begun:
+            self.spark.createDataFrame([], LEDGER_SCHEMA).write.mode("append").parquet(self.folder)
+            self.begun = True
+        rows = self.spark.read.schema(LEDGER_SCHEMA).parquet(self.folder)
+        return rows if rules is None else rows.where(F.col("rules") == rules_version(rules))
+
+    def update(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES, path_col: str = "doc_id", text_col: str = "text") -> int:
+        """Scan what the ledger does not have yet, and append it; the number of blobs scanned."""
+        scratch = Scratch(self.spark, "secrets")
+        # 128 bits stand for a row: of its path and of its blob.
+        own = F.xxhash64(F.coalesce(F.col("path").cast("string"), F.lit("\0null")), "blob").alias("own"), F.conv(F.substring("blob", 1, 15), 16, 10).cast("long").alias("of")
+        texts = _texts(docs, path_col, text_col).select("text", "blob", *own)
+        narrow = scratch.keep(texts.select("blob", "own", "of"), "rows")
+        blobs = narrow.groupBy("blob").agg(F.min("own").alias("first"), F.count("*").alias("rows"))
+        todo = scratch.keep(blobs.join(self.rows(rules).select("blob"), "blob", "left_anti"), "blobs")
+        number = todo.count()
+        if number:
+            chosen = narrow.join(todo.select("blob", F.col("first").alias("own"), F.lit(True).alias("chosen")), ["blob", "own"], "left")
+            passed = scratch.keep(chosen.where("chosen IS NULL").select("own", "of").distinct(), "passed")
+            # Rows that repeat path and text: one of them is scanned.
+            again = scratch.keep(chosen.where("chosen").groupBy("own", "of").count().where("count > 1").select("own", "of"), "again")
+            left = texts.join(few(passed), ["own", "of"], "left_anti")
+            once = left.join(few(again), ["own", "of"], "left_anti").select("blob", "text")
+            if not again.isEmpty():
+                once = once.union(left.join(few(again), ["own", "of"], "left_semi").select("blob", "text").dropDuplicates(["blob"]))
+            scan_blobs(once, rules).write.mode("append").parquet(self.folder)
+        scratch.drop_all_but()
+        return number
+
+    def findings(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES, path_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        """(path, blob, spans) of every row; its blob must have been scanned, as `update` sees to (spans are NULL if not)."""
+        known = self.rows(rules).select("blob", "spans")
+        return _texts(docs, path_col, text_col).select("path", "blob").join(known, "blob", "left").select(F.col("path").alias(path_col), "blob", "spans")
 
 
 def listed(spans: Column) -> Column:
