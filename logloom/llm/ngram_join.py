@@ -9,12 +9,11 @@ The product is worked out in blocks of rows. A block's overlap counts are accumu
 products of the block's part of the incidence matrix with itself; pairs are discarded once the columns that are left cannot
 lift their count to ceil(t / (1 + t) (|x| + |y|)), and rows without a pair are dropped from the block.
 
-Only what decides the components is multiplied. In each of a few rounds, rows are put in blocks by the least of their
-shared columns (in another order each round), which gathers near copies; a large group makes many blocks, and the next
-round mixes its rows anew. What is left are columns whose rows are in several components: there the product of
-the prefix part accumulates the count of each pair of different components, tile by tile; pairs that pass the
-bounds of sizes, places and counts go into row blocks in which both meet, whose product decides them. So a group of m near
-copies costs about its number of rows, and no link between components is missed.
+Only what decides the components is multiplied. In each of a few rounds, rows are put in blocks by the least column of their
+prefix (in another order each round) and their size, which gathers near copies; a large group makes many blocks, and the next
+round mixes its rows anew. What is left are columns of the prefixes whose rows are in several components: pairs of different
+components that pass the bounds of sizes and places there go into row blocks in which both meet, whose product decides
+them. So a group of m near copies costs about its number of rows, and no link between components is missed.
 
 Shingles are 64-bit hashes, sets are told apart by 128 bits. A column that workers do not report as frequent occurs at
 most once in each COUNT_BYTES of text, so it is too small a part of any table to make a task long.
@@ -36,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .graph import components, stars_of
 from .shared import Scratch, few, give_back, heavy_join, in_workers, slices, text_buffers
-from .textkernel import mix, shingle_sets, sums
+from .textkernel import ORDER, mix, shingle_sets, sums
 
 #: Text bytes that are cut into shingles at once.
 SLICE = 1 << 19
@@ -44,12 +43,12 @@ SLICE = 1 << 19
 COUNT_BYTES, COUNT_LEAST, FREQUENT_LEAST = 32 << 20, 2, 8
 #: Columns known as frequent at most (they only set the order, so any number gives the same pairs). 2 x 8 bytes each.
 FREQUENT_MOST = 1 << 18
-#: Entries of one column that one task counts, and of one tile of a column.
-CHUNK = 512
+#: Entries of one column that one task counts, and of one tile of a column; pairs of tiles looked at at once, about.
+CHUNK, TILE_PAIRS = 512, 1 << 18
 #: Rounds of row blocks; rows and entries of a row block; columns of a column block.
 ROUNDS, BLOCK_ROWS, BLOCK_ENTRIES, BLOCK_COLUMNS = 2, 256, 1 << 18, 2048
-#: Entries of one key of a round that one task takes.
-KEY_ENTRIES = 8 * BLOCK_ENTRIES
+#: Rows of one key of a round that one task takes, about; first bits by which most columns are told to be rare.
+KEY_ROWS, FILTER_BITS = 4096, 20
 
 SET_SCHEMA = "id long, n long, s1 long, s2 long, column long, count long"
 
@@ -115,7 +114,22 @@ def _describe(rule: Jaccard):
 
 
 def _prefixes(rule: Jaccard, hot: np.ndarray, often: np.ndarray):
-    """The first columns of each row in the global order, and the part to which the row goes in each that is dealt out (-1: it is not)."""
+    """The first columns of each row in the global order, and the part to which the row goes in each that is dealt out (-1: it is not).
+
+    Before them stand the keys of the rounds' row blocks, last round first: hashes of the least column in that round's order, and of the size.
+    """
+    # Most columns are told to be rare by a table of the first bits of frequent ones.
+    some = np.zeros(1 << FILTER_BITS, bool)
+    some[hot >> np.uint32(32 - FILTER_BITS)] = True
+
+    def ranks(values: np.ndarray) -> np.ndarray:
+        rank = np.zeros(len(values), np.int64)
+        upper = (values >> np.uint64(32)).astype(np.uint32)
+        asked = np.flatnonzero(some[upper >> np.uint32(32 - FILTER_BITS)])
+        if len(asked):
+            at = np.minimum(np.searchsorted(hot, upper[asked]), len(hot) - 1)
+            rank[asked] = np.where(hot[at] == upper[asked], often[at], 0)
+        return rank
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,19 +138,42 @@ def _prefixes(rule: Jaccard, hot: np.ndarray, often: np.ndarray):
                 s1, s2 = _ids(values, bounds)
                 n = np.diff(bounds)
                 owner = np.repeat(np.arange(len(n)), n)
-                rank = np.zeros(len(values), np.int64)
-                if len(hot) and len(values):
-                    upper = (values >> np.uint64(32)).astype(np.uint32)
-                    at = np.minimum(np.searchsorted(hot, upper), len(hot) - 1)
-                    rank = np.where(hot[at] == upper, often[at], 0)
-                order = np.lexsort((values, rank, owner))
-                place = np.arange(len(values)) - np.repeat(bounds[:-1], n)
-                take = place < np.repeat(np.where(n > 0, rule.prefix(n), 0), n)
-                tokens, ranks, owners = values[order][take], rank[order][take], owner[take]
-                lengths = np.bincount(owners, minlength=len(n))
-                cuts = pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32))
-                parts = np.maximum(1, -(-ranks // CHUNK))
+                rank = ranks(values)
+                # Rare columns are in order; the frequent ones follow, by their number.
+                rare, rest = np.flatnonzero(rank == 0), np.flatnonzero(rank)
+                rest = rest[np.lexsort((values[rest], rank[rest], owner[rest]))]
+                n_rare = np.bincount(owner[rare], minlength=len(n))
+                places = []
+                for at, own in ((rare, np.zeros(len(n), np.int64)), (rest, n_rare)):
+                    first = np.searchsorted(owner[at], np.arange(len(n)))
+                    places.append(np.arange(len(at)) - (first - own)[owner[at]])
+                lengths = np.where(n > 0, rule.prefix(n), 0)
+                begin = np.concatenate(([0], np.cumsum(lengths)))
+                order = np.zeros(begin[-1], np.int64)
+                for at, place in zip((rare, rest), places, strict=True):
+                    take = place < lengths[owner[at]]
+                    order[begin[owner[at[take]]] + place[take]] = at[take]
+                tokens, ranks_, owners = values[order], rank[order], owner[order]
+                # Keys of the row blocks.
+                full = np.flatnonzero(lengths)
+                keys, key_ranks = np.zeros((len(full), ROUNDS), np.uint64), np.zeros((len(full), ROUNDS), np.int64)
+                size = np.floor(2 * np.log2(np.maximum(n[full], 1))).astype(np.uint64)
+                for k in range(ROUNDS):
+                    mixed = mix(tokens ^ ORDER[k])
+                    least = np.minimum.reduceat(mixed, begin[full]) if len(full) else mixed
+                    where = np.flatnonzero(mixed == np.repeat(least, lengths[full]))
+                    # Of equal hashes (there should be none) any will do.
+                    rank_of = np.zeros(len(n), np.int64)
+                    rank_of[owners[where]] = ranks_[where]
+                    keys[:, ROUNDS - 1 - k] = mix(least + (size + np.uint64(1)) * ORDER[3] + np.uint64(k))
+                    key_ranks[:, ROUNDS - 1 - k] = rank_of[full]
+                put = np.repeat(begin[full], ROUNDS)
+                tokens = np.insert(tokens, put, keys.ravel())
+                parts = np.maximum(1, -(-ranks_ // CHUNK))
+                parts = np.insert(parts, put, np.maximum(1, -(-key_ranks.ravel() // KEY_ROWS)))
+                owners = np.insert(owners, put, np.repeat(full, ROUNDS))
                 deal = (mix(s1.view(np.uint64))[owners] % parts.astype(np.uint64)).astype(np.int32)
+                cuts = pa.array(np.concatenate(([0], np.cumsum(np.where(lengths > 0, lengths + ROUNDS, 0)))).astype(np.int32))
                 columns = pa.ListArray.from_arrays(cuts, pa.array(tokens.view(np.int64)))
                 dealt = pa.ListArray.from_arrays(cuts, pa.array(np.where(parts > 1, deal, -1).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(s1), pa.array(s2), pa.array(n), columns, dealt], names=["id", "s1", "s2", "n", "columns", "parts"])
@@ -226,28 +263,37 @@ def _products(rule: Jaccard, keys: list[str], cut: bool):
 
 
 def _tile(rule: Jaccard):
-    """Of a tile of one column: pairs of rows in different components, with the count that the columns up to this one must reach.
-
-    After this column, in the order, a pair can share no more columns than the shorter rest of the two rows.
-    """
+    """Of tiles of columns: pairs of rows in different components that can have the similarity if they share no column before this one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def field(rows, name):
-            return rows.values.field(name).to_numpy(zero_copy_only=False)[rows.offsets[0].as_py() : rows.offsets[-1].as_py()]
+        def lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, list[np.ndarray]]:
+            rows = batch.column(name)
+            bounds = rows.offsets.to_numpy().astype(np.int64)
+            return bounds, [rows.values.field(f).to_numpy(zero_copy_only=False) for f in ("id", "n", "place", "component")]
 
         for batch in batches:
-            for k, major in enumerate(batch.column("major").to_pylist()):
-                x, y = batch.column("xs").slice(k, 1), batch.column("ys").slice(k, 1)
-                (xi, xn, xp, xc), (yi, yn, yp, yc) = ([field(rows, f) for f in ("id", "n", "place", "component")] for rows in (x, y))
-                least = rule.least(xn[:, None] + yn[None, :])
-                needed = least - np.minimum((xn - xp - 1)[:, None], (yn - yp - 1)[None, :])
+            (xb, (xi, xn, xp, xc)), (yb, (yi, yn, yp, yc)) = lists(batch, "xs"), lists(batch, "ys")
+            major = batch.column("major").to_numpy(zero_copy_only=False)
+            nx, ny = np.diff(xb), np.diff(yb)
+            ends = np.cumsum(nx * ny)
+            first = 0
+            # All pairs of many small tiles at once.
+            while first < len(nx):
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + TILE_PAIRS, side="right")))
+                some = np.arange(first, last)
+                tile = np.repeat(some, (nx * ny)[some])
+                k = np.arange(len(tile)) - np.repeat((ends - nx * ny)[some] - (ends[first - 1] if first else 0), (nx * ny)[some])
+                a, b = xb[tile] + k // ny[tile], yb[tile] + k % ny[tile]
+                first = last
                 # Of two rows outside the major component, which meet twice, the smaller id comes from the left.
-                once = (yc == major)[None, :] | (xi[:, None] < yi[None, :])
-                a, b = np.nonzero((xc[:, None] != yc[None, :]) & once & (np.minimum(xn[:, None], yn[None, :]) >= least) & (needed <= np.minimum(xp[:, None], yp[None, :]) + 1))
-                low, high, needed = np.minimum(xi[a], yi[b]), np.maximum(xi[a], yi[b]), needed[a, b].astype(np.int64)
-                for at in range(0, len(low), 50_000):
-                    some = slice(at, at + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(low[some]), pa.array(high[some]), pa.array(needed[some])], names=["a", "b", "needed"])
+                ok = np.flatnonzero((xc[a] != yc[b]) & ((yc[b] == major[tile]) | (xi[a] < yi[b])))
+                a, b = a[ok], b[ok]
+                least = rule.least(xn[a] + yn[b])
+                ok = (np.minimum(xn[a], yn[b]) >= least) & (np.minimum(xn[a] - xp[a], yn[b] - yp[b]) >= least)
+                low, high = np.minimum(xi[a[ok]], yi[b[ok]]), np.maximum(xi[a[ok]], yi[b[ok]])
+                pairs = np.unique(np.stack([low, high], axis=1), axis=0) if len(low) else np.zeros((0, 2), np.int64)
+                for at in range(0, len(pairs), 50_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[at : at + 50_000, 0]), pa.array(pairs[at : at + 50_000, 1])], names=["a", "b"])
 
     return run
 
@@ -278,7 +324,8 @@ def jaccard_components(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str =
     index = index.select("id", "e.columns", F.col("e.parts").cast("long").alias("part"), (F.shiftleft("n", 32) + F.col("place")).alias("np")).withColumnRenamed("columns", "column")
     count = F.count("*").over(Window.partitionBy("column", "part"))
     index = index.withColumn("entries", count).where("entries > 1 OR part >= 0")
-    live = scratch.keep(index.select("id", F.shiftright("np", 32).alias("n"), "column", F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place")), "live-0")
+    place = F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).cast("int") - ROUNDS
+    live = scratch.keep(index.select("id", F.shiftright("np", 32).alias("n"), "column", "part", place.alias("place")), "live-0")
     links = linked = None
     for k in range(1, ROUNDS + 2):
         if live.isEmpty():
@@ -288,7 +335,7 @@ def jaccard_components(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str =
         links = found if links is None else links.union(found)
         linked = components(links, scratch, f"graph{k}")
         if k <= ROUNDS:
-            live = _open(live.select("id", "n", "column", "place"), linked, scratch, k)
+            live = _open(live, linked, scratch, k)
             scratch.drop(f"live-{k - 1}")
     # Rows are named by a skew-safe join with their class, so that no large class makes a task long.
     if linked is None:
@@ -303,13 +350,9 @@ def jaccard_components(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str =
 
 
 def _gathered(texts: DataFrame, live: DataFrame, rule: Jaccard, scratch: Scratch, k: int) -> DataFrame:
-    """Links (a, b) within row blocks: a row goes to the least of its columns, in an order of this round."""
-    keyed = scratch.keep(live.groupBy("id", "n").agg(F.min(F.xxhash64("column", F.lit(k))).alias("key")), f"keyed-{k}")
-    sizes = scratch.keep(keyed.groupBy("key").agg(F.sum("n").alias("entries"), F.count("*").alias("members")).where("members > 1"), f"keys-{k}")
-    parts = F.ceil(F.col("entries") / KEY_ENTRIES)
-    member = heavy_join(keyed, sizes, ["key"], "members").select("id", "key", F.pmod(F.xxhash64("id", F.lit(k)), parts).alias("part"))
-    number = sizes.agg(F.sum("members")).first()[0] or 0
-    sets = texts.join(few(member, number), "id").transform(in_workers, _whole_sets(rule, "id", "key", "part"), "id long, key long, part long, values binary")
+    """Links (a, b) within the row blocks of a round."""
+    member = scratch.keep(live.where(F.col("place") == -k).select("id", F.col("column").alias("key"), "part"), f"members-{k}")
+    sets = texts.join(few(member), "id").transform(in_workers, _whole_sets(rule, "id", "key", "part"), "id long, key long, part long, values binary")
     return _multiplied(sets, ["key", "part"], rule, cut=True)
 
 
@@ -322,23 +365,20 @@ def _multiplied(sets: DataFrame, keys: list[str], rule: Jaccard, cut: bool) -> D
 
 def _open(live: DataFrame, linked: DataFrame, scratch: Scratch, k: int) -> DataFrame:
     """The entries of columns whose rows are in several components, with their component, and the column's number of entries and largest component."""
-    entries = live.join(few(linked.withColumnRenamed("node", "id")), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    entries = live.select("id", "n", "column", "part", "place").join(few(linked.withColumnRenamed("node", "id")), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = entries.groupBy("column", "component").count().groupBy("column").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.count("*").alias("components"), F.sum("count").alias("entries"))
     sizes = scratch.keep(sizes.where("components > 1").drop("components"), f"columns-{k}")
-    return scratch.keep(heavy_join(entries, sizes, ["column"], "entries"), f"live-{k}")
+    return scratch.keep(heavy_join(entries, sizes, ["column"], "entries").select("id", "n", "column", "part", "place", "component", "major", "entries"), f"live-{k}")
 
 
 def _across(texts: DataFrame, live: DataFrame, rule: Jaccard, scratch: Scratch) -> DataFrame:
     """Links (a, b) between components: of pairs that share a column of their prefixes and pass the bounds."""
-    entries = live.withColumn("tiles", F.ceil(F.col("entries") / CHUNK)).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
+    entries = live.where("place >= 0").withColumn("tiles", F.ceil(F.col("entries") / CHUNK)).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
     listed = F.collect_list(F.struct("id", "n", "place", "component"))
     every = entries.groupBy("column", "tile").agg(listed.alias("ys"))
     minor = entries.where("component <> major").groupBy("column", F.col("tile").alias("own"), "tiles", "major").agg(listed.alias("xs"))
     tiles = minor.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).join(every, ["column", "tile"])
-    # The count over the prefix part, up to the last column that can still decide.
-    counted = tiles.select("major", "xs", "ys").transform(in_workers, _tile(rule), "a long, b long, needed long")
-    pairs = counted.groupBy("a", "b").agg(F.count("*").alias("count"), F.max("needed").alias("needed")).where("count >= needed").select("a", "b")
-    pairs = scratch.keep(pairs, "pairs")
+    pairs = scratch.keep(tiles.select("major", "xs", "ys").transform(in_workers, _tile(rule), "a long, b long").distinct(), "pairs")
     if pairs.isEmpty():
         return pairs
     # Row blocks in which both rows of each pair meet: within the groups of rows that pairs connect, by a bucket of each row.
