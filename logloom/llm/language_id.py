@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .shared import in_workers, slices
+from .shared import free_name, in_workers, slices
 from .textkernel import BASE, mix
 
 UND = "und"
@@ -247,24 +248,42 @@ def label(texts: list[str], reader: Reader, model: Model) -> Iterator[tuple[str,
         yield model.languages[lang], float(held[lang] / letters.sum() * min(confidence, 1.0)), spans
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = True) -> DataFrame:
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, spans) of every row; spans are (start, end, lang) in code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader()
-        for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                found = list(label(part.column("text").to_pylist(), reader, model))
-                columns = {"id": part.column("id"), "lang_pred": pa.array([x[0] for x in found], pa.string()), "score": pa.array([x[1] for x in found], pa.float64())}
-                if spans:
-                    columns["spans"] = pa.array([[{"start": s, "end": e, "lang": n} for s, e, n in x[2]] for x in found], pa.list_(pa.struct({"start": pa.int32(), "end": pa.int32(), "lang": pa.string()})))
-                yield pa.RecordBatch.from_pydict(columns)
+        for part, found in _labelled(batches, model, "text"):
+            spans = pa.array([[{"start": s, "end": e, "lang": n} for s, e, n in x[2]] for x in found], pa.list_(pa.struct({"start": pa.int32(), "end": pa.int32(), "lang": pa.string()})))
+            yield pa.RecordBatch.from_pydict({"id": part.column("id"), **_verdicts(found), "spans": spans})
 
-    schema = "id long, lang_pred string, score double" + ", spans array<struct<start:int,end:int,lang:string>>" * spans
+    schema = "id long, lang_pred string, score double, spans array<struct<start:int,end:int,lang:string>>"
     texts = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     return texts.transform(in_workers, run, schema).withColumnRenamed("id", id_col)
 
 
+def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> tuple[DataFrame, str, str]:
+    """The rows as they are with their language and score, and the names of these two columns: lang_pred and score, with underscores behind them where a column is called so."""
+    names = [free_name(c, docs.columns) for c in ("lang_pred", "score")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in _labelled(batches, model, text_col):
+            yield pa.RecordBatch.from_arrays([*part.columns, *_verdicts(found).values()], names=[*part.schema.names, *names])
+
+    schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
+    return docs.transform(in_workers, run, schema), *names
+
+
+def _labelled(batches: Iterator[pa.RecordBatch], model: Model, text: str) -> Iterator[tuple[pa.RecordBatch, list]]:
+    reader = Reader()
+    for batch in batches:
+        for part in slices(batch, text, SLICE):
+            yield part, list(label([t or "" for t in part.column(text).to_pylist()], reader, model))
+
+
+def _verdicts(found: list) -> dict[str, pa.Array]:
+    return {"lang_pred": pa.array([x[0] for x in found], pa.string()), "score": pa.array([x[1] for x in found], pa.float64())}
+
+
 def fold(id_col: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds`; null for a null id."""
     return F.crc32(id_col.cast("string").cast("binary")) % folds

@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components, stars_of
@@ -50,7 +50,7 @@ ROUNDS, BLOCK_ROWS, BLOCK_ENTRIES, BLOCK_COLUMNS = 2, 256, 1 << 18, 2048
 #: Rows of one key of a round that one task takes, about; first bits by which most columns are told to be rare.
 KEY_ROWS, FILTER_BITS = 4096, 20
 
-SET_SCHEMA = "id long, n long, s1 long, s2 long, column long, count long"
+SET_SCHEMA = "id long, h long, n long, s1 long, s2 long, column long, count long"
 
 
 @dataclass(frozen=True)
@@ -93,14 +93,14 @@ def _describe(rule: Jaccard):
             counts = np.diff(np.append(first, len(every)))
             often = counts >= COUNT_LEAST
             none = pa.nulls(int(often.sum()), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(every[first[often]].astype(np.int64)), pa.array(counts[often])], names=["id", "n", "s1", "s2", "column", "count"])
+            return pa.RecordBatch.from_arrays([none] * 5 + [pa.array(every[first[often]].astype(np.int64)), pa.array(counts[often])], names=["id", "h", "n", "s1", "s2", "column", "count"])
 
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 values, bounds = _sets(part, rule.width)
                 s1, s2 = _ids(values, bounds)
                 none = pa.nulls(part.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(bounds)), pa.array(s1), pa.array(s2), none, none], names=["id", "n", "s1", "s2", "column", "count"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), pa.array(np.diff(bounds)), pa.array(s1), pa.array(s2), none, none], names=["id", "h", "n", "s1", "s2", "column", "count"])
                 held.append((values >> np.uint64(32)).astype(np.uint32))
                 size += part.column("text").nbytes
                 if size >= COUNT_BYTES:
@@ -299,12 +299,12 @@ def _tile(rule: Jaccard):
 
 
 def jaccard_components(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row: its set's size, and the smallest id that links reach from it."""
+    """(id, n_shingles, component_id, text_hash) of every row: its set's size, the smallest id that links reach from it, and `text_hash` of its text."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
     texts = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    described = scratch.keep(texts.transform(in_workers, _describe(rule), SET_SCHEMA), "described")
-    rows = described.where("column IS NULL").select("id", "n", "s1", "s2")
+    described = scratch.keep(texts.withColumn("h", text_hash(F.col("text"))).transform(in_workers, _describe(rule), SET_SCHEMA), "described")
+    rows = described.where("column IS NULL").select("id", "h", "n", "s1", "s2")
     known = rows.where("id IS NOT NULL AND n > 0")
     classes = scratch.keep(known.groupBy("s1", "s2").agg(F.min("id").alias("class"), F.count("*").alias("members")), "classes")
 
@@ -344,9 +344,14 @@ def jaccard_components(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str =
         named = classes.join(linked.withColumnRenamed("node", "class"), "class", "left").withColumn("component_id", F.coalesce("component", "class"))
     named = scratch.keep(named.select("s1", "s2", "members", "component_id"), "named")
     scratch.drop_all_but("described", "named")
-    named = heavy_join(known, named, ["s1", "s2"], "members").select("id", "n", "component_id")
-    alone = rows.where("id IS NULL OR n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return named.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    named = heavy_join(known, named, ["s1", "s2"], "members").select("id", "n", "component_id", "h")
+    alone = rows.where("id IS NULL OR n = 0").select("id", "n", F.col("id").alias("component_id"), "h")
+    return named.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("h").alias("text_hash"))
+
+
+def text_hash(text: Column) -> Column:
+    """64 bits that tell the texts of one id apart; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _gathered(texts: DataFrame, live: DataFrame, rule: Jaccard, scratch: Scratch, k: int) -> DataFrame:

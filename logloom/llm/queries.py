@@ -108,13 +108,14 @@ def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(_table(spark, sf_dir, "documents"), Jaccard(width=4, num=85, den=100))
+    return jaccard_components(_table(spark, sf_dir, "documents"), Jaccard(width=4, num=85, den=100)).drop("text_hash")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    found = language_id.predict(docs, language_id.fit_documents(docs), spans=False)
-    return found.select("doc_id", (language_id.fold(found["doc_id"], 4) == 2).alias("held_out"), "lang_pred", "score")
+    found = language_id.predict(docs, language_id.fit_documents(docs))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"], s["lang"])), ",")
+    return found.select("doc_id", (language_id.fold(found["doc_id"], 4) == 2).alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"), spans.alias("spans"))
 
 
 def op3_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
