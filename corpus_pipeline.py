@@ -3,6 +3,12 @@
 Language identification rejects texts without a language, the n-gram Jaccard join keeps one document of each group of near
 copies, the secret scan blanks out what it finds, mixing puts the rows in the order of the Pfair schedule (the files of its
 result hold the slots one after another), and SentencePiece turns them into token ids.
+
+Decisions are made for rows, not for ids. Defined results: a null text counts as empty, so language rejects it; a row with a null
+id is kept or rejected by its own text, is in no group of near copies, and gets a place and ids like others; of rows that
+repeat an id with different texts each has its own fate; rows that repeat id and text are one document, of which near_copies keeps one
+row (if the id is not null); empty tables stay empty; columns of the input are kept whatever their names. Ties between near copies go to
+the smallest id.
 """
 
 from __future__ import annotations
@@ -11,10 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm import language_id, mixing, secrets
-from logloom.llm.ngram_join import Jaccard, jaccard_components
+from logloom.llm.ngram_join import Jaccard, jaccard_components, text_hash
 from logloom.llm.queries import piece_model
 from logloom.llm.sentencepiece_codec import encode_documents
-from logloom.llm.shared import Scratch, few
+from logloom.llm.shared import Scratch, cleared, few, free_name
 
 #: A text is rejected whose language is unknown, or whose score is under this.
 LEAST_LANGUAGE_SCORE = 0.25
@@ -22,28 +28,38 @@ LEAST_LANGUAGE_SCORE = 0.25
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of an identified language."""
-    found = language_id.predict(docs, language_id.fit_documents(docs), spans=False)
-    rejected = found.where((F.col("lang_pred") == language_id.UND) | (F.col("score") < LEAST_LANGUAGE_SCORE))
-    kept = Scratch(spark, "language").keep(rejected.select("doc_id").distinct(), "rejected")
-    return docs.join(few(kept), "doc_id", "left_anti").select(*docs.columns)
+    found, lang, score = language_id.with_language(docs, language_id.fit_documents(docs))
+    return found.where((F.col(lang) != language_id.UND) & (F.col(score) >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one whose id names the group."""
+    scratch = Scratch(spark, "copies")
     groups = jaccard_components(docs, Jaccard(width=5, num=80, den=100))
-    dropped = Scratch(spark, "copies").keep(groups.where("doc_id <> component_id").select("doc_id").distinct(), "dropped")
-    return docs.join(few(dropped), "doc_id", "left_anti").select(*docs.columns)
+    rows = scratch.keep(groups.where("doc_id IS NOT NULL").groupBy("doc_id", "text_hash").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")), "rows")
+    dropped = scratch.keep(rows.where("doc_id <> component_id").select("doc_id", "text_hash"), "dropped")
+    hashed = free_name("text_hash", docs.columns)
+    left = docs.withColumn(hashed, text_hash(F.col("text"))).join(few(dropped).withColumnRenamed("text_hash", hashed), ["doc_id", hashed], "left_anti")
+    again = scratch.keep(rows.where("doc_id = component_id AND rows > 1").select("doc_id", "text_hash"), "again")
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    again = few(again).withColumnRenamed("text_hash", hashed)
+    once = left.join(again, ["doc_id", hashed], "left_semi").dropDuplicates(["doc_id", hashed])
+    return left.join(again, ["doc_id", hashed], "left_anti").unionByName(once).select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the secrets in their texts blanked out."""
-    blob = F.sha2(F.coalesce("text", F.lit("")), 256)
-    ledger = secrets.scan_blobs(docs.select(blob.alias("blob"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["blob"]))
-    hits = ledger.where(F.size("spans") > 0).select(F.col("blob").alias("_blob"), "spans")
-    joined = docs.withColumn("_blob", blob).join(hits, "_blob", "left")
-    clean = F.when(F.col("spans").isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), F.col("spans")))
-    n_chars = F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))
-    return joined.withColumn("text", clean).withColumn("n_chars", n_chars).select(*docs.columns)
+    scratch = Scratch(spark, "ledger")
+    ledger = secrets.Ledger(spark, scratch.path("ledger"))
+    ledger.update(docs)
+    hits = scratch.keep(ledger.rows(secrets.RULES).where(F.size("spans") > 0).select("blob", "spans"), "hits")
+    blob, spans, held = (free_name(c, docs.columns) for c in ("blob", "spans", "had_spans"))
+    number = hits.agg(F.sum(F.size("spans") + 2)).first()[0] or 0
+    joined = docs.withColumn(blob, F.sha2(F.coalesce("text", F.lit("")), 256)).join(few(hits, number).toDF(blob, spans), blob, "left")
+    joined = joined.withColumn(held, F.col(spans).isNotNull()).withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), F.col(spans))))
+    n_chars = F.when(F.col(held), F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return joined.withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,8 +86,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each result is written and read again."""
-    docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
+    """Apply the stages to documents; each result is written and read again, and what came before it is deleted."""
+    docs, scratch, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline"), None
     for name, stage in STAGES:
-        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        with cleared():
+            docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return docs
