@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # Texts that mean "missing", month names, and keyword rules of event types in their order.
 MISSING = ("unknown", "None", "N/A", "")
-MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
+MONTH_NAMES = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 EVENT_TYPE_RULES = (
     (("security_audit", "audit_", "security-auditing", "审计", "安全"), "SECURITY_ALERT"),
     (("登录", "login", "auth", "认证", "logout"), "AUTHENTICATION"),
@@ -135,13 +135,33 @@ def _moment(text: Column, tz: str, year: Column) -> Column:
 
     zone = F.regexp_extract(text, iso, 7)
     offset = F.when(zone == "Z", F.lit(tz)).otherwise(F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, -2, 2)))
-    month = F.instr(F.lit(MONTHS), F.initcap(F.regexp_extract(text, bsd, 1)))
-    month = F.when((month % 3) == 1, F.floor(month / 3).cast("int") + 1)
+    named = F.array_position(F.array(*[F.lit(m) for m in MONTH_NAMES]), F.initcap(F.regexp_extract(text, bsd, 1)))
+    month = F.nullif(named, F.lit(0)).cast("int")
     from_iso = F.try_make_timestamp(part(iso, 1), part(iso, 2), part(iso, 3), part(iso, 4), part(iso, 5), part(iso, 6, "decimal(16,6)"), offset)
     from_bsd = F.try_make_timestamp(year, month, part(bsd, 2), part(bsd, 3), part(bsd, 4), part(bsd, 5, "decimal(16,6)"), F.lit(tz))
     return F.when(text.rlike(iso), from_iso).when(text.rlike(bsd), from_bsd)
 
 
+def rule_moment(text: Column, tz: str) -> Column:
+    """A timestamp that a rule took: ISO with a zone (Z is UTC), ISO without one or `Y-m-d H:M:S` on the source's clock, or seconds since 1970. NULL otherwise."""
+    return let(F.trim(text), lambda t: _rule_moment(t, tz))
+
+
+def _rule_moment(text: Column, tz: str) -> Column:
+    zoned = r"^(\d{4})-(\d{1,2})-(\d{1,2})T(\d{1,2}):(\d{1,2}):(\d{1,2})(Z|[+-]\d{2}:?\d{2})$"
+    local = r"^(\d{4})-(\d{1,2})-(\d{1,2})[T ](\d{1,2}):(\d{1,2}):(\d{1,2})$"
+
+    def made(pattern: str, zone: Column) -> Column:
+        parts = [F.regexp_extract(text, pattern, i).try_cast("int") for i in range(1, 6)]
+        return F.try_make_timestamp(*parts, F.regexp_extract(text, pattern, 6).try_cast("decimal(16,6)"), zone)
+
+    zone = F.regexp_extract(text, zoned, 7)
+    offset = F.when(zone == "Z", "+00:00").otherwise(F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, -2, 2)))
+    seconds = text.try_cast("decimal(16,6)")
+    since = F.when(text.rlike(r"^\d{1,11}(?:\.\d{1,6})?$") & (seconds > 0), F.timestamp_micros((seconds * 1_000_000).cast("long")))
+    return F.when(text.rlike(zoned), made(zoned, offset)).when(text.rlike(local), made(local, F.lit(tz))).otherwise(since)
+
+
 def bsd_stamp(line: Column) -> Column:
     """The first `Mon d HH:MM:SS` anywhere in a line."""
     found = r"([A-Za-z]{3})\s+(\d{1,2})\s+(\d{2}:\d{2}:\d{2})"
@@ -204,6 +224,6 @@ def nested_shape(text: Column) -> Column:
 
 
 def numeric_kv(text: Column, key: str) -> Column:
-    """Whether the key has a whole number in KEY=n, KEY="n" or "key": n."""
+    """Whether the key, as a word, has a whole number in KEY = n or KEY = "n", or alone in "key": n."""
     k = java_quote(key)
-    return text.rlike(rf'(?i){k}="?-?\d+"?(?:\W|$)|"{k}"\s*:\s*-?\d+')
+    return text.rlike(rf'(?i)\b{k}(?U:\s*)=(?U:\s*)"?-?\d+"?|"{k}"(?U:\s*):(?U:\s*)-?\d+(?=[,}}\s]|$)')

@@ -1,18 +1,19 @@
 """Template learning from unlabelled lines.
 
 A line's path is the classes of its first tokens, and a template only ever meets lines of its own path. So paths are learned in
-parallel, lines of one path in their order, with the same templates as one pass over the file. Templates are few;
-grouping them and writing regexes is done on the driver.
+parallel, lines of one path in their order, with the same templates as one pass over the file. Templates with one head
+signature are put together in Spark; the driver gets one for each file and signature, and writes its regex.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from logloom.functions.tokens import MOST, PREFIX, path_key, separators, tokens
@@ -129,11 +130,49 @@ def learn_templates(lines: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     return split.repartition("path", "path_key").sortWithinPartitions("path", "path_key", "line_no").mapInPandas(run, TEMPLATE_SCHEMA)
 
 
-def collect_templates(frame: DataFrame) -> dict[str, list[Template]]:
-    """Templates of each file in the order of their first lines."""
-    found: dict[str, list[Template]] = {}
-    for r in frame.orderBy("path", "first_line").toLocalIterator():
-        found.setdefault(r["path"], []).append(Template(list(r["tokens"]), list(r["seps"]), r["count"], list(r["samples"]), r["first_line"], r["path"]))
+GROUP_SCHEMA = TEMPLATE_SCHEMA + ", signature string, fields string"
+
+
+def regroup(templates: DataFrame, provider: Callable[[Template], dict[int, str] | None] | None = None) -> DataFrame:
+    """One template for each file and head signature: counts summed, tokens folded, the first distinct samples, separators of the largest one.
+
+    The provider names header fields; it is sent to the workers. What comes out grows with the forms of heads, not with the lines. Columns: path,
+    signature, first_line, tokens, seps, count, samples, fields (JSON) of the first template.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            own = [Template(list(r.tokens), list(r.seps), r.count_, list(r.samples), r.first_line) for r in frame.rename(columns={"count": "count_"}).itertuples()]
+            fields = [(provider(t) if provider else None) or {} for t in own]
+            frame["signature"] = [json.dumps(signature(t, f), ensure_ascii=False) for t, f in zip(own, fields, strict=True)]
+            frame["fields"] = [json.dumps(f) for f in fields]
+            yield frame
+
+    signed = templates.mapInPandas(run, GROUP_SCHEMA)
+    key = ["path", "signature"]
+    whole = signed.groupBy(*key).agg(
+        F.sum("count").alias("count"), F.count("*").alias("members"), F.min("first_line").alias("first_line"),
+        F.max_by("seps", F.struct("count", -F.col("first_line"))).alias("seps"), F.min_by("fields", "first_line").alias("fields"),
+    )
+    # Place by place: what all templates of a group have, else a wildcard.
+    places = signed.select(*key, F.posexplode("tokens").alias("place", "token")).groupBy(*key, "place").agg(F.min("token").alias("least"), F.max("token").alias("most"), F.count("*").alias("there"))
+    folded_ = places.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("place", "least", "most", "there"))).alias("places"))
+    # The first lines of each group, distinct ones; each task keeps only as many as are wanted.
+    lines = signed.select(*key, "first_line", F.posexplode("samples").alias("place", "sample")).groupBy(*key, "sample").agg(F.min(F.struct("first_line", "place")).alias("at"))
+    firsts = lines.withColumn("n", F.row_number().over(Window.partitionBy(*key).orderBy("at"))).where(F.col("n") <= SAMPLES)
+    samples = firsts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("n", "sample"))).alias("numbered"))
+    joined = whole.join(folded_, key).join(samples, key, "left")
+    token = lambda p: F.when((p["least"] == p["most"]) & (p["there"] == F.col("members")), p["least"]).otherwise(WILD)
+    kept = F.coalesce(F.transform("numbered", lambda x: x["sample"]), F.array().cast("array<string>"))
+    return joined.select(*key, "first_line", F.transform("places", token).alias("tokens"), "seps", "count", kept.alias("samples"), "fields")
+
+
+def collect_groups(groups: DataFrame) -> dict[str, list[tuple[Template, dict[int, str]]]]:
+    """The groups of each file with their fields, in the order of their first lines."""
+    found: dict[str, list[tuple[Template, dict[int, str]]]] = {}
+    for r in groups.orderBy("path", "first_line").toLocalIterator():
+        fields = {int(k): v for k, v in json.loads(r["fields"]).items()}
+        found.setdefault(r["path"], []).append((Template(list(r["tokens"]), list(r["seps"]), r["count"], list(r["samples"]), r["first_line"], r["path"]), fields))
     return found
 
 
@@ -250,8 +289,8 @@ def signature(t: Template, fields: dict[int, str]) -> tuple:
     return tuple(of(i, token) for i, token in enumerate(t.tokens[:end]))
 
 
-def to_patterns(templates: list[Template], provider: Callable[[Template], dict[int, str] | None] | None = None, least: int = LEAST_COUNT, category: Callable[[str], str] | None = None) -> list[Pattern]:
-    """Patterns of one file's templates: grouped by signature, those with enough lines, by count, one for each regex."""
+def grouped(templates: list[Template], provider: Callable[[Template], dict[int, str] | None] | None = None) -> list[tuple[Template, dict[int, str]]]:
+    """What `regroup` gives, for the few templates of a list."""
     groups: dict[tuple, list[tuple[Template, dict[int, str]]]] = {}
     for t in templates:
         fields = (provider(t) if provider else None) or {}
@@ -263,9 +302,14 @@ def to_patterns(templates: list[Template], provider: Callable[[Template], dict[i
             whole = folded(whole, t.tokens)
         samples = list(dict.fromkeys(s for t, _ in members for s in t.samples))[:SAMPLES]
         seps = max((t for t, _ in members), key=lambda t: t.count).seps
-        merged.append((Template(whole, seps, sum(t.count for t, _ in members), samples), members[0][1]))
+        merged.append((Template(whole, seps, sum(t.count for t, _ in members), samples, members[0][0].first_line), members[0][1]))
+    return merged
+
+
+def to_patterns(groups: list[tuple[Template, dict[int, str]]], least: int = LEAST_COUNT) -> list[Pattern]:
+    """Patterns of one file's groups of templates: those with enough lines, by count, one for each regex."""
     by_regex: dict[str, Pattern] = {}
-    for t, fields in sorted(merged, key=lambda m: -m[0].count):
+    for t, fields in sorted(groups, key=lambda m: -m[0].count):
         if t.count < least:
             continue
         regex = template_regex(t, fields)
@@ -275,6 +319,6 @@ def to_patterns(templates: list[Template], provider: Callable[[Template], dict[i
         sample = t.samples[0] if t.samples else ""
         by_regex[regex] = Pattern(
             name="", regex=regex, priority=max(1, min(100, 100 - t.count // 10)), extractor="kv_parser" if kv_share(t.samples) > 0.5 else "generic",
-            format=category(sample) if category else "", sample=sample[:SAMPLE_CHARS], count=t.count, sample_logs=tuple(t.samples),
+            sample=sample[:SAMPLE_CHARS], count=t.count, sample_logs=tuple(t.samples),
         )
     return [Pattern(**{**p.__dict__, "name": f"fmt_{i:03d}"}) for i, p in enumerate(by_regex.values())]

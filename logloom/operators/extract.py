@@ -15,7 +15,7 @@ from logloom.functions import scalars as S
 from logloom.functions.regex import translate
 from logloom.sources.library import Pattern, Rule
 
-from .match import by_pattern, group_column, match
+from .match import by_pattern, group_column, match, match_groups, python_groups
 
 GROUPS = ("priority", "severity", "timestamp", "hostname", "event_id", "source_ip", "ip", "program", "message", "json_msg")
 #: Groups without which an extractor cannot make a record.
@@ -159,7 +159,7 @@ def rule_value(rule: Rule, message: Message) -> Column:
     if rule.extract_method == "regex" and rule.regex:
         java = translate(rule.regex, anchored=False)
         if java.python_only:
-            raise ValueError(f"rule {rule.name}: {rule.regex} has no Java form")
+            return S.filled(python_groups(rule.regex, anchored=False)(message.text)[1 if java.n_groups else 0])
         return S.captured(message.text, java.java, 1 if java.n_groups else 0)
     return F.lit(None).cast("string")
 
@@ -200,13 +200,14 @@ def rule_message(rules: list[Rule], patterns: list[Pattern], message: Message, i
 
 
 def add_records(lines: DataFrame, patterns: list[Pattern], rules: list[Rule] = (), options: Options = Options(), text: str = "value", prefix: str = "") -> DataFrame:
-    """The lines with <prefix>pattern_idx and a column <prefix>record_<field> for each field, NULL where nothing matches.
+    """The lines with <prefix>pattern_idx (unless they have it) and a column <prefix>record_<field> for each field, NULL where nothing matches.
 
     They are columns, not a struct, so that the optimiser keeps each from being worked out once for every use.
     """
-    df = match(lines, patterns, text, prefix)
+    df = lines if f"{prefix}pattern_idx" in lines.columns else match(lines, patterns, text, prefix)
+    df = df.withColumn(f"_{prefix}groups", match_groups(patterns, text, prefix))
     names = [g for g in GROUPS if any(g in translate(p.regex).groups for p in patterns)]
-    df = df.withColumns({f"_{prefix}g_{g}": group_column(patterns, g, text, prefix) for g in names})
+    df = df.withColumns({f"_{prefix}g_{g}": group_column(patterns, g, text, prefix, F.col(f"_{prefix}groups")) for g in names})
 
     def group(name: str) -> Column:
         return F.col(f"_{prefix}g_{name}") if name in names else F.lit(None).cast("string")
@@ -251,9 +252,9 @@ def add_records(lines: DataFrame, patterns: list[Pattern], rules: list[Rule] = (
         if name not in ruled:
             return given
         rule = F.col(f"_{prefix}r_{name}")
-        if name == "timestamp":
-            return F.coalesce(S.moment(rule, options.tz, options.year), given)
-        return F.coalesce(S.integer(rule) if name in TYPES else rule, given)
+        # A value that is set by a rule but cannot be read is missing; the header's does not come back.
+        read = S.rule_moment(rule, options.tz) if name == "timestamp" else S.integer(rule) if name in TYPES else rule
+        return F.when(rule.isNotNull(), read).otherwise(given)
 
     out = {name: final(name) for name in (*BASE, *RULE_FIELDS)}
     out["message_content"] = F.coalesce(F.col(f"_{prefix}r_content"), out["message_content"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,45 +13,75 @@ from logloom.functions.scalars import filled
 from logloom.sources.library import Pattern
 
 
-def _python_groups(source: str):
-    """All groups of a match from the start of the text, as an array; NULL without a match."""
+def python_groups(source: str, anchored: bool = True):
+    """All groups of a match, from the start of the text if it is anchored, as an array; NULL without a match."""
 
     @F.pandas_udf("array<string>")
     def groups(values):
         compiled = re.compile(source)
-        found = (None if v is None else compiled.match(v) for v in values)
+        look = compiled.match if anchored else compiled.search
+        found = (None if v is None else look(v) for v in values)
         return values.__class__([None if m is None else [m.group(i) for i in range(compiled.groups + 1)] for m in found])
 
     return groups
 
 
+#: What parts the groups of a match in one text. A line that holds it has its groups read one by one.
+PART = "\ue000\ue001"
+
+
+def first_of(patterns: list[Pattern], text: Column, python: Callable[[int], Column] | None = None) -> Column:
+    """The number of the first pattern that matches the text from its start, or NULL: one flat chain, tried in order until one matches."""
+    chain = None
+    for i, p in enumerate(patterns):
+        java = translate(p.regex)
+        hit = python(i).isNotNull() if java.python_only else text.rlike(java.java)
+        chain = F.when(hit, F.lit(i)) if chain is None else chain.when(hit, F.lit(i))
+    return F.lit(None).cast("int") if chain is None else chain
+
+
 def match(lines: DataFrame, patterns: list[Pattern], text: str = "value", prefix: str = "") -> DataFrame:
     """The lines with <prefix>pattern_idx, the number of the first pattern that matches from the start, or NULL.
 
-    One chain of literal patterns, tried in order until one matches; Python is used only for patterns that Java cannot evaluate.
+    Python is used only for patterns that Java cannot evaluate; their groups are kept in a column of their own.
     """
-    line, out, chain = F.col(text), lines, F.lit(None).cast("int")
-    for i, p in reversed(list(enumerate(patterns))):
-        java = translate(p.regex)
-        if java.python_only:
-            out = out.withColumn(f"_{prefix}py{i}", _python_groups(p.regex)(line))
-            hit = F.col(f"_{prefix}py{i}").isNotNull()
-        else:
-            hit = line.rlike(java.java)
-        chain = F.when(hit, F.lit(i)).otherwise(chain)
-    return out.withColumn(f"{prefix}pattern_idx", chain)
+    out = lines.withColumns({f"_{prefix}py{i}": python_groups(p.regex)(F.col(text)) for i, p in enumerate(patterns) if translate(p.regex).python_only})
+    return out.withColumn(f"{prefix}pattern_idx", first_of(patterns, F.col(text), lambda i: F.col(f"_{prefix}py{i}")))
 
 
-def group_column(patterns: list[Pattern], name: str, text: str = "value", prefix: str = "") -> Column:
-    """The text of the named group in the pattern that matched; NULL where it has no such group or the group is empty."""
-    out = F.lit(None).cast("string")
+def match_groups(patterns: list[Pattern], text: str = "value", prefix: str = "") -> Column:
+    """All groups of the pattern that matched, as an array of texts: its pattern is evaluated once, whatever the number of fields."""
+    line, chain = F.col(text), None
     for i, p in enumerate(patterns):
         java: JavaPattern = translate(p.regex)
-        if name not in java.groups:
+        if not java.groups:
             continue
-        got = F.col(f"_{prefix}py{i}")[java.groups[name]] if java.python_only else F.regexp_extract(text, java.java, java.groups[name])
-        out = F.when(F.col(f"{prefix}pattern_idx") == i, filled(got)).otherwise(out)
-    return out
+        if java.python_only:
+            got = F.slice(F.col(f"_{prefix}py{i}"), 2, java.n_groups)
+        else:
+            numbers = range(1, java.n_groups + 1)
+            whole = F.regexp_replace(line, java.java + r"(?s:.*)\z", PART.join(f"${n}" for n in numbers))
+            one_by_one = F.array(*[F.regexp_extract(line, java.java, n) for n in numbers])
+            got = F.when(line.contains(PART), one_by_one).otherwise(F.split(whole, PART, -1))
+        own = F.col(f"{prefix}pattern_idx") == i
+        chain = F.when(own, got) if chain is None else chain.when(own, got)
+    return F.lit(None).cast("array<string>") if chain is None else chain
+
+
+def _numbers(patterns: list[Pattern], name: str) -> list[int]:
+    return [translate(p.regex).groups.get(name, 0) for p in patterns]
+
+
+def group_column(patterns: list[Pattern], name: str, text: str = "value", prefix: str = "", groups: Column | None = None) -> Column:
+    """The text of the named group in the pattern that matched; NULL where it has no such group or the group is empty. groups: match_groups, where it is a column already."""
+    numbers = _numbers(patterns, name)
+    if not any(numbers):
+        return F.lit(None).cast("string")
+    groups = match_groups(patterns, text, prefix) if groups is None else groups
+    if len(set(numbers)) == 1:
+        return filled(F.try_element_at(groups, F.lit(numbers[0])))
+    at = F.try_element_at(F.expr(f"array({','.join(map(str, numbers))})"), F.col(f"{prefix}pattern_idx") + 1)
+    return F.when(at > 0, filled(F.try_element_at(groups, at)))
 
 
 def by_pattern(patterns: list[Pattern], value, prefix: str = "") -> Column:

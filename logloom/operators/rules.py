@@ -25,7 +25,9 @@ KIND_PATTERNS = {
     "time": r"\d{2}:\d{2}(?::\d{2})?",
     "text": r".+",
 }
-SKIPPED, NUMERIC, LONGEST_TOKEN = {"original_data", "raw_message"}, {"severity", "priority", "source_port", "destination_port"}, 40
+SKIPPED, NUMERIC, LONGEST_TOKEN = {"original_data", "raw_message"}, {"facility", "severity", "priority"}, 40
+#: Kinds whose own pattern a rule takes behind a label, and behind a keyword.
+LABEL_KINDS, KEYWORD_KINDS = ("ip", "port", "protocol"), ("ip", "protocol")
 STABLE_FORMS = 4
 
 
@@ -69,30 +71,47 @@ def usable_mappings(mappings: Iterable[dict], samples: DataFrame | None = None)
     return kept
 
 
+def _message_rule(m: dict) -> dict | None:
+    """What carries the message, of one mapping: the whole text, an unknown part, or one key; none of them gives no rule."""
+    if m.get("source") in ("whole", "unknown"):
+        return {"source": m["source"]}
+    return next(({k: m[k]} for k in ("kv_key", "json_key") if m.get(k)), None)
+
+
+def _value_pattern(name: str, kind: str, kinds: tuple[str, ...], numbers: tuple[str, ...]) -> str:
+    if kind in kinds and name not in ("severity", "priority"):
+        return KIND_PATTERNS[kind]
+    return r"\d+" if name in ("severity", "priority") or kind in numbers else r"\S+"
+
+
 def build_rules(pattern_name: str, mappings: Iterable[dict], tag: str = "") -> list[Rule]:
-    """Rules for a pattern; the first mapping of a field counts, and one without a guide word gives none."""
+    """Rules for a pattern; the first mapping of a field that gives one counts, one without a guide word gives none.
+
+    A label takes addresses, ports and protocols by their own patterns and else a run without white space; a keyword takes addresses
+    and protocols by theirs, whole numbers for numbers and ports, and else such a run. Severity and priority are whole numbers.
+    """
     rules: dict[str, Rule] = {}
     for m in mappings:
-        name = m.get("field_name")
+        name, kind = m.get("field_name"), m.get("kind", "text")
         if not name or name in rules:
             continue
-        value = r"\d+" if name in ("severity", "priority") else KIND_PATTERNS.get(m.get("kind", ""), r"\S+")
         base = {"name": name, "field_name": name, "type": pattern_name, "format": tag}
         if name == "message_content":
-            rule = Rule(**base, extract_method="message_content", json_key=m.get("json_key") or "", kv_key=m.get("kv_key") or "", source=m.get("source") or "")
-        elif name == "inner_pri" or m.get("inner") == "pri":
-            rule = Rule(**base, extract_method="inner_pri")
+            if carrier := _message_rule(m):
+                rules[name] = Rule(**base, extract_method="message_content", **carrier)
+        elif m.get("inner") == "pri":
+            rules[name] = Rule(**base, extract_method="inner_pri")
         elif m.get("kv_key"):
-            rule = Rule(**base, extract_method="kv_parse", kv_key=m["kv_key"])
+            rules[name] = Rule(**base, extract_method="kv_parse", kv_key=m["kv_key"])
         elif m.get("json_key"):
-            rule = Rule(**base, extract_method="kv_parse", json_key=m["json_key"])
+            rules[name] = Rule(**base, extract_method="kv_parse", json_key=m["json_key"])
         elif m.get("token"):
-            rule = Rule(**base, regex=rf"{re.escape(m['token'].rstrip(':：'))}[:：]?\s*({value})")
+            # For labels, the kind decides before the field does.
+            value = KIND_PATTERNS[kind] if kind in LABEL_KINDS else _value_pattern(name, kind, (), ())
+            rules[name] = Rule(**base, regex=rf"{re.escape(m['token'])}[:：]?\s*({value})")
         elif m.get("keyword"):
-            rule = Rule(**base, regex=rf"\b{re.escape(m['keyword'])}[=:\s]+\s*({value})")
-        else:
-            continue
-        rules[name] = rule
+            value = _value_pattern(name, kind, KEYWORD_KINDS, ("number", "port"))
+            rules[name] = Rule(**base, regex=rf"\b{re.escape(m['keyword'])}[=:\s]+\s*({value})")
     return list(rules.values())
 
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 from typing import Protocol
 
+from logloom.functions.scalars import MONTH_NAMES as MONTH_NAMES
 from logloom.functions.tokens import CLASSES, KV_TOKEN, VARIABLE_CLASSES
 
 #: Lines that a template must have before an annotator is asked about it, and questions asked in one run.
@@ -15,7 +15,6 @@ LEAST_LINES, MOST_QUESTIONS = 20, 5
 PRI_NUMBER, PRI_WORD, DAY, MONTH = r"<\d+>\d+", r"<\d+>\w+", r"\d{1,2}", r"[A-Za-z]{3}"
 ISO_START, CLOCK_START, ADDRESS = r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}.*", r"\d{2}:\d{2}:\d{2}.*", r"\d{1,3}(?:\.\d{1,3}){3}"
 HEADER_FIELDS = frozenset({"timestamp", "hostname", "program", "event_id", "source_ip", "priority", "severity", "message"})
-MONTH_NAMES = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 DAY_NAMES = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 LEVELS = ("notice", "error", "warn", "warning", "debug", "info", "crit", "critical", "alert", "emerg", "emergency", "verbose", "none")
 BRACKET_DAY = rf"\[(?:{'|'.join(DAY_NAMES)})"
@@ -31,9 +30,6 @@ LAYOUTS = (
     (3, (r"\[\d{1,2}\.\d{1,2}", r"\d{2}:\d{2}:\d{2}\]"), {1: "timestamp", 2: "program"}),
 )
 
-Provider = Callable[["object"], dict[int, str] | None]
-
-
 class Annotator(Protocol):
     """Names header places and message fields. An implementation may call a language model; none is part of this package."""
 
@@ -78,22 +74,33 @@ def preset(template) -> dict[int, str]:
     return found
 
 
-def annotated(annotator: Annotator) -> Provider:
-    """Layouts first; an annotator for templates with enough lines, once for each form of header."""
-    known: dict[tuple, dict[int, str]] = {}
+class Annotated:
+    """Layouts first; for templates with enough lines, an annotator's answer on their form of header."""
 
-    def provide(template) -> dict[int, str]:
+    def __init__(self, known: dict[tuple, dict[int, str]]):
+        self.known = known
+
+    def __call__(self, template) -> dict[int, str]:
         if found := preset(template):
             return found
-        if template.count < LEAST_LINES:
-            return {}
-        tokens = template.samples[0].split() if template.samples else list(template.tokens)
-        form = tuple(token_class(t) for t in tokens[:6])
-        if form not in known:
-            if len(known) >= MOST_QUESTIONS:
-                return {}
-            answer = annotator.header_fields(tokens, list(template.samples))
-            known[form] = {int(k): v for k, v in answer.items() if v in HEADER_FIELDS and 0 <= int(k) < len(tokens)}
-        return known[form]
-
-    return provide
+        return {} if template.count < LEAST_LINES else self.known.get(header_form(template), {})
+
+
+def header_form(template) -> tuple:
+    return tuple(token_class(t) for t in _sample_tokens(template)[:6])
+
+
+def _sample_tokens(template) -> list[str]:
+    return template.samples[0].split() if template.samples else list(template.tokens)
+
+
+def annotated(annotator: Annotator, templates: list, most: int = MOST_QUESTIONS) -> Annotated:
+    """Ask the annotator about the templates that have enough lines and no layout, once for each form of header, `most` times at most."""
+    known: dict[tuple, dict[int, str]] = {}
+    for t in templates:
+        if t.count < LEAST_LINES or preset(t) or (form := header_form(t)) in known or len(known) >= most:
+            continue
+        toks = _sample_tokens(t)
+        answer = annotator.header_fields(toks, list(t.samples))
+        known[form] = {int(k): v for k, v in answer.items() if v in HEADER_FIELDS and 0 <= int(k) < len(toks)}
+    return Annotated(known)

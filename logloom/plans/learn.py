@@ -4,41 +4,74 @@ from __future__ import annotations
 
 import logging
 import os
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.functions.tokens import format_category
+from logloom.functions.regex import translate
+from logloom.functions.tokens import format_category, path_key, tokens
 from logloom.operators import drain
-from logloom.operators.match import by_pattern, files_with_match, group_column, match
+from logloom.operators.match import by_pattern, group_column, match, python_groups
 from logloom.operators.rules import build_rules, copied, guide_forms, message_groups, usable_mappings
-from logloom.operators.semantics import Annotator, annotated, preset
+from logloom.operators.semantics import LEAST_LINES, MOST_QUESTIONS, Annotator, annotated, preset
 from logloom.sources.library import Pattern, Rule, load_patterns, load_rules, merge_patterns, merge_rules, save
-from logloom.sources.lines import message_samples, not_blank
+from logloom.sources.lines import existing as existing_paths
+from logloom.sources.lines import head, message_samples, not_blank, read_lines
 
 log = logging.getLogger("logloom")
 
 SAMPLED_PATTERNS, SAMPLED_MESSAGES = 20, 6
 
 
-def learn(lines: DataFrame, existing: list[Pattern] = (), semantics: str = "preset", annotator: Annotator | None = None, max_lines: int | None = None, least: int = drain.LEAST_COUNT) -> list[Pattern]:
-    """The library with what the lines of each file teach, file after file. semantics: none, preset or annotator."""
-    provider = {"none": None, "preset": preset, "annotator": annotated(annotator) if annotator else preset}[semantics]
-    library = list(existing)
-    by_file = drain.collect_templates(drain.learn_templates(not_blank(lines, max_lines)))
-    for templates in (by_file[path] for path in sorted(by_file)):
-        patterns = drain.to_patterns(templates, provider, least)
-        library = merge_patterns(library, _categorised(lines.sparkSession, patterns))
-    return library
+def _provider(semantics: str, annotator: Annotator | None, templates: DataFrame) -> Callable | None:
+    """What names header fields. An annotator is asked here, about the forms of the largest templates; workers get its answers."""
+    if semantics == "none":
+        return None
+    if semantics == "annotator" and annotator:
+        asked = templates.where(F.col("count") >= LEAST_LINES).orderBy("path", "first_line")
+        return annotated(annotator, [drain.Template(list(r["tokens"]), list(r["seps"]), r["count"], list(r["samples"])) for r in unknown_forms(asked).collect()])
+    return preset
 
 
-def _categorised(spark: SparkSession, patterns: list[Pattern]) -> list[Pattern]:
-    """The patterns with the format category of their samples."""
-    if not patterns:
-        return []
-    frame = spark.createDataFrame([(i, p.sample) for i, p in enumerate(patterns)], "i int, sample string")
-    found = dict(frame.select("i", format_category(F.col("sample"))).collect())
-    return [Pattern(**{**p.__dict__, "format": found[i]}) for i, p in enumerate(patterns)]
+def unknown_forms(templates: DataFrame, most: int = MOST_QUESTIONS) -> DataFrame:
+    """The first template of each header form, in the order of files and lines; more than can be asked about, as layouts answer many."""
+    form = path_key(tokens(F.col("samples")[0]))
+    own = F.struct("path", "first_line", "tokens", "seps", "count", "samples")
+    firsts = templates.withColumn("form", form).groupBy("form").agg(F.min_by(own, F.struct("path", "first_line")).alias("t"))
+    return firsts.select("t.*").orderBy("path", "first_line").limit(64 * most)
+
+
+def learn(lines: DataFrame, existing: list[Pattern] = (), semantics: str = "preset", annotator: Annotator | None = None, max_lines: int | None = None, least: int = drain.LEAST_COUNT) -> list[Pattern]:
+    """The library with what the lines of each file teach, file after file. semantics: none, preset or annotator."""
+    return learn_with_report(lines, existing, semantics, annotator, max_lines, least)[0]
+
+
+def learn_with_report(lines: DataFrame, existing: list[Pattern] = (), semantics: str = "preset", annotator: Annotator | None = None, max_lines: int | None = None, least: int = drain.LEAST_COUNT) -> tuple[list[Pattern], list[dict]]:
+    """The library, and for each file its path, the numbers of its templates and patterns, and the size of the library after it."""
+    library, report = list(existing), []
+    templates = drain.learn_templates(not_blank(lines, max_lines)).persist(StorageLevel.DISK_ONLY)
+    try:
+        counts = dict(templates.groupBy("path").count().collect())
+        by_file = drain.collect_groups(drain.regroup(templates, _provider(semantics, annotator, templates)))
+    finally:
+        templates.unpersist()
+    patterns = {path: drain.to_patterns(by_file[path], least) for path in sorted(by_file)}
+    for path, own in _categorised(lines.sparkSession, patterns).items():
+        library = merge_patterns(library, own)
+        report.append({"path": path, "templates": counts[path], "patterns": len(own), "library": len(library)})
+    return library, report
+
+
+def _categorised(spark: SparkSession, patterns: dict[str, list[Pattern]]) -> dict[str, list[Pattern]]:
+    """The patterns of all files with the format category of their samples, which are read in one go."""
+    every = [(path, i, p.sample) for path, own in patterns.items() for i, p in enumerate(own)]
+    if not every:
+        return patterns
+    frame = spark.createDataFrame(every, "path string, i int, sample string")
+    found = {(r["path"], r["i"]): r["category"] for r in frame.select("path", "i", format_category(F.col("sample")).alias("category")).collect()}
+    return {path: [Pattern(**{**p.__dict__, "format": found[path, i]}) for i, p in enumerate(own)] for path, own in patterns.items()}
 
 
 def learn_to_file(lines: DataFrame, path: str, **options) -> list[Pattern]:
@@ -47,14 +80,45 @@ def learn_to_file(lines: DataFrame, path: str, **options) -> list[Pattern]:
     return library
 
 
+def learn_files(spark: SparkSession, paths: list[str], output: str, **options) -> list[dict]:
+    """Learn from files into a library file, and the report on each. Files that are not there are skipped; if learning fails, it is tried file by file, and what fails is skipped."""
+    there = existing_paths(spark, paths)
+    if not there:
+        return []
+    try:
+        library, report = learn_with_report(read_lines(spark, there), load_patterns(output), **options)
+    except Exception:
+        log.warning("learning from all files failed, trying each", exc_info=True)
+        library, report = load_patterns(output), []
+        for path in there:
+            try:
+                library, own = learn_with_report(read_lines(spark, path), library, **options)
+                report += own
+            except Exception as e:
+                log.warning("skipped, learning failed: %s: %s", path, e)
+                report.append({"path": path, "templates": 0, "patterns": 0, "library": len(library), "failed": str(e).split("\n")[0][:200]})
+    save(output, library, "1.1", total=len(library))
+    return report
+
+
 def rebuild_rules(lines: DataFrame, patterns: list[Pattern], annotator: Annotator, existing: list[Rule] | None = None) -> list[Rule]:
-    """Rules for the patterns of each file, from an annotator's mappings of sample messages; merged with existing ones if given."""
+    return rebuild_with_report(lines, patterns, annotator, existing)[0]
+
+
+def rebuild_with_report(lines: DataFrame, patterns: list[Pattern], annotator: Annotator, existing: list[Rule] | None = None) -> tuple[list[Rule], list[dict]]:
+    """Rules for the patterns of each file, from an annotator's mappings of sample messages, merged with existing ones if given; and each file's numbers of patterns and rules.
+
+    Which patterns match the head of which file is found in one pass over all heads.
+    """
     new: list[Rule] = []
-    for number, path in enumerate(sorted(r["path"] for r in lines.select("path").distinct().collect())):
-        own, tag = lines.where(F.col("path") == path), f"src{number + 1}"
-        there = [p for p in patterns if files_with_match(own, p).limit(1).count()]
+    report: list[dict] = []
+    hits = [F.max(hit).alias(f"p{i}") for i, hit in enumerate(_hits(patterns))]
+    heads = {r["path"]: [p for i, p in enumerate(patterns) if r[f"p{i}"]] for r in head(lines).groupBy("path").agg(F.count("*").alias("n"), *hits).collect()}
+    for number, path in enumerate(sorted(heads)):
+        own, tag, there = lines.where(F.col("path") == path), f"src{number + 1}", heads[path]
         if not there:
             log.info("%s: no pattern matches its head", path)
+            report.append({"path": path, "patterns": 0, "rules": 0})
             continue
         matched = match(own, there)
         matched = matched.withColumns({"pattern_name": by_pattern(there, lambda p: p.name), "message": group_column(there, "message")})
@@ -65,8 +129,14 @@ def rebuild_rules(lines: DataFrame, patterns: list[Pattern], annotator: Annotato
         rules = build_rules("", usable_mappings(mappings, samples), tag)
         samples.unpersist()
         new += copied(rules, there, tag)
+        report.append({"path": path, "patterns": len(there), "rules": len(rules)})
         log.info("%s: %d patterns, %d rules", path, len(there), len(rules))
-    return new if existing is None else merge_rules(existing, new)
+    return (new if existing is None else merge_rules(existing, new)), report
+
+
+def _hits(patterns: list[Pattern]) -> list[Column]:
+    """For each pattern whether it matches the line."""
+    return [python_groups(p.regex)(F.col("value")).isNotNull() if (java := translate(p.regex)).python_only else F.col("value").rlike(java.java) for p in patterns]
 
 
 def rebuild_to_file(lines: DataFrame, patterns: list[Pattern], annotator: Annotator, path: str, merge: bool = True) -> list[Rule]:

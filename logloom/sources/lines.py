@@ -2,19 +2,39 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+log = logging.getLogger("logloom")
+
 HEAD_LINES = 300
 LINE_SCHEMA = "value string, path string, line_no long"
 
 
+def existing(spark: SparkSession, paths: str | list[str]) -> list[str]:
+    """The paths (or globs of paths) that there are, in any file system that Spark reads; the others are named in the log."""
+    found, conf = [], spark._jsc.hadoopConfiguration()
+    for path in [paths] if isinstance(paths, str) else paths:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if there.getFileSystem(conf).globStatus(there):
+            found.append(path)
+        else:
+            log.warning("skipped, not there: %s", path)
+    return found
+
+
 def read_lines(spark: SparkSession, paths: str | list[str], glob: str | None = None, numbered: bool = True) -> DataFrame:
     """(value, path, line_no): bad bytes replaced, line ends of any kind dropped, numbers from 1 within each file.
 
     Numbers are row numbers in the order of the splits of a file: one narrow shuffle-free pass counts the lines of each
-    split, the other adds up. Without `numbered`, line_no is NULL and nothing is counted. Missing files are skipped.
+    split, the other adds up; both read the files in the same splits, as these depend on the files and the session alone. Without
+    `numbered`, line_no is NULL and nothing is counted. Paths that are not there are skipped, with a word in the log.
     """
+    paths = existing(spark, paths)
+    if not paths:
+        return spark.createDataFrame([], LINE_SCHEMA)
     reader = spark.read.option("ignoreMissingFiles", "true").option("recursiveFileLookup", "false")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -35,7 +55,7 @@ def read_stream(spark: SparkSession, path: str, max_files: int | None = None) ->
     reader = spark.readStream.format("text")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.load(path).select(F.make_valid_utf8("value").alias("value"), F.lit(path).alias("path"), F.lit(None).cast("long").alias("line_no"))
+    return reader.load(path).select(F.make_valid_utf8("value").alias("value"), F.col("_metadata.file_path").alias("path"), F.lit(None).cast("long").alias("line_no"))
 
 
 def not_empty(lines: DataFrame) -> DataFrame:

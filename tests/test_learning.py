@@ -58,9 +58,15 @@ def sequential(lines):
 
 def test_parallel_learning_equals_one_pass(spark):
     lines = some_lines()
-    found = drain.collect_templates(drain.learn_templates(frame(spark, lines)))["f"]
+    learned = drain.learn_templates(frame(spark, lines))
+    found = learned.orderBy("first_line").collect()
     wanted = sequential(lines)
-    assert [(t.first_line, t.tokens, t.seps, t.count) for t in found] == [(t.first_line, t.tokens, t.seps, t.count) for t in wanted]
+    assert [(t["first_line"], t["tokens"], t["seps"], t["count"]) for t in found] == [(t.first_line, t.tokens, t.seps, t.count) for t in wanted]
+    # Putting templates together in Spark and in a list give the same groups.
+    templates = [drain.Template(t["tokens"], t["seps"], t["count"], t["samples"], t["first_line"]) for t in found]
+    for provider in (None, preset):
+        own = [(t.first_line, t.tokens, t.seps, t.count, t.samples, f) for t, f in drain.collect_groups(drain.regroup(learned, provider))["f"]]
+        assert own == [(t.first_line, t.tokens, t.seps, t.count, t.samples, f) for t, f in drain.grouped(templates, provider)] and len(own) < len(found)
 
 
 def test_learned_patterns_match_their_lines(spark):
@@ -102,9 +108,9 @@ def test_layouts_and_annotator():
             return {0: "hostname", 1: "nonsense", 99: "program"}
 
     stub = Stub()
-    provide = annotated(stub)
-    assert [provide(drain.Template(["a"], [], 20, [f"host{i} x y"])) for i in range(3)] == [{0: "hostname"}] * 3 and stub.asked == 1
-    assert provide(drain.Template(["a"], [], 3, ["other one"])) == {}
+    templates = [drain.Template(["a"], [], 20, [f"host{i} x y"]) for i in range(3)] + [drain.Template(["a"], [], 3, ["other one"])]
+    provide = annotated(stub, templates)
+    assert [provide(t) for t in templates] == [{0: "hostname"}] * 3 + [{}] and stub.asked == 1
 
 
 def test_libraries(tmp_path):
@@ -125,7 +131,7 @@ def test_libraries(tmp_path):
 
 def test_rules_from_mappings(spark):
     rules = build_rules("p", [{"field_name": "source_port", "keyword": "port", "kind": "port"}, {"field_name": "source_port", "kv_key": "X"}, {"field_name": "user", "token": "用户：", "kind": "username"}, {"field_name": "bare"}])
-    assert [(r.field_name, r.regex) for r in rules] == [("source_port", r"\bport[=:\s]+\s*(\d{1,5})"), ("user", r"用户[:：]?\s*(\S+)")]
+    assert [(r.field_name, r.regex) for r in rules] == [("source_port", r"\bport[=:\s]+\s*(\d+)"), ("user", r"用户：[:：]?\s*(\S+)")]
     assert re.search(rules[0].regex, "failed from 192.0.2.5 port 22")[1] == "22"
     samples = spark.createDataFrame([('FILE_NAME="a.txt" LEVEL="3"',)], "message string")
     kept = usable_mappings([{"field_name": "severity", "kv_key": "FILE_NAME"}, {"field_name": "severity", "kv_key": "LEVEL"}, {"field_name": "raw_message", "kv_key": "X"}, {"field_name": "u", "token": "t" * 41}], samples)
