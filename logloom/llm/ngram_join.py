@@ -12,8 +12,8 @@ lift their count to ceil(t / (1 + t) (|x| + |y|)), and rows without a pair are d
 Only what decides the components is multiplied. In each of a few rounds, rows are put in blocks by the least column of their
 prefix (in another order each round) and their size, which gathers near copies; a large group makes many blocks, and the next
 round mixes its rows anew. What is left are columns of the prefixes whose rows are in several components: pairs of different
-components that pass the bounds of sizes and places there go into row blocks in which both meet, whose product decides
-them. So a group of m near copies costs about its number of rows, and no link between components is missed.
+components that pass the bounds of sizes and places there, and of their counts in each block of columns, go into row blocks in
+which both meet, whose product decides them. So a group of m near copies costs about its number of rows, and no link between components is missed.
 
 Shingles are 64-bit hashes, sets are told apart by 128 bits. A column that workers do not report as frequent occurs at
 most once in each COUNT_BYTES of text, so it is too small a part of any table to make a task long.
@@ -50,7 +50,8 @@ ROUNDS, BLOCK_ROWS, BLOCK_ENTRIES, BLOCK_COLUMNS = 2, 256, 1 << 18, 2048
 #: Rows of one key of a round that one task takes, about; first bits by which most columns are told to be rare.
 KEY_ROWS, FILTER_BITS = 4096, 20
 
-SET_SCHEMA = "id long, h long, n long, s1 long, s2 long, column long, count long"
+SET_SCHEMA = "id long, h long, n long, s1 long, s2 long, counts binary, column long, count long"
+DESCRIBED = [x.split(" ")[0] for x in SET_SCHEMA.split(", ")]
 
 
 @dataclass(frozen=True)
@@ -80,6 +81,26 @@ def _ids(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return sums(a, bounds).view(np.int64), sums(b, bounds).view(np.int64)
 
 
+def block_counts(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """For each row how many of its columns are in each block of hashes: bytes, 255 for that many or more. A row of n columns has n / 8 to n / 4 blocks."""
+    n = np.diff(bounds)
+    bits = np.maximum(2, np.floor(np.log2(np.maximum(n, 1))).astype(np.int64) - 2)
+    sizes = 1 << bits
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(n)), n)
+    block = (values >> (64 - bits).astype(np.uint64)[owner]).astype(np.int64) + (ends - sizes)[owner]
+    held = np.minimum(np.bincount(block, minlength=int(ends[-1]) if len(n) else 0), 255).astype(np.uint8).tobytes()
+    return pa.array([held[e - k : e] for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)], pa.binary())
+
+
+def most_shared(x: np.ndarray, y: np.ndarray) -> int:
+    """The most columns that rows with these counts by block can share."""
+    x, y = (np.where(c == 255, 1 << 40, c.astype(np.int64)) for c in (x, y))
+    if len(x) < len(y):
+        x, y = y, x
+    return int(np.minimum(x.reshape(len(y), -1).sum(1), y).sum())
+
+
 def _describe(rule: Jaccard):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -93,14 +114,15 @@ def _describe(rule: Jaccard):
             counts = np.diff(np.append(first, len(every)))
             often = counts >= COUNT_LEAST
             none = pa.nulls(int(often.sum()), pa.int64())
-            return pa.RecordBatch.from_arrays([none] * 5 + [pa.array(every[first[often]].astype(np.int64)), pa.array(counts[often])], names=["id", "h", "n", "s1", "s2", "column", "count"])
+            nothing = pa.nulls(int(often.sum()), pa.binary())
+            return pa.RecordBatch.from_arrays([none] * 5 + [nothing, pa.array(every[first[often]].astype(np.int64)), pa.array(counts[often])], names=DESCRIBED)
 
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 values, bounds = _sets(part, rule.width)
                 s1, s2 = _ids(values, bounds)
                 none = pa.nulls(part.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), pa.array(np.diff(bounds)), pa.array(s1), pa.array(s2), none, none], names=["id", "h", "n", "s1", "s2", "column", "count"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("h"), pa.array(np.diff(bounds)), pa.array(s1), pa.array(s2), block_counts(values, bounds), none, none], names=DESCRIBED)
                 held.append((values >> np.uint64(32)).astype(np.uint32))
                 size += part.column("text").nbytes
                 if size >= COUNT_BYTES:
@@ -298,6 +320,18 @@ def _tile(rule: Jaccard):
     return run
 
 
+def _bounded(rule: Jaccard):
+    """Pairs whose counts by block allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = rule.least(batch.column("na").to_numpy() + batch.column("nb").to_numpy())
+            ok = [most_shared(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) >= k for x, y, k in zip(batch.column("x"), batch.column("y"), least.tolist(), strict=True)]
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+
+    return run
+
+
 def jaccard_components(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, text_hash) of every row: its set's size, the smallest id that links reach from it, and `text_hash` of its text."""
     spark = docs.sparkSession
@@ -330,7 +364,7 @@ def jaccard_components(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str =
     for k in range(1, ROUNDS + 2):
         if live.isEmpty():
             break
-        found = _gathered(texts, live, rule, scratch, k) if k <= ROUNDS else _across(texts, live, rule, scratch)
+        found = _gathered(texts, live, rule, scratch, k) if k <= ROUNDS else _across(texts, live, described, rule, scratch)
         found = scratch.keep(found, f"links-{k}")
         links = found if links is None else links.union(found)
         linked = components(links, scratch, f"graph{k}")
@@ -376,14 +410,18 @@ def _open(live: DataFrame, linked: DataFrame, scratch: Scratch, k: int) -> DataF
     return scratch.keep(heavy_join(entries, sizes, ["column"], "entries").select("id", "n", "column", "part", "place", "component", "major", "entries"), f"live-{k}")
 
 
-def _across(texts: DataFrame, live: DataFrame, rule: Jaccard, scratch: Scratch) -> DataFrame:
+def _across(texts: DataFrame, live: DataFrame, described: DataFrame, rule: Jaccard, scratch: Scratch) -> DataFrame:
     """Links (a, b) between components: of pairs that share a column of their prefixes and pass the bounds."""
     entries = live.where("place >= 0").withColumn("tiles", F.ceil(F.col("entries") / CHUNK)).withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
     listed = F.collect_list(F.struct("id", "n", "place", "component"))
     every = entries.groupBy("column", "tile").agg(listed.alias("ys"))
     minor = entries.where("component <> major").groupBy("column", F.col("tile").alias("own"), "tiles", "major").agg(listed.alias("xs"))
     tiles = minor.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).join(every, ["column", "tile"])
-    pairs = scratch.keep(tiles.select("major", "xs", "ys").transform(in_workers, _tile(rule), "a long, b long").distinct(), "pairs")
+    pairs = scratch.keep(tiles.select("major", "xs", "ys").transform(in_workers, _tile(rule), "a long, b long").distinct(), "met-pairs")
+    # Counts by block of columns rule out many of them.
+    counted = described.where("column IS NULL AND n > 0")
+    x, y = counted.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("counts").alias("x")), counted.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("counts").alias("y"))
+    pairs = scratch.keep(few(pairs).join(x, "a").join(y, "b").select("a", "b", "na", "nb", "x", "y").transform(in_workers, _bounded(rule), "a long, b long").distinct(), "pairs")
     if pairs.isEmpty():
         return pairs
     # Row blocks in which both rows of each pair meet: within the groups of rows that pairs connect, by a bucket of each row.
@@ -394,6 +432,7 @@ def _across(texts: DataFrame, live: DataFrame, rule: Jaccard, scratch: Scratch)
     placed = heavy_join(groups, sizes, ["component"], "members").select("node", "component", F.pmod(F.xxhash64("node"), buckets).alias("bucket"))
     met = pairs.join(placed.toDF("a", "group", "i"), "a").join(placed.select(F.col("node").alias("b"), F.col("bucket").alias("j")), "b")
     met = met.select("group", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.explode(F.array("a", "b")).alias("id")).distinct()
-    met = scratch.keep(met, "met")
-    sets = texts.join(few(met.select("id").distinct()), "id", "left_semi").transform(in_workers, _whole_sets(rule, "id"), "id long, values binary")
-    return _multiplied(met.join(sets, "id"), ["group", "i", "j"], rule, cut=False)
+    met = scratch.keep(met.groupBy("id").agg(F.collect_list(F.struct("group", "i", "j")).alias("keys")), "met")
+    number = met.agg(F.sum(F.size("keys"))).first()[0]
+    sets = texts.join(few(met, number), "id").transform(in_workers, _whole_sets(rule, "id", "keys"), "id long, keys array<struct<group:long,i:long,j:long>>, values binary")
+    return _multiplied(sets.select("id", "values", F.explode("keys").alias("key")).select("key.*", "id", "values"), ["group", "i", "j"], rule, cut=False)

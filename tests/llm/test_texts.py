@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.llm import language_id, mixing, pii, secrets, sentencepiece_codec, shared, toxicity
+from logloom.llm import language_id, mixing, ngram_join, pii, secrets, sentencepiece_codec, shared, toxicity
 from logloom.llm.graph import components
 from logloom.llm.ngram_join import Jaccard, jaccard_components
 from logloom.llm.queries import piece_model
@@ -391,14 +391,40 @@ def test_ngram_join_against_brute_force(spark, width, num):
 
 
 def test_ngram_join_deals_out_hot_columns(spark, monkeypatch):
-    from logloom.llm import ngram_join
-
     monkeypatch.setattr(ngram_join, "CHUNK", 4)
     docs = near_copies(9)
     found = ngram_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), Jaccard(4, 85, 100))
     assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {i: c for i, (_, c) in brute_groups(docs, 4, 85, 100).items()}
 
 
+def test_counts_by_block_bound_what_two_rows_share():
+    r = np.random.default_rng(15)
+    for _ in range(200):
+        sets = [np.unique(r.integers(0, 1 << 63, r.integers(1, 400), dtype=np.uint64)) for _ in range(2)]
+        if r.random() < 0.7:
+            sets[1] = np.unique(np.concatenate((sets[0][: r.integers(1, len(sets[0]) + 1)], sets[1])))
+        bounds = np.cumsum([0, *map(len, sets)])
+        x, y = (np.frombuffer(c.as_buffer(), np.uint8) for c in ngram_join.block_counts(np.concatenate(sets), bounds))
+        shared_ = len(np.intersect1d(*sets))
+        assert shared_ <= ngram_join.most_shared(x, y) <= min(map(len, sets))
+    many = np.arange(2000, dtype=np.uint64)
+    (x,) = ngram_join.block_counts(many, np.array([0, 2000]))
+    assert ngram_join.most_shared(*[np.frombuffer(x.as_buffer(), np.uint8)] * 2) >= 2000
+
+
+def test_products_of_blocks_against_sets():
+    r = np.random.default_rng(16)
+    for width in (1, 7, 4096):
+        ngram_join.BLOCK_COLUMNS, kept = width, ngram_join.BLOCK_COLUMNS
+        rule = Jaccard(4, 85, 100)
+        base = r.integers(0, 1 << 62, 60, dtype=np.uint64)
+        sets = [np.unique(np.concatenate((r.choice(base, 60, replace=False)[: r.integers(40, 61)], r.integers(0, 1 << 62, r.integers(0, 6), dtype=np.uint64)))) for _ in range(40)] + [base[:1], np.unique(base)]
+        got = ngram_join.linked_pairs(sets, rule)
+        ngram_join.BLOCK_COLUMNS = kept
+        want = [[i != j and 100 * len(np.intersect1d(a, b)) >= 85 * len(np.union1d(a, b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+        assert (got == np.array(want)).all() and got.any()
+
+
 def test_ngram_join_odd_rows(spark, odd_docs, no_docs):
     found = rows(jaccard_components(odd_docs, Jaccard(4, 85, 100)), "doc_id", "component_id")
     assert found == sorted([(1, 1), (1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 5), (7, 7), (8, 8), (None, None)], key=repr)
