@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import scalars as S
+from logloom.functions.scalars import numeric_kv
 from logloom.functions import tokens as T
 from logloom.operators import drain
 from logloom.operators.match import by_pattern, files_with_match, group_column, match, match_join, statistics
-from logloom.operators.rules import guide_forms, message_groups
+from logloom.operators.rules import build_rules, guide_forms, message_groups
+from logloom.operators.semantics import preset
 from logloom.functions.regex import translate
 from logloom.sources import library as L
-from logloom.sources.lines import head, message_samples
+from logloom.sources.lines import head, message_samples, not_blank, not_empty, read_lines
 from logloom.sources.sinks import as_json, error_entries
 
 from . import render as R
@@ -147,6 +150,58 @@ def stage2_message(spark, sf_dir):
     return _parsed(spark, sf_dir, 0, 1, 2, rules=[whole, *keyed]).select("row_id", "event.message_content")
 
 
+MAPPINGS = {
+    "windows": [{"field_name": "reading", "keyword": "value", "kind": "number"}, {"field_name": "word", "keyword": "value", "kind": "text"}, {"field_name": "severity", "keyword": "value", "kind": "text"}, {"field_name": "reading", "kv_key": "LATE"}],
+    "kv": [{"field_name": "address", "token": 'DVC_ADDRESS="', "kind": "ip"}, {"field_name": "label", "token": 'MESSAGE="', "kind": "text"}, {"field_name": "bare", "kind": "ip"}, {"field_name": "message_content", "kind": "text"}],
+    "rfc": [{"field_name": "message_content", "json_key": "event_content"}, {"field_name": "address", "json_key": "dev_ip"}],
+}
+
+
+@query(
+    f"""WITH {E} SELECT event_id AS row_id, CASE kind WHEN 1 THEN n::VARCHAR END AS reading, CASE kind WHEN 1 THEN n::VARCHAR END AS word, (CASE kind WHEN 0 THEN p % 8 WHEN 1 THEN n ELSE level END)::INT AS severity,
+ CASE kind WHEN 0 THEN '10.0.' || high || '.' || low WHEN 2 THEN '10.1.' || high || '.' || low END AS address, CASE kind WHEN 2 THEN event_type END AS label,
+ CASE kind WHEN 0 THEN event_type || ' port scan' WHEN 1 THEN event_type || ' value=' || n ELSE event_type || ' by user' END AS message_content FROM e WHERE kind < 3"""
+)
+def rules_from_mappings(spark, sf_dir):
+    """Rules built from an annotator's mappings: kinds of labels and keywords, fields that are numbers, and mappings without a guide."""
+    rules = [r for name, mappings in MAPPINGS.items() for r in build_rules(name, mappings)]
+    parsed = _parsed(spark, sf_dir, 0, 1, 2, rules=rules)
+    return parsed.select("row_id", *[F.col("extra")[c].alias(c) for c in ("reading", "word", "address", "label")], "event.severity", "event.message_content")
+
+
+@query(f"WITH {E} SELECT event_id AS row_id, n::VARCHAR AS digits FROM e WHERE kind = 1")
+def python_only_rule(spark, sf_dir):
+    rule = L.Rule("d", "digits", type="windows", regex=r"value=([[0-9]+)")
+    return _parsed(spark, sf_dir, 1, rules=[rule]).select("row_id", F.col("extra")["digits"].alias("digits"))
+
+
+@query(f"WITH {E}, {LINE} SELECT kind::INT AS kind, count(*) FILTER (kind = 2) AS severity, 0::BIGINT AS message, count(*) FILTER (kind = 0) AS level, 0::BIGINT AS content, count(*) FILTER (kind = 1) AS reading, 0::BIGINT AS tail FROM l GROUP BY 1")
+def numeric_mappings(spark, sf_dir):
+    """In how many lines a key has a whole number: SEVERITY="n", "level":n, value=n, and not where the key is the end of a longer word."""
+    keys = {"severity": "SEVERITY", "message": "MESSAGE", "level": "level", "content": "event_content", "reading": "value", "tail": "_ADDRESS"}
+    lines = R.lines(spark, sf_dir)
+    return lines.groupBy("kind").agg(*[F.count_if(numeric_kv(F.col("value"), key)).alias(name) for name, key in keys.items()])
+
+
+@query(f"WITH {E} SELECT event_id AS row_id, epoch(sec)::BIGINT + CASE event_id % 5 WHEN 0 THEN -3600 WHEN 1 THEN -3600 WHEN 2 THEN -19800 ELSE 0 END AS epoch FROM e WHERE event_id % 5 < 5")
+def rule_timestamps(spark, sf_dir):
+    """Times as rules take them: without a zone in two forms (on a clock one hour ahead), with an offset, with Z, and in seconds."""
+    k, iso = F.col("event_id") % 5, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    text = F.when(k == 0, iso).when(k == 1, F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).when(k == 2, F.concat(iso, F.lit("+0530"))).when(k == 3, F.concat(iso, F.lit("Z")))
+    seconds = F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string")
+    return R.source(spark, sf_dir).select(F.col("event_id").alias("row_id"), F.unix_timestamp(S.rule_moment(F.coalesce(text, seconds), "+01:00")).alias("epoch"))
+
+
+@query(f"WITH {E} SELECT event_id AS row_id, (CASE event_id % 8 WHEN 3 THEN epoch(TIMESTAMP '2024-06-01 00:00:00') ELSE epoch(sec) END)::BIGINT AS epoch, CASE event_id % 8 WHEN 3 THEN 0 ELSE n END::INT AS severity FROM e WHERE kind = 1 OR event_id % 8 = 3")
+def rule_overrides(spark, sf_dir):
+    """A rule's value replaces the header's: one that can be read, and one that cannot (the processing time, 0)."""
+    windows = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    at = R.source(spark, sf_dir).where("kind = 1 OR event_id % 8 = 3").select("event_id", "n", F.when(F.col("event_id") % 8 == 3, "soon").otherwise(windows).alias("t"), F.when(F.col("event_id") % 8 == 3, "x").otherwise(F.col("n").cast("string")).alias("s"))
+    lines = at.select(F.col("event_id").alias("row_id"), F.format_string("<13>Jan 1 01:02:03 HOST1 app: 17: at=%s; level=%s;", "t", "s").alias("value"), F.lit("f").alias("path"), F.col("event_id").alias("line_no"))
+    rules = [L.Rule("t", "timestamp", regex=r"at=([^;]+);"), L.Rule("s", "severity", regex=r"level=([^;]+);")]
+    return parse(lines, R.LIBRARY, rules, R.OPTIONS).select("row_id", _epoch(), "event.severity")
+
+
 @query(f"SELECT event_id, {KINDS} AS event_type FROM (SELECT event_id, lower(event_type || ' ' || CASE event_id % 5 WHEN 0 THEN 'Login' WHEN 1 THEN 'network packet' WHEN 2 THEN 'disk failed' WHEN 3 THEN 'config' ELSE '' END) AS t FROM events)")
 def event_type_map(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -224,12 +279,20 @@ def path_key_counts(spark, sf_dir):
 
 @query()
 def drain_templates(spark, sf_dir):
-    return drain.learn_templates(R.lines(spark, sf_dir, 0, 1, 2)).select("path", "path_key", "first_line", F.array_join("tokens", " ").alias("template"), "count")
+    return drain.learn_templates(R.lines(spark, sf_dir)).select("path", "path_key", "first_line", F.array_join("tokens", " ").alias("template"), "count")
+
 
+@query(f"WITH {E} SELECT 'src' || kind AS path, count(*)::BIGINT AS lines FROM e GROUP BY 1")
+def template_groups(spark, sf_dir):
+    """Templates put together by head signature stand for all lines of their file."""
+    groups = drain.regroup(drain.learn_templates(R.lines(spark, sf_dir)), preset)
+    return groups.groupBy("path").agg(F.sum("count").alias("lines"))
 
-@query(f"WITH {E} SELECT kind::INT AS kind, count(*) AS n, count(*) AS matched FROM e WHERE kind < 3 GROUP BY 1")
+
+# Noise has the same words everywhere but the first and a number at the end, so its lines teach a pattern too.
+@query(f"WITH {E} SELECT kind::INT AS kind, count(*) AS n, count(*) AS matched FROM e GROUP BY 1")
 def learn_then_parse(spark, sf_dir):
-    lines = R.lines(spark, sf_dir, 0, 1, 2)
+    lines = R.lines(spark, sf_dir)
     patterns = learn(lines, semantics="preset")
     return match(lines, patterns).groupBy("kind").agg(F.count("*").alias("n"), F.count("pattern_idx").alias("matched"))
 
@@ -315,6 +378,49 @@ def nested_unwrap(spark, sf_dir):
     return parsed.select("row_id", *[F.get_json_object(inner, f"$.{c}").alias(c) for c in ("hostname", "event_id", "message_content")])
 
 
+@query(f"WITH {E} SELECT event_id AS row_id, 'HOST' || n AS hostname, 'inner' AS message_content, '<' || p || '>' || bsd || ' HOST' || n || ' Security-Auditing: 4663: inner' AS syslog FROM e WHERE kind = 2")
+def nested_padded(spark, sf_dir):
+    """Inner lines with blanks in front and double ones within are stripped, matched once the blanks are single, and shown like that."""
+    lines = R.lines(spark, sf_dir, 2).withColumn("value", F.regexp_replace("value", r'ORIGINAL_DATA="(<\d+>\w+) (.*)"$', 'ORIGINAL_DATA="  $1  $2 "'))
+    inner = F.col("event.structured_data")["nested_syslog"]
+    parsed = parse(lines, R.LIBRARY, [], R.OPTIONS, nested=1)
+    return parsed.select("row_id", *[F.get_json_object(inner, f"$.{c}").alias(c) for c in ("hostname", "message_content")], F.get_json_object(inner, "$.parsed_content.syslog").alias("syslog"))
+
+
+def _text_files(spark: SparkSession, lines: DataFrame) -> str:
+    """A folder of the shared file system with the lines as text files, one for each kind, in the order of their numbers."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{root.rstrip('/')}/logloom-lines-{uuid.uuid4().hex}"
+    number = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartition(number, "kind").sortWithinPartitions("kind", "line_no").select("kind", "value").write.partitionBy("kind").text(folder)
+    return folder
+
+
+@query(f"WITH {E}, {LINE}, r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY event_id) AS no FROM l) SELECT kind::INT AS kind, count(*) AS n, max(no) AS last_line, sum(no * length(line))::BIGINT AS weighed FROM r GROUP BY 1")
+def text_file_lines(spark, sf_dir):
+    """Lines of text files with their numbers; a file that is not there is skipped."""
+    folder = _text_files(spark, R.lines(spark, sf_dir))
+    lines = read_lines(spark, [f"{folder}/kind=*", f"{folder}/missing.log"], "*.txt")
+    kind = F.regexp_extract("path", r"kind=(\d)", 1).cast("int")
+    return lines.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.max("line_no").alias("last_line"), F.sum(F.col("line_no") * F.length("value")).alias("weighed"))
+
+
+BLANKED = "b AS (SELECT kind, event_id // 4 + 1 AS no, CASE WHEN (event_id // 4) % 5 = 0 THEN '' WHEN (event_id // 4) % 5 = 1 THEN ' \t ' ELSE '  ' || line || ' ' END AS line FROM l)"
+
+
+@query(
+    f"""WITH {E}, {LINE}, {BLANKED}, c AS (SELECT kind, no, trim(line, ' ' || chr(9)) AS line FROM b), f AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY no) AS k FROM c WHERE line <> '')
+ SELECT kind::INT AS kind, (SELECT count(*) FROM b WHERE b.kind = f.kind AND line <> '') AS not_empty, count(*) AS learned, max(no)::BIGINT AS last_line, sum(length(line))::BIGINT AS characters FROM f WHERE k <= 40 GROUP BY kind"""
+)
+def blank_lines(spark, sf_dir):
+    """Empty lines are not parsed, blank ones not learned from; learning takes the first stripped lines of each file."""
+    k = (F.col("line_no") - 1) % 5
+    lines = R.lines(spark, sf_dir).withColumn("value", F.when(k == 0, "").when(k == 1, " \t ").otherwise(F.concat(F.lit("  "), "value", F.lit(" "))))
+    parsed = not_empty(lines).groupBy("kind").agg(F.count("*").alias("not_empty"))
+    learned = not_blank(lines, 40).groupBy("kind").agg(F.count("*").alias("learned"), F.max("line_no").alias("last_line"), F.sum(F.length("value")).alias("characters"))
+    return parsed.join(learned, "kind")
+
+
 @query(
     f"""WITH {E}, {LINE} SELECT event_id AS row_id, p::INT AS priority, (p // 8)::INT AS facility, (CASE kind WHEN 2 THEN level ELSE p % 8 END)::INT AS severity, epoch(sec)::BIGINT AS epoch,
  CASE kind WHEN 2 THEN '192.0.2.' || n ELSE '' END AS syslog_ip, CASE kind WHEN 0 THEN 'host' || user_id WHEN 1 THEN 'HOST' || n ELSE '' END AS device_name,

@@ -3,16 +3,21 @@
 import json
 import random
 import re
+import time
 
 from logloom.cli import main
 from logloom.operators import drain
+from logloom.operators.annotator import Asking, ModelAnnotator, without_noise
 from logloom.operators.extract import Options
-from logloom.operators.match import match, match_join, statistics
+from logloom.operators.match import group_column, match, match_join, statistics
 from logloom.operators.rules import build_rules, guide_forms, message_groups, read_answer, usable_mappings
 from logloom.operators.semantics import annotated, layout, preset, token_class
-from logloom.plans.learn import failing_samples, learn, rebuild_rules
+from logloom.plans import learn as plans_learn
+from logloom.plans.learn import failing_samples, learn, learn_files, rebuild_rules
+from logloom.settings import Settings
 from logloom.sources import library as L
 from logloom.sources.lines import head, not_blank, read_lines, read_stream
+from logloom.streaming.progress import Progress
 from logloom.streaming.parse import parse_stream, stream_to_jsonl
 
 
@@ -208,4 +213,114 @@ def test_command_line(spark, tmp_path, capsys):
     assert json.loads(spark.read.text(str(tmp_path / "e")).first()[0]) == {"_meta": {"reason": "no_pattern_matched", "line_no": 81}, "raw": "stray"}
     assert main(["transform", "-i", str(log), "-o", str(tmp_path / "a.json"), "-p", library, "--year", "2024", "--array"], spark) == 0
     assert len(json.loads((tmp_path / "a.json").read_text())) == 80
-    assert "'unmatched': 1" in capsys.readouterr().out
+    said = capsys.readouterr().out
+    assert "81 lines, 80 matched, 1 unmatched" in said and "lines/s" in said and "x.log: " in said and "stays as it is" in said
+
+
+def stub_annotator():
+    class Stub:
+        def header_fields(self, tokens, samples):
+            return {}
+
+        def field_mappings(self, samples):
+            return [{"field_name": "device_ip", "kv_key": "DVC_ADDRESS"}]
+
+    return Stub()
+
+
+def test_command_line_rules_and_missing_files(spark, tmp_path, capsys):
+    (tmp_path / "a.log").write_text("\n".join(some_lines(80)) + "\n")
+    library, rules = str(tmp_path / "lib.yaml"), str(tmp_path / "rules.yaml")
+    args = [str(tmp_path / "missing.log"), "--dir", str(tmp_path), "--stage2", rules, "--annotator", f"{__name__}:stub_annotator"]
+    assert main(["learn", *args, "--output", library], spark) == 0
+    assert {r.field_name for r in L.load_rules(rules)} == {"device_ip"} and "patterns, 1 rules" in capsys.readouterr().out
+    assert main(["rebuild", *args, "-p", library, "--replace"], spark) == 0 and len(L.load_rules(rules)) > 0
+    assert main(["rebuild", *args, "-p", library, "--no-llm"], spark) == 0 and "stays as it is" in capsys.readouterr().out
+    assert read_lines(spark, str(tmp_path / "missing.log")).count() == 0
+    assert learn_files(spark, [str(tmp_path / "missing.log")], library) == []
+
+
+def test_files_that_fail_are_skipped(spark, tmp_path, monkeypatch):
+    for name in ("good", "bad"):
+        (tmp_path / f"{name}.log").write_text("\n".join(some_lines(80)) + "\n")
+    own = plans_learn.learn_with_report
+
+    def failing(lines, *a, **k):
+        if any("bad.log" in r["path"] for r in lines.select("path").distinct().collect()):
+            raise ValueError("bad file")
+        return own(lines, *a, **k)
+
+    monkeypatch.setattr(plans_learn, "learn_with_report", failing)
+    library = str(tmp_path / "lib.yaml")
+    report = learn_files(spark, [str(tmp_path / "bad.log"), str(tmp_path / "good.log")], library)
+    assert [r.get("failed") for r in report] == ["bad file", None] and report[1]["patterns"] == len(L.load_patterns(library)) > 0
+
+
+def test_settings(tmp_path):
+    path = tmp_path / "env"
+    path.write_text("# own\nLOGLOOM_TZ='UTC'\nLOGLOOM_RETRIES=5\nLOGLOOM_ANNOTATOR_ENABLED=no\nOTHER=1\n")
+    found = Settings.read(str(path), {"LOGLOOM_RETRIES": "7", "LOGLOOM_COVERAGE": "0.5"})
+    assert (found.tz, found.retries, found.annotator_enabled, found.coverage, found.rules) == ("UTC", 7, False, 0.5, "stage2_patterns.yaml")
+    assert Settings.read(str(tmp_path / "none"), {}) == Settings()
+
+
+class Client:
+    def __init__(self, *answers):
+        self.answers, self.asked = list(answers), []
+
+    def ask(self, prompt, system):
+        self.asked.append(prompt)
+        answer = self.answers.pop(0)
+        if isinstance(answer, Exception):
+            raise answer
+        return answer
+
+
+def asking(*answers, **options):
+    slept = []
+    return Asking(Client(*answers), sleep=slept.append, clock=lambda: 0.0, **options), slept
+
+
+def test_questions_are_asked_again_and_apart():
+    ask, slept = asking("", ValueError("down"), 'so {"a": 1}')
+    assert ask.json("q") == {"a": 1} and slept == [5, 5, 10, 5] and len(ask.client.asked) == 3
+    ask, _ = asking("no", "no", "no")
+    assert ask.json("q") is None
+    ask, _ = asking(enabled=False)
+    assert ask.json("q") is None and ask.client.asked == []
+
+
+def test_answers_are_checked():
+    ask, _ = asking('{"fields": [{"position": 1, "field_name": "hostname"}, {"position": 9, "field_name": "program"}, {"position": true, "field_name": "program"}, {"position": 0, "field_name": "odd"}, 3]}')
+    assert ModelAnnotator(ask).header_fields(["a", "b"], ["a b"]) == {1: "hostname"}
+    ask, _ = asking('[{"field_name": "user", "keyword": "by", "kind": "username", "x": 1}, {"field_name": "raw_message", "kv_key": "X"}, {"field_name": "bare", "kind": "ip"}, {"kv_key": "Y"}]')
+    assert ModelAnnotator(ask, forwarded=True).field_mappings(["by me"]) == [{"field_name": "user", "keyword": "by", "kind": "username"}] and "forwarded" in ask.client.asked[0]
+    patterns = [L.Pattern("a", "^a", count=1, sample="x"), L.Pattern("b", "^b", count=9)]
+    ask, _ = asking('{"noise_names": ["a", "other"], "forwarded": true}', '{"noise_names": ["a"]}', "", "")
+    assert ModelAnnotator(ask).check_templates(patterns) == (["a"], True) and [p.name for p in without_noise(patterns, ModelAnnotator(ask))] == ["b"]
+    assert ModelAnnotator(ask).check_templates(patterns) == ([], False) and ModelAnnotator(ask).check_templates([]) == ([], False)
+
+
+def test_large_libraries_are_planned_quickly(spark):
+    patterns = [L.Pattern(f"p{i}", rf"^<(?P<priority>\d+)>kind{i} (?P<hostname>\S+) (?P<message>.+)$", priority=i) for i in range(2000)]
+    lines = frame(spark, ["<13>kind1999 host one message", "<14>kind0 other two", "none", "<15>kind7 h \ue000\ue001 x"])
+    began = time.monotonic()
+    found = match(lines, patterns).select("line_no", "pattern_idx", group_column(patterns, "hostname").alias("h"), group_column(patterns, "message").alias("m")).collect()
+    assert [tuple(r) for r in sorted(found)] == [(1, 1999, "host", "one message"), (2, 0, "other", "two"), (3, None, None, None), (4, 7, "h", "\ue000\ue001 x")]
+    print(f"planned and run in {time.monotonic() - began:.1f} s")
+
+
+def test_stream_progress(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text("one\ntwo\n")
+    progress = Progress()
+    spark.streams.addListener(progress)
+    q = read_stream(spark, str(tmp_path / "in")).select("value", "path").writeStream.format("memory").queryName("progressed").start()
+    q.processAllAvailable()
+    q.stop()
+    for _ in range(50):
+        if progress.lines == 2:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(progress)
+    assert progress.lines == 2 and spark.table("progressed").first()["path"].endswith("a.log")

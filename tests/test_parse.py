@@ -92,3 +92,20 @@ def test_message_rules(spark):
 def test_empty_library(spark):
     lines = spark.createDataFrame([(G1, "f", 1)], "value string, path string, line_no long")
     assert unmatched(parse(lines, [], [], OPTIONS)).count() == 1
+
+
+def test_inner_line_is_stripped_and_shown_as_matched(spark):
+    line = G4.replace('"<29>Apr  2', '"  <29>Apr  2')
+    inner = json.loads(one(spark, line, nested=1)["structured_data"]["nested_syslog"])
+    has(inner, event_id="4663", parsed_content={"syslog": "<29>Apr 2 09:31:05 HOST01 Security-Auditing: 4663: x"})
+
+
+@pytest.mark.parametrize("text, stamp", [("2025-06-19 15:04:51", "2025-06-19 15:04:51+08:00"), ("2025-06-19T15:04:51", "2025-06-19 15:04:51+08:00"), ("2025-06-19T15:04:51+0200", "2025-06-19 21:04:51+08:00"), ("1750316691", "2025-06-19 15:04:51+08:00"), ("soon", "2001-02-03 12:05:06+08:00")])
+def test_times_that_rules_take(spark, text, stamp):
+    rules = [Rule("t", "timestamp", regex=r"at=([^;]+);")]
+    has(one(spark, f"<29>Jun 19 15:04:51 HOST01 Security-Auditing: 4656: at={text};", rules=rules), timestamp=stamp)
+
+
+def test_rules_that_only_python_can_evaluate(spark):
+    rules = [Rule("u", "username", regex=r"user=([[a-z]+)"), Rule("f", "file_name", regex=r"[[a-z]+\.txt")]
+    has(one(spark, G1.replace("handle requested", "user=bob took a.txt"), rules=rules), username="bob", file_name="a.txt")
