@@ -199,3 +199,27 @@ def test_bounds_drop_candidates_but_no_result():
     got = set(zip(*[x.tolist() for x in topk.block_scores(q, c, least)], strict=True))
     full = q.T @ c
     assert got == {(i, j, int(full[i, j])) for i in range(3) for j in range(500) if full[i, j] >= least[i]}
+
+
+def test_bounds_drop_most_candidates_early():
+    """Vectors whose length falls off over the dimensions, as those of models do; in any order of dimensions."""
+    r = np.random.default_rng(6)
+    shape = r.permutation(0.9 ** np.arange(64))[:, None]
+    q, c = np.floor(r.normal(size=(64, 16)) * shape * 64), np.floor(r.normal(size=(64, 4000)) * shape * 64)
+    full = q.T @ c
+    least, left = np.sort(full, axis=1)[:, -20], []
+    got = set(zip(*[x.tolist() for x in topk.block_scores(q, c, least, left)], strict=True))
+    assert got == {(i, j, int(full[i, j])) for i, j in zip(*np.nonzero(full >= least[:, None]), strict=True)}
+    assert left[0] < 2400 and left[1] < 600 and left[2] < 400
+
+
+def test_small_types_hold_the_same_numbers():
+    for top, kind in ((100, "int8"), (1000, "int16"), (1e6, "int32"), (1e12, "float64")):
+        m = np.floor(np.array([[top, -top / 2]]))
+        assert topk.small(m).dtype == kind and (topk.small(m) == m).all()
+
+
+def test_top_k_of_an_id_asked_with_two_vectors(spark):
+    frame = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [3.0, 0.0]), (2, [0.0, 2.0])], "vec_id long, embedding array<double>")
+    found = sorted(tuple(r) for r in topk.top_k(frame, F.col("id") % 20 == 0, k=2).collect())
+    assert found == [(0, 1, 1, 12288), (0, 2, 2, 8192)]
