@@ -38,8 +38,8 @@ PENALTY = 12.0
 SCRIPT_SHARE = 0.002
 #: Rows on which the model is fitted at most; a larger set is thinned evenly by hash of the id.
 FIT_ROWS = 40_000
-#: Code points of text expanded at once.
-SLICE = 1 << 18
+#: Code points of text expanded at once; a text of more than LONG is read in pieces, cut at white space.
+SLICE, LONG = 1 << 18, 1 << 20
 
 # First code point of each run of letters of a script.
 SCRIPTS = (
@@ -186,14 +186,16 @@ def _fit_counts(languages: list[str]):
         gram, word, script = (np.zeros((size, width)) for size in (1 << GRAM_BITS, 1 << WORD_BITS, len(NAMES)))
         for batch in batches:
             for part in slices(batch, "text", SLICE):
-                words = reader.words(part.column("text").to_pylist())
-                lang = np.array([languages.index(x) for x in part.column("lang").to_pylist()])[words.text] if len(words.text) else words.text
-                if not len(words.text):
-                    continue
-                sizes = [np.diff(np.append(starts, len(grams))) for grams, starts in zip(words.grams, words.starts, strict=True)]
-                for table, keys, langs in (*((gram, g, np.repeat(lang, k)) for g, k in zip(words.grams, sizes, strict=True)), (word, words.whole, lang)):
-                    table += np.bincount(keys * np.int64(width) + langs, minlength=table.size).reshape(table.shape)
-                script += np.bincount(words.script * width + lang, weights=words.letters, minlength=script.size).reshape(script.shape)
+                texts, names = part.column("text").to_pylist(), [languages.index(x) for x in part.column("lang").to_pylist()]
+                for own, langs_of in [(texts, names)] if max(map(len, texts)) <= LONG else [([x], [k]) for t, k in zip(texts, names, strict=True) for _, x in pieces(t, LONG)]:
+                    words = reader.words(own)
+                    if not len(words.text):
+                        continue
+                    lang = np.array(langs_of)[words.text]
+                    sizes = [np.diff(np.append(starts, len(grams))) for grams, starts in zip(words.grams, words.starts, strict=True)]
+                    for table, keys, langs in (*((gram, g, np.repeat(lang, k)) for g, k in zip(words.grams, sizes, strict=True)), (word, words.whole, lang)):
+                        table += np.bincount(keys * np.int64(width) + langs, minlength=table.size).reshape(table.shape)
+                    script += np.bincount(words.script * width + lang, weights=words.letters, minlength=script.size).reshape(script.shape)
         for kind, table in enumerate((gram, word, script)):
             keys, langs = np.nonzero(table)
             for at in range(0, len(keys), 50_000):
@@ -224,16 +226,41 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     return Model(languages, gram, word, letters > SCRIPT_SHARE * np.maximum(letters.sum(0), 1))
 
 
+def pieces(text: str, size: int) -> Iterator[tuple[int, str]]:
+    """Start and text of pieces of about `size` code points, cut behind white space; a run without any stays whole."""
+    start = 0
+    while start < len(text):
+        stop = min(start + size, len(text))
+        if stop < len(text):
+            back = max(text.rfind(c, start, stop) for c in " \n\t") + 1
+            ahead = min((i for c in " \n\t" if (i := text.find(c, stop)) >= 0), default=len(text) - 1) + 1
+            stop = back if back > start else ahead
+        yield start, text[start:stop]
+        start = stop
+
+
+def _scored(texts: list[str], reader: Reader, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word its text, letters and start, and its scores."""
+    if max(map(len, texts), default=0) <= LONG:
+        words = reader.words(texts)
+        return words.text, words.letters, words.start, model.word_scores(words)
+    out = []
+    for number, text in enumerate(texts):
+        for start, piece in pieces(text, LONG):
+            words = reader.words([piece])
+            out.append((np.full(len(words.text), number), words.letters, words.start + start, model.word_scores(words)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def label(texts: list[str], reader: Reader, model: Model) -> Iterator[tuple[str, float, list[tuple[int, int, str]]]]:
     """Language, score and spans (start and end in code points, language) of each text."""
-    words = reader.words(texts)
-    scores = model.word_scores(words)
-    bounds = np.searchsorted(words.text, np.arange(len(texts) + 1))
+    text, word_letters, word_starts, scores = _scored(texts, reader, model)
+    bounds = np.searchsorted(text, np.arange(len(texts) + 1))
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         if a == b or not model.languages:
             yield UND, 0.0, []
             continue
-        own, letters = scores[a:b], words.letters[a:b]
+        own, letters = scores[a:b], word_letters[a:b]
         path = best_path(own)
         held = np.bincount(path, weights=letters, minlength=len(model.languages))
         lang = int(held.argmax())
@@ -243,7 +270,7 @@ def label(texts: list[str], reader: Reader, model: Model) -> Iterator[tuple[str,
         sums = np.where(np.isfinite(sums), sums, -1e9) / np.sqrt(inside.sum())
         confidence = 1 / np.exp(np.clip(sums - sums[lang], -700, 50)).sum()
         cuts = np.flatnonzero(np.diff(path)) + 1
-        starts, ends = words.start[a:b], words.start[a:b] + letters
+        starts, ends = word_starts[a:b], word_starts[a:b] + letters
         spans = [(int(starts[i]), int(ends[j - 1]), model.languages[path[i]]) for i, j in zip([0, *cuts], [*cuts, b - a], strict=True)]
         yield model.languages[lang], float(held[lang] / letters.sum() * min(confidence, 1.0)), spans
 

@@ -37,8 +37,8 @@ from .textkernel import BASE, mix
 MARK = "▁"
 #: Cuts that a task remembers at most; the longest cut that is remembered; widths of the matrices.
 MEMORY, LONGEST, WIDTHS = 200_000, 256, (8, 12, 20, 32)
-#: Text bytes that are coded at once.
-SLICE = 1 << 19
+#: Text bytes that are coded at once; a text of more than LONG characters is coded in pieces.
+SLICE, LONG = 1 << 19, 1 << 20
 NEVER = np.iinfo(np.int32).max
 
 SCHEMA = "id long, ids array<int>, decoded string"
@@ -363,6 +363,24 @@ def pack(ids) -> bytes:
 codecs.register_error("each-byte", lambda e: ("\ufffd", e.start + 1))
 
 
+def pieces(text: str, size: int) -> list[str]:
+    """Texts of about `size` characters whose ids make up those of the text.
+
+    A text is cut at a space after another character: the mark of that space is the one that leads the next piece.
+    """
+    out, start = [], 0
+    while len(text) - start > size:
+        at = start + size
+        while (at := text.find(" ", at)) > 0 and text[at - 1] in (" ", MARK):
+            at += 1
+        # The library puts no mark before an empty text.
+        if at < 0 or at + 1 == len(text):
+            break
+        out.append(text[start:at])
+        start = at + 1
+    return [*out, text[start:]]
+
+
 #: The codec of this Python worker, which lives on between tasks.
 _own: dict[str, Codec] = {}
 
@@ -375,6 +393,21 @@ def _codec(model: bytes) -> Codec:
     return _own[name]
 
 
+def _both(own: Codec, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """All ids and the bounds of each text's, and the library's ids of each text."""
+    if max(map(len, texts), default=0) <= LONG:
+        return *own.encode_flat(texts), own.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
+    found, there = [], []
+    for text in texts:
+        parts, theirs = [], []
+        for piece in pieces(text, LONG):
+            parts.append(own.encode_flat([piece])[0][1:-1])
+            theirs += own.library.encode(piece)
+        found.append(np.concatenate(([own.begin], *parts, [own.end])).astype(np.int32))
+        there.append([own.begin, *theirs, own.end])
+    return np.concatenate(found), np.concatenate(([0], np.cumsum([len(x) for x in found]))), there
+
+
 def _coded(model: bytes):
     """For slices of rows: the rows, all ids, the bounds of each row's, and the decoded texts; the library must agree on all of them."""
 
@@ -383,8 +416,7 @@ def _coded(model: bytes):
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 texts = part.column("text").to_pylist()
-                ids, bounds = own.encode_flat(texts)
-                there = own.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
+                ids, bounds, there = _both(own, texts)
                 counts = np.fromiter(map(len, there), np.int64, len(there))
                 if not np.array_equal(counts, np.diff(bounds)) or not np.array_equal(np.fromiter(chain.from_iterable(there), np.int32, len(ids)), ids):
                     wrong = next(k for k, x in enumerate(there) if x != ids[bounds[k] : bounds[k + 1]].tolist())

@@ -54,10 +54,39 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix(np.add.reduceat(values, first) + lengths.astype(np.uint64))
 
 
+#: Bytes whose runs are hashed at once, about; a longer text is cut between runs.
+PIECE = 1 << 22
+
+
+def hashed_runs(inside: np.ndarray, fold: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text number of every run of bytes that `inside` (a table by byte) is true for, with bytes replaced by `fold`."""
+    if len(data) <= PIECE:
+        starts, ends, text = runs(inside[data], offsets)
+        return run_hashes(fold[data], starts, ends), text
+    hashes, texts, start = [], [], 0
+    while start < len(data):
+        stop = min(start + PIECE, len(data))
+        if stop < len(data):
+            apart = np.flatnonzero(~inside[data[start:stop]])
+            if len(apart):
+                stop = start + int(apart[-1]) + 1
+            else:
+                # One run is longer than a piece.
+                while stop < len(data) and not len(apart := np.flatnonzero(~inside[data[stop : stop + PIECE]])):
+                    stop += PIECE
+                stop = min(stop + int(apart[0]) if stop < len(data) else stop, len(data))
+        own = np.concatenate(([start], offsets[(offsets > start) & (offsets < stop)], [stop])) - start
+        part = data[start:stop]
+        starts, ends, _ = runs(inside[part], own)
+        hashes.append(run_hashes(fold[part], starts, ends))
+        texts.append(np.searchsorted(offsets, starts + start, side="right") - 1)
+        start = stop
+    return np.concatenate(hashes), np.concatenate(texts)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text number of every word (run of bytes other than ASCII white space), A-Z lower-cased."""
-    starts, ends, text = runs(~SPACE[data], offsets)
-    return run_hashes(LOWER[data], starts, ends), text
+    return hashed_runs(~SPACE, LOWER, data, offsets)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -4,8 +4,8 @@ A text's features are the distinct buckets of its words, pairs of neighbours and
 (words are runs of letters, lower-cased in ASCII). Each coordinate has its own learning rate; L1 keeps most weights
 at zero, so that the rest is small enough to go to every task.
 
-The fit takes labelled rows, thinned evenly by hash of the id beyond FIT_ROWS, in an order that depends only on them;
-one task learns, what it holds is bounded by FIT_ROWS. All texts are scored whole.
+The fit takes labelled rows, thinned evenly by hash of the id beyond FIT_ROWS rows or FIT_FEATURES features, in an order that
+depends only on them; one task learns, what it holds is bounded by FIT_FEATURES. All texts are scored whole.
 
 Defined results: a null, empty or letterless text is scored by the bias alone; without labelled rows all scores are
 0.5; rows that repeat an id, and null ids, are each returned; a row with a null label is not learned from; other
@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import in_workers, slices, text_buffers
-from .textkernel import LOWER, ORDER, mix, run_hashes, runs, sigmoid
+from .shared import Scratch, in_workers, slices, text_buffers
+from .textkernel import LOWER, ORDER, hashed_runs, mix, sigmoid
 
-#: Rows learned from at most, passes over them, and buckets of features (the last is the bias).
-FIT_ROWS, PASSES, BITS = 20_000, 4, 20
+#: Rows and features of rows learned from at most (about), passes over them, and buckets of features (the last is the bias).
+FIT_ROWS, FIT_FEATURES, PASSES, BITS = 20_000, 60_000_000, 4, 20
 
 LETTER = np.zeros(256, bool)
 LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
@@ -45,8 +45,7 @@ class Ftrl:
 def features(data: np.ndarray, offsets: np.ndarray, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of each text, and each text's bounds in them. `only`: the buckets that are asked for."""
     n = len(offsets) - 1
-    starts, ends, text = runs(LETTER[data], offsets)
-    words = run_hashes(LOWER[data], starts, ends)
+    words, text = hashed_runs(LETTER, LOWER, data, offsets)
     hashes, owners = [words], [text]
     for gap in (1, 2):
         same = text[:-gap] == text[gap:]
@@ -112,8 +111,15 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, rates: Ftr
     hashed = F.xxhash64("key")
     chosen = labels.where(F.pmod(hashed, F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
     texts = docs.select("key", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "key")
-    rows = texts.transform(in_workers, _featured, "key long, label int, features array<int>").repartition(1).sortWithinPartitions(hashed, "key", "label", F.hash("features"))
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    rows = scratch.keep(texts.transform(in_workers, _featured, "key long, label int, features array<int>"), "features")
+    # Very long texts have many features: rows are thinned further, by another hash, where they are too many in all.
+    every = rows.agg(F.sum(F.size("features"))).first()[0] or 0
+    if every > FIT_FEATURES:
+        rows = rows.where(F.pmod(F.xxhash64("key", F.lit(2)), F.lit(1 << 20)) < F.lit(int(FIT_FEATURES / every * (1 << 20))))
+    rows = rows.repartition(1).sortWithinPartitions(hashed, "key", "label", F.hash("features"))
     found = rows.transform(in_workers, _learned(rates, passes), "bucket long, weight double").toPandas()
+    scratch.drop_all_but()
     return found["bucket"].to_numpy(np.int64), found["weight"].to_numpy(float)
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import hmac
 import itertools
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -13,13 +14,13 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.llm import language_id, mixing, ngram_join, pii, secrets, sentencepiece_codec, shared, toxicity
+from logloom.llm import language_id, mixing, ngram_join, pii, secrets, sentencepiece_codec, shared, textkernel, toxicity
 from logloom.llm.graph import components
 from logloom.llm.ngram_join import Jaccard, jaccard_components
 from logloom.llm.queries import piece_model
 from logloom.llm.sentencepiece_codec import Codec, encode_digests, encode_documents
 from logloom.llm.shared import Scratch, text_buffers
-from logloom.llm.textkernel import shingle_sets
+from logloom.llm.textkernel import BASE, LOWER, shingle_sets
 
 DATA = "/root/testdata/sf0.001"
 
@@ -69,6 +70,78 @@ def test_scripts_narrow_candidates(spark):
     assert [f[0] for f in found[1:]] == [found[1][0], "und", found[3][0]] and {found[1][0], found[3][0]} <= {"ru", "en"} and {s[2] for s in found[0][2]} <= {"ru", "en"}
 
 
+def naive_mix(x):
+    m = (1 << 64) - 1
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+    return x ^ x >> 31
+
+
+def naive_score(word, model):
+    """Scores of a word: of its letters, of pairs and triples of them with the ends, and of the word itself, one by one."""
+    m, base = (1 << 64) - 1, int(BASE)
+    chars = [0, *(ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in word), 0]
+    total = np.zeros(len(model.languages))
+    for size in range(1, language_id.LONGEST + 1):
+        for i in range(len(chars) - size + 1):
+            if size == 1 and i in (0, len(chars) - 1):
+                continue
+            h = chars[i] + 1
+            for k in range(2, size + 1):
+                h = (h * base + chars[i + k - 1] + k) & m
+            total += model.gram[naive_mix(h) >> 64 - language_id.GRAM_BITS]
+    whole = sum(c * pow(base, k + 1, 1 << 64) for k, c in enumerate(chars)) & m
+    return total + model.word[naive_mix(whole) >> 64 - language_id.WORD_BITS]
+
+
+def test_word_scores_and_labels_against_plain_python(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model, reader = language_id.fit_documents(docs), language_id.Reader()
+    texts = [r["text"] for r in docs.where(F.length("text").between(40, 1500)).orderBy("doc_id").limit(25).collect()] + ["Ünïcode wörds, 12 a-b c'd", "x", "..."]
+    found = list(language_id.label(texts, reader, model))
+    for text, (lang, _, spans) in zip(texts, found, strict=True):
+        words = re.findall(r"[^\W\d_]+", text)
+        scores = np.array([naive_score(w, model) for w in words]).reshape(len(words), len(model.languages))
+        got = model.word_scores(reader.words([text]))
+        allowed = np.isfinite(got)
+        assert got.shape == scores.shape and np.allclose(got[allowed], scores[allowed], atol=1e-3)
+        if not words:
+            assert lang == "und"
+            continue
+        # Viterbi, and the language of most letters.
+        value, back = got[0].astype(float), []
+        for row in got[1:]:
+            moves = value[None, :] - language_id.PENALTY * (1 - np.eye(len(row)))
+            back.append(moves.argmax(1))
+            value = moves.max(1) + row
+        path = [int(value.argmax())]
+        for b in reversed(back):
+            path.append(int(b[path[-1]]))
+        path = path[::-1]
+        letters = Counter()
+        for w, k in zip(words, path, strict=True):
+            letters[k] += len(w)
+        assert letters[model.languages.index(lang)] == max(letters.values()) and len(spans) == 1 + sum(a != b for a, b in itertools.pairwise(path))
+
+
+def test_long_texts_in_pieces_give_the_same(spark, monkeypatch, coder):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    held = [r["text"] for r in docs.where("text IS NOT NULL").limit(60).collect()] + ["", "a" * 900, "  x  " * 200, "▁ ▁x ", "é日本" * 300, "tail "]
+    data, offsets = text_buffers(pa.array(held))
+    model, reader = language_id.fit_documents(docs), language_id.Reader()
+    whole = list(language_id.label(held, reader, model)), shingle_sets(data, offsets, 4), toxicity.features(data, offsets), sentencepiece_codec._both(coder, held)
+    monkeypatch.setattr(language_id, "LONG", 100)
+    monkeypatch.setattr(textkernel, "PIECE", 100)
+    monkeypatch.setattr(sentencepiece_codec, "LONG", 100)
+    cut = list(language_id.label(held, reader, model)), shingle_sets(data, offsets, 4), toxicity.features(data, offsets), sentencepiece_codec._both(coder, held)
+    assert [(x[0], x[2]) for x in cut[0]] == [(x[0], x[2]) for x in whole[0]] and np.allclose([x[1] for x in cut[0]], [x[1] for x in whole[0]])
+    for a, b in zip(whole[1:], cut[1:], strict=True):
+        assert all(np.array_equal(x, y) for x, y in zip(a[:2], b[:2], strict=True))
+    assert cut[3][2] == whole[3][2]
+    again = language_id.fit_documents(docs)
+    assert np.array_equal(again.gram, model.gram) and np.array_equal(again.word, model.word)
+
+
 # 2
 
 
@@ -471,6 +544,48 @@ def test_toxicity_learns_and_handles_odd_rows(spark, odd_docs, no_docs):
     assert {x["score"] for x in toxicity.score(odd_docs, untrained).collect()} == {0.5} and toxicity.score(no_docs, model).count() == 0
 
 
+def test_ftrl_against_plain_python():
+    r = random.Random(17)
+    rows = [np.array(sorted(r.sample(range(50), r.randint(0, 8))), np.int32) for _ in range(300)]
+    labels = np.array([float(3 in x or (7 in x and 9 in x)) for x in rows])
+    rates, bias = toxicity.Ftrl(l1=0.5), (1 << toxicity.BITS) - 1
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        l1 = 0.0 if i == bias else rates.l1
+        sign = math.copysign(1, z[i])
+        return 0.0 if abs(z[i]) <= l1 else (sign * l1 - z[i]) / ((rates.beta + math.sqrt(n[i])) / rates.alpha + rates.l2)
+
+    for _ in range(3):
+        for row, y in zip(rows, labels, strict=True):
+            at = [*row.tolist(), bias]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-max(-30, min(30, sum(w.values()))))) - y
+            for i in at:
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / rates.alpha
+                z[i] += g - sigma * w[i]
+                n[i] += g * g
+    buckets, weights = toxicity.learn(rows, labels, rates, passes=3)
+    wanted = {i: weight(i) for i in z if weight(i)}
+    assert dict(zip(buckets.tolist(), weights.tolist(), strict=True)) == pytest.approx(wanted) and 3 in wanted and len(wanted) < 51
+
+
+def test_features_against_plain_python():
+    texts = ["You are AN idiot you", "a, b c-d", "", "x", "é1é"]
+    found, bounds = toxicity.features(*text_buffers(pa.array(texts)))
+    for text, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+        words = re.findall(rb"[a-z\x80-\xff]+", text.encode().translate(bytes(LOWER)))
+        wanted = {(w,) for w in words} | {(gap, words[i], words[i + gap]) for gap in (1, 2) for i in range(len(words) - gap)}
+        assert b - a == len(wanted)
+
+
+def test_toxicity_thins_rows_with_many_features(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_FEATURES", 3000)
+    docs = spark.createDataFrame([(i, " ".join(f"w{chr(97 + (i * k) % 26)}" for k in range(40)) + (" bad" if i % 2 else ""), i % 2) for i in range(400)], "key long, text string, label int")
+    buckets, _ = toxicity.fit(docs.select("key", "text"), docs.select("key", "label"))
+    assert len(buckets) > 0
+
+
 # 10
 
 
