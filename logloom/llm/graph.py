@@ -73,7 +73,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str, rounds: int = 40,
     last = None
     for k in range(rounds):
         if edges.count() <= one_task:
-            named = scratch.keep(edges.coalesce(1).transform(in_workers, _forest(True), schema).toDF("node", "component"), name)
+            named = scratch.keep(edges.coalesce(1).transform(in_workers, _forest(True), schema).toDF("node", "component"), name, as_it_is=True)
             break
         stars = scratch.keep(edges.transform(in_workers, _forest(False), schema), f"{name}-{k}")
         if last:

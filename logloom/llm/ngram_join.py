@@ -397,8 +397,7 @@ def _gathered(texts: DataFrame, live: DataFrame, rule: Jaccard, scratch: Scratch
 
 def _multiplied(sets: DataFrame, keys: list[str], rule: Jaccard, cut: bool) -> DataFrame:
     """A forest (a, b) of the links of rows (keys, id, values) with equal keys."""
-    number = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = sets.repartition(number, *keys).sortWithinPartitions(*keys)
+    blocks = sets.repartition(*keys).sortWithinPartitions(*keys)
     return blocks.select(*keys, "id", "values").transform(in_workers, _products(rule, keys, cut), "a long, b long")
 
 

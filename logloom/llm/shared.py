@@ -61,6 +61,10 @@ def free_name(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+#: Shuffle partitions for each file of a table.
+FILES = 16
+
+
 class Scratch:
     """Parquet tables of one run in the shared folder: they cut lineage and survive lost executors."""
 
@@ -74,8 +78,14 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as a table of this name and read it again."""
+    def keep(self, df: DataFrame, name: str, as_it_is: bool = False) -> DataFrame:
+        """Write df as a table of this name and read it again.
+
+        It is dealt out to a FILES-th of the session's shuffle partitions first, as most of these tables are a small part of the
+        input: few files, and a task that writes them does nothing else. as_it_is: one file for each partition of df.
+        """
+        if not as_it_is:
+            df = df.repartition(max(2, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // FILES))
         df.write.mode("overwrite").parquet(self.path(name))
         self.names.add(name)
         self.release()

@@ -5,9 +5,12 @@ fields in version 1, 10 in version 2), then as many bytes as the line declares,
 keeps the bytes and synthesises what WARC asks for: a record id from the archive's facts, an ISO timestamp from the
 digits of the archive date, a type from the scheme and content, block and payload digests.
 
+Folders of .arc and .arc.gz files are read as a table of records (`read_arc`) and converted as a whole (`convert_arc`). A file is
+a row on the way, so it must fit a worker's memory, and 2 GB.
+
 A payload that other records share is stored once: the record with the largest key is the response, the others are
 revisits, which keep the HTTP header and refer to it. Who refers to whom is settled by digest before anything is
-written, with one narrow aggregate.
+written, with one narrow aggregate; payloads are not shuffled as long as the shared ones are few enough to be broadcast.
 
 WARC files are written through Spark's text writer (the line separator is the two empty lines that end a record, so
 the files are plain WARC, compressed) into the cluster's shared folder, and read as a stream of bytes by declared
@@ -21,6 +24,7 @@ key has the payload; other columns are ignored whatever their names.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -31,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, in_workers, slices
+from .shared import BROADCAST_ROWS, HEAVY, Scratch, in_workers, slices
 
 # The header fields of the two ARC versions, as their version blocks list them.
 ARC_FIELDS = {
@@ -39,6 +43,9 @@ ARC_FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 END = b"\r\n\r\n"
+GZIP = b"\x1f\x8b"
+#: Bytes of ARC blocks in one batch of records, about.
+ARC_BYTES = 4 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, target_uri string, date string"
 
@@ -167,6 +174,10 @@ class WarcStream:
         del self.held[:at]
 
 
+def _utf8(text: str) -> str:
+    return text.encode("utf-8", "surrogateescape").decode("utf-8", "replace")
+
+
 def _safe(url: str | None) -> str:
     return re.sub(r"[\s\x00-\x20\x7f]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "") or "urn:unknown"
 
@@ -195,9 +206,18 @@ def _converted(date: str):
 def write(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = "20240101000000", key_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
     """Write every row as a WARC record. Payloads of `least_bytes` or more that are equal are stored once."""
     rows = pages.select(pages[key_col].cast("long").alias("key"), pages[url_col].alias("url"), F.coalesce(pages[payload_col].cast("binary"), F.lit(b"")).alias("payload")).withColumn("digest", F.sha1("payload"))
+    scratch = Scratch(pages.sparkSession, "firsts")
     firsts = rows.select("key", "url", "digest", F.length("payload").alias("size")).where(F.col("size") >= least_bytes)
-    firsts = firsts.groupBy("digest").agg(F.max(F.struct("key", "url")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    joined = rows.join(firsts.select("digest", F.col("first.key").alias("first"), F.col("first.url").alias("first_url")), "digest", "left")
+    firsts = firsts.groupBy("digest").agg(F.max(F.struct("key", "url")).alias("top"), F.count("*").alias("n")).where("n > 1")
+    firsts = scratch.keep(firsts.select("digest", F.col("top.key").alias("first"), F.col("top.url").alias("first_url"), "n"), "firsts")
+    number = firsts.agg(F.count("*").alias("rows"), F.sum(F.length(F.coalesce("first_url", F.lit("")))).alias("bytes"), F.sum("n").alias("n")).first()
+    if number["rows"] <= BROADCAST_ROWS // 8 and (number["bytes"] or 0) <= 8 * BROADCAST_ROWS:
+        joined = rows.join(F.broadcast(firsts), "digest", "left")
+    else:
+        # Payloads that very many records share are broadcast (fewer than HEAVY of them); no task of the other join meets one.
+        often = F.col("n") > number["n"] / HEAVY
+        heavy = F.broadcast(firsts.where(often))
+        joined = rows.join(heavy, "digest").unionByName(rows.join(heavy.select("digest"), "digest", "left_anti").join(firsts.where(~often), "digest", "left"))
     revisits = ~F.col("key").eqNullSafe(F.col("first"))
     joined = joined.select("key", "url", "payload", F.when(revisits, F.col("first")).alias("first"), F.when(revisits, F.col("first_url")).alias("first_url"))
     records = joined.transform(in_workers, _converted(date), "record binary").select(F.col("record").cast("string").alias("value"))
@@ -233,6 +253,51 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.transform(in_workers, _read, READ_SCHEMA)
 
 
+ARC_SCHEMA = "file string, number long, version int, url string, ip string, date string, content_type string, block binary"
+
+
+def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split(" ")[0] for x in ARC_SCHEMA.split(", ")]
+    for batch in batches:
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+            data = content.as_py()
+            rows, size = [], 0
+            for number, r in enumerate(parse_arc(gzip.decompress(data) if data[:2] == GZIP else data)):
+                rows.append((path, number, r.version, *(_utf8(r.fields[f]) for f in ("URL", "IP-address", "Archive-date", "Content-type")), r.block))
+                size += len(r.block)
+                if size >= ARC_BYTES:
+                    yield _arc_batch(rows, names)
+                    rows, size = [], 0
+            if rows:
+                yield _arc_batch(rows, names)
+
+
+def _arc_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    types = {"number": pa.int64(), "version": pa.int32(), "block": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(c, types.get(n, pa.string())) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
+
+
+def read_arc(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of the .arc and .arc.gz files of a folder; number counts them within their file. Bytes of a header that are no UTF-8 are replaced."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{arc,arc.gz}").load(folder)
+    return files.select("path", "content").transform(in_workers, _archives, ARC_SCHEMA)
+
+
+def convert_arc(spark: SparkSession, folder: str, output: str) -> None:
+    """Write the records of a folder of ARC files as WARC records, each by itself; the key of one is its file's name and number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                fields = {"URL": _safe(row["url"]), "IP-address": row["ip"], "Archive-date": row["date"], "Content-type": row["content_type"]}
+                out.append(to_warc(ArcRecord(row["version"], fields, row["block"]), f"{row['file'].rsplit('/', 1)[-1]}:{row['number']}"))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+
+    records = read_arc(spark, folder).transform(in_workers, run, "record binary").select(F.col("record").cast("string").alias("value"))
+    records.write.mode("overwrite").option("lineSep", END.decode()).option("compression", "gzip").text(output)
+
+
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Write pages as WARC in the shared folder and read the archives back."""
     scratch = Scratch(pages.sparkSession, "warc")

@@ -1,6 +1,7 @@
 """Operators over pages and vectors, against brute force and on odd rows."""
 
 import base64
+import gzip
 import hashlib
 import math
 
@@ -72,6 +73,42 @@ def test_round_trip_of_files_that_end_in_line_ends(spark, end):
         assert found == {i: len(f"<p>{i}</p>{end}") for i in range(n)}
 
 
+@pytest.mark.parametrize("most", [400_000, 0])
+def test_round_trip_with_and_without_broadcast(spark, monkeypatch, most):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(warc, "HEAVY", 10)
+    htmls = ["common"] * 30 + [f"pair {k // 2}" for k in range(20)] + [f"own {k}" for k in range(10)] + [None, ""]
+    pages = spark.createDataFrame([(i, f"http://{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    tops = {(h or ""): i for i, h in enumerate(htmls)}
+    found = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()}
+    assert found == {i: ("response", None) if tops[h or ""] == i else ("revisit", tops[h or ""]) for i, h in enumerate(htmls)}
+
+
+def test_folders_of_arc_files(spark, tmp_path):
+    folder, out = tmp_path / "arc", tmp_path / "warc"
+    folder.mkdir()
+    http = b"HTTP/1.0 200 OK\r\n\r\n<p>\xff</p>\r\n\r\n"
+    records = [("http://x.org/a b".replace(" ", "%20"), "20010203040506", "text/html", http), ("dns:x.org", "200102030405", "text/dns", b"1.2.3.4"), ("http://y.org/", "20010203040506", "text/html", b"")]
+    (folder / "one.arc").write_bytes(warc.write_arc(records, 1))
+    whole = warc.write_arc(records[:2], 2)
+    cut = whole.index(b"\nhttp")
+    (folder / "two.arc.gz").write_bytes(gzip.compress(whole[:cut]) + gzip.compress(whole[cut:]))
+    (folder / "other.txt").write_bytes(b"no archive")
+    rows = sorted((r["file"].rsplit("/", 1)[-1], r["number"], r["version"], r["url"], r["date"], bytes(r["block"])) for r in warc.read_arc(spark, str(folder)).collect())
+    assert rows == [("one.arc", k, 1, r[0], r[1], r[3]) for k, r in enumerate(records)] + [("two.arc.gz", k, 2, r[0], r[1], r[3]) for k, r in enumerate(records[:2])]
+    warc.convert_arc(spark, str(folder), str(out))
+    found = {}
+    for path in out.glob("*.gz"):
+        stream = warc.WarcStream(surplus=True)
+        for fields, block in stream.feed(gzip.decompress(path.read_bytes())):
+            assert fields["WARC-Block-Digest"] == f"sha1:{warc.digest(block)}"
+            found[fields["X-Key"]] = (fields["WARC-Type"], fields["WARC-Date"], block)
+    assert found["one.arc:0"] == ("response", "2001-02-03T04:05:06Z", http) and found["two.arc.gz:1"] == ("resource", "2001-02-03T04:05:00Z", b"1.2.3.4") and len(found) == 5
+    (folder / "broken.arc").write_bytes(whole[:-20])
+    with pytest.raises(Exception, match="declares|no header line"):
+        warc.read_arc(spark, str(folder)).collect()
+
+
 # 6
 
 
