@@ -90,7 +90,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline"), None
     for name, stage in STAGES:
         with cleared():
-            docs = scratch.keep(stage(spark, docs, sf_dir), name)
+            docs = scratch.keep(stage(spark, docs, sf_dir), name, as_it_is=True)
         if before:
             scratch.drop(before)
         before = name
