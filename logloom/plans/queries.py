@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions import scalars as S
@@ -351,9 +351,10 @@ def pattern_upsert(spark, sf_dir):
 
 @query("SELECT event_type, n, printf('fmt_%03d', (row_number() OVER (ORDER BY n DESC, event_type) - 1)::INT) AS name FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")
 def seq_naming(spark, sf_dir):
-    counts = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"))
     # One row for each type: few.
-    return counts.withColumn("name", F.format_string("fmt_%03d", F.row_number().over(Window.orderBy(F.desc("n"), "event_type")) - 1))
+    counts = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n")).orderBy("event_type").collect()
+    groups = [(drain.Template([r["event_type"]], [], r["n"], [r["event_type"]]), {}) for r in counts]
+    return spark.createDataFrame([(p.sample, p.count, p.name) for p in drain.to_patterns(groups, least=1)], "event_type string, n long, name string")
 
 
 @query("SELECT * FROM (VALUES ('^c', 'huawei_005', 3::INT), ('^b', 'huawei_004', 12::INT), ('^a', 'generic_000', 10::INT)) AS t(regex, name, count)")
