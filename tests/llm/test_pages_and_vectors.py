@@ -194,6 +194,27 @@ def test_lone_pairs_are_found_beside_a_large_group(spark):
     assert {found[i] for i in range(10200, 10700)} == {(499, 10200)} and all(found[i] == (0, i) for i in range(1200, 10200))
 
 
+def test_large_labels_are_closed_where_the_audit_misses_links(spark, monkeypatch):
+    from logloom.llm import nndescent
+
+    rows = vectors(21)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    wanted = brute_links(rows, 0.98)
+    monkeypatch.setattr(nndescent, "descend", lambda nodes, plan, scratch: (nodes.select(F.col("id").alias("u"), F.col("id").alias("v"), F.lit(0.0).alias("sim")).limit(0),) + (nodes.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0),))
+    found = near_duplicates(frame, Descent(close_most=0))
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found.collect()} == wanted
+    monkeypatch.setattr(nndescent, "_missed", lambda nodes, labels, linked, threshold: nodes.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0))
+    with pytest.raises(RuntimeError, match="links are missed"):
+        near_duplicates(frame, Descent(close_most=0))
+
+
+def test_ids_with_several_vectors_and_repeats(spark):
+    a, b = [1.0, 0.0, 0.1], [0.0, 1.0, 0.0]
+    rows = [(1, a, 0), (1, b, 0), (2, a, 0), (2, a, 0), (3, b, 0), (4, [1.0, 0.0, 0.11], 0)]
+    found = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert found == [(1, 1, 1, True), (1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (3, 1, 1, False), (4, 3, 1, False)]
+
+
 # 8
 
 
