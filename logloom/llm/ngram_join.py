@@ -10,8 +10,8 @@ products of the block's part of the incidence matrix with itself; pairs are disc
 lift their count to ceil(t / (1 + t) (|x| + |y|)), and rows without a pair are dropped from the block.
 
 Only what decides the components is multiplied. In each of a few rounds, rows are put in blocks by the least column of their
-prefix (in another order each round) and their size, which gathers near copies; a large group makes many blocks, and the next
-round mixes its rows anew. What is left are columns of the prefixes whose rows are in several components: pairs of different
+prefix (in a few orders, others in each round) and their size, which gathers near copies; a large group makes many blocks, and the
+next round mixes its rows anew. What is left are columns of the prefixes whose rows are in several components: pairs of different
 components that pass the bounds of sizes and places there, and of their counts in each block of columns, go into row blocks in
 which both meet, whose product decides them. So a group of m near copies costs about its number of rows, and no link between components is missed.
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .graph import components, stars_of
 from .shared import Scratch, few, give_back, heavy_join, in_workers, slices, text_buffers
-from .textkernel import ORDER, mix, shingle_sets, sums
+from .textkernel import BASE, ORDER, mix, shingle_sets, sums
 
 #: Text bytes that are cut into shingles at once.
 SLICE = 1 << 19
@@ -45,8 +45,8 @@ COUNT_BYTES, COUNT_LEAST, FREQUENT_LEAST = 32 << 20, 2, 8
 FREQUENT_MOST = 1 << 18
 #: Entries of one column that one task counts, and of one tile of a column; pairs of tiles looked at at once, about.
 CHUNK, TILE_PAIRS = 512, 1 << 18
-#: Rounds of row blocks; rows and entries of a row block; columns of a column block.
-ROUNDS, BLOCK_ROWS, BLOCK_ENTRIES, BLOCK_COLUMNS = 2, 256, 1 << 18, 2048
+#: Rounds of row blocks, and keys of each row in a round; rows and entries of a row block; columns of a column block.
+ROUNDS, KEYS, BLOCK_ROWS, BLOCK_ENTRIES, BLOCK_COLUMNS = 2, 2, 256, 1 << 18, 2048
 #: Rows of one key of a round that one task takes, about; first bits by which most columns are told to be rare.
 KEY_ROWS, FILTER_BITS = 4096, 20
 
@@ -178,24 +178,24 @@ def _prefixes(rule: Jaccard, hot: np.ndarray, often: np.ndarray):
                 tokens, ranks_, owners = values[order], rank[order], owner[order]
                 # Keys of the row blocks.
                 full = np.flatnonzero(lengths)
-                keys, key_ranks = np.zeros((len(full), ROUNDS), np.uint64), np.zeros((len(full), ROUNDS), np.int64)
+                keys, key_ranks = np.zeros((len(full), ROUNDS * KEYS), np.uint64), np.zeros((len(full), ROUNDS * KEYS), np.int64)
                 size = np.floor(2 * np.log2(np.maximum(n[full], 1))).astype(np.uint64)
-                for k in range(ROUNDS):
-                    mixed = mix(tokens ^ ORDER[k])
+                for k in range(ROUNDS * KEYS):
+                    mixed = mix(tokens ^ mix(np.uint64(k + 1) * BASE))
                     least = np.minimum.reduceat(mixed, begin[full]) if len(full) else mixed
                     where = np.flatnonzero(mixed == np.repeat(least, lengths[full]))
                     # Of equal hashes (there should be none) any will do.
                     rank_of = np.zeros(len(n), np.int64)
                     rank_of[owners[where]] = ranks_[where]
-                    keys[:, ROUNDS - 1 - k] = mix(least + (size + np.uint64(1)) * ORDER[3] + np.uint64(k))
-                    key_ranks[:, ROUNDS - 1 - k] = rank_of[full]
-                put = np.repeat(begin[full], ROUNDS)
+                    keys[:, -1 - k] = mix(least + (size + np.uint64(1)) * ORDER[3] + np.uint64(k))
+                    key_ranks[:, -1 - k] = rank_of[full]
+                put = np.repeat(begin[full], ROUNDS * KEYS)
                 tokens = np.insert(tokens, put, keys.ravel())
                 parts = np.maximum(1, -(-ranks_ // CHUNK))
                 parts = np.insert(parts, put, np.maximum(1, -(-key_ranks.ravel() // KEY_ROWS)))
-                owners = np.insert(owners, put, np.repeat(full, ROUNDS))
+                owners = np.insert(owners, put, np.repeat(full, ROUNDS * KEYS))
                 deal = (mix(s1.view(np.uint64))[owners] % parts.astype(np.uint64)).astype(np.int32)
-                cuts = pa.array(np.concatenate(([0], np.cumsum(np.where(lengths > 0, lengths + ROUNDS, 0)))).astype(np.int32))
+                cuts = pa.array(np.concatenate(([0], np.cumsum(np.where(lengths > 0, lengths + ROUNDS * KEYS, 0)))).astype(np.int32))
                 columns = pa.ListArray.from_arrays(cuts, pa.array(tokens.view(np.int64)))
                 dealt = pa.ListArray.from_arrays(cuts, pa.array(np.where(parts > 1, deal, -1).astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(s1), pa.array(s2), pa.array(n), columns, dealt], names=["id", "s1", "s2", "n", "columns", "parts"])
@@ -358,7 +358,7 @@ def jaccard_components(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str =
     index = index.select("id", "e.columns", F.col("e.parts").cast("long").alias("part"), (F.shiftleft("n", 32) + F.col("place")).alias("np")).withColumnRenamed("columns", "column")
     count = F.count("*").over(Window.partitionBy("column", "part"))
     index = index.withColumn("entries", count).where("entries > 1 OR part >= 0")
-    place = F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).cast("int") - ROUNDS
+    place = F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).cast("int") - ROUNDS * KEYS
     live = scratch.keep(index.select("id", F.shiftright("np", 32).alias("n"), "column", "part", place.alias("place")), "live-0")
     links = linked = None
     for k in range(1, ROUNDS + 2):
@@ -390,7 +390,7 @@ def text_hash(text: Column) -> Column:
 
 def _gathered(texts: DataFrame, live: DataFrame, rule: Jaccard, scratch: Scratch, k: int) -> DataFrame:
     """Links (a, b) within the row blocks of a round."""
-    member = scratch.keep(live.where(F.col("place") == -k).select("id", F.col("column").alias("key"), "part"), f"members-{k}")
+    member = scratch.keep(live.where(F.col("place").between(-k * KEYS, -1 - (k - 1) * KEYS)).select("id", F.col("column").alias("key"), "part"), f"members-{k}")
     sets = texts.join(few(member), "id").transform(in_workers, _whole_sets(rule, "id", "key", "part"), "id long, key long, part long, values binary")
     return _multiplied(sets, ["key", "part"], rule, cut=True)
 
