@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, pii, secrets, toxicity, warc
+from . import alignment, byte_bpe, language_id, mixing, periodic_runs, pii, secrets, toxicity, warc
 from .nndescent import near_duplicates
 from .ngram_join import Jaccard, jaccard_components
 from .sentencepiece_codec import encode_digests
@@ -157,22 +157,43 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (language_id.fold(found["doc_id"], 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def piece_model(path: str | None = None) -> bytes:
-    """The bytes of a SentencePiece model: that of the public 32k vocabulary unless a path is given."""
+def vocabulary(name: str, path: str | None = None) -> bytes:
+    """The bytes of a vocabulary file: the public one of this name unless a path is given."""
     if path is None:
         import public_tokenizers
 
-        path = public_tokenizers.path("piece_bpe_32k.model")
+        path = public_tokenizers.path(name)
     with open(path, "rb") as f:
         return f.read()
 
 
+def piece_model(path: str | None = None) -> bytes:
+    """The bytes of a SentencePiece model: that of the public 32k vocabulary unless a path is given."""
+    return vocabulary("piece_bpe_32k.model", path)
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(_table(spark, sf_dir, "documents"), piece_model())
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.digests(byte_bpe.encode_documents(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.linked_counts(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), piece_model())
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_repeats(_table(spark, sf_dir, "documents"))
+    return periodic_runs.digests(periodic_runs.periodic_runs(docs, least=4, shortest=6))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_pfair_mix, op3_secret_ledger, op4_pii_feistel, op5_arc_to_warc, op6_nn_descent, op7_ngram_jaccard, op8_exact_top_k, op9_toxicity, op10_sentencepiece, secret_ledger_versions)}
+    return {f.__name__: f for f in (op1_language_id, op2_pfair_mix, op3_secret_ledger, op4_pii_feistel, op5_arc_to_warc, op6_nn_descent, op7_ngram_jaccard, op8_exact_top_k, op9_toxicity, op10_sentencepiece, op11_byte_bpe, op12_token_alignment, op13_periodic_runs, secret_ledger_versions)}
 
 
 def oracle_sql() -> dict[str, str]:
