@@ -1,8 +1,9 @@
 """Template learning from unlabelled lines.
 
 A line's path is the classes of its first tokens, and a template only ever meets lines of its own path. So paths are learned in
-parallel, lines of one path in their order, with the same templates as one pass over the file. Templates with one head
-signature are put together in Spark; the driver gets one for each file and signature, and writes its regex.
+parallel, the heads of the lines of one path in their order, with the same templates as one pass over the file; what does not
+depend on the order is aggregated. Templates with one head signature are put together in Spark; the driver gets one for
+each file and signature, and writes its regex.
 """
 
 from __future__ import annotations
@@ -11,8 +12,11 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from heapq import heappop, heappush
+from itertools import chain, combinations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,18 +53,6 @@ class Template:
     path: str = ""
 
 
-def similarity(template: list[str], line: list[str], kinds: Kinds) -> float:
-    """Share of the first tokens that agree: equal, or of one typed class. A wildcard agrees with nothing but itself."""
-    n = min(PREFIX, len(template), len(line))
-    if not n:
-        return 0.0
-
-    def agree(a: str, b: str) -> bool:
-        return a == b or a != WILD != b and (kind := kinds[a]) == kinds[b] and kind not in ("<WORD>", "<OTHER>")
-
-    return sum(agree(a, b) for a, b in zip(template[:n], line[:n], strict=True)) / n
-
-
 def folded(a: list[str], b: list[str]) -> list[str]:
     """Place by place what both have, else a wildcard; the shorter one is filled with wildcards."""
     n = max(len(a), len(b))
@@ -69,65 +61,130 @@ def folded(a: list[str], b: list[str]) -> list[str]:
 
 
 class Leaf:
-    """The templates of one path key, whose lines all have the same number of head tokens.
+    """The heads of the templates of one path key, whose lines all have the same number of head tokens.
 
-    A template with so many wildcards in its head that no line can be similar enough any more is set aside: it never changes again.
+    Places agree if their tokens are equal or of one typed class; a wildcard agrees with nothing but its own text. A line goes to the
+    template with the most places that agree (the first of equals), if these are a `threshold` of all. So at most `slack` places may differ, and
+    each template is listed under its head with every choice of so many places left out, or fewer: a line's own head with the same
+    places left out finds all that it can join, whatever their number. Lists are heaps, in which outdated entries are skipped.
     """
 
-    def __init__(self, threshold: float = SIMILAR):
-        self.threshold, self.kinds = threshold, Kinds()
-        self.templates: list[Template] = []
-        self.open: list[Template] = []
-
-    def add(self, line: str, toks: list[str], seps: list[str], line_no: int) -> None:
-        """Add a line to the most similar template (the first of equals), or as a new one."""
-        best, most = None, -1.0
-        for t in self.open:
-            if (s := similarity(t.tokens, toks, self.kinds)) > most:
-                best, most = t, s
-        if best is None or most < self.threshold:
-            self.templates.append(new := Template(toks, seps, 1, [line], line_no))
-            self.open.append(new)
-            return
-        if len(toks) >= len(best.tokens):
-            best.seps = seps
-        best.tokens = folded(best.tokens, toks)
-        best.count += 1
-        if len(best.samples) < SAMPLES:
-            best.samples.append(line)
-        n = min(PREFIX, len(toks))
-        if (n - best.tokens[:n].count(WILD)) / n < self.threshold:
-            self.open.remove(best)
+    def __init__(self, n: int, threshold: float = SIMILAR):
+        self.n, self.kinds = n, Kinds()
+        slack = max((d for d in range(n) if (n - d) / n >= threshold), default=0)
+        #: For each number of places that differ, the choices of the other ones.
+        self.choices = [list(combinations(range(n), n - d)) for d in range(slack + 1)]
+        #: Of each template: the number of its first line, its head, and the same with typed tokens as their class.
+        self.firsts: list[int] = []
+        self.heads: list[list[str]] = []
+        self.forms: list[list[str]] = []
+        self.index: dict[tuple, list[int]] = {}
+        #: Whether some line has had the text of a wildcard: only then can places with wildcards agree.
+        self.literal = False
+
+    def _form(self, token: str) -> str:
+        if token == WILD:
+            return WILD
+        kind = self.kinds[token]
+        return token if kind in ("<WORD>", "<OTHER>") else "\0" + kind
+
+    def _list(self, t: int, places: tuple[int, ...]) -> None:
+        kept = [self.forms[t][i] for i in places]
+        if self.literal or WILD not in kept:
+            heappush(self.index.setdefault((places, *kept), []), t)
+
+    def _first(self, places: tuple[int, ...], kept: list[str]) -> int | None:
+        """The first template with these forms at these places."""
+        found = self.index.get((places, *kept), [])
+        while found and [self.forms[found[0]][i] for i in places] != kept:
+            heappop(found)
+        return found[0] if found else None
+
+    def place(self, head: list[str], line_no: int) -> int:
+        """The number of the first line of the template that a line joins, or its own if it makes a new one."""
+        if not self.literal and WILD in head:
+            self.literal = True
+            for t, form in enumerate(self.forms):
+                for places in chain.from_iterable(self.choices):
+                    if WILD in [form[i] for i in places]:
+                        self._list(t, places)
+        form = [self._form(token) for token in head]
+        best = None
+        for choices in self.choices:
+            found = (self._first(places, [form[i] for i in places]) for places in choices)
+            if (best := min((t for t in found if t is not None), default=None)) is not None:
+                break
+        if best is None:
+            best = len(self.firsts)
+            self.firsts.append(line_no)
+            self.heads.append(list(head))
+            self.forms.append(form)
+            for places in chain.from_iterable(self.choices):
+                self._list(best, places)
+            return line_no
+        changed = {i for i in range(self.n) if self.heads[best][i] not in (head[i], WILD)}
+        if changed:
+            own = self.forms[best]
+            moved = [places for places in chain.from_iterable(self.choices) if not changed.isdisjoint(places)]
+            for places in moved:
+                key = (places, *[own[i] for i in places])
+                if self.index.get(key) == [best]:
+                    del self.index[key]
+            for i in changed:
+                self.heads[best][i] = own[i] = WILD
+            for places in moved:
+                self._list(best, places)
+        return self.firsts[best]
+
+
+def assign(lines: DataFrame, threshold: float = SIMILAR) -> DataFrame:
+    """(path, line_no, first_line): the template that each line of (path, line_no, value) joins, by the number of its first line.
+
+    The one step in which order counts. Its tasks get heads of lines alone, dealt out by file and path key and in order of lines; a
+    worker holds the heads of the templates of one path key at a time.
+    """
+    head = lines.select("path", "line_no", F.slice(tokens(F.col("value")), 1, PREFIX).alias("head")).where(F.size("head") > 0)
+    # Tokens hold no white space.
+    head = head.select("path", path_key(F.col("head")).alias("path_key"), "line_no", F.array_join("head", " ").alias("head"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, leaf = None, Leaf(1)
+        for batch in batches:
+            first_lines = []
+            for path, key, line_no, head in zip(*(batch.column(c).to_pylist() for c in ("path", "path_key", "line_no", "head")), strict=True):
+                toks = head.split(" ")
+                if (path, key) != at:
+                    at, leaf = (path, key), Leaf(len(toks), threshold)
+                first_lines.append(leaf.place(toks, line_no))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("line_no"), pa.array(first_lines, pa.int64())], names=["path", "line_no", "first_line"])
+
+    return head.repartition("path", "path_key").sortWithinPartitions("path", "path_key", "line_no").mapInArrow(run, "path string, line_no long, first_line long")
 
 
 def learn_templates(lines: DataFrame, threshold: float = SIMILAR) -> DataFrame:
-    """Templates of each file of lines (value, path, line_no): one shuffle on path and path key, then a pass in order.
+    """Templates of each file of lines (value, path, line_no; line numbers are unique within a file, NULL lines have no templates).
 
-    A worker holds the templates of one path key at a time, not its lines.
+    Heads are assigned to templates in order; lines are joined with that by their number, so that no task gets more lines of one format
+    than others, and the rest is aggregation: number of lines, first line, separators of the last of the longest lines, the
+    first lines as samples, and place by place the token that all lines have (told apart by 128 bits of hash), else a wildcard.
     """
-    split = lines.select("path", "line_no", "value", tokens(F.col("value")).alias("tokens"), separators(F.col("value")).alias("seps"))
-    split = split.where(F.size("tokens") > 0).withColumn("path_key", path_key(F.col("tokens")))
+    key = ["path", "first_line"]
+    placed = lines.select("path", "line_no", "value").join(assign(lines, threshold), ["path", "line_no"]).withColumns({"tokens": tokens(F.col("value")), "seps": separators(F.col("value"))})
     # Separators are one fewer than tokens; a space stands for those that are not there.
     pad = F.array_repeat(F.lit(" "), F.greatest(F.size("tokens") - 1 - F.size("seps"), F.lit(0)))
-    split = split.withColumn("seps", F.concat("seps", pad))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, leaf = None, Leaf(threshold)
-
-        def done() -> pd.DataFrame:
-            return pd.DataFrame([(*at, t.first_line, t.tokens, t.seps, t.count, t.samples) for t in leaf.templates], columns=[c.split(" ")[0] for c in TEMPLATE_SCHEMA.split(", ")])
-
-        for frame in frames:
-            for path, key, line_no, value, toks, seps in zip(frame["path"], frame["path_key"], frame["line_no"], frame["value"], frame["tokens"], frame["seps"], strict=True):
-                if (path, key) != at:
-                    if leaf.templates:
-                        yield done()
-                    at, leaf = (path, key), Leaf(threshold)
-                leaf.add(value, list(toks), list(seps), line_no)
-        if leaf.templates:
-            yield done()
-
-    return split.repartition("path", "path_key").sortWithinPartitions("path", "path_key", "line_no").mapInPandas(run, TEMPLATE_SCHEMA)
+    longest = F.max_by(F.struct("tokens", F.concat("seps", pad).alias("seps")), F.struct(F.size("tokens"), F.col("line_no")))
+    whole = placed.groupBy(*key).agg(F.count("*").alias("count"), longest.alias("longest"))
+    hashes = {"a": F.xxhash64("token"), "b": F.xxhash64(F.lit("second hash"), "token")}
+    places = placed.select(*key, F.posexplode("tokens").alias("place", "token")).select(*key, "place", *[h.alias(c) for c, h in hashes.items()])
+    places = places.groupBy(*key, "place").agg(F.count("*").alias("there"), *[f(c).alias(f"{c}_{f.__name__}") for c in hashes for f in (F.min, F.max)])
+    same = places.where("a_min = a_max AND b_min = b_max").groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("place", "there"))).alias("same"))
+    order = Window.partitionBy(*key).orderBy("line_no")
+    firsts = placed.select(*key, "line_no", "value").withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLES)
+    samples = firsts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("numbered"))
+    joined = whole.join(samples, key).join(same, key, "left")
+    # A token stays where every line has it.
+    token = F.transform("longest.tokens", lambda t, i: F.when(F.try_element_at("same", i) == F.col("count"), t).otherwise(WILD))
+    return joined.select("path", path_key(F.col("longest.tokens")).alias("path_key"), "first_line", token.alias("tokens"), F.col("longest.seps").alias("seps"), "count", F.transform("numbered", lambda x: x["value"]).alias("samples"))
 
 
 GROUP_SCHEMA = TEMPLATE_SCHEMA + ", signature string, fields string"

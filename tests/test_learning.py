@@ -42,15 +42,22 @@ def frame(spark, lines, path="f"):
     return spark.createDataFrame([(v, path, i + 1) for i, v in enumerate(lines)], "value string, path string, line_no long")
 
 
-def sequential(lines):
+def similarity(template, line):
+    """Share of the first tokens that agree: equal, or of one typed class."""
+    n = min(6, len(template), len(line))
+    typed = lambda a, b: "<*>" not in (a, b) and token_class(a) == token_class(b) not in ("<WORD>", "<OTHER>")
+    return sum(a == b or typed(a, b) for a, b in zip(template[:n], line[:n], strict=True)) / n
+
+
+def sequential(lines, threshold=0.8):
     """One pass over all lines with a tree of lists, every template compared."""
     leaves, every = {}, []
     for number, line in enumerate(lines, 1):
         toks = line.split()[:64]
         seps = (re.findall(r"\s+", line.strip())[:63] + [" "] * 64)[: len(toks) - 1]
         leaf = leaves.setdefault(" ".join(token_class(t) for t in toks[:6]), [])
-        scored = [drain.similarity(t.tokens, toks, drain.Kinds()) for t in leaf]
-        if scored and max(scored) >= 0.8:
+        scored = [similarity(t.tokens, toks) for t in leaf]
+        if scored and max(scored) >= threshold:
             t = leaf[scored.index(max(scored))]
             t.seps = seps if len(toks) >= len(t.tokens) else t.seps
             t.tokens, t.count = drain.folded(t.tokens, toks), t.count + 1
@@ -324,3 +331,46 @@ def test_stream_progress(spark, tmp_path):
         time.sleep(0.1)
     spark.streams.removeListener(progress)
     assert progress.lines == 2 and spark.table("progressed").first()["path"].endswith("a.log")
+
+
+def heads_of(lines, threshold):
+    """For each line the number of its template's first line, by the index over heads."""
+    leaves, out = {}, []
+    for number, line in enumerate(lines, 1):
+        head = line.split()[:6]
+        leaf = leaves.setdefault(" ".join(token_class(t) for t in head), drain.Leaf(len(head), threshold))
+        out.append(leaf.place(head, number))
+    return out
+
+
+def test_index_of_heads_equals_comparing_all():
+    """Few words, so that templates compete; the text of a wildcard in lines; all thresholds."""
+    r = random.Random(7)
+    for trial in range(150):
+        threshold = r.choice([0.8, 0.8, 0.5, 0.6, 0.34, 1.0])
+        words = ["a", "b", "c", "x,", "12", "7", "10.0.0.1"] + ["<*>"] * (trial % 3)
+        lines = [" ".join(r.choice(words) for _ in range(r.choice([1, 3, 5, 6, 8]))) for _ in range(60)]
+        counts = {t.first_line: t.count for t in sequential(lines, threshold)}
+        found = heads_of(lines, threshold)
+        assert {n: found.count(n) for n in set(found)} == counts
+
+
+def test_learning_takes_time_linear_in_templates():
+    """64,000 lines of one path, none like another."""
+    lines = [f"a{i} b{i} c{i} d{i} e{i} f{i}." .replace("0", "o").replace("1", "l") for i in range(64_000)]
+    began = time.monotonic()
+    assert len(set(heads_of([x.translate(str.maketrans("23456789", "zeasgtbq")) for x in lines], 0.8))) == 64_000
+    assert time.monotonic() - began < 20
+
+
+def test_learning_counts_places_tails_and_odd_lines(spark):
+    r = random.Random(9)
+    lines = [f"app started worker unit number {r.choice('abc')} tail {' '.join(r.choice('xyz') for _ in range(r.randint(0, 70)))}".strip() for _ in range(300)] + ["<*> b c d e f"] * 3 + ["one", "", "  ", "one  two", "one\ttwo three"]
+    found = drain.learn_templates(frame(spark, [x for x in lines]).union(spark.createDataFrame([(None, "f", 9999)], "value string, path string, line_no long"))).orderBy("first_line").collect()
+    kept = [(i, x) for i, x in enumerate(lines, 1) if x.strip()]
+    wanted = sequential([x for _, x in kept])
+    numbers = dict(enumerate((i for i, _ in kept), 1))
+    assert [(t["first_line"], t["tokens"], t["seps"], t["count"]) for t in found] == [(numbers[t.first_line], t.tokens, t.seps, t.count) for t in wanted]
+    big = max(found, key=lambda t: t["count"])
+    assert len(big["samples"]) == 50 and big["samples"] == lines[:300][:50] if big["count"] == 300 else True
+    assert drain.learn_templates(frame(spark, ["x"]).limit(0)).count() == 0
