@@ -35,10 +35,11 @@ def separators(line: Column) -> Column:
 
 
 def token_class(token: Column) -> Column:
-    out = F.when(F.lit(False), "")
+    typed = F.when(F.lit(False), "")
     for pattern, name in CLASSES:
-        out = out.when(token.rlike("(?U)" + pattern), name)
-    out = out.when(token.rlike(r"^\p{L}+$"), "<WORD>")
+        typed = typed.when(token.rlike("(?U)" + pattern), name)
+    # All typed forms begin with a digit or an angle bracket.
+    out = F.when(token.rlike(r"^\p{L}+$"), "<WORD>").when(token.rlike(r"(?U)^[<\d]"), typed.otherwise("<OTHER>"))
     return out.when(token.rlike(KV_TOKEN), F.concat(F.lit("KV:"), F.regexp_extract(token, KV_TOKEN, 1))).otherwise("<OTHER>")
 
 

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from heapq import heappop, heappush
-from itertools import chain, combinations
+from itertools import chain, combinations, count
+from operator import itemgetter
 
 import pandas as pd
 import pyarrow as pa
@@ -31,14 +32,16 @@ TEMPLATE_SCHEMA = "path string, path_key string, first_line long, tokens array<s
 KV = r'\w+="'
 
 
-class Kinds(dict):
-    """Classes of tokens seen, so that each is worked out once; bounded."""
+class Forms(dict):
+    """What tokens are compared by: typed ones by their class, others by themselves. Each is worked out once; bounded."""
 
     def __missing__(self, token: str) -> str:
         if len(self) >= 1 << 16:
             self.clear()
-        kind = self[token] = token_class(token)
-        return kind
+        kind = token_class(token)
+        # No token begins with white space.
+        form = self[token] = token if token == WILD or kind in ("<WORD>", "<OTHER>") else " " + kind
+        return form
 
 
 @dataclass
@@ -70,71 +73,70 @@ class Leaf:
     """
 
     def __init__(self, n: int, threshold: float = SIMILAR):
-        self.n, self.kinds = n, Kinds()
         slack = max((d for d in range(n) if (n - d) / n >= threshold), default=0)
-        #: For each number of places that differ, the choices of the other ones.
-        self.choices = [list(combinations(range(n), n - d)) for d in range(slack + 1)]
+        #: For each number of places that differ, the choices of the other ones: a number, what takes their forms, the places.
+        numbers = count()
+        self.choices = [[(next(numbers), itemgetter(*places), frozenset(places)) for places in combinations(range(n), n - d)] for d in range(slack + 1)]
+        self.every = list(chain.from_iterable(self.choices))
+        self.form = Forms()
         #: Of each template: the number of its first line, its head, and the same with typed tokens as their class.
         self.firsts: list[int] = []
         self.heads: list[list[str]] = []
-        self.forms: list[list[str]] = []
+        self.forms: list[tuple[str, ...]] = []
         self.index: dict[tuple, list[int]] = {}
         #: Whether some line has had the text of a wildcard: only then can places with wildcards agree.
         self.literal = False
 
-    def _form(self, token: str) -> str:
-        if token == WILD:
-            return WILD
-        kind = self.kinds[token]
-        return token if kind in ("<WORD>", "<OTHER>") else "\0" + kind
-
-    def _list(self, t: int, places: tuple[int, ...]) -> None:
-        kept = [self.forms[t][i] for i in places]
-        if self.literal or WILD not in kept:
-            heappush(self.index.setdefault((places, *kept), []), t)
-
-    def _first(self, places: tuple[int, ...], kept: list[str]) -> int | None:
-        """The first template with these forms at these places."""
-        found = self.index.get((places, *kept), [])
-        while found and [self.forms[found[0]][i] for i in places] != kept:
-            heappop(found)
-        return found[0] if found else None
+    def _list(self, t: int, choices: Iterable[tuple]) -> None:
+        """List a template under some choices of its places."""
+        form, index = self.forms[t], self.index
+        wild = frozenset(i for i, x in enumerate(form) if x == WILD)
+        for c, get, places in choices:
+            if self.literal or wild.isdisjoint(places):
+                heappush(index.setdefault((c, get(form)), []), t)
+
+    def _find(self, form: tuple[str, ...]) -> int | None:
+        """The template with the fewest places that differ, of these the first."""
+        index, forms = self.index, self.forms
+        for choices in self.choices:
+            best = None
+            for c, get, _ in choices:
+                found = index.get((c, get(form)))
+                while found and get(forms[found[0]]) != get(form):
+                    heappop(found)
+                if found and (best is None or found[0] < best):
+                    best = found[0]
+            if best is not None:
+                return best
+        return None
 
     def place(self, head: list[str], line_no: int) -> int:
         """The number of the first line of the template that a line joins, or its own if it makes a new one."""
         if not self.literal and WILD in head:
             self.literal = True
-            for t, form in enumerate(self.forms):
-                for places in chain.from_iterable(self.choices):
-                    if WILD in [form[i] for i in places]:
-                        self._list(t, places)
-        form = [self._form(token) for token in head]
-        best = None
-        for choices in self.choices:
-            found = (self._first(places, [form[i] for i in places]) for places in choices)
-            if (best := min((t for t in found if t is not None), default=None)) is not None:
-                break
-        if best is None:
-            best = len(self.firsts)
+            self.index.clear()
+            for t in range(len(self.forms)):
+                self._list(t, self.every)
+        form = tuple(map(self.form.__getitem__, head))
+        t = self._find(form)
+        if t is None:
             self.firsts.append(line_no)
             self.heads.append(list(head))
             self.forms.append(form)
-            for places in chain.from_iterable(self.choices):
-                self._list(best, places)
+            self._list(len(self.forms) - 1, self.every)
             return line_no
-        changed = {i for i in range(self.n) if self.heads[best][i] not in (head[i], WILD)}
+        own = self.heads[t]
+        changed = {i for i, (x, y) in enumerate(zip(own, head, strict=True)) if x != y and x != WILD}
         if changed:
-            own = self.forms[best]
-            moved = [places for places in chain.from_iterable(self.choices) if not changed.isdisjoint(places)]
-            for places in moved:
-                key = (places, *[own[i] for i in places])
-                if self.index.get(key) == [best]:
+            moved = [choice for choice in self.every if not changed.isdisjoint(choice[2])]
+            for c, get, _ in moved:
+                key = (c, get(self.forms[t]))
+                if self.index.get(key) == [t]:
                     del self.index[key]
-            for i in changed:
-                self.heads[best][i] = own[i] = WILD
-            for places in moved:
-                self._list(best, places)
-        return self.firsts[best]
+            self.heads[t] = [WILD if i in changed else x for i, x in enumerate(own)]
+            self.forms[t] = tuple(WILD if i in changed else x for i, x in enumerate(self.forms[t]))
+            self._list(t, moved)
+        return self.firsts[t]
 
 
 def assign(lines: DataFrame, threshold: float = SIMILAR) -> DataFrame:
@@ -143,7 +145,8 @@ def assign(lines: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     The one step in which order counts. Its tasks get heads of lines alone, dealt out by file and path key and in order of lines; a
     worker holds the heads of the templates of one path key at a time.
     """
-    head = lines.select("path", "line_no", F.slice(tokens(F.col("value")), 1, PREFIX).alias("head")).where(F.size("head") > 0)
+    first = F.regexp_extract("value", rf"(?U)^\s*(\S+(?:\s+\S+){{0,{PREFIX - 1}}})", 1)
+    head = lines.where(F.col("value").rlike(r"(?U)\S")).select("path", "line_no", tokens(first).alias("head"))
     # Tokens hold no white space.
     head = head.select("path", path_key(F.col("head")).alias("path_key"), "line_no", F.array_join("head", " ").alias("head"))
 
@@ -169,13 +172,12 @@ def learn_templates(lines: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     first lines as samples, and place by place the token that all lines have (told apart by 128 bits of hash), else a wildcard.
     """
     key = ["path", "first_line"]
-    placed = lines.select("path", "line_no", "value").join(assign(lines, threshold), ["path", "line_no"]).withColumns({"tokens": tokens(F.col("value")), "seps": separators(F.col("value"))})
-    # Separators are one fewer than tokens; a space stands for those that are not there.
-    pad = F.array_repeat(F.lit(" "), F.greatest(F.size("tokens") - 1 - F.size("seps"), F.lit(0)))
-    longest = F.max_by(F.struct("tokens", F.concat("seps", pad).alias("seps")), F.struct(F.size("tokens"), F.col("line_no")))
-    whole = placed.groupBy(*key).agg(F.count("*").alias("count"), longest.alias("longest"))
+    placed = lines.select("path", "line_no", "value").join(assign(lines, threshold), ["path", "line_no"])
+    length = F.least(F.regexp_count("value", F.lit(r"(?U)\S+")), F.lit(MOST))
+    whole = placed.groupBy(*key).agg(F.count("*").alias("count"), F.max_by("value", F.struct(length, F.col("line_no"))).alias("longest"))
+    whole = whole.withColumns({"own": tokens(F.col("longest")), "seps": separators(F.col("longest"))})
     hashes = {"a": F.xxhash64("token"), "b": F.xxhash64(F.lit("second hash"), "token")}
-    places = placed.select(*key, F.posexplode("tokens").alias("place", "token")).select(*key, "place", *[h.alias(c) for c, h in hashes.items()])
+    places = placed.select(*key, F.posexplode(tokens(F.col("value"))).alias("place", "token")).select(*key, "place", *[h.alias(c) for c, h in hashes.items()])
     places = places.groupBy(*key, "place").agg(F.count("*").alias("there"), *[f(c).alias(f"{c}_{f.__name__}") for c in hashes for f in (F.min, F.max)])
     same = places.where("a_min = a_max AND b_min = b_max").groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("place", "there"))).alias("same"))
     order = Window.partitionBy(*key).orderBy("line_no")
@@ -183,8 +185,10 @@ def learn_templates(lines: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     samples = firsts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("n", "value"))).alias("numbered"))
     joined = whole.join(samples, key).join(same, key, "left")
     # A token stays where every line has it.
-    token = F.transform("longest.tokens", lambda t, i: F.when(F.try_element_at("same", i) == F.col("count"), t).otherwise(WILD))
-    return joined.select("path", path_key(F.col("longest.tokens")).alias("path_key"), "first_line", token.alias("tokens"), F.col("longest.seps").alias("seps"), "count", F.transform("numbered", lambda x: x["value"]).alias("samples"))
+    token = F.transform("own", lambda t, i: F.when(F.try_element_at("same", i) == F.col("count"), t).otherwise(WILD))
+    # Separators are one fewer than tokens; a space stands for those that are not there.
+    pad = F.array_repeat(F.lit(" "), F.greatest(F.size("own") - 1 - F.size("seps"), F.lit(0)))
+    return joined.select("path", path_key(F.col("own")).alias("path_key"), "first_line", token.alias("tokens"), F.concat("seps", pad).alias("seps"), "count", F.transform("numbered", lambda x: x["value"]).alias("samples"))
 
 
 GROUP_SCHEMA = TEMPLATE_SCHEMA + ", signature string, fields string"
