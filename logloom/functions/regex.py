@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ class JavaPattern:
     python_only: bool
 
 
+@functools.lru_cache(maxsize=1 << 14)
 def translate(source: str, anchored: bool = True) -> JavaPattern:
     """Translate a Python pattern. anchored: it must match from the start of the text.
 

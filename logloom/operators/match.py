@@ -12,6 +12,8 @@ from logloom.functions.regex import JavaPattern, translate
 from logloom.functions.scalars import filled
 from logloom.sources.library import Pattern
 
+from .literals import candidates, literal
+
 
 def python_groups(source: str, anchored: bool = True):
     """All groups of a match, from the start of the text if it is anchored, as an array; NULL without a match."""
@@ -30,12 +32,22 @@ def python_groups(source: str, anchored: bool = True):
 PART = "\ue000\ue001"
 
 
+#: Libraries of more patterns are searched by the index of their literal texts, and looked up in arrays: their plan has one size.
+CHAINED = 16
+
+
 def first_of(patterns: list[Pattern], text: Column, python: Callable[[int], Column] | None = None) -> Column:
-    """The number of the first pattern that matches the text from its start, or NULL: one flat chain, tried in order until one matches."""
+    """The number of the first pattern that matches the text from its start, or NULL: a small library is one flat chain, tried in order until one matches."""
+    java = [translate(p.regex) for p in patterns]
+    if len(patterns) > CHAINED:
+        own = [i for i, j in enumerate(java) if not j.python_only]
+        sources, numbers = literal([java[i].java for i in own], "array<string>"), literal(own, "array<int>")
+        hits = F.filter(candidates(text, [patterns[i].regex for i in own]), lambda k: F.rlike(text, F.element_at(sources, k + 1)))
+        found = [F.element_at(numbers, F.try_element_at(hits, F.lit(1)) + 1)] + [F.when(python(i).isNotNull(), F.lit(i)) for i, j in enumerate(java) if j.python_only]
+        return F.least(*found, F.lit(None).cast("int"))
     chain = None
-    for i, p in enumerate(patterns):
-        java = translate(p.regex)
-        hit = python(i).isNotNull() if java.python_only else text.rlike(java.java)
+    for i, j in enumerate(java):
+        hit = python(i).isNotNull() if j.python_only else text.rlike(j.java)
         chain = F.when(hit, F.lit(i)) if chain is None else chain.when(hit, F.lit(i))
     return F.lit(None).cast("int") if chain is None else chain
 
@@ -43,28 +55,44 @@ def first_of(patterns: list[Pattern], text: Column, python: Callable[[int], Colu
 def match(lines: DataFrame, patterns: list[Pattern], text: str = "value", prefix: str = "") -> DataFrame:
     """The lines with <prefix>pattern_idx, the number of the first pattern that matches from the start, or NULL.
 
-    Python is used only for patterns that Java cannot evaluate; their groups are kept in a column of their own.
+    Python is used only for patterns that Java cannot evaluate, on lines that no earlier pattern matches; their groups are kept in a
+    column of their own.
     """
-    out = lines.withColumns({f"_{prefix}py{i}": python_groups(p.regex)(F.col(text)) for i, p in enumerate(patterns) if translate(p.regex).python_only})
-    return out.withColumn(f"{prefix}pattern_idx", first_of(patterns, F.col(text), lambda i: F.col(f"_{prefix}py{i}")))
+    slow = [i for i, p in enumerate(patterns) if translate(p.regex).python_only]
+    if not slow:
+        return lines.withColumn(f"{prefix}pattern_idx", first_of(patterns, F.col(text)))
+    fast = [i for i in range(len(patterns)) if i not in slow]
+    number = F.element_at(literal(fast, "array<int>"), first_of([patterns[i] for i in fast], F.col(text)) + 1)
+    out = lines.withColumn(f"_{prefix}java", number)
+    left = lambda i: F.col(f"_{prefix}java").isNull() | (F.col(f"_{prefix}java") > i)
+    out = out.withColumns({f"_{prefix}py{i}": python_groups(patterns[i].regex)(F.when(left(i), F.col(text))) for i in slow})
+    hits = [F.when(F.col(f"_{prefix}py{i}").isNotNull(), F.lit(i)) for i in slow]
+    return out.withColumn(f"{prefix}pattern_idx", F.least(F.col(f"_{prefix}java"), *hits)).drop(f"_{prefix}java")
 
 
 def match_groups(patterns: list[Pattern], text: str = "value", prefix: str = "") -> Column:
     """All groups of the pattern that matched, as an array of texts: its pattern is evaluated once, whatever the number of fields."""
-    line, chain = F.col(text), None
-    for i, p in enumerate(patterns):
-        java: JavaPattern = translate(p.regex)
-        if not java.groups:
+    line, index, chain = F.col(text), F.col(f"{prefix}pattern_idx"), None
+    java: list[JavaPattern] = [translate(p.regex) for p in patterns]
+    parted = lambda n: PART.join(f"${k}" for k in range(1, n + 1))
+    if large := len(patterns) > CHAINED:
+        source, number = (F.element_at(literal(x, kind), index + 1) for x, kind in (([j.java for j in java], "array<string>"), ([j.n_groups for j in java], "array<int>")))
+        whole = F.regexp_replace(line, F.concat(source, F.lit(r"(?s:.*)\z")), F.element_at(literal([parted(j.n_groups) for j in java], "array<string>"), index + 1))
+        one_by_one = F.transform(F.sequence(F.lit(1), number), lambda k: F.call_function("regexp_extract", line, source, k))
+        chain = F.when(number > 0, F.when(line.contains(PART), one_by_one).otherwise(F.split(whole, PART, -1)))
+    for i, (p, j) in enumerate(zip(patterns, java, strict=True)):
+        if not j.groups or (large and not j.python_only):
             continue
-        if java.python_only:
-            got = F.slice(F.col(f"_{prefix}py{i}"), 2, java.n_groups)
+        if j.python_only:
+            got = F.slice(F.col(f"_{prefix}py{i}"), 2, j.n_groups)
         else:
-            numbers = range(1, java.n_groups + 1)
-            whole = F.regexp_replace(line, java.java + r"(?s:.*)\z", PART.join(f"${n}" for n in numbers))
-            one_by_one = F.array(*[F.regexp_extract(line, java.java, n) for n in numbers])
+            whole = F.regexp_replace(line, j.java + r"(?s:.*)\z", parted(j.n_groups))
+            one_by_one = F.array(*[F.regexp_extract(line, j.java, n) for n in range(1, j.n_groups + 1)])
             got = F.when(line.contains(PART), one_by_one).otherwise(F.split(whole, PART, -1))
-        own = F.col(f"{prefix}pattern_idx") == i
-        chain = F.when(own, got) if chain is None else chain.when(own, got)
+        if large:
+            chain = F.when(index == i, got).otherwise(chain)
+        else:
+            chain = F.when(index == i, got) if chain is None else chain.when(index == i, got)
     return F.lit(None).cast("array<string>") if chain is None else chain
 
 
@@ -80,14 +108,13 @@ def group_column(patterns: list[Pattern], name: str, text: str = "value", prefix
     groups = match_groups(patterns, text, prefix) if groups is None else groups
     if len(set(numbers)) == 1:
         return filled(F.try_element_at(groups, F.lit(numbers[0])))
-    at = F.try_element_at(F.expr(f"array({','.join(map(str, numbers))})"), F.col(f"{prefix}pattern_idx") + 1)
+    at = F.try_element_at(literal(numbers, "array<int>"), F.col(f"{prefix}pattern_idx") + 1)
     return F.when(at > 0, filled(F.try_element_at(groups, at)))
 
 
 def by_pattern(patterns: list[Pattern], value, prefix: str = "") -> Column:
     """A text that each pattern has, for the pattern that matched."""
-    names = F.array(*[F.lit(value(p)) for p in patterns]) if patterns else F.array().cast("array<string>")
-    return F.try_element_at(names, F.col(f"{prefix}pattern_idx") + 1)
+    return F.try_element_at(literal([value(p) for p in patterns], "array<string>"), F.col(f"{prefix}pattern_idx") + 1)
 
 
 def match_join(lines: DataFrame, library: DataFrame) -> DataFrame:

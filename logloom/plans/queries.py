@@ -61,6 +61,14 @@ def first_match(spark, sf_dir):
     return _parsed(spark, sf_dir).select("row_id", "pattern_name")
 
 
+@query(f"WITH {E} SELECT event_id AS row_id, CASE WHEN kind < 3 THEN {NAME} WHEN event_id < 2000 THEN 'n' || event_id END AS pattern_name, CASE kind WHEN 0 THEN 'host' || user_id WHEN 1 THEN 'HOST' || n END AS hostname FROM e")
+def first_match_large(spark, sf_dir):
+    """A library of 2,003 patterns, whose literal texts say which few are tried."""
+    patterns = [L.Pattern(f"n{i}", rf"^(?P<message>\w+\ without\ a\ header\ {i})$") for i in range(2000)] + R.LIBRARY
+    matched = match(R.lines(spark, sf_dir), patterns)
+    return matched.select("row_id", by_pattern(patterns, lambda p: p.name).alias("pattern_name"), group_column(patterns, "hostname").alias("hostname"))
+
+
 @query(f"WITH {E} SELECT event_id AS row_id, {NAME} AS pattern_name FROM e")
 def first_match_join(spark, sf_dir):
     library = L.to_frame(spark, R.LIBRARY)
