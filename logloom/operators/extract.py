@@ -202,50 +202,48 @@ def rule_message(rules: list[Rule], patterns: list[Pattern], message: Message, i
 def add_records(lines: DataFrame, patterns: list[Pattern], rules: list[Rule] = (), options: Options = Options(), text: str = "value", prefix: str = "") -> DataFrame:
     """The lines with <prefix>pattern_idx (unless they have it) and a column <prefix>record_<field> for each field, NULL where nothing matches.
 
-    They are columns, not a struct, so that the optimiser keeps each from being worked out once for every use.
+    They are columns, not a struct, so that the optimiser keeps each from being worked out once for every use. All are made in one
+    select, in which later ones refer to earlier ones by name.
     """
     df = lines if f"{prefix}pattern_idx" in lines.columns else match(lines, patterns, text, prefix)
-    df = df.withColumn(f"_{prefix}groups", match_groups(patterns, text, prefix))
+    made: dict[str, Column] = {f"_{prefix}groups": match_groups(patterns, text, prefix)}
     names = [g for g in GROUPS if any(g in translate(p.regex).groups for p in patterns)]
-    df = df.withColumns({f"_{prefix}g_{g}": group_column(patterns, g, text, prefix, F.col(f"_{prefix}groups")) for g in names})
+    made |= {f"_{prefix}g_{g}": group_column(patterns, g, text, prefix, F.col(f"_{prefix}groups")) for g in names}
 
     def group(name: str) -> Column:
         return F.col(f"_{prefix}g_{name}") if name in names else F.lit(None).cast("string")
 
     index = F.col(f"{prefix}pattern_idx")
     kinds = [p.extractor if p.extractor in EXTRACTORS else "generic" for p in patterns]
-    made = {}
+    by_kind = {}
     for kind in dict.fromkeys(kinds):
         own = index.isin([i for i, k in enumerate(kinds) if k == kind])
 
         def keep(name: str, column: Column, kind: str = kind, own: Column = own) -> Column:
-            nonlocal df
-            df = df.withColumn(f"_{prefix}k_{kind}_{name}", F.when(own, column))
+            made[f"_{prefix}k_{kind}_{name}"] = F.when(own, column)
             return F.col(f"_{prefix}k_{kind}_{name}")
 
-        made[kind] = EXTRACTORS[kind](Fields(F.col(text), group, options, keep))
+        by_kind[kind] = EXTRACTORS[kind](Fields(F.col(text), group, options, keep))
     # An extractor whose groups are missing makes no record, only an error.
     broken = [i for i, p in enumerate(patterns) if any(g not in translate(p.regex).groups for g in NEEDED.get(kinds[i], ()))]
-    base = {}
     for name in BASE:
         out = F.lit(None).cast(TYPES.get(name, "string"))
-        for kind, columns in made.items():
+        for kind, columns in by_kind.items():
             where = [i for i, k in enumerate(kinds) if k == kind and i not in broken]
             if name in columns and where:
                 out = F.when(index.isin(where), columns[name]).otherwise(out)
-        base[f"_{prefix}{name}"] = out
-    df = df.withColumns(base)
+        made[f"_{prefix}{name}"] = out
 
     def at(name: str) -> Column:
         return F.col(f"_{prefix}{name}")
 
-    df = df.withColumn(f"_{prefix}input", S.filled(F.coalesce(at("message"), at("message_content"))))
-    df = df.withColumn(f"_{prefix}payload", S.json_payload(F.coalesce(at("input"), F.col(text)))).withColumn(f"_{prefix}parsed", S.json_object(F.col(f"_{prefix}payload")))
+    made[f"_{prefix}input"] = S.filled(F.coalesce(at("message"), at("message_content")))
+    made[f"_{prefix}payload"] = S.json_payload(F.coalesce(at("input"), F.col(text)))
+    made[f"_{prefix}parsed"] = S.json_object(at("payload"))
     message, ok = Message(at("input"), at("payload"), at("parsed")), ~index.isin(broken) if broken else F.lit(True)
     ruled = rule_columns(list(rules), patterns, message, index, options)
     content, origin = rule_message(list(rules), patterns, message, index, options)
-    set_by_rule = {f"_{prefix}r_{name}": F.when(ok, value) for name, value in ruled.items()} | {f"_{prefix}r_content": F.when(ok, content), f"_{prefix}r_origin": F.when(ok, origin)}
-    df = df.withColumns(set_by_rule)
+    made |= {f"_{prefix}r_{name}": F.when(ok, value) for name, value in {**ruled, "content": content, "origin": origin}.items()}
 
     def final(name: str) -> Column:
         given = at(name) if name in BASE else F.lit(None).cast("string")
@@ -278,7 +276,8 @@ def add_records(lines: DataFrame, patterns: list[Pattern], rules: list[Rule] = (
     extra = [F.struct(F.lit(name).alias("key"), F.col(f"_{prefix}r_{name}").alias("value")) for name in ruled if name not in shown]
     pairs = F.filter(F.array(*extra), lambda e: e["value"].isNotNull()) if extra else None
     out["extra"] = F.map_from_entries(pairs) if extra else F.create_map().cast("map<string,string>")
-    df = df.withColumns({f"{prefix}record_{name}": F.when(index.isNotNull(), value) for name, value in out.items()})
-    return df.drop(*[c for c in df.columns if c.startswith(f"_{prefix}")])
+    made |= {f"{prefix}record_{name}": F.when(index.isNotNull(), value) for name, value in out.items()}
+    kept = [c for c in (*df.columns, *made) if not c.startswith(f"_{prefix}")]
+    return df.select("*", *[column.alias(name) for name, column in made.items()]).select(*kept)
 
 

@@ -48,8 +48,8 @@ def query(sql: str | None = None):
     return add
 
 
-def _parsed(spark, sf_dir, *kinds, patterns=None, rules=(), nested=0) -> DataFrame:
-    return parse(R.lines(spark, sf_dir, *kinds), patterns or R.LIBRARY, list(rules), R.OPTIONS, nested)
+def _parsed(spark, sf_dir, *kinds, patterns=None, rules=(), nested=0, fields=None) -> DataFrame:
+    return parse(R.lines(spark, sf_dir, *kinds), patterns or R.LIBRARY, list(rules), R.OPTIONS, nested, fields)
 
 
 def _epoch(name: str = "event.timestamp"):
@@ -58,7 +58,7 @@ def _epoch(name: str = "event.timestamp"):
 
 @query(f"WITH {E} SELECT event_id AS row_id, {NAME} AS pattern_name FROM e")
 def first_match(spark, sf_dir):
-    return _parsed(spark, sf_dir).select("row_id", "pattern_name")
+    return _parsed(spark, sf_dir, fields=["log_format"]).select("row_id", "pattern_name")
 
 
 @query(f"WITH {E} SELECT event_id AS row_id, CASE WHEN kind < 3 THEN {NAME} WHEN event_id < 2000 THEN 'n' || event_id END AS pattern_name, CASE kind WHEN 0 THEN 'host' || user_id WHEN 1 THEN 'HOST' || n END AS hostname FROM e")
@@ -87,7 +87,8 @@ def pri_decode(spark, sf_dir):
  CASE kind WHEN 1 THEN 'Security-Auditing:' ELSE '' END AS dvc_event_category, CASE kind WHEN 0 THEN event_type || ' port scan' ELSE event_type || ' value=' || n END AS message_content, epoch(sec)::BIGINT AS epoch FROM e WHERE kind < 2"""
 )
 def generic_extract(spark, sf_dir):
-    return _parsed(spark, sf_dir, 0, 1).select("row_id", "event.priority", "event.hostname", "event.event_id", "event.dvc_event_category", "event.message_content", _epoch())
+    fields = ["priority", "hostname", "event_id", "dvc_event_category", "message_content"]
+    return _parsed(spark, sf_dir, 0, 1, fields=[*fields, "timestamp"]).select("row_id", *[f"event.{c}" for c in fields], _epoch())
 
 
 @query(
@@ -95,7 +96,8 @@ def generic_extract(spark, sf_dir):
  '<' || p || '>' || bsd || ' HOST' || n || ' Security-Auditing: 4663: inner' AS original_data, {RISK.format("level")} AS risk_level, epoch(sec)::BIGINT AS epoch FROM e WHERE kind = 2"""
 )
 def kv_extract(spark, sf_dir):
-    return _parsed(spark, sf_dir, 2).select("row_id", "event.syslog_ip", "event.priority", "event.facility", "event.severity", "event.message_content", "event.original_data", "event.risk_level", _epoch())
+    fields = ["syslog_ip", "priority", "facility", "severity", "message_content", "original_data", "risk_level"]
+    return _parsed(spark, sf_dir, 2, fields=[*fields, "timestamp"]).select("row_id", *[f"event.{c}" for c in fields], _epoch())
 
 
 @query(
@@ -143,7 +145,8 @@ def log_format_refine(spark, sf_dir):
 
 @query(f"WITH {E} SELECT event_id AS row_id, CASE kind WHEN 0 THEN '10.0.' WHEN 2 THEN '10.1.' END || high || '.' || low AS device_ip, CASE kind WHEN 0 THEN level WHEN 2 THEN level END::INT AS severity, CASE kind WHEN 0 THEN 'INFO' ELSE {RISK.format('level')} END AS risk_level FROM e WHERE kind IN (0, 2)")
 def stage2_fields(spark, sf_dir):
-    return _parsed(spark, sf_dir, 0, 2, rules=R.RULES).select("row_id", "event.device_ip", "event.severity", "event.risk_level")
+    fields = ["device_ip", "severity", "risk_level"]
+    return _parsed(spark, sf_dir, 0, 2, rules=R.RULES, fields=fields).select("row_id", *[f"event.{c}" for c in fields])
 
 
 @query(f"WITH {E} SELECT event_id AS row_id, n::VARCHAR AS reading FROM e WHERE kind = 1")
@@ -382,7 +385,7 @@ def unmatched_errors(spark, sf_dir):
 
 @query(f"WITH {E} SELECT event_id AS row_id, 'HOST' || n AS hostname, '4663' AS event_id, 'inner' AS message_content FROM e WHERE kind = 2")
 def nested_unwrap(spark, sf_dir):
-    parsed = _parsed(spark, sf_dir, 2, nested=1)
+    parsed = _parsed(spark, sf_dir, 2, nested=1, fields=["structured_data"])
     inner = F.col("event.structured_data")["nested_syslog"]
     return parsed.select("row_id", *[F.get_json_object(inner, f"$.{c}").alias(c) for c in ("hostname", "event_id", "message_content")])
 
@@ -437,8 +440,8 @@ def blank_lines(spark, sf_dir):
  CASE kind WHEN 0 THEN {RISK.format("(p % 8)")} WHEN 1 THEN {RISK.format("(p % 8)")} ELSE {RISK.format("level")} END AS risk_level, true AS parse_success, 0::INT AS n_errors, line AS syslog FROM l WHERE kind < 3"""
 )
 def standardized_event(spark, sf_dir):
-    e = _parsed(spark, sf_dir, 0, 1, 2)
     names = ("priority", "facility", "severity", "syslog_ip", "device_name", "raw_message", "risk_level", "parse_success")
+    e = _parsed(spark, sf_dir, 0, 1, 2, fields=[*names, "timestamp", "parse_errors", "parsed_content"])
     return e.select("row_id", *[f"event.{n}" for n in names], _epoch(), F.size("event.parse_errors").alias("n_errors"), "event.parsed_content.syslog")
 
 
@@ -454,5 +457,5 @@ def jsonl_sink(spark, sf_dir):
  SELECT {KINDS} AS event_type, {RISK.format("s")} AS risk_level, CASE kind WHEN 0 THEN 'rfc5424_json' WHEN 1 THEN 'windows_event' ELSE 'tianrongxin_structured' END AS log_format, count(*) AS n FROM v GROUP BY 1, 2, 3"""
 )
 def event_rollup(spark, sf_dir):
-    e = events(_parsed(spark, sf_dir))
-    return e.groupBy("event_type", "risk_level", "log_format").agg(F.count("*").alias("n"))
+    fields = ["event_type", "risk_level", "log_format"]
+    return events(_parsed(spark, sf_dir, fields=fields)).groupBy(*fields).agg(F.count("*").alias("n"))
