@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components, stars_of
-from .shared import Scratch, few, give_back, heavy_join, in_workers, slices, text_buffers
+from .shared import Scratch, few, give_back, heavy_join, in_workers, slices, text_buffers, wanted
 from .textkernel import BASE, ORDER, mix, shingle_sets, sums
 
 #: Text bytes that are cut into shingles at once.
@@ -391,7 +391,7 @@ def text_hash(text: Column) -> Column:
 def _gathered(texts: DataFrame, live: DataFrame, rule: Jaccard, scratch: Scratch, k: int) -> DataFrame:
     """Links (a, b) within the row blocks of a round."""
     member = scratch.keep(live.where(F.col("place").between(-k * KEYS, -1 - (k - 1) * KEYS)).select("id", F.col("column").alias("key"), "part"), f"members-{k}")
-    sets = texts.join(few(member), "id").transform(in_workers, _whole_sets(rule, "id", "key", "part"), "id long, key long, part long, values binary")
+    sets = wanted(texts, member, ["id"]).transform(in_workers, _whole_sets(rule, "id", "key", "part"), "id long, key long, part long, values binary")
     return _multiplied(sets, ["key", "part"], rule, cut=True)
 
 
@@ -433,5 +433,5 @@ def _across(texts: DataFrame, live: DataFrame, described: DataFrame, rule: Jacca
     met = met.select("group", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.explode(F.array("a", "b")).alias("id")).distinct()
     met = scratch.keep(met.groupBy("id").agg(F.collect_list(F.struct("group", "i", "j")).alias("keys")), "met")
     number = met.agg(F.sum(F.size("keys"))).first()[0]
-    sets = texts.join(few(met, number), "id").transform(in_workers, _whole_sets(rule, "id", "keys"), "id long, keys array<struct<group:long,i:long,j:long>>, values binary")
+    sets = wanted(texts, met, ["id"], number=number).transform(in_workers, _whole_sets(rule, "id", "keys"), "id long, keys array<struct<group:long,i:long,j:long>>, values binary")
     return _multiplied(sets.select("id", "values", F.explode("keys").alias("key")).select("key.*", "id", "values"), ["group", "i", "j"], rule, cut=False)

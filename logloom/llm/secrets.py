@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, few
+from .shared import Scratch, wanted
 
 SPANS = "array<struct<start:int,kind_no:int,kind:string,end:int>>"
 LEDGER_SCHEMA = f"blob string, rules string, spans {SPANS}"
@@ -112,13 +112,17 @@ class Ledger:
         number = todo.count()
         if number:
             chosen = narrow.join(todo.select("blob", F.col("first").alias("own"), F.lit(True).alias("chosen")), ["blob", "own"], "left")
-            passed = scratch.keep(chosen.where("chosen IS NULL").select("own", "of").distinct(), "passed")
             # Rows that repeat path and text: one of them is scanned.
-            again = scratch.keep(chosen.where("chosen").groupBy("own", "of").count().where("count > 1").select("own", "of"), "again")
-            left = texts.join(few(passed), ["own", "of"], "left_anti")
-            once = left.join(few(again), ["own", "of"], "left_anti").select("blob", "text")
-            if not again.isEmpty():
-                once = once.union(left.join(few(again), ["own", "of"], "left_semi").select("blob", "text").dropDuplicates(["blob"]))
+            scan = scratch.keep(chosen.where("chosen").groupBy("own", "of").count(), "scan")
+            passed = scratch.keep(chosen.where("chosen IS NULL").select("own", "of").distinct(), "passed")
+            again = scratch.keep(scan.where("count > 1").select("own", "of"), "again")
+            # The smaller side names the rows: those to scan, or those to pass over.
+            n_scan, n_passed = scan.count(), passed.count()
+            left = wanted(texts, scan.select("own", "of"), ["own", "of"], "left_semi", n_scan) if n_scan <= n_passed else wanted(texts, passed, ["own", "of"], "left_anti", n_passed)
+            n_again = again.count()
+            once = wanted(left, again, ["own", "of"], "left_anti", n_again).select("blob", "text")
+            if n_again:
+                once = once.union(wanted(left, again, ["own", "of"], "left_semi", n_again).select("blob", "text").dropDuplicates(["blob"]))
             scan_blobs(once, rules).write.mode("append").parquet(self.folder)
         scratch.drop_all_but()
         return number

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker expands at once; one longer text is a slice of its own.
@@ -111,6 +111,8 @@ class Scratch:
 
 #: Rows of 8 bytes that may be broadcast, after they have been counted.
 BROADCAST_ROWS = 400_000
+#: Bits of one row of a sieve, those for each key, and rows of a sieve at most (16 MB in all).
+SIEVE_BITS, BITS_EACH, SIEVE_ROWS = 1 << 15, 16, 1 << 12
 
 
 def few(ids: DataFrame, number: int | None = None) -> DataFrame:
@@ -118,6 +120,37 @@ def few(ids: DataFrame, number: int | None = None) -> DataFrame:
     return F.broadcast(ids) if (ids.count() if number is None else number) <= BROADCAST_ROWS else ids
 
 
+def _sieved(rows: DataFrame, table: DataFrame, on: list[str], number: int) -> tuple[DataFrame, Column]:
+    """rows with more columns, and whether a row's key may be in the table: false only where it is not.
+
+    The keys are hashed to bits, in rows of SIEVE_BITS: a table of 16 MB at most, whatever the number of keys.
+    """
+    bits = min(SIEVE_ROWS, -(-number * BITS_EACH // SIEVE_BITS)) * SIEVE_BITS
+    names = [free_name(n, (*rows.columns, *table.columns)) for n in ("sieve_bit", "sieve_row", "sieve_bits")]
+    bit, row, held = names
+    at = F.pmod(F.xxhash64(*on), F.lit(bits))
+    sieve = table.select(at.alias(bit)).groupBy(F.floor(F.col(bit) / SIEVE_BITS).alias(row)).agg(F.bitmap_construct_agg(F.col(bit) % SIEVE_BITS).alias(held))
+    joined = rows.withColumn(bit, at).withColumn(row, F.floor(F.col(bit) / SIEVE_BITS)).join(F.broadcast(sieve), row, "left")
+    byte = F.conv(F.hex(F.substring(F.col(held), (F.col(bit) % SIEVE_BITS / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return joined, F.coalesce(F.getbit(byte, (F.col(bit) % 8).cast("int")) == 1, F.lit(False))
+
+
+def wanted(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner", number: int | None = None) -> DataFrame:
+    """rows joined with a written table (its keys not null and of the types of rows' keys), without shuffling rows that find nothing there.
+
+    how: inner, left, left_semi or left_anti. A table of BROADCAST_ROWS at most is broadcast. Of a larger one a sieve of its keys is; only rows
+    that pass it are joined by a shuffle. number: the rows of the table, where they are known. rows is read twice for left and left_anti.
+    """
+    number = table.count() if number is None else number
+    if number <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), on, how)
+    joined, may = _sieved(rows, table, on, number)
+    likely = joined.where(may).select(*rows.columns).join(table, on, how)
+    if how in ("inner", "left_semi"):
+        return likely
+    return likely.unionByName(joined.where(~may).select(*rows.columns), allowMissingColumns=True)
+
+
 #: Keys that are joined by broadcast because many rows have them: those with more than 1 of so many rows.
 HEAVY = 1 << 16
 

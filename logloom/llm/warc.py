@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, HEAVY, Scratch, in_workers, slices
+from .shared import BROADCAST_ROWS, HEAVY, Scratch, in_workers, slices, wanted
 
 # The header fields of the two ARC versions, as their version blocks list them.
 ARC_FIELDS = {
@@ -217,7 +217,8 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, date: str = "2024
         # Payloads that very many records share are broadcast (fewer than HEAVY of them); no task of the other join meets one.
         often = F.col("n") > number["n"] / HEAVY
         heavy = F.broadcast(firsts.where(often))
-        joined = rows.join(heavy, "digest").unionByName(rows.join(heavy.select("digest"), "digest", "left_anti").join(firsts.where(~often), "digest", "left"))
+        light = rows.join(heavy.select("digest"), "digest", "left_anti")
+        joined = rows.join(heavy, "digest").unionByName(wanted(light, firsts.where(~often), ["digest"], "left", number["rows"]))
     revisits = ~F.col("key").eqNullSafe(F.col("first"))
     joined = joined.select("key", "url", "payload", F.when(revisits, F.col("first")).alias("first"), F.when(revisits, F.col("first_url")).alias("first_url"))
     records = joined.transform(in_workers, _converted(date), "record binary").select(F.col("record").cast("string").alias("value"))

@@ -312,3 +312,51 @@ def test_documents_with_runs(spark, docs):
     assert periodic_runs.periodic_runs(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         periodic_runs.periodic_runs(docs, least=2)
+
+
+# Joins that shuffle only what finds something
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_sieved_joins_equal_joins(spark, monkeypatch, how):
+    from pyspark.sql import functions as F
+
+    from logloom.llm import shared
+
+    rows = spark.range(5000).select((F.col("id") % 3000).alias("a"), F.concat(F.lit("x"), F.col("id") % 7).alias("b"), F.when(F.col("id") % 11 > 0, F.col("id")).alias("sieve_bit"))
+    rows = rows.union(rows.limit(1).select(F.lit(None).cast("long"), F.lit("x1"), F.lit(1).cast("long")))
+    table = spark.range(0, 900, 2).select(F.col("id").alias("a"), F.concat(F.lit("x"), F.col("id") % 7).alias("b"), (F.col("id") * 10).alias("value"))
+    plain = sorted(map(str, rows.join(table, ["a", "b"], how).collect()))
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    found = shared.wanted(rows, table, ["a", "b"], how)
+    assert sorted(map(str, found.collect())) == plain and len(plain) > 0
+    joined, may = shared._sieved(rows, table, ["a", "b"], 450)
+    assert joined.where(may).count() < 1500
+
+
+def test_later_updates_shuffle_no_old_texts(spark, monkeypatch, tmp_path):
+    """Of a second update with few new texts, only these may move, even with nothing broadcast."""
+    from logloom.llm import secrets, shared
+
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    scanned, let_through = [], []
+    own, sieved = secrets.scan_blobs, shared._sieved
+    monkeypatch.setattr(secrets, "scan_blobs", lambda blobs, rules: scanned.append(blobs.count()) or own(blobs, rules))
+
+    def spied(rows, *args):
+        joined, may = sieved(rows, *args)
+        let_through.append(joined.where(may).count())
+        return joined, may
+
+    monkeypatch.setattr(shared, "_sieved", spied)
+    old = [(i, f"text {i} " + "lorem " * 200) for i in range(800)]
+    new = [(1000 + i, f"password = abcdefghijkl{i}") for i in range(5)] + [(1000, "password = abcdefghijkl0")]
+    ledger = secrets.Ledger(spark, str(tmp_path / "ledger"))
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert ledger.update(frame(old)) == 800
+    let_through.clear()
+    assert ledger.update(frame(old + new)) == 5 and ledger.update(frame(old + new)) == 0
+    found = {r.doc_id: len(r.spans) for r in ledger.findings(frame(old + new)).collect()}
+    assert all(found[d] == (d >= 1000) for d in found) and len(found) == 805
+    # The sieve lets the new texts and a few others through to the join.
+    assert scanned == [800, 5] and let_through and max(let_through) < 80
