@@ -11,8 +11,8 @@ memory for each task, by a 64-bit hash).
 Short cuts go through the agenda together: one row of a matrix for each cut holds the scores of its adjacent pairs, and
 each step takes the best pair of every row. Long ones have a heap of their own. Both give the same ids.
 
-The sentencepiece library checks all of it in the same Arrow batch: the ids of every whole text, and the decoded text of all
-ids of every text; a difference is an error.
+The sentencepiece library checks all of it in the same Arrow batch: the ids of every whole text, however long, and the decoded text of
+all ids of every text. A row with a difference gets the library's ids and text, and `agrees` is false.
 Defined results: a null text counts as empty; an empty text has only the begin and end ids and decodes to "";
 repeated rows and null ids are returned as they are; other columns are ignored whatever their names.
 """
@@ -38,10 +38,10 @@ MARK = "▁"
 #: Cuts that a task remembers at most; the longest cut that is remembered; widths of the matrices.
 MEMORY, LONGEST, WIDTHS = 200_000, 256, (8, 12, 20, 32)
 #: Text bytes that are coded at once; a text of more than LONG characters is coded in pieces.
-SLICE, LONG = 1 << 19, 1 << 20
+SLICE, LONG = 1 << 18, 1 << 20
 NEVER = np.iinfo(np.int32).max
 
-SCHEMA = "id long, ids array<int>, decoded string"
+SCHEMA = "id long, ids array<int>, decoded string, agrees boolean"
 
 
 class Table:
@@ -393,39 +393,42 @@ def _codec(model: bytes) -> Codec:
     return _own[name]
 
 
-def _both(own: Codec, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
-    """All ids and the bounds of each text's, and the library's ids of each text."""
+def encode_pieced(own: Codec, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids and the bounds of each text's, by the agenda; a text of more than LONG characters in pieces, which changes nothing."""
     if max(map(len, texts), default=0) <= LONG:
-        return *own.encode_flat(texts), own.library.encode(texts, add_bos=True, add_eos=True, num_threads=1)
-    found, there = [], []
+        return own.encode_flat(texts)
+    found = []
     for text in texts:
-        parts, theirs = [], []
-        for piece in pieces(text, LONG):
-            parts.append(own.encode_flat([piece])[0][1:-1])
-            theirs += own.library.encode(piece)
-        found.append(np.concatenate(([own.begin], *parts, [own.end])).astype(np.int32))
-        there.append([own.begin, *theirs, own.end])
-    return np.concatenate(found), np.concatenate(([0], np.cumsum([len(x) for x in found]))), there
+        inner = [own.encode_flat([piece])[0][int(own.begin >= 0) :] for piece in pieces(text, LONG)]
+        inner = [ids[: len(ids) - int(own.end >= 0)] for ids in inner]
+        found.append(np.concatenate([[i for i in (own.begin,) if i >= 0], *inner, [i for i in (own.end,) if i >= 0]]).astype(np.int32))
+    return np.concatenate(found), np.concatenate(([0], np.cumsum([len(x) for x in found])))
 
 
 def _coded(model: bytes):
-    """For slices of rows: the rows, all ids, the bounds of each row's, and the decoded texts; the library must agree on all of them."""
+    """For slices of rows: the rows, all ids, the bounds of each row's, the decoded texts, and whether the library gives the same of the whole text.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[str]]]:
+    A row of which it does not gets what the library gives.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, list[str], np.ndarray]]:
         own = _codec(model)
         for batch in batches:
             for part in slices(batch, "text", SLICE):
                 texts = part.column("text").to_pylist()
-                ids, bounds, there = _both(own, texts)
+                ids, bounds = encode_pieced(own, texts)
+                there = own.library.encode(texts, add_bos=own.begin >= 0, add_eos=own.end >= 0, num_threads=1)
                 counts = np.fromiter(map(len, there), np.int64, len(there))
-                if not np.array_equal(counts, np.diff(bounds)) or not np.array_equal(np.fromiter(chain.from_iterable(there), np.int32, len(ids)), ids):
-                    wrong = next(k for k, x in enumerate(there) if x != ids[bounds[k] : bounds[k + 1]].tolist())
-                    raise ValueError(f"ids differ from the library's for id {part.column('id')[wrong]}")
+                theirs = np.fromiter(chain.from_iterable(there), np.int32, int(counts.sum()))
+                agree = np.ones(len(texts), bool)
+                if not np.array_equal(counts, np.diff(bounds)) or not np.array_equal(theirs, ids):
+                    agree = np.array([x == ids[a:b].tolist() for x, a, b in zip(there, bounds[:-1], bounds[1:], strict=True)])
+                    ids, bounds = theirs, np.concatenate(([0], np.cumsum(counts)))
                 decoded = own.decode_flat(ids, bounds)
-                if (theirs := own.library.decode(there, num_threads=1)) != decoded:
-                    wrong = next(k for k, x in enumerate(theirs) if x != decoded[k])
-                    raise ValueError(f"decoded text differs from the library's for id {part.column('id')[wrong]}")
-                yield part, ids, bounds, decoded
+                if (said := own.library.decode(there, num_threads=1)) != decoded:
+                    agree &= np.array([x == y for x, y in zip(said, decoded, strict=True)])
+                    decoded = said
+                yield part, ids, bounds, decoded, agree
         own.forget()
         give_back()
 
@@ -433,26 +436,26 @@ def _coded(model: bytes):
 
 
 def encode_documents(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids, decoded) of every row: its ids with begin and end, and what they decode to."""
+    """(id, ids, decoded, agrees) of every row: its ids with begin and end, what they decode to, and whether the library gave the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ids, bounds, decoded in _coded(model)(batches):
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), pa.array(decoded, pa.string())], names=["id", "ids", "decoded"])
+        for part, ids, bounds, decoded, agree in _coded(model)(batches):
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids)), pa.array(decoded, pa.string()), pa.array(agree)], names=["id", "ids", "decoded", "agrees"])
 
     return _texts(docs, id_col, text_col).transform(in_workers, run, SCHEMA).withColumnRenamed("id", id_col)
 
 
 def encode_digests(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of every row, without shipping ids and texts out of the workers."""
+    """(id, n_tokens, ids_sha256, decoded_sha256, agrees) of every row, without shipping ids and texts out of the workers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ids, bounds, decoded in _coded(model)(batches):
+        for part, ids, bounds, decoded, agree in _coded(model)(batches):
             packed = ids.astype("<u4").tobytes()
             digests = [hashlib.sha256(packed[4 * a : 4 * b]).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             texts = [hashlib.sha256(x.encode()).hexdigest() for x in decoded]
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(bounds)), pa.array(digests, pa.string()), pa.array(texts, pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(bounds)), pa.array(digests, pa.string()), pa.array(texts, pa.string()), pa.array(agree)], names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "agrees"])
 
-    return _texts(docs, id_col, text_col).transform(in_workers, run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return _texts(docs, id_col, text_col).transform(in_workers, run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean").withColumnRenamed("id", id_col)
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -129,15 +129,15 @@ def test_long_texts_in_pieces_give_the_same(spark, monkeypatch, coder):
     held = [r["text"] for r in docs.where("text IS NOT NULL").limit(60).collect()] + ["", "a" * 900, "  x  " * 200, "▁ ▁x ", "é日本" * 300, "tail "]
     data, offsets = text_buffers(pa.array(held))
     model, reader = language_id.fit_documents(docs), language_id.Reader()
-    whole = list(language_id.label(held, reader, model)), shingle_sets(data, offsets, 4), toxicity.features(data, offsets), sentencepiece_codec._both(coder, held)
+    whole = list(language_id.label(held, reader, model)), shingle_sets(data, offsets, 4), toxicity.features(data, offsets), sentencepiece_codec.encode_pieced(coder, held)
     monkeypatch.setattr(language_id, "LONG", 100)
     monkeypatch.setattr(textkernel, "PIECE", 100)
     monkeypatch.setattr(sentencepiece_codec, "LONG", 100)
-    cut = list(language_id.label(held, reader, model)), shingle_sets(data, offsets, 4), toxicity.features(data, offsets), sentencepiece_codec._both(coder, held)
+    cut = list(language_id.label(held, reader, model)), shingle_sets(data, offsets, 4), toxicity.features(data, offsets), sentencepiece_codec.encode_pieced(coder, held)
     assert [(x[0], x[2]) for x in cut[0]] == [(x[0], x[2]) for x in whole[0]] and np.allclose([x[1] for x in cut[0]], [x[1] for x in whole[0]])
     for a, b in zip(whole[1:], cut[1:], strict=True):
         assert all(np.array_equal(x, y) for x, y in zip(a[:2], b[:2], strict=True))
-    assert cut[3][2] == whole[3][2]
+    assert cut[3][0].tolist() == [i for ids in coder.library.encode(held, add_bos=True, add_eos=True) for i in ids]
     again = language_id.fit_documents(docs)
     assert np.array_equal(again.gram, model.gram) and np.array_equal(again.word, model.word)
 
@@ -641,5 +641,7 @@ def test_every_text_of_a_batch_is_checked(monkeypatch, name, put):
     own = getattr(Codec, name)
     monkeypatch.setattr(Codec, name, lambda self, *a: put(own(self, *a)))
     batch = pa.RecordBatch.from_pydict({"id": list(range(151)), "text": ["a text"] * 150 + ["the last"]})
-    with pytest.raises(ValueError, match="id 150"):
-        list(sentencepiece_codec._coded(piece_model())([batch]))
+    ((_, ids, bounds, decoded, agree),) = sentencepiece_codec._coded(piece_model())([batch])
+    lib = sentencepiece_codec._codec(piece_model()).library
+    assert agree.tolist() == [True] * 150 + [False] and decoded[150] == "the last"
+    assert ids[bounds[150] : bounds[151]].tolist() == lib.encode("the last", add_bos=True, add_eos=True)
