@@ -20,7 +20,7 @@ from logloom.llm import language_id, mixing, secrets
 from logloom.llm.ngram_join import Jaccard, jaccard_components, text_hash
 from logloom.llm.queries import piece_model
 from logloom.llm.sentencepiece_codec import encode_documents
-from logloom.llm.shared import Scratch, cleared, few, free_name
+from logloom.llm.shared import Scratch, cleared, free_name, wanted
 
 #: A text is rejected whose language is unknown, or whose score is under this.
 LEAST_LANGUAGE_SCORE = 0.25
@@ -39,13 +39,14 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     rows = scratch.keep(groups.where("doc_id IS NOT NULL").groupBy("doc_id", "text_hash").agg(F.min("component_id").alias("component_id"), F.count("*").alias("rows")), "rows")
     dropped = scratch.keep(rows.where("doc_id <> component_id").select("doc_id", "text_hash"), "dropped")
     hashed = free_name("text_hash", docs.columns)
-    left = docs.withColumn(hashed, text_hash(F.col("text"))).join(few(dropped).withColumnRenamed("text_hash", hashed), ["doc_id", hashed], "left_anti")
+    key = ["doc_id", hashed]
+    left = wanted(docs.withColumn(hashed, text_hash(F.col("text"))), dropped.withColumnRenamed("text_hash", hashed), key, "left_anti")
     again = scratch.keep(rows.where("doc_id = component_id AND rows > 1").select("doc_id", "text_hash"), "again")
-    if again.isEmpty():
+    if not (number := again.count()):
         return left.select(*docs.columns)
-    again = few(again).withColumnRenamed("text_hash", hashed)
-    once = left.join(again, ["doc_id", hashed], "left_semi").dropDuplicates(["doc_id", hashed])
-    return left.join(again, ["doc_id", hashed], "left_anti").unionByName(once).select(*docs.columns)
+    again = again.withColumnRenamed("text_hash", hashed)
+    once = wanted(left, again, key, "left_semi", number).dropDuplicates(key)
+    return wanted(left, again, key, "left_anti", number).unionByName(once).select(*docs.columns)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +57,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     hits = scratch.keep(ledger.rows(secrets.RULES).where(F.size("spans") > 0).select("blob", "spans"), "hits")
     blob, spans, held = (free_name(c, docs.columns) for c in ("blob", "spans", "had_spans"))
     number = hits.agg(F.sum(F.size("spans") + 2)).first()[0] or 0
-    joined = docs.withColumn(blob, F.sha2(F.coalesce("text", F.lit("")), 256)).join(few(hits, number).toDF(blob, spans), blob, "left")
+    joined = wanted(docs.withColumn(blob, F.sha2(F.coalesce("text", F.lit("")), 256)), hits.toDF(blob, spans), [blob], "left", number)
     joined = joined.withColumn(held, F.col(spans).isNotNull()).withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(secrets.redact(F.col("text"), F.col(spans))))
     n_chars = F.when(F.col(held), F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return joined.withColumn("n_chars", n_chars).select(*docs.columns)
