@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logloom.functions import scalars as S
@@ -313,7 +313,11 @@ def _messages(spark, sf_dir, *kinds):
     return matched.withColumns({"pattern_name": by_pattern(R.LIBRARY, lambda p: p.name), "message": group_column(R.LIBRARY, "message")})
 
 
-@query("SELECT ['DVC_ADDRESS', 'MESSAGE', 'ORIGINAL_DATA', 'SEVERITY']::VARCHAR AS kv_keys, 0.0::DOUBLE AS free_text_ratio, 4::INT AS total_forms, 1::BIGINT AS n_line_sigs, 'stable' AS verdict")
+@query(
+    f"""WITH {E}, {LINE}, m AS (SELECT list_sort(list_distinct(regexp_extract_all(line, '(\\w+)="', 1))) AS keys FROM l WHERE kind = 2 ORDER BY event_id LIMIT 500), k AS (SELECT DISTINCT unnest(keys) AS key FROM m)
+ SELECT '[' || (SELECT string_agg(key, ', ' ORDER BY key) FROM k) || ']' AS kv_keys, (count(*) FILTER (len(keys) = 0) / count(*))::DOUBLE AS free_text_ratio, (SELECT count(*) FROM k)::INT AS total_forms,
+ count(DISTINCT keys) AS n_line_sigs, CASE WHEN (SELECT count(*) FROM k) <= 4 THEN 'stable' ELSE 'mixed' END AS verdict FROM m"""
+)
 def guide_form_profile(spark, sf_dir):
     found = guide_forms(_messages(spark, sf_dir, 2))
     return found.select(F.concat(F.lit("["), F.array_join("kv_keys", ", "), F.lit("]")).alias("kv_keys"), "free_text_ratio", "total_forms", "n_line_sigs", "verdict")
@@ -332,32 +336,87 @@ def sampled_messages(spark, sf_dir):
     return message_samples(_messages(spark, sf_dir), 6).groupBy("pattern_name").agg(F.count("*").alias("n"), F.max("line_no").alias("last_line"))
 
 
-@query("SELECT 'src1' AS path")
+@query(
+    f"""WITH {E}, f AS (SELECT 'f' || (event_id % 64 + CASE WHEN event_id // 64 > 20 THEN 100 ELSE 0 END) AS path, kind, event_id FROM e), h AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY event_id) AS line_no FROM f)
+ SELECT DISTINCT path FROM h WHERE line_no <= 300 AND kind = 1"""
+)
 def files_of_pattern(spark, sf_dir):
-    return files_with_match(head(R.lines(spark, sf_dir)), R.WINDOWS)
+    """Of 128 files those that have a line of the pattern in their head."""
+    later = F.when(F.col("row_id").cast("long") / 64 >= 21, 100).otherwise(0)
+    lines = R.lines(spark, sf_dir).withColumn("path", F.concat(F.lit("f"), F.col("row_id") % 64 + later))
+    numbered = lines.withColumn("line_no", F.row_number().over(Window.partitionBy("path").orderBy("row_id")))
+    return files_with_match(head(numbered), R.WINDOWS)
+
+
+# Libraries as tables, of patterns that events give: those of the first users, and those of later ones, with some of both.
+LIBRARIES = """p AS (SELECT '^' || event_type || (user_id % 20) AS regex, CASE WHEN user_id % 20 % 3 = 0 THEN 'huawei' WHEN user_id % 20 % 3 = 1 THEN 'generic' ELSE '' END AS format, user_id % 20 AS u, event_id FROM events),
+ old AS (SELECT *, row_number() OVER (ORDER BY regex, format) - 1 AS ord FROM (SELECT regex, min(format) AS format, count(*) AS count FROM p WHERE u < 12 GROUP BY 1)),
+ a AS (SELECT regex, CASE WHEN format = '' THEN 'odd' ELSE format || '_' || lpad((3 * ord)::VARCHAR, 3, '0') END AS name, format, (10 + count % 7)::INT AS priority, count, ord FROM old),
+ b AS (SELECT *, row_number() OVER (ORDER BY count DESC, regex) - 1 AS ord FROM (SELECT regex, max(format) AS format, count(*) AS count FROM p WHERE u >= 8 GROUP BY 1))"""
 
 
-OLD = [L.Pattern("generic_000", "^a", format="generic", priority=50, count=10), L.Pattern("huawei_004", "^b", format="huawei", priority=60, count=5)]
-NEW = [L.Pattern("fmt_000", "^b", format="generic", priority=99, count=7), L.Pattern("fmt_001", "^c", format="huawei", priority=97, count=3)]
+def _libraries(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    third = F.col("user_id") % 20 % 3
+    form = F.when(third == 0, "huawei").when(third == 1, "generic").otherwise("")
+    p = e.select(F.concat(F.lit("^"), "event_type", F.col("user_id") % 20).alias("regex"), form.alias("format"), (F.col("user_id") % 20).alias("u"))
+    grouped = lambda where, pick: p.where(where).groupBy("regex").agg(pick("format").alias("format"), F.count("*").alias("count"))
+    number = lambda *by: (F.row_number().over(Window.orderBy(*by)) - 1).alias("ord")
+    old = grouped("u < 12", F.min).select("*", number("regex", "format"))
+    name = F.when(F.col("format") == "", "odd").otherwise(F.format_string("%s_%03d", "format", 3 * F.col("ord")))
+    old = old.select("regex", name.alias("name"), "format", (10 + F.col("count") % 7).cast("int").alias("priority"), "count", "ord")
+    new = grouped("u >= 8", F.max).select("regex", F.lit("fmt").alias("name"), "format", F.lit(90).alias("priority"), "count", number(F.desc("count"), "regex"))
+    return old, new
+
+
+MERGED = f"""{LIBRARIES}, m AS (SELECT format, max(split_part(name, '_', 2)::INT) AS largest FROM a WHERE name LIKE '%\\_%' ESCAPE '\\' GROUP BY 1),
+ n AS (SELECT b.*, CASE WHEN b.format = '' THEN 'generic' ELSE b.format END AS stem FROM b WHERE regex NOT IN (SELECT regex FROM a)),
+ f AS (SELECT regex, stem || '_' || lpad((coalesce((SELECT largest FROM m WHERE m.format = stem), -1) + row_number() OVER (PARTITION BY stem ORDER BY count DESC, ord))::VARCHAR, 3, '0') AS name, format, 90::INT AS priority, count, ord FROM n),
+ u AS (SELECT a.regex, a.name, a.format, a.priority, a.count + coalesce(b.count, 0) AS count, 0 AS side, a.ord FROM a LEFT JOIN b USING (regex) UNION ALL SELECT regex, name, format, priority, count, 1, ord FROM f)"""
 
 
-@query("SELECT * FROM (VALUES ('^a', 'generic_000', 'generic', 50::INT, 10::INT), ('^b', 'huawei_004', 'huawei', 60::INT, 12::INT), ('^c', 'fmt_001', 'huawei', 97::INT, 3::INT)) AS t(regex, name, format, priority, count)")
+@query(f"WITH {MERGED} SELECT regex, name, format, priority, count, (row_number() OVER (ORDER BY count DESC, side, ord) - 1)::INT AS ord FROM u")
 def library_merge(spark, sf_dir):
-    return L.merge_frames(L.to_frame(spark, OLD), L.to_frame(spark, NEW))
+    return L.merge_frames(*_libraries(spark, sf_dir))
+
+
+@query(f"WITH {MERGED} SELECT regexp_extract(name, '^(.+)_(\\d+)$', 1) AS stem, max(regexp_extract(name, '^(.+)_(\\d+)$', 2)::INT)::INT AS largest FROM u WHERE regexp_matches(name, '^(.+)_(\\d+)$') GROUP BY 1")
+def category_index(spark, sf_dir):
+    """The largest number of each category's names, after a merge has counted on from those of the library."""
+    return L.largest_numbers(L.merge_frames(*_libraries(spark, sf_dir)))
 
 
-@query("SELECT * FROM (VALUES ('a', 'p', '', 'new'), ('b', 'p', '', 'old'), ('c', 'q', 's', 'new')) AS t(field_name, type, format, regex)")
+@query(
+    """WITH r AS (SELECT event_type AS field_name, 'p' || (user_id % 50) AS type, CASE WHEN user_id % 2 = 0 THEN 's' ELSE '' END AS format, event_id FROM events),
+ o AS (SELECT DISTINCT field_name, type, format FROM r WHERE event_id % 2 = 0), n AS (SELECT DISTINCT field_name, type, format FROM r WHERE event_id % 7 = 0)
+ SELECT *, 'old' AS regex FROM o WHERE (field_name, type, format) NOT IN (SELECT (field_name, type, format) FROM n) UNION ALL SELECT *, 'new' FROM n"""
+)
 def rules_antijoin(spark, sf_dir):
-    old = [L.Rule("a", "a", "p", regex="old"), L.Rule("b", "b", "p", regex="old")]
-    new = [L.Rule("a", "a", "p", regex="new"), L.Rule("c", "c", "q", "s", regex="new")]
-    return L.merge_rule_frames(L.to_frame(spark, old, L.Rule), L.to_frame(spark, new, L.Rule)).select("field_name", "type", "format", "regex")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    rules = e.select(F.col("event_type").alias("field_name"), F.concat(F.lit("p"), F.col("user_id") % 50).alias("type"), F.when(F.col("user_id") % 2 == 0, "s").otherwise("").alias("format"), "event_id")
+    some = lambda n, text: rules.where(F.col("event_id") % n == 0).select("field_name", "type", "format", F.lit(text).alias("regex")).distinct()
+    return L.merge_rule_frames(some(2, "old"), some(7, "new"))
 
 
-@query("SELECT * FROM (VALUES (0::INT, 'y', '^y2', 5::INT, 'a,b,c'), (1::INT, 'x', '^x', 10::INT, '')) AS t(ord, name, regex, priority, samples)")
+@query(
+    """WITH p AS (SELECT event_type || (user_id % 20) AS name, user_id, event_id FROM events),
+ x AS (SELECT *, row_number() OVER (ORDER BY name) AS ord FROM (SELECT name, list_sort(list_distinct(list((user_id % 7)::VARCHAR))) AS s, (count(*) % 5)::INT AS priority FROM p WHERE user_id % 20 < 12 GROUP BY 1)),
+ y AS (SELECT *, row_number() OVER (ORDER BY name) AS ord FROM (SELECT name, list_sort(list_distinct(list((user_id % 11)::VARCHAR))) AS s, (count(*) % 3)::INT AS priority FROM p WHERE user_id % 20 >= 8 GROUP BY 1)),
+ z AS (SELECT name, 'old' AS regex, priority, s, 0 AS side, ord FROM x WHERE name NOT IN (SELECT name FROM y)
+  UNION ALL SELECT y.name, 'new', y.priority, CASE WHEN x.s IS NULL THEN y.s ELSE x.s || list_filter(y.s, lambda v: NOT list_contains(x.s, v)) END, 1, y.ord FROM y LEFT JOIN x USING (name))
+ SELECT name, regex, priority, list_aggregate(s, 'string_agg', ',') AS samples, (row_number() OVER (ORDER BY priority, side, ord) - 1)::INT AS ord FROM z"""
+)
 def pattern_upsert(spark, sf_dir):
-    held = [L.Pattern("x", "^x", priority=10), L.Pattern("y", "^y", priority=20, sample_logs=("a", "b"))]
-    out = L.add_pattern(held, L.Pattern("y", "^y2", priority=5, sample_logs=("b", "c")))
-    return L.to_frame(spark, out).select("ord", "name", "regex", "priority", F.array_join("sample_logs", ",").alias("samples"))
+    """Patterns that replace their namesakes, inherit their samples (distinct, in order) and are put in order of priority."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.concat("event_type", F.col("user_id") % 20).alias("name"), "user_id")
+
+    def library(where: str, n: int, most: int, text: str) -> DataFrame:
+        samples = F.array_sort(F.collect_set((F.col("user_id") % n).cast("string")))
+        found = e.where(where).groupBy("name").agg(samples.alias("sample_logs"), (F.count("*") % most).cast("int").alias("priority"))
+        return found.select("*", F.lit(text).alias("regex"), F.row_number().over(Window.orderBy("name")).alias("ord"))
+
+    out = L.upsert_frames(library("user_id % 20 < 12", 7, 5, "old"), library("user_id % 20 >= 8", 11, 3, "new"))
+    return out.select("name", "regex", "priority", F.array_join("sample_logs", ",").alias("samples"), "ord")
 
 
 @query("SELECT event_type, n, printf('fmt_%03d', (row_number() OVER (ORDER BY n DESC, event_type) - 1)::INT) AS name FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")
@@ -368,11 +427,6 @@ def seq_naming(spark, sf_dir):
     return spark.createDataFrame([(p.sample, p.count, p.name) for p in drain.to_patterns(groups, least=1)], "event_type string, n long, name string")
 
 
-@query("SELECT * FROM (VALUES ('^c', 'huawei_005', 3::INT), ('^b', 'huawei_004', 12::INT), ('^a', 'generic_000', 10::INT)) AS t(regex, name, count)")
-def category_index(spark, sf_dir):
-    return L.to_frame(spark, L.merge_patterns(OLD, NEW)).select("regex", "name", "count")
-
-
 @query(f"WITH {E} SELECT count(*) AS total, count(*) FILTER (kind < 3) AS matched, count(*) FILTER (kind = 3) AS unmatched, (count(*) FILTER (kind < 3))::DOUBLE / count(*) AS rate FROM e")
 def match_stats(spark, sf_dir):
     return statistics(match(R.lines(spark, sf_dir), R.LIBRARY))
@@ -445,11 +499,15 @@ def standardized_event(spark, sf_dir):
     return e.select("row_id", *[f"event.{n}" for n in names], _epoch(), F.size("event.parse_errors").alias("n_errors"), "event.parsed_content.syslog")
 
 
-@query(f"WITH {E} SELECT count(*) AS n, count(DISTINCT event_id) AS n_lines FROM e WHERE kind < 3")
+@query(
+    f"""WITH {E}, {LINE} SELECT line, strftime(sec, '%Y-%m-%d %H:%M:%S') || '+00:00' AS timestamp, p::VARCHAR AS priority, (CASE kind WHEN 2 THEN level ELSE p % 8 END)::VARCHAR AS severity, CASE kind WHEN 0 THEN 'host' || user_id WHEN 1 THEN 'HOST' || n ELSE '' END AS hostname,
+ CASE kind WHEN 0 THEN event_type || ' port scan' WHEN 1 THEN event_type || ' value=' || n ELSE event_type || ' by user' END AS message_content, 'true' AS parse_success, '[]' AS parse_errors, '2024-06-01 00:00:00+00:00' AS received_at, 32::INT AS n_keys FROM l WHERE kind < 3"""
+)
 def jsonl_sink(spark, sf_dir):
+    """The lines of the JSON sink read again: texts of times, fields, and no key for optional fields that are missing."""
     out = as_json(events(_parsed(spark, sf_dir)), R.OPTIONS.tz)
-    lines = out.select(F.get_json_object("value", "$.parsed_content.syslog").alias("line"))
-    return lines.agg(F.count("*").alias("n"), F.count_distinct("line").alias("n_lines"))
+    names = ("timestamp", "priority", "severity", "hostname", "message_content", "parse_success", "parse_errors", "received_at")
+    return out.select(F.get_json_object("value", "$.parsed_content.syslog").alias("line"), *[F.get_json_object("value", f"$.{n}").alias(n) for n in names], F.size(F.json_object_keys("value")).alias("n_keys"))
 
 
 @query(

@@ -9,7 +9,7 @@ from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field, fields, replace
 
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 log = logging.getLogger("logloom")
@@ -154,12 +154,37 @@ def to_frame(spark: SparkSession, entries: list[Pattern] | list[Rule], kind: typ
     return spark.createDataFrame(rows, schema)
 
 
+NAMED = r"^(.+)_(\d+)$"
+
+
+def largest_numbers(library: DataFrame) -> DataFrame:
+    """(stem, largest): the largest number in the names <stem>_<number> of a library table."""
+    stem, number = F.regexp_extract("name", NAMED, 1), F.regexp_extract("name", NAMED, 2).cast("int")
+    return library.where(F.col("name").rlike(NAMED)).groupBy(stem.alias("stem")).agg(F.max(number).alias("largest"))
+
+
 def merge_frames(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """merge_patterns over tables (regex, name, format, priority, count)."""
-    a, b = existing.alias("a"), new.alias("b")
-    joined = a.join(b, F.col("a.regex") == F.col("b.regex"), "full_outer")
-    first = [F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ("regex", "name", "format", "priority")]
-    return joined.select(*first, (F.coalesce("a.count", F.lit(0)) + F.coalesce("b.count", F.lit(0))).alias("count"))
+    """merge_patterns for libraries kept as tables (regex, name, format, priority, count, ord); regexes are unique in each."""
+    both = existing.alias("a").join(new.select("regex", F.col("count").alias("more")).alias("b"), "regex", "left")
+    kept = both.select("regex", "name", "format", "priority", (F.col("count") + F.coalesce("more", F.lit(0))).alias("count"), F.lit(0).alias("side"), "ord")
+    fresh = new.join(existing.select("regex"), "regex", "left_anti").withColumn("stem", F.coalesce(F.nullif("format", F.lit("")), F.lit("generic")))
+    fresh = fresh.join(F.broadcast(largest_numbers(existing)), "stem", "left")  # a row for each format
+    place = F.row_number().over(Window.partitionBy("stem").orderBy(F.desc("count"), "ord"))
+    name = F.format_string("%s_%03d", "stem", F.coalesce("largest", F.lit(-1)) + place)
+    fresh = fresh.select("regex", name.alias("name"), "format", "priority", "count", F.lit(1).alias("side"), "ord")
+    # A library is small: its order is a window over all of it.
+    order = F.row_number().over(Window.orderBy(F.desc("count"), "side", "ord")) - 1
+    return kept.unionByName(fresh).select("regex", "name", "format", "priority", "count", order.alias("ord"))
+
+
+def upsert_frames(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """add_pattern for libraries kept as tables (name, regex, priority, sample_logs, ord): new ones replace their namesakes and inherit their samples; by priority."""
+    old = existing.select("name", F.col("sample_logs").alias("held"))
+    samples = F.slice(F.array_distinct(F.concat(F.coalesce("held", F.array().cast("array<string>")), "sample_logs")), 1, MERGED_SAMPLES)
+    put = new.join(old, "name", "left").select("name", "regex", "priority", samples.alias("sample_logs"), F.lit(1).alias("side"), "ord")
+    left = existing.join(new.select("name"), "name", "left_anti").select("name", "regex", "priority", "sample_logs", F.lit(0).alias("side"), "ord")
+    order = F.row_number().over(Window.orderBy("priority", "side", "ord")) - 1
+    return left.unionByName(put).select("name", "regex", "priority", "sample_logs", order.alias("ord"))
 
 
 def merge_rule_frames(existing: DataFrame, new: DataFrame) -> DataFrame:

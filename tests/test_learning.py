@@ -374,3 +374,16 @@ def test_learning_counts_places_tails_and_odd_lines(spark):
     big = max(found, key=lambda t: t["count"])
     assert len(big["samples"]) == 50 and big["samples"] == lines[:300][:50] if big["count"] == 300 else True
     assert drain.learn_templates(frame(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_libraries_as_tables_equal_lists(spark):
+    r = random.Random(12)
+    for _ in range(3):
+        held = [L.Pattern(r.choice(["generic_{:03d}", "huawei_{:03d}", "own"]).format(i), f"^{i}", priority=r.randint(1, 3), format=r.choice(["generic", "huawei"]), count=r.randint(0, 5), sample_logs=tuple(r.sample("abcd", 2))) for i in range(8)]
+        new = [L.Pattern(f"fmt_{i:03d}", f"^{r.randint(0, 5) if i < 2 else i + 20}{'x' * i}", priority=90, format=r.choice(["generic", "", "other"]), count=r.randint(1, 5)) for i in range(7)]
+        merged = L.merge_frames(L.to_frame(spark, held), L.to_frame(spark, new)).orderBy("ord").collect()
+        assert [(m["regex"], m["name"], m["format"], m["priority"], m["count"]) for m in merged] == [(p.regex, p.name, p.format, p.priority, p.count) for p in L.merge_patterns(held, new)]
+        one = L.Pattern(held[3].name, "^new", priority=2, sample_logs=("d", "e"))
+        held = list({p.name: p for p in held}.values())
+        put = L.upsert_frames(L.to_frame(spark, L.by_priority(held)), L.to_frame(spark, [one])).orderBy("ord").collect()
+        assert [(m["name"], m["regex"], tuple(m["sample_logs"])) for m in put] == [(p.name, p.regex, p.sample_logs) for p in L.add_pattern(L.by_priority(held), one)]
