@@ -42,20 +42,29 @@ def read_lines(spark: SparkSession, paths: str | list[str], glob: str | None = N
     value = F.make_valid_utf8("value").alias("value")
     if not numbered:
         return text.select(value, F.col("_metadata.file_path").alias("path"), F.lit(None).cast("long").alias("line_no"))
-    # A split is a range of bytes of one file; within it lines come in order.
-    split = text.select(value, F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
-    bounds = split.groupBy("path", "start").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bounds.select("path", "start", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return split.join(F.broadcast(offsets) if offsets.count() <= 100_000 else offsets, ["path", "start"]).select("value", "path", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line_no"))
+    return number_lines(text.select(value, F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split_start")))
+
+
+def number_lines(split: DataFrame) -> DataFrame:
+    """(value, path, line_no) of lines (value, path, split_start): numbers from 1 within each file.
+
+    A split is a range of bytes of one file; within it lines come in order.
+    """
+    split = split.withColumn("at", F.monotonically_increasing_id())
+    bounds = split.groupBy("path", "split_start").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("path").orderBy("split_start").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = bounds.select("path", "split_start", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    joined = split.join(F.broadcast(offsets) if offsets.count() <= 100_000 else offsets, ["path", "split_start"])
+    return joined.select("value", "path", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line_no"))
 
 
 def read_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """The lines of files as they arrive in a folder."""
+    """The lines of files as they arrive in a folder: (value, path, line_no, split_start). line_no is NULL until a batch is numbered (`number_lines`), as a whole file comes in one batch."""
     reader = spark.readStream.format("text")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.load(path).select(F.make_valid_utf8("value").alias("value"), F.col("_metadata.file_path").alias("path"), F.lit(None).cast("long").alias("line_no"))
+    names = {"path": F.col("_metadata.file_path"), "line_no": F.lit(None).cast("long"), "split_start": F.col("_metadata.file_block_start")}
+    return reader.load(path).select(F.make_valid_utf8("value").alias("value"), *[column.alias(name) for name, column in names.items()])
 
 
 def not_empty(lines: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
@@ -20,10 +22,10 @@ def stamp_text(value: Column, tz: str) -> Column:
     return F.concat(F.date_format(local, STAMP), F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""), offset)
 
 
-def as_json(events: DataFrame, tz: str = "Asia/Shanghai") -> DataFrame:
-    """One JSON text (`value`) for each event; optional fields that are missing are left out."""
-    columns = [stamp_text(F.col(f.name), tz).alias(f.name) if isinstance(f.dataType, TimestampType) else F.col(f.name) for f in events.schema]
-    return events.select(F.to_json(F.struct(*columns)).alias("value"))
+def as_json(events: DataFrame, tz: str = "Asia/Shanghai", kept: tuple[str, ...] = ()) -> DataFrame:
+    """One JSON text (`value`) for each event; optional fields that are missing are left out. kept: columns that stay beside it."""
+    columns = [stamp_text(F.col(f.name), tz).alias(f.name) if isinstance(f.dataType, TimestampType) else F.col(f.name) for f in events.schema if f.name not in kept]
+    return events.select(F.to_json(F.struct(*columns)).alias("value"), *kept)
 
 
 def write_jsonl(events: DataFrame, folder: str, tz: str = "Asia/Shanghai") -> None:
@@ -31,13 +33,41 @@ def write_jsonl(events: DataFrame, folder: str, tz: str = "Asia/Shanghai") -> No
 
 
 def write_json_array(events: DataFrame, path: str, tz: str = "Asia/Shanghai") -> None:
-    """One indented JSON array in a local file. It goes through the driver, row by row: for small results."""
-    with open(path, "w", encoding="utf-8") as f:
-        separator = "["
-        for row in as_json(events, tz).toLocalIterator():
-            f.write(f"{separator}\n" + json.dumps(json.loads(row["value"]), ensure_ascii=False, indent=2))
-            separator = ","
-        f.write("[]" if separator == "[" else "\n]")
+    """One indented JSON array in a file of any file system that Spark writes to.
+
+    Tasks write their events side by side into a folder beside it, with commas between them; the parts, in their order, are then put behind
+    each other as bytes, by the file system and not row by row.
+    """
+    spark = events.sparkSession
+
+    @F.pandas_udf("string")
+    def indented(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: json.dumps(json.loads(v), ensure_ascii=False, indent=2))
+
+    # The lower 33 bits of the id number the rows of a task.
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    numbered = as_json(events, tz).select("value", first.alias("first"))
+    texts = numbered.select(F.concat(F.when(F.col("first"), "").otherwise(","), F.when(F.col("first"), "").otherwise("\n"), indented("value")).alias("value"))
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    texts.write.option("lineSep", "\u0020").text(parts)
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    folder, target = hadoop.fs.Path(parts), hadoop.fs.Path(path)
+    files = target.getFileSystem(conf)
+    try:
+        found = sorted((s.getPath().getName(), s.getLen()) for s in folder.getFileSystem(conf).listStatus(folder))
+        put = lambda text: out.write(bytearray(text.encode()))
+        out = files.create(target, True)
+        separator = "[\n"
+        for name in [name for name, size in found if name.startswith("part-") and size]:
+            put(separator)
+            separator = ",\n"
+            part = files.open(hadoop.fs.Path(folder, name))
+            hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+            part.close()
+        put("[]" if separator == "[\n" else "\n]")
+        out.close()
+    finally:
+        files.delete(folder, True)
 
 
 def error_entries(unmatched: DataFrame) -> DataFrame:

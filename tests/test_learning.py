@@ -17,6 +17,8 @@ from logloom.plans.learn import failing_samples, learn, learn_files, rebuild_rul
 from logloom.settings import Settings
 from logloom.sources import library as L
 from logloom.sources.lines import head, not_blank, read_lines, read_stream
+from logloom.sources.sinks import as_json, write_json_array
+from logloom.streaming.learner import gathered, learner_of
 from logloom.streaming.progress import Progress
 from logloom.streaming.parse import parse_stream, stream_to_jsonl
 
@@ -204,7 +206,9 @@ def test_stream(spark, tmp_path):
     q = stream_to_jsonl(read_stream(spark, str(tmp_path / "in")), path, str(tmp_path / "out"), str(tmp_path / "cp"), errors=str(tmp_path / "err"), options=Options(reference_year=2024), after=lambda df, n: left.append(df.count())).start()
     q.processAllAvailable()
     q.stop()
-    assert spark.read.json(str(tmp_path / "out")).count() == 60 and left == [1] and spark.read.json(str(tmp_path / "err")).count() == 1
+    assert spark.read.json(str(tmp_path / "out")).count() == 60 and left == [1]
+    # Errors of a stream name the line, as those of a batch.
+    assert [(r["_meta"]["line_no"], r["raw"]) for r in spark.read.json(str(tmp_path / "err")).collect()] == [(61, "no header")]
     memory = parse_stream(read_stream(spark, str(tmp_path / "in")), patterns, [], Options(reference_year=2024)).select("pattern_name").writeStream.format("memory").queryName("parsed").start()
     memory.processAllAvailable()
     memory.stop()
@@ -387,3 +391,40 @@ def test_libraries_as_tables_equal_lists(spark):
         held = list({p.name: p for p in held}.values())
         put = L.upsert_frames(L.to_frame(spark, L.by_priority(held)), L.to_frame(spark, [one])).orderBy("ord").collect()
         assert [(m["name"], m["regex"], tuple(m["sample_logs"])) for m in put] == [(p.name, p.regex, p.sample_logs) for p in L.add_pattern(L.by_priority(held), one)]
+
+
+def test_stream_calls_the_learner_when_there_are_enough_lines_or_no_more(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    path = str(tmp_path / "p.yaml")
+    lines = [f"Jun {10 + i % 9} 06:06:{10 + i % 50} combo kernel: message {i}" for i in range(57)]
+    (tmp_path / "in" / "a.log").write_text("\n".join(lines) + "\n")
+    groups = gathered(read_stream(spark, str(tmp_path / "in")), 50, 0.5)
+    def called(df, number):
+        for r in df.collect():
+            found.append((r["reason"], r["first"], list(r["lines"])))
+            offered.append(number)
+        learn_batch(df, number)
+
+    found, offered = [], []
+    learn_batch = learner_of(path)
+    query = groups.writeStream.foreachBatch(called).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="200 milliseconds").start()
+    # Timers keep such a query busy, so it is not waited for to be idle.
+    for _ in range(120):
+        if len(found) == 2:
+            break
+        time.sleep(0.5)
+    query.stop()
+    assert [(reason, first, len(own)) for reason, first, own in found] == [("enough", 0, 50), ("idle", 50, 7)] and len(set(offered)) == 2
+    assert found[0][2] + found[1][2] == lines
+    assert statistics(match(frame(spark, lines), L.load_patterns(path))).first()["unmatched"] == 0
+
+
+def test_json_array_of_many_parts(spark, tmp_path):
+    rows = [(i, f"ü {i}", None if i % 2 else "x") for i in range(50)]
+    events = spark.createDataFrame(rows, "n int, text string, odd string").repartition(7).sortWithinPartitions("n")
+    write_json_array(events, str(tmp_path / "a.json"))
+    text = (tmp_path / "a.json").read_text(encoding="utf-8")
+    assert json.loads(text) == [json.loads(r["value"]) for r in as_json(events).collect()] and len(json.loads(text)) == 50
+    assert text.startswith("[\n{\n  \"n\": ") and "ü" in text and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["a.json"]
+    write_json_array(events.limit(0), str(tmp_path / "a.json"))
+    assert json.loads((tmp_path / "a.json").read_text()) == []
