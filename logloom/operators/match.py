@@ -70,6 +70,27 @@ def match(lines: DataFrame, patterns: list[Pattern], text: str = "value", prefix
     return out.withColumn(f"{prefix}pattern_idx", F.least(F.col(f"_{prefix}java"), *hits)).drop(f"_{prefix}java")
 
 
+def all_of(patterns: list[Pattern], text: Column, python: Callable[[int], Column]) -> Column:
+    """The numbers of all patterns that match the text from its start, in order."""
+    java = [translate(p.regex) for p in patterns]
+    own = [i for i, j in enumerate(java) if not j.python_only]
+    slow = [F.when(python(i).isNotNull(), F.lit(i)) for i, j in enumerate(java) if j.python_only]
+    if len(patterns) > CHAINED:
+        sources, numbers = literal([java[i].java for i in own], "array<string>"), literal(own, "array<int>")
+        hits = F.filter(candidates(text, [patterns[i].regex for i in own]), lambda k: F.rlike(text, F.element_at(sources, k + 1)))
+        fast = F.transform(hits, lambda k: F.element_at(numbers, k + 1))
+    else:
+        fast = F.array_compact(F.array(*[F.when(text.rlike(java[i].java), F.lit(i)) for i in own], F.lit(None).cast("int")))
+    return F.array_sort(F.concat(fast, F.array_compact(F.array(*slow, F.lit(None).cast("int")))))
+
+
+def with_all(lines: DataFrame, patterns: list[Pattern], text: str = "value") -> DataFrame:
+    """The lines with `hits`, the numbers of all patterns that match, and what `match_groups` needs of patterns that only Python can evaluate."""
+    slow = {f"_py{i}": python_groups(p.regex)(F.col(text)) for i, p in enumerate(patterns) if translate(p.regex).python_only}
+    out = lines.withColumns(slow) if slow else lines
+    return out.withColumn("hits", all_of(patterns, F.col(text), lambda i: F.col(f"_py{i}")))
+
+
 def match_groups(patterns: list[Pattern], text: str = "value", prefix: str = "") -> Column:
     """All groups of the pattern that matched, as an array of texts: its pattern is evaluated once, whatever the number of fields."""
     line, index, chain = F.col(text), F.col(f"{prefix}pattern_idx"), None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,12 +31,16 @@ LABEL_KINDS, KEYWORD_KINDS = ("ip", "port", "protocol"), ("ip", "protocol")
 STABLE_FORMS = 4
 
 
-def guide_forms(messages: DataFrame, limit: int = 500) -> DataFrame:
-    """One row on the first `limit` messages (in the order of path and line_no): keys, labels, share of free texts, forms and the verdict."""
-    some = messages.orderBy("path", "line_no").limit(limit)
-    own = some.select(F.array_sort(F.array_distinct(F.regexp_extract_all("message", F.lit(KV_KEY), F.lit(1)))).alias("k"), F.array_sort(F.array_distinct(F.regexp_extract_all("message", F.lit(CN_LABEL), F.lit(1)))).alias("l"))
+def guide_forms(messages: DataFrame, limit: int = 500, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row on the first `limit` messages (in the order of path and line_no): keys, labels, share of free texts, forms and the verdict. by: one for each value of these columns."""
+    if by:
+        order = Window.partitionBy(*by).orderBy("path", "line_no")
+        some = messages.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit)
+    else:
+        some = messages.orderBy("path", "line_no").limit(limit)
+    own = some.select(*by, F.array_sort(F.array_distinct(F.regexp_extract_all("message", F.lit(KV_KEY), F.lit(1)))).alias("k"), F.array_sort(F.array_distinct(F.regexp_extract_all("message", F.lit(CN_LABEL), F.lit(1)))).alias("l"))
     free = F.avg(((F.size("k") == 0) & (F.size("l") == 0)).cast("double"))
-    agg = own.agg(
+    agg = own.groupBy(*by).agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("k")))).alias("kv_keys"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("l")))).alias("cn_labels"),
         F.round(F.coalesce(free, F.lit(0.0)), 3).alias("free_text_ratio"),
@@ -45,27 +49,31 @@ def guide_forms(messages: DataFrame, limit: int = 500) -> DataFrame:
     )
     by_key = F.size("kv_keys") >= 2
     forms = F.when(by_key, F.col("k_forms")).otherwise(F.col("l_forms"))
-    return agg.select("kv_keys", "cn_labels", "free_text_ratio", F.when(by_key, F.size("kv_keys")).otherwise(F.size("cn_labels")).alias("total_forms"), forms.alias("n_line_sigs"), F.when(forms <= STABLE_FORMS, "stable").otherwise("mixed").alias("verdict"))
+    return agg.select(*by, "kv_keys", "cn_labels", "free_text_ratio", F.when(by_key, F.size("kv_keys")).otherwise(F.size("cn_labels")).alias("total_forms"), forms.alias("n_line_sigs"), F.when(forms <= STABLE_FORMS, "stable").otherwise("mixed").alias("verdict"))
 
 
-def message_groups(messages: DataFrame, most: int = 8, each: int = 6) -> DataFrame:
-    """(rank, signature, size, samples): the largest groups of messages by signature (first seen first), with their first messages."""
-    signed = messages.select("path", "line_no", "message", message_signature(F.col("message")).alias("signature"))
-    sizes = signed.groupBy("signature").agg(F.count("*").alias("size"), F.min(F.struct("path", "line_no")).alias("first"))
-    top = sizes.orderBy(F.desc("size"), "first").limit(most).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "first")))
-    order = Window.partitionBy("signature").orderBy("path", "line_no")
-    numbered = signed.join(F.broadcast(top), "signature").withColumn("n", F.row_number().over(order)).where(F.col("n") <= each)
-    return numbered.groupBy("rank", "signature", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "message"))), lambda x: x["message"]).alias("samples"))
+def message_groups(messages: DataFrame, most: int = 8, each: int = 6, by: tuple[str, ...] = ()) -> DataFrame:
+    """(rank, signature, size, samples): the largest groups of messages by signature (first seen first), with their first messages. by: of each value of these columns."""
+    signed = messages.select(*dict.fromkeys([*by, "path", "line_no", "message"]), message_signature(F.col("message")).alias("signature"))
+    key = [*by, "signature"]
+    sizes = signed.groupBy(*key).agg(F.count("*").alias("size"), F.min(F.struct("path", "line_no")).alias("first"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("size"), "first"))
+    top = (sizes if by else sizes.orderBy(F.desc("size"), "first").limit(most)).withColumn("rank", rank).where(F.col("rank") <= most)
+    order = Window.partitionBy(*key).orderBy("path", "line_no")
+    numbered = signed.join(top if by else F.broadcast(top), key).withColumn("n", F.row_number().over(order)).where(F.col("n") <= each)
+    return numbered.groupBy(*by, "rank", "signature", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "message"))), lambda x: x["message"]).alias("samples"))
 
 
-def usable_mappings(mappings: Iterable[dict], samples: DataFrame | None = None) -> list[dict]:
-    """Mappings without skipped fields, over-long tokens, and numeric fields whose key has no number in the samples (column message)."""
+def usable_mappings(mappings: Iterable[dict], samples: DataFrame | None = None, has_number: Callable[[str], bool] | None = None) -> list[dict]:
+    """Mappings without skipped fields, over-long tokens, and numeric fields whose key has no number in the samples (column message), or by has_number."""
+    if samples is not None:
+        has_number = lambda key: samples.agg(F.max(numeric_kv(F.col("message"), key))).first()[0]
     kept = []
     for m in mappings:
         name, key = m.get("field_name"), m.get("kv_key")
         if not name or name in SKIPPED or not key and len(str(m.get("token") or "")) > LONGEST_TOKEN:
             continue
-        if name in NUMERIC and key and samples is not None and not samples.agg(F.max(numeric_kv(F.col("message"), key))).first()[0]:
+        if name in NUMERIC and key and has_number and not has_number(key):
             continue
         kept.append(m)
     return kept

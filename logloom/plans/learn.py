@@ -7,18 +7,18 @@ import os
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logloom.functions.regex import translate
+from logloom.functions.scalars import numeric_kv
 from logloom.functions.tokens import format_category, path_key, tokens
 from logloom.operators import drain
-from logloom.operators.match import by_pattern, group_column, match, python_groups
-from logloom.operators.rules import build_rules, copied, guide_forms, message_groups, usable_mappings
+from logloom.operators.match import group_column, match, with_all
+from logloom.operators.rules import NUMERIC, build_rules, copied, guide_forms, message_groups, usable_mappings
 from logloom.operators.semantics import LEAST_LINES, MOST_QUESTIONS, Annotator, annotated, preset
 from logloom.sources.library import Pattern, Rule, load_patterns, load_rules, merge_patterns, merge_rules, save
 from logloom.sources.lines import existing as existing_paths
-from logloom.sources.lines import head, message_samples, not_blank, read_lines
+from logloom.sources.lines import head, not_blank, read_lines
 
 log = logging.getLogger("logloom")
 
@@ -105,40 +105,62 @@ def rebuild_rules(lines: DataFrame, patterns: list[Pattern], annotator: Annotato
     return rebuild_with_report(lines, patterns, annotator, existing)[0]
 
 
+def file_samples(lines: DataFrame, patterns: list[Pattern]) -> DataFrame:
+    """(path, known, position, message, line_no): of each file the numbers of the patterns that match in its head, and the first messages of the first of these.
+
+    One plan for all files: known patterns by grouping on the file; a line's pattern is the first known one of its file that matches.
+    """
+    hits = with_all(lines, patterns)
+    known = head(hits).groupBy("path").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("hits")))).alias("known"))
+    number = F.try_element_at(F.array_intersect("hits", "known"), F.lit(1))
+    matched = hits.join(known, "path").withColumn("pattern_idx", number)
+    matched = matched.withColumns({"message": group_column(patterns, "message"), "position": F.array_position("known", F.col("pattern_idx"))})
+    order = Window.partitionBy("path", "position").orderBy("line_no")
+    some = matched.where(F.col("message").isNotNull() & F.col("position").between(1, SAMPLED_PATTERNS)).select("path", "position", "message", "line_no")
+    some = some.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLED_MESSAGES).drop("n")
+    return known.join(some, "path", "left")
+
+
 def rebuild_with_report(lines: DataFrame, patterns: list[Pattern], annotator: Annotator, existing: list[Rule] | None = None) -> tuple[list[Rule], list[dict]]:
     """Rules for the patterns of each file, from an annotator's mappings of sample messages, merged with existing ones if given; and each file's numbers of patterns and rules.
 
-    Which patterns match the head of which file is found in one pass over all heads.
+    Spark runs the same few jobs for any number of files. The driver gets what the annotator is asked about: some messages of each file.
     """
     new: list[Rule] = []
     report: list[dict] = []
-    hits = [F.max(hit).alias(f"p{i}") for i, hit in enumerate(_hits(patterns))]
-    heads = {r["path"]: [p for i, p in enumerate(patterns) if r[f"p{i}"]] for r in head(lines).groupBy("path").agg(F.count("*").alias("n"), *hits).collect()}
-    for number, path in enumerate(sorted(heads)):
-        own, tag, there = lines.where(F.col("path") == path), f"src{number + 1}", heads[path]
-        if not there:
+    samples = file_samples(lines, patterns).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        known = {r["path"]: r["known"] for r in samples.select("path", "known").distinct().collect()}
+        messages = samples.where("message IS NOT NULL")
+        verdicts = {r["path"]: r["verdict"] for r in guide_forms(messages, by=("path",)).collect()}
+        order = Window.partitionBy("path").orderBy("line_no")
+        firsts = messages.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLED_MESSAGES)
+        asked: dict[str, list[list[str]]] = {}
+        for r in firsts.orderBy("path", "line_no").collect():
+            asked.setdefault(r["path"], [[]])[0].append(r["message"])
+        mixed: dict[str, list[list[str]]] = {}
+        for r in message_groups(messages, by=("path",)).orderBy("path", "rank").collect():
+            mixed.setdefault(r["path"], []).append(r["samples"])
+        asked |= {path: groups for path, groups in mixed.items() if verdicts[path] != "stable"}
+        mappings = {path: [m for group in asked.get(path, []) for m in annotator.field_mappings(group)] for path in sorted(known) if known[path]}
+        keys = sorted({m["kv_key"] for own in mappings.values() for m in own if m.get("kv_key") and m.get("field_name") in NUMERIC})
+        # Whether each key of a numeric field has a number in the messages of each file.
+        numbers = {r["path"]: r for r in messages.groupBy("path").agg(F.count("*").alias("n"), *[F.max(numeric_kv(F.col("message"), k)).alias(f"k{i}") for i, k in enumerate(keys)]).collect()} if keys else {}
+    finally:
+        samples.unpersist()
+    for number, path in enumerate(sorted(known)):
+        own, tag = [patterns[i] for i in known[path]], f"src{number + 1}"
+        if not own:
             log.info("%s: no pattern matches its head", path)
             report.append({"path": path, "patterns": 0, "rules": 0})
             continue
-        matched = match(own, there)
-        matched = matched.withColumns({"pattern_name": by_pattern(there, lambda p: p.name), "message": group_column(there, "message")})
-        samples = message_samples(matched.where(F.col("pattern_idx") < SAMPLED_PATTERNS), SAMPLED_MESSAGES).cache()
-        form = guide_forms(samples).first()
-        groups = [[r["message"] for r in samples.orderBy("path", "line_no").limit(SAMPLED_MESSAGES).collect()]] if form["verdict"] == "stable" else [r["samples"] for r in message_groups(samples).orderBy("rank").collect()]
-        mappings = [m for group in groups for m in annotator.field_mappings(group)]
-        rules = build_rules("", usable_mappings(mappings, samples), tag)
-        samples.unpersist()
-        new += copied(rules, there, tag)
-        report.append({"path": path, "patterns": len(there), "rules": len(rules)})
-        log.info("%s: %d patterns, %d rules", path, len(there), len(rules))
+        rules = build_rules("", usable_mappings(mappings[path], has_number=lambda key, path=path: path in numbers and numbers[path][f"k{keys.index(key)}"]), tag)
+        new += copied(rules, own, tag)
+        report.append({"path": path, "patterns": len(own), "rules": len(rules)})
+        log.info("%s: %d patterns, %d rules", path, len(own), len(rules))
     return (new if existing is None else merge_rules(existing, new)), report
 
 
-def _hits(patterns: list[Pattern]) -> list[Column]:
-    """For each pattern whether it matches the line."""
-    return [python_groups(p.regex)(F.col("value")).isNotNull() if (java := translate(p.regex)).python_only else F.col("value").rlike(java.java) for p in patterns]
-
-
 def rebuild_to_file(lines: DataFrame, patterns: list[Pattern], annotator: Annotator, path: str, merge: bool = True) -> list[Rule]:
     rules = rebuild_rules(lines, patterns, annotator, load_rules(path) if merge and os.path.exists(path) else None)
     save(path, rules, "2.1", total=len(rules))

@@ -21,7 +21,7 @@ from logloom.sources.lines import head, message_samples, not_blank, not_empty, r
 from logloom.sources.sinks import as_json, error_entries
 
 from . import render as R
-from .learn import learn
+from .learn import file_samples, learn
 from .parse import events, parse, unmatched
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -336,6 +336,21 @@ def sampled_messages(spark, sf_dir):
     return message_samples(_messages(spark, sf_dir), 6).groupBy("pattern_name").agg(F.count("*").alias("n"), F.max("line_no").alias("last_line"))
 
 
+MESSAGE = """CASE kind WHEN 0 THEN substring(line, instr(line, ' ' || event_id || ' - - ')) WHEN 1 THEN ' ' || event_type || ' value=' || n ELSE substring(line, instr(line, ' DVC_ADDRESS=')) END"""
+
+
+@query(
+    f"""WITH {E}, {LINE}, m AS (SELECT 'src' || kind || '-' || (event_id // 4 % 5) AS path, kind, (event_id // 20 + 1)::BIGINT AS line_no, {MESSAGE} AS message FROM l),
+ r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line_no) AS k FROM m) SELECT path, CASE WHEN kind < 3 THEN '' || kind ELSE '' END AS known, CASE WHEN kind < 3 THEN message END AS message, CASE WHEN kind < 3 THEN line_no END AS line_no FROM r WHERE k <= CASE WHEN kind < 3 THEN 6 ELSE 1 END"""
+)
+def rebuild_samples(spark, sf_dir):
+    """What rules are rebuilt from: of each of 20 files the patterns that match in its head, and the first messages of each."""
+    part = F.pmod(F.floor(F.col("row_id") / 4), F.lit(5))
+    lines = R.lines(spark, sf_dir).withColumns({"path": F.concat("path", F.lit("-"), part.cast("string")), "line_no": F.floor(F.col("row_id") / 20) + 1})
+    found = file_samples(lines.select("value", "path", "line_no"), R.LIBRARY)
+    return found.select("path", F.array_join(F.col("known").cast("array<string>"), ",").alias("known"), "message", "line_no")
+
+
 @query(
     f"""WITH {E}, f AS (SELECT 'f' || (event_id % 64 + CASE WHEN event_id // 64 > 20 THEN 100 ELSE 0 END) AS path, kind, event_id FROM e), h AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY event_id) AS line_no FROM f)
  SELECT DISTINCT path FROM h WHERE line_no <= 300 AND kind = 1"""

@@ -428,3 +428,40 @@ def test_json_array_of_many_parts(spark, tmp_path):
     assert text.startswith("[\n{\n  \"n\": ") and "ü" in text and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["a.json"]
     write_json_array(events.limit(0), str(tmp_path / "a.json"))
     assert json.loads((tmp_path / "a.json").read_text()) == []
+
+
+def test_rebuild_over_many_files_runs_the_same_jobs(spark):
+    """Stable and mixed files, one without patterns, keys without numbers; jobs do not grow with the files."""
+    win = L.Pattern("win", r"^<(?P<priority>\d+)>\S+\ \d+\ (?P<timestamp>\S+)\ (?P<hostname>\S+)\ (?P<message>.+)$")
+    other = L.Pattern("other", r"^app\ (?P<message>.+)$")
+    slow = L.Pattern("slow", r"^(?P<a>q)?(?(a)x|zz) (?P<message>.+)$")
+    files = {
+        "a": [f'<1>Jun 1 10:00:0{i} h LEVEL="3" NAME="x"' for i in range(9)],
+        "b": ["no pattern here"] * 3,
+        "c": [f'app {w} {w}{i} NAME="n{i}"' for i, w in enumerate("abcdefghijkl")] + [f'app K{i}="1" L{i}="2"' for i in range(9)],
+        "d": ["zz one two"] + ["app late"] * 2,
+    }
+
+    class Stub:
+        asked = []
+
+        def field_mappings(self, samples):
+            self.asked.append(samples)
+            return [{"field_name": "severity", "kv_key": "LEVEL"}, {"field_name": "user", "kv_key": "NAME"}]
+
+    def lines_of(some):
+        return spark.createDataFrame([(v, p, i + 1) for p, own in some.items() for i, v in enumerate(own)], "value string, path string, line_no long")
+
+    rules, report = plans_learn.rebuild_with_report(lines_of(files), [win, other, slow], Stub())
+    assert report == [{"path": "a", "patterns": 1, "rules": 2}, {"path": "b", "patterns": 0, "rules": 0}, {"path": "c", "patterns": 1, "rules": 1}, {"path": "d", "patterns": 2, "rules": 1}]
+    assert [(r.field_name, r.type, r.format) for r in rules] == [("severity", "win", "src1"), ("user", "win", "src1"), ("user", "other", "src3"), ("user", "other", "src4"), ("user", "slow", "src4")]
+    assert Stub.asked[0] == ['LEVEL="3" NAME="x"'] * 6 and ["one two", "late", "late"] in Stub.asked
+
+    def jobs(some):
+        tracker, group = spark.sparkContext.statusTracker(), f"rebuild-{len(some)}"
+        spark.sparkContext.setJobGroup(group, "")
+        plans_learn.rebuild_with_report(lines_of(some), [win, other, slow], Stub())
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(tracker.getJobIdsForGroup(group))
+
+    assert jobs({f"{p}{k}": own for p, own in files.items() for k in range(10)}) <= jobs(files) + 4
