@@ -11,7 +11,7 @@ language) is labelled at once; the others go through the full recursion. Both gi
 Defined results: a null text, or one without a letter, is `und` with score 0; words in scripts of no learned language have
 all languages as candidates; a text's score is the share of its letters in spans of its language times the confidence in that
 language; ties go to the first language in alphabetical order. Without learned rows every text is `und`. Rows that repeat an id, and
-null ids, are each returned; other columns are ignored whatever their names.
+null ids, are each returned; a null id is in no fold (`fold` is null, so it is not learned from); other columns are ignored whatever their names.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ Shingles are 64-bit hashes, sets are told apart by 128 bits. A column that worke
 most once in each COUNT_BYTES of text, so it is too small a part of any table to make a task long.
 Defined results: null, empty or blank texts have an
 empty set, are linked with nothing and form their own component; rows with a null id take no part in links and
-have a null component; rows that repeat an id with the same text are one document (both rows are returned);
+have a null component; rows that repeat an id with the same text are one document (both rows are returned); links are between
+ids, so an id that stands for different texts joins what each of them is linked with; ids are integers;
 other columns are ignored whatever their names.
 """
 

@@ -18,10 +18,15 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; one under the warehouse where that is unset."""
+    """The folder that all executors share, from spark.checkpoint.dir; one under the warehouse where that is unset.
+
+    On a cluster a warehouse on local disks is refused: executors would not see each other's files.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+        if folder.partition(":")[0] in ("file", folder) and spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 

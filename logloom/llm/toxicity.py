@@ -8,7 +8,7 @@ The fit takes labelled rows, thinned evenly by hash of the id beyond FIT_ROWS ro
 depends only on them; one task learns, what it holds is bounded by FIT_FEATURES. All texts are scored whole.
 
 Defined results: a null, empty or letterless text is scored by the bias alone; without labelled rows all scores are
-0.5; rows that repeat an id, and null ids, are each returned; a row with a null label is not learned from; other
+0.5; rows that repeat an id, and null ids, are each returned (a null id has no label and is in no fold); a row with a null label is not learned from; other
 columns are ignored whatever their names.
 """
 

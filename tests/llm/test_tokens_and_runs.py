@@ -360,3 +360,28 @@ def test_later_updates_shuffle_no_old_texts(spark, monkeypatch, tmp_path):
     assert all(found[d] == (d >= 1000) for d in found) and len(found) == 805
     # The sieve lets the new texts and a few others through to the join.
     assert scanned == [800, 5] and let_through and max(let_through) < 80
+
+
+def test_scratch_on_local_disks_of_a_cluster_is_refused():
+    from types import SimpleNamespace
+
+    from logloom.llm.shared import shared_folder
+
+    def session(master, warehouse, **given):
+        held = {"spark.sql.warehouse.dir": warehouse, **given}
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: held.get(k, d), set=held.__setitem__), sparkContext=SimpleNamespace(master=master))
+
+    for master, warehouse in (("yarn", "file:/x"), ("local-cluster[2,1,512]", "spark-warehouse")):
+        with pytest.raises(ValueError):
+            shared_folder(session(master, warehouse))
+    assert shared_folder(session("local[4]", "file:/x/")) == "file:/x/_checkpoints" and shared_folder(session("yarn", "hdfs://n/w")) == "hdfs://n/w/_checkpoints"
+    assert shared_folder(session("yarn", "file:/x", **{"spark.checkpoint.dir": "s3a://b/c"})) == "s3a://b/c"
+
+
+def test_an_id_with_different_texts_joins_their_links(spark):
+    from logloom.llm.ngram_join import Jaccard, jaccard_components
+
+    a, b = ("one two three four five six seven eight nine ten " * 3, "red green blue cyan pink gold grey teal lime navy " * 3)
+    docs = spark.createDataFrame([(8, a), (8, b), (9, a + "end"), (10, b + "end"), (11, "other words alone are these five")], "doc_id long, text string")
+    found = {(r.doc_id, r.component_id) for r in jaccard_components(docs, Jaccard(width=4, num=80, den=100)).collect()}
+    assert found == {(8, 8), (9, 8), (10, 8), (11, 11)}
