@@ -18,7 +18,7 @@ from logloom.operators.semantics import preset
 from logloom.functions.regex import translate
 from logloom.sources import library as L
 from logloom.sources.lines import head, message_samples, not_blank, not_empty, read_lines
-from logloom.sources.sinks import as_json, error_entries
+from logloom.sources.sinks import as_json, error_entries, write_json_array
 
 from . import render as R
 from .learn import file_samples, learn
@@ -468,10 +468,50 @@ def nested_padded(spark, sf_dir):
     return parsed.select("row_id", *[F.get_json_object(inner, f"$.{c}").alias(c) for c in ("hostname", "message_content")], F.get_json_object(inner, "$.parsed_content.syslog").alias("syslog"))
 
 
+@query(f"WITH {E} SELECT event_id AS row_id, p::INT AS priority, (p // 8)::INT AS facility, (p % 8)::INT AS severity FROM e WHERE kind < 2")
+def leading_pri(spark, sf_dir):
+    """Headers without a group for the priority: it is read from the beginning of the line."""
+    bare = [L.Pattern("rfc", rf"^<\d+>\d+\ (?P<timestamp>{R.STAMP})\ (?P<message>.+)$"), L.Pattern("bsd", rf"^<\d+>\S+\ \d+\ (?P<timestamp>{R.CLOCK})\ (?P<message>.+)$")]
+    fields = ["priority", "facility", "severity"]
+    parsed = _parsed(spark, sf_dir, patterns=bare, fields=fields).where("pattern_idx IS NOT NULL")
+    return parsed.select("row_id", *[f"event.{c}" for c in fields])
+
+
+@query(
+    f"""WITH {E} SELECT event_id AS row_id, event_type AS hostname, event_type AS device_name, event_type AS source_device_name, '10.1.' || high || '.' || low AS device_ip, '10.1.' || high || '.' || low AS source_device_ip,
+ level::VARCHAR AS event_id, 'user' AS device_type, 'user' AS source_device_type FROM e WHERE kind = 2"""
+)
+def rule_devices(spark, sf_dir):
+    """Rules that set a device's fields and the event's number also set what is taken from them where a header has none."""
+    rules = [
+        L.Rule("n", "device_name", type="kv", regex=r'MESSAGE="(\w+) by'),
+        L.Rule("i", "device_ip", type="kv", extract_method="kv_parse", kv_key="DVC_ADDRESS"),
+        L.Rule("e", "event_id", type="kv", extract_method="kv_parse", kv_key="SEVERITY"),
+        L.Rule("t", "device_type", type="kv", regex=r'by (user)"'),
+    ]
+    fields = ["hostname", "device_name", "source_device_name", "device_ip", "source_device_ip", "event_id", "device_type", "source_device_type"]
+    parsed = _parsed(spark, sf_dir, rules=rules, fields=fields).where("pattern_name = 'kv'")
+    return parsed.select("row_id", *[f"event.{c}" for c in fields])
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that all executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/logloom-{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {E}, {LINE} SELECT line, p::BIGINT AS priority, CASE kind WHEN 0 THEN 'host' || user_id WHEN 1 THEN 'HOST' || n ELSE '' END AS hostname FROM l WHERE kind < 3")
+def json_array_sink(spark, sf_dir):
+    """The one JSON array that tasks wrote together, read again."""
+    path = _folder(spark, "array")
+    write_json_array(events(_parsed(spark, sf_dir, fields=["priority", "hostname", "parsed_content"])), path, R.OPTIONS.tz)
+    held = spark.read.schema("priority long, hostname string, parsed_content struct<syslog: string>").option("multiLine", "true").json(path)
+    return held.select(F.col("parsed_content.syslog").alias("line"), "priority", "hostname")
+
+
 def _text_files(spark: SparkSession, lines: DataFrame) -> str:
     """A folder of the shared file system with the lines as text files, one for each kind, in the order of their numbers."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{root.rstrip('/')}/logloom-lines-{uuid.uuid4().hex}"
+    folder = _folder(spark, "lines")
     number = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lines.repartition(number, "kind").sortWithinPartitions("kind", "line_no").select("kind", "value").write.partitionBy("kind").text(folder)
     return folder
