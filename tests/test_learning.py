@@ -364,7 +364,7 @@ def test_learning_takes_time_linear_in_templates():
     lines = [f"a{i} b{i} c{i} d{i} e{i} f{i}." .replace("0", "o").replace("1", "l") for i in range(64_000)]
     began = time.monotonic()
     assert len(set(heads_of([x.translate(str.maketrans("23456789", "zeasgtbq")) for x in lines], 0.8))) == 64_000
-    assert time.monotonic() - began < 20
+    assert time.monotonic() - began < 60
 
 
 def test_learning_counts_places_tails_and_odd_lines(spark):
