@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 from collections.abc import Callable
 
@@ -12,16 +14,17 @@ from logloom.functions import scalars as S
 from logloom.functions.scalars import numeric_kv
 from logloom.functions import tokens as T
 from logloom.operators import drain
+from logloom.operators.annotator import Asking, ModelAnnotator
 from logloom.operators.match import by_pattern, files_with_match, group_column, match, match_join, statistics
 from logloom.operators.rules import build_rules, guide_forms, message_groups
-from logloom.operators.semantics import preset
+from logloom.operators.semantics import LEAST_LINES, MONTH_NAMES, preset
 from logloom.functions.regex import translate
 from logloom.sources import library as L
 from logloom.sources.lines import head, message_samples, not_blank, not_empty, read_lines
 from logloom.sources.sinks import as_json, error_entries, write_json_array
 
 from . import render as R
-from .learn import file_samples, learn
+from .learn import file_samples, learn, unknown_forms
 from .parse import events, parse, unmatched
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -288,16 +291,86 @@ def path_key_counts(spark, sf_dir):
     return keyed.groupBy("kind", "path_key").agg(F.count("*").alias("n"))
 
 
-@query()
+# What learning gives for these lines, worked out from its rules. Typed places agree as long as they are typed, and a wildcard agrees with nothing,
+# so two lines of one kind (for kind 1: of one n, which is in two places) make a template that no third one joins: more than one place is a
+# wildcard. Noise is different: of two lines of one type only the number becomes a wildcard, so all later lines of that type join; those of types
+# that have no such template pair up. `est` finds one such type after another: the first pair of equal types among the lines that are left.
+TEMPLATES = f"""{E}, {LINE}, f AS (SELECT *, event_id // 4 + 1 AS no FROM l), w AS (SELECT no, event_type FROM f WHERE kind = 3),
+ est(k, s, first, types) AS (SELECT 0, 0::BIGINT, 0::BIGINT, []::VARCHAR[] UNION ALL
+  SELECT k + 1, no2, no, list_append(types, event_type) FROM (SELECT * FROM (SELECT est.k, est.types, w.no, w.event_type, lead(w.no) OVER (ORDER BY w.no) AS no2, lead(w.event_type) OVER (ORDER BY w.no) AS type2, row_number() OVER (ORDER BY w.no) AS r
+   FROM w, est WHERE w.no > est.s AND NOT list_contains(est.types, w.event_type)) WHERE r % 2 = 1 AND event_type = type2 ORDER BY no LIMIT 1)),
+ noise AS (SELECT w.no, x.first, (SELECT max(k) FROM est WHERE s < w.no) AS k FROM w LEFT JOIN est x ON x.k > 0 AND x.types[-1] = w.event_type AND w.no >= x.first),
+ leaf AS (SELECT f.kind, f.no, f.line, noise.first, CASE f.kind WHEN 1 THEN f.n WHEN 3 THEN noise.k ELSE 0 END AS part FROM f LEFT JOIN noise ON f.kind = 3 AND f.no = noise.no),
+ numbered AS (SELECT *, (row_number() OVER (PARTITION BY kind, part, first IS NULL ORDER BY no) - 1) // 2 AS pair FROM leaf),
+ placed AS (SELECT kind, no, line, coalesce(first, min(no) OVER (PARTITION BY kind, part, first IS NULL, pair)) AS first_line FROM numbered),
+ words AS (SELECT kind, no, first_line, unnest(string_split(line, ' ')) AS word, generate_subscripts(string_split(line, ' '), 1) AS place FROM placed),
+ places AS (SELECT kind, first_line, place, CASE WHEN min(word) = max(word) THEN min(word) ELSE '<*>' END AS word, count(*) AS n FROM words GROUP BY 1, 2, 3),
+ templates AS (SELECT kind, first_line, string_agg(word, ' ' ORDER BY place) AS template, max(n) AS count FROM places GROUP BY 1, 2)"""
+# Templates with the same head form one group: the head of noise has its type, that of kind 2 its month and its type.
+GROUPS = f"""{TEMPLATES}, signed AS (SELECT *, CASE WHEN kind > 1 THEN split_part(template, ' ', 1) ELSE '' END AS first_word, first_word || CASE kind WHEN 2 THEN split_part(template, ' ', 6) ELSE '' END AS sig FROM templates),
+ folded AS (SELECT kind, sig, place, CASE WHEN min(word) = max(word) THEN min(word) ELSE '<*>' END AS word FROM words JOIN signed USING (kind, first_line) GROUP BY 1, 2, 3),
+ texts AS (SELECT kind, sig, string_agg(word, ' ' ORDER BY place) AS template FROM folded GROUP BY 1, 2),
+ groups AS (SELECT kind, first_word, sig, t.template, sum(count)::BIGINT AS count, min(first_line) AS first_line FROM signed JOIN texts t USING (kind, sig) GROUP BY 1, 2, 3, 4)"""
+PATH_KEYS = "CASE kind WHEN 0 THEN '<PRI> <ISOTIME> <OTHER> <NUM> <OTHER> <OTHER>' WHEN 1 THEN '<PRI> <NUM> <TIME> <OTHER> <OTHER> <OTHER>' WHEN 2 THEN '<WORD> <NUM> <TIME> <IP> KV:DVC_ADDRESS KV:MESSAGE' ELSE '<WORD> <WORD> <WORD> <WORD> <NUM>' END"
+
+
+@query(f"WITH RECURSIVE {TEMPLATES} SELECT 'src' || kind AS path, {PATH_KEYS} AS path_key, first_line, template, count FROM templates")
 def drain_templates(spark, sf_dir):
     return drain.learn_templates(R.lines(spark, sf_dir)).select("path", "path_key", "first_line", F.array_join("tokens", " ").alias("template"), "count")
 
 
-@query(f"WITH {E} SELECT 'src' || kind AS path, count(*)::BIGINT AS lines FROM e GROUP BY 1")
+@query(f"WITH RECURSIVE {GROUPS} SELECT 'src' || kind AS path, g.first_line, template, count, least(count, 50)::INT AS n_samples, p.line AS sample, len(string_split(template, ' ')) - 1 AS n_seps FROM groups g JOIN (SELECT kind, no AS first_line, line FROM placed) p USING (kind, first_line)")
 def template_groups(spark, sf_dir):
-    """Templates put together by head signature stand for all lines of their file."""
+    """Templates put together by head signature: their tokens folded, counts summed, the first distinct samples kept."""
     groups = drain.regroup(drain.learn_templates(R.lines(spark, sf_dir)), preset)
-    return groups.groupBy("path").agg(F.sum("count").alias("lines"))
+    return groups.select("path", "first_line", F.array_join("tokens", " ").alias("template"), "count", F.size("samples").alias("n_samples"), F.col("samples")[0].alias("sample"), F.size("seps").cast("long").alias("n_seps"))
+
+
+CLOCK_SQL = r"\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?"
+REGEXES = rf"""CASE kind WHEN 0 THEN '^<(?P<priority>\d+)>\d+\ (?P<timestamp>\d{{4}}-\d{{2}}-\d{{2}}T\d{{2}}:\d{{2}}:\d{{2}}(?:\.\d+)?Z?)\ (?P<hostname>\S+)(?P<message>.+)$'
+ WHEN 1 THEN '^<(?P<priority>\d+)>\S+\ \d+\ (?P<timestamp>{CLOCK_SQL})\ (?P<hostname>\S+)\ (?P<program>Security\-Auditing:)\ (?P<event_id>\d+):(?P<message>.+)$'
+ WHEN 2 THEN '^' || CASE first_word WHEN '<*>' THEN '\S+' ELSE '(?:{'|'.join(MONTH_NAMES)})' END || '\ \d+\ {CLOCK_SQL}\ (?P<source_ip>\d{{1,3}}(?:\.\d{{1,3}}){{3}})(?P<message>.+)$'
+ ELSE '^' || CASE first_word WHEN '<*>' THEN '\S+' ELSE first_word END || '\ without\ a\ header\ \d+$' END"""
+
+
+@query(
+    f"""WITH RECURSIVE {GROUPS}, r AS (SELECT kind, {REGEXES} AS regex, count, row_number() OVER (PARTITION BY kind ORDER BY count DESC, first_line) AS place FROM groups WHERE count >= 3),
+ d AS (SELECT kind, regex, min(place) AS place, max(count) AS largest, sum(count)::BIGINT AS count FROM r GROUP BY 1, 2)
+ SELECT 'src' || kind AS path, regex, 'fmt_' || lpad((row_number() OVER (PARTITION BY kind ORDER BY place) - 1)::VARCHAR, 3, '0') AS name, greatest(1, least(100, 100 - largest // 10))::BIGINT AS priority, CASE kind WHEN 2 THEN 'kv_parser' ELSE 'generic' END AS extractor, count FROM d"""
+)
+def learned_patterns(spark, sf_dir):
+    """The patterns of each file: groups of three lines or more, largest first, one for each regex, with extractors by the share of key-value lines."""
+    groups = drain.collect_groups(drain.regroup(drain.learn_templates(R.lines(spark, sf_dir)), preset))
+    # A few patterns for each of four files.
+    rows = [(path, p.regex, p.name, p.priority, p.extractor, p.count) for path, own in groups.items() for p in drain.to_patterns(own)]
+    return spark.createDataFrame(rows, "path string, regex string, name string, priority long, extractor string, count long")
+
+
+@query(f"WITH RECURSIVE {TEMPLATES} SELECT 'src' || kind AS path, first_line, template, count FROM templates WHERE count >= 20 ORDER BY kind, first_line LIMIT 1")
+def header_questions(spark, sf_dir):
+    """What an annotator is asked about: of the templates with 20 lines or more one for each form of header."""
+    templates = drain.learn_templates(R.lines(spark, sf_dir))
+    asked = unknown_forms(templates.where(F.col("count") >= LEAST_LINES))
+    return asked.select("path", "first_line", F.array_join("tokens", " ").alias("template"), "count")
+
+
+class Positions:
+    """A client that answers as a model would, from the numbered tokens of the question: the first token is a program, whole numbers are event numbers."""
+
+    def ask(self, prompt: str, system: str) -> str:
+        numbered = re.findall(r"(?m)^(\d+): (\S+)$", prompt)
+        fields = [{"position": int(i), "field_name": "event_id" if token.isdigit() else "program"} for i, token in numbered if token.isdigit() or i == "0"]
+        return f"<think>header</think>```json\n{json.dumps({'fields': [*fields, {'position': 99, 'field_name': 'program'}, {'position': 1, 'field_name': 'colour'}]})}\n```"
+
+
+# Noise of at least two types has templates with enough lines: together they stand for all noise.
+@query(f"WITH {E} SELECT event_id AS row_id, event_type AS program, event_id::VARCHAR AS number FROM e WHERE kind = 3")
+def annotated_headers(spark, sf_dir):
+    """An annotator names the places of headers that no layout knows; the patterns learned with its answers give the fields."""
+    lines = R.lines(spark, sf_dir)
+    patterns = [p for p in learn(lines, semantics="annotator", annotator=ModelAnnotator(Asking(Positions(), cooldown=0))) if "(?P<event_id>" in p.regex and "(?P<program>" in p.regex and "(?P<hostname>" not in p.regex]
+    matched = match(lines, patterns).where("pattern_idx IS NOT NULL")
+    return matched.select("row_id", group_column(patterns, "program").alias("program"), group_column(patterns, "event_id").alias("number"))
 
 
 # Noise has the same words everywhere but the first and a number at the end, so its lines teach a pattern too.
