@@ -15,6 +15,7 @@ from logloom.functions.scalars import numeric_kv
 from logloom.functions import tokens as T
 from logloom.operators import drain
 from logloom.operators.annotator import Asking, ModelAnnotator
+from logloom.operators.extract import Options
 from logloom.operators.match import by_pattern, files_with_match, group_column, match, match_join, statistics
 from logloom.operators.rules import build_rules, guide_forms, message_groups
 from logloom.operators.semantics import LEAST_LINES, MONTH_NAMES, preset
@@ -24,7 +25,7 @@ from logloom.sources.lines import head, message_samples, not_blank, not_empty, r
 from logloom.sources.sinks import as_json, error_entries, write_json_array
 
 from . import render as R
-from .learn import file_samples, learn, unknown_forms
+from .learn import file_samples, learn, rebuild_with_report, unknown_forms
 from .parse import events, parse, unmatched
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -396,6 +397,63 @@ def guide_form_profile(spark, sf_dir):
     return found.select(F.concat(F.lit("["), F.array_join("kv_keys", ", "), F.lit("]")).alias("kv_keys"), "free_text_ratio", "total_forms", "n_line_sigs", "verdict")
 
 
+LABELS = "甲乙丙丁戊己"
+
+
+@query(
+    f"""WITH {E}, m AS (SELECT kind, event_id, CASE WHEN kind = 2 THEN CASE level % 2 WHEN 0 THEN ['AAA'] ELSE ['AAA', 'BB_2'] END ELSE [] END AS k,
+  CASE kind WHEN 0 THEN ['用户', '级别'] WHEN 1 THEN [substring('{LABELS}', n % 6 + 1, 1)] WHEN 2 THEN ['用户'] ELSE [] END AS l, row_number() OVER (PARTITION BY kind ORDER BY event_id) AS r FROM e),
+ f AS (SELECT * FROM m WHERE r <= 500), g AS (SELECT kind, list_sort(list_distinct(flatten(list(k)))) AS ks, list_sort(list_distinct(flatten(list(l)))) AS ls, count(DISTINCT k) AS kf, count(DISTINCT l) AS lf, count(*) FILTER (len(k) = 0 AND len(l) = 0) / count(*) AS free FROM f GROUP BY 1)
+ SELECT 'src' || kind AS path, array_to_string(ks, ',') AS kv_keys, array_to_string(ls, ',') AS cn_labels, free::DOUBLE AS free_text_ratio, (CASE WHEN len(ks) >= 2 THEN len(ks) ELSE len(ls) END)::INT AS total_forms,
+ CASE WHEN len(ks) >= 2 THEN kf ELSE lf END AS n_line_sigs, CASE WHEN CASE WHEN len(ks) >= 2 THEN kf ELSE lf END <= 4 THEN 'stable' ELSE 'mixed' END AS verdict FROM g"""
+)
+def guide_labels(spark, sf_dir):
+    """Chinese labels and keys of four files' messages: labels behind white space of eight characters at most, keys of three capitals or more; kept, varying, by keys, and none."""
+    word = lambda c: F.col(c).cast("string")
+    texts = [
+        F.concat(F.lit("用户:"), "event_type", F.lit(" 级别："), word("level")),
+        F.concat(F.substring(F.lit(LABELS), F.col("n") % 6 + 1, F.lit(1)), F.lit("："), word("n")),
+        F.concat(F.lit('用户: AAA="'), "event_type", F.lit('" AB="x" low="y"'), F.when(F.col("level") % 2 == 1, ' BB_2="z"').otherwise("")),
+        F.concat("event_type", F.lit("用户: 一二三四五六七八九: "), word("n")),
+    ]
+    message = F.when(F.col("kind") == 0, texts[0]).when(F.col("kind") == 1, texts[1]).when(F.col("kind") == 2, texts[2]).otherwise(texts[3])
+    found = guide_forms(R.source(spark, sf_dir).select(F.concat(F.lit("src"), "kind").alias("path"), F.col("event_id").alias("line_no"), message.alias("message")), by=("path",))
+    return found.select("path", F.array_join("kv_keys", ",").alias("kv_keys"), F.array_join("cn_labels", ",").alias("cn_labels"), "free_text_ratio", "total_forms", "n_line_sigs", "verdict")
+
+
+class Guides:
+    """A client that answers as a model would, from the sample messages: what their keys and words guide to, and some that are no use."""
+
+    GUIDED = {
+        'SEVERITY="': {"field_name": "severity", "kv_key": "SEVERITY"},
+        'MESSAGE="': {"field_name": "priority", "kv_key": "MESSAGE"},
+        'ORIGINAL_DATA="': {"field_name": "raw_message", "kv_key": "ORIGINAL_DATA"},
+        'DVC_ADDRESS="': {"field_name": "device_ip", "kv_key": "DVC_ADDRESS"},
+        '"level":': {"field_name": "severity", "json_key": "level"},
+        " value=": {"field_name": "reading", "keyword": "value", "kind": "number"},
+        "view": {"field_name": "long", "token": "x" * 41, "kind": "text"},
+    }
+
+    def ask(self, prompt: str, system: str) -> str:
+        messages = prompt.rpartition("Messages:")[2]
+        return "Here: " + json.dumps({"mappings": [m for text, m in self.GUIDED.items() if text in messages]})
+
+
+@query(
+    f"""WITH {E}, v(kind, name, method, guide) AS (VALUES (0, 'severity', 'kv_parse', 'level'), (1, 'reading', 'regex', '\\bvalue[=:\\s]+\\s*(\\d+)'), (2, 'severity', 'kv_parse', 'SEVERITY'), (2, 'device_ip', 'kv_parse', 'DVC_ADDRESS')),
+ p(kind, type) AS (VALUES (0, 'rfc'), (0, 'json'), (1, 'windows'), (2, 'kv')), c AS (SELECT kind, count(*) AS n FROM e GROUP BY 1)
+ SELECT 'src' || (kind + 1) AS tag, type, name, method, guide, (SELECT count(*) FROM p WHERE p.kind = c.kind) AS patterns, (SELECT count(*) FROM v WHERE v.kind = c.kind) AS rules FROM c LEFT JOIN p USING (kind) LEFT JOIN v USING (kind)"""
+)
+def rebuilt_rules(spark, sf_dir):
+    """Rules from an annotator's mappings: those without a use left out, each file's rules copied to each of its patterns, and its numbers of both."""
+    rules, report = rebuild_with_report(R.lines(spark, sf_dir), [*R.LIBRARY, R.JSON_ONLY], ModelAnnotator(Asking(Guides(), cooldown=0)))
+    # A few rules for each of four files.
+    schema = "tag string, type string, name string, method string, guide string"
+    made = spark.createDataFrame([(r.format, r.type, r.field_name, r.extract_method, r.kv_key or r.json_key or r.regex) for r in rules], schema)
+    files = spark.createDataFrame([(f"src{i + 1}", f["patterns"], f["rules"]) for i, f in enumerate(report)], "tag string, patterns long, rules long")
+    return files.join(made, "tag", "left").select(*made.columns, "patterns", "rules")
+
+
 @query(
     f"""WITH {E}, s AS (SELECT event_type || ' value=' || n || ' ' AS t, event_type || ' value=' || n AS signature, event_id FROM e WHERE kind = 1),
  g AS (SELECT signature, count(*) AS size, min(event_id) AS f FROM s GROUP BY 1) SELECT row_number() OVER (ORDER BY size DESC, f)::INT AS rank, signature, size FROM g ORDER BY size DESC, f LIMIT 8"""
@@ -550,6 +608,14 @@ def leading_pri(spark, sf_dir):
     return parsed.select("row_id", *[f"event.{c}" for c in fields])
 
 
+@query(f"WITH {E} SELECT event_id AS row_id, year(current_date)::INT AS year, CASE WHEN bsd NOT LIKE 'Feb 29 %' THEN strftime(sec, '%m-%d %H:%M:%S') END AS stamp FROM e WHERE kind IN (1, 2)")
+def current_year_stamps(spark, sf_dir):
+    """Stamps without a year are of the current one on the source's clock (29 February has none in most years)."""
+    parsed = parse(R.lines(spark, sf_dir), R.LIBRARY, [], Options(tz="UTC"), fields=["timestamp"]).where("pattern_name IN ('windows', 'kv')")
+    stamp = F.when(~F.col("value").contains("Feb 29 "), F.date_format("event.timestamp", "MM-dd HH:mm:ss"))
+    return parsed.select("row_id", F.year("event.timestamp").alias("year"), stamp.alias("stamp"))
+
+
 @query(
     f"""WITH {E} SELECT event_id AS row_id, event_type AS hostname, event_type AS device_name, event_type AS source_device_name, '10.1.' || high || '.' || low AS device_ip, '10.1.' || high || '.' || low AS source_device_ip,
  level::VARCHAR AS event_id, 'user' AS device_type, 'user' AS source_device_type FROM e WHERE kind = 2"""
