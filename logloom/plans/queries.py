@@ -14,7 +14,7 @@ from logloom.functions import scalars as S
 from logloom.functions.scalars import numeric_kv
 from logloom.functions import tokens as T
 from logloom.operators import drain
-from logloom.operators.annotator import Asking, ModelAnnotator
+from logloom.operators.annotator import Asking, ModelAnnotator, without_noise
 from logloom.operators.extract import Options
 from logloom.operators.match import by_pattern, files_with_match, group_column, match, match_join, statistics
 from logloom.operators.rules import build_rules, guide_forms, message_groups
@@ -25,7 +25,7 @@ from logloom.sources.lines import head, message_samples, not_blank, not_empty, r
 from logloom.sources.sinks import as_json, error_entries, write_json_array
 
 from . import render as R
-from .learn import file_samples, learn, rebuild_with_report, unknown_forms
+from .learn import failing_samples, file_samples, learn, rebuild_with_report, unknown_forms
 from .parse import events, parse, unmatched
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -347,6 +347,34 @@ def learned_patterns(spark, sf_dir):
     return spark.createDataFrame(rows, "path string, regex string, name string, priority long, extractor string, count long")
 
 
+class Reviewer:
+    """A client that answers as a model would: patterns of one or two lines are noise, and so is a name that does not exist."""
+
+    def ask(self, prompt: str, system: str) -> str:
+        shown = [json.loads(line) for line in prompt.splitlines() if line.startswith('{"name"')]
+        return json.dumps({"noise_names": [*[p["name"] for p in shown if p["count"] <= 2], "fmt_999"], "forwarded": False})
+
+
+@query(
+    f"""WITH RECURSIVE {GROUPS}, r AS (SELECT kind, {REGEXES} AS regex, count, row_number() OVER (PARTITION BY kind ORDER BY count DESC, first_line) AS place FROM groups),
+ d AS (SELECT kind, regex, min(place) AS place, sum(count)::BIGINT AS count FROM r GROUP BY 1, 2) SELECT 'src' || kind AS path, regex, 'fmt_' || lpad((row_number() OVER (PARTITION BY kind ORDER BY place) - 1)::VARCHAR, 3, '0') AS name, count FROM d QUALIFY count > 2"""
+)
+def reviewed_patterns(spark, sf_dir):
+    """The patterns of each file, rare ones too, without those that a model's review calls noise."""
+    groups = drain.collect_groups(drain.regroup(drain.learn_templates(R.lines(spark, sf_dir)), preset))
+    review = ModelAnnotator(Asking(Reviewer(), cooldown=0))
+    # A few patterns for each of four files.
+    rows = [(path, p.regex, p.name, p.count) for path, own in groups.items() for p in without_noise(drain.to_patterns(own, least=1), review)]
+    return spark.createDataFrame(rows, "path string, regex string, name string, count long")
+
+
+@query(f"WITH {E} SELECT name, count(*) FILTER (kind <> k) AS failing FROM e, (VALUES ('rfc', 0), ('windows', 1), ('kv', 2)) v(name, k) GROUP BY 1")
+def failing_lines(spark, sf_dir):
+    """How many lines each pattern fails on."""
+    lines = R.lines(spark, sf_dir)
+    return spark.createDataFrame([(p.name, failing_samples(p, lines)) for p in R.LIBRARY], "name string, failing long")
+
+
 @query(f"WITH RECURSIVE {TEMPLATES} SELECT 'src' || kind AS path, first_line, template, count FROM templates WHERE count >= 20 ORDER BY kind, first_line LIMIT 1")
 def header_questions(spark, sf_dir):
     """What an annotator is asked about: of the templates with 20 lines or more one for each form of header."""
