@@ -13,10 +13,10 @@ counted exactly, for each pair of its tiles in a task, so a group of m near copi
 
 What the descent has missed is closed exactly: all vectors of different components of one label and length are compared,
 block by block, and pairs over the threshold join their components. This takes time with the square of a label, at the
-speed of a matrix product in single precision; pairs near the threshold are decided in double precision. Labels of more
-than `close_most` vectors are closed only if the audit finds a missed link in them. The audit counts all links of
-sampled vectors by brute force: firsts of components, other linked ones, and any; it must find all of them in the end, or
-the run fails.
+speed of a matrix product in single precision; pairs near the threshold are decided in double precision. Every label is closed,
+whatever its size; those of more than `close_most` vectors in a step of their own, so that their blocks are not on disk with the others'.
+Then the audit counts all links of sampled vectors by brute force: firsts of components, other linked ones, and any; all of them
+must have been found, or the run fails.
 
 Defined results: a vector that is null, zero, or holds null or non-finite components, or whose label is null, is
 linked with nothing and is its own component; rows that repeat an id with equal vectors count as copies of it; rows that repeat
@@ -45,7 +45,7 @@ BLOCK_NUMBERS, BLOCK, ROUNDING = 1 << 18, 4096, 1e-9
 
 @dataclass(frozen=True)
 class Descent:
-    """Threshold, list length, projections of the start, rounds, share of changed lists that ends it, vectors of the audit, size of a label that is always closed."""
+    """Threshold, list length, projections of the start, rounds, share of changed lists that ends it, vectors of the audit, size over which labels are closed in a second step."""
 
     threshold: float = 0.98
     length: int = 8
@@ -343,19 +343,16 @@ def near_duplicates(vectors: DataFrame, plan: Descent = Descent(), id_col: str =
     edges = graph.where(F.col("sim") >= plan.threshold).select("u", "v").union(ties).toDF("a", "b")
     linked = components(edges, scratch, "linked-0")
     sizes = scratch.keep(nodes.groupBy("label", "dim").agg(F.count("*").alias("n")), "labels")
-    number = sizes.count()
-    to_close = sizes.where(F.col("n") <= plan.close_most)
-    for k in (1, 2):
-        missed = scratch.keep(_missed(nodes, few(to_close, number), linked, plan.threshold), f"missed-{k}")
+    for k, some in (1, sizes.where(F.col("n") <= plan.close_most)), (2, sizes.where(F.col("n") > plan.close_most)):
+        number = some.count()
+        if not number:
+            continue
+        missed = scratch.keep(_missed(nodes, few(some, number), linked, plan.threshold), f"missed-{k}")
         if not missed.isEmpty():
             linked = components(linked.toDF("a", "b").union(missed), scratch, f"linked-{k}")
-        links = scratch.keep(_links(nodes, linked, plan.threshold, scratch, k), f"links-{k}")
-        wrong = _audit(nodes, linked, links, plan)
-        if not wrong:
-            break
-        if k == 2:
-            raise RuntimeError(f"links are missed in the labels and lengths {wrong}")
-        to_close = sizes.join(F.broadcast(spark.createDataFrame(wrong, "label long, dim int")), ["label", "dim"], "left_semi")
+    links = scratch.keep(_links(nodes, linked, plan.threshold, scratch), "links")
+    if wrong := _audit(nodes, linked, links, plan):
+        raise RuntimeError(f"links are missed in the labels and lengths {wrong}")
     # Rows that share an id: the id is in one component, that of its first node.
     per_node = nodes.select(F.col("id").alias("node"), "copies").join(linked, "node", "left").join(links.withColumnRenamed("id", "node"), "node", "left")
     per_node = per_node.select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
@@ -372,13 +369,13 @@ def near_duplicates(vectors: DataFrame, plan: Descent = Descent(), id_col: str =
     return done.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _links(nodes: DataFrame, linked: DataFrame, threshold: float, scratch: Scratch, k: int) -> DataFrame:
+def _links(nodes: DataFrame, linked: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """(id, links) of the nodes in components of two or more: copies of linked nodes, counted for each pair of tiles in a task."""
-    sizes = scratch.keep(linked.groupBy("component").agg(F.count("*").alias("n")), f"sizes-{k}")
+    sizes = scratch.keep(linked.groupBy("component").agg(F.count("*").alias("n")), "sizes")
     placed = heavy_join(linked, sizes, ["component"], "n").select(F.col("node").alias("id"), "component", F.ceil(F.col("n") / TILE).alias("tiles"))
     placed = placed.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles"))).join(nodes.select("id", "copies", "unit"), "id")
     tiles = placed.groupBy("component", "tile").agg(F.first("tiles").alias("tiles"), F.collect_list(F.struct("id", "copies", "unit")).alias("xs"))
-    tiles = scratch.keep(tiles, f"tiles-{k}")
+    tiles = scratch.keep(tiles, "tiles")
     other = tiles.select("component", F.col("tile").alias("other"), F.col("xs").alias("ys"))
     pairs = tiles.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).join(other, ["component", "other"])
     # One row for each pair of tiles goes to a task of its own key, so that a large component is dealt out.

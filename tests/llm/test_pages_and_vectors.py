@@ -208,6 +208,19 @@ def test_large_labels_are_closed_where_the_audit_misses_links(spark, monkeypatch
         near_duplicates(frame, Descent(close_most=0))
 
 
+@pytest.mark.parametrize("close_most", [0, 30, 1 << 20])
+def test_links_do_not_depend_on_the_size_of_a_label(spark, monkeypatch, close_most):
+    from logloom.llm import nndescent
+
+    rows = [*vectors(21), *((2000 + i, [1.0, 0.01 * i, 0.0], 9) for i in range(4))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    # Neither the descent nor the audit's sample meets any link.
+    monkeypatch.setattr(nndescent, "descend", lambda nodes, plan, scratch: (nodes.select(F.col("id").alias("u"), F.col("id").alias("v"), F.lit(0.0).alias("sim")).limit(0),) + (nodes.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0),))
+    monkeypatch.setattr(nndescent, "_audit", lambda *_: [])
+    found = near_duplicates(frame, Descent(close_most=close_most))
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found.collect()} == brute_links(rows, 0.98)
+
+
 def test_ids_with_several_vectors_and_repeats(spark):
     a, b = [1.0, 0.0, 0.1], [0.0, 1.0, 0.0]
     rows = [(1, a, 0), (1, b, 0), (2, a, 0), (2, a, 0), (3, b, 0), (4, [1.0, 0.0, 0.11], 0)]
