@@ -38,11 +38,15 @@ class Annotator(Protocol):
     def field_mappings(self, samples: list[str]) -> list[dict]: ...
 
 
+#: The typed classes, each as a group, in the order in which they are tried.
+TYPED = re.compile("|".join(f"({pattern})" for pattern, _ in CLASSES))
+
+
 def token_class(token: str) -> str:
     """The class of a token (as functions.tokens.token_class)."""
-    for pattern, name in CLASSES:
-        if re.match(pattern, token):
-            return name
+    # All typed forms begin with a digit or an angle bracket.
+    if (token[:1] == "<" or token[:1].isdigit()) and (typed := TYPED.match(token)):
+        return CLASSES[typed.lastindex - 1][1]
     if token.isalpha():
         return "<WORD>"
     kv = re.match(KV_TOKEN, token)

@@ -83,6 +83,28 @@ def test_parallel_learning_equals_one_pass(spark):
         assert own == [(t.first_line, t.tokens, t.seps, t.count, t.samples, f) for t, f in drain.grouped(templates, provider)] and len(own) < len(found)
 
 
+def test_templates_that_no_line_can_join_are_forgotten(spark):
+    leaf = drain.Leaf(6, literal=False)
+    found = [leaf.place(f"<{i % 90}>1 2024-01-01T00:00:{i % 60:02d}Z host{i % 7} {i} - -".split(), i) for i in range(2000)]
+    assert found == [i - i % 2 for i in range(2000)] and not leaf.live and not leaf.lists
+    # Lines with the text of a wildcard join templates of long before.
+    lines = [f"a{i % 3} b, {i} c,{i} d" for i in range(60)] + ["<*> b, 7 <*> d", "a1 b, 8 <*> d", "a2 <*> 9 <*> d"] * 4
+    got = drain.learn_templates(frame(spark, lines)).orderBy("first_line").collect()
+    assert [(t["first_line"], t["tokens"], t["count"]) for t in got] == [(t.first_line, t.tokens, t.count) for t in sequential(lines)]
+
+
+def test_each_template_is_read_once_by_grouping(spark):
+    learned = drain.learn_templates(frame(spark, some_lines())).localCheckpoint()
+    asked = spark.sparkContext.accumulator(0)
+
+    def provider(t):
+        asked.add(1)
+        return preset(t)
+
+    groups = drain.regroup(learned, provider).collect()
+    assert asked.value == learned.count() > len(groups) > 1
+
+
 def test_learned_patterns_match_their_lines(spark):
     lines = some_lines()
     patterns = learn(frame(spark, lines))
