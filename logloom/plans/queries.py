@@ -22,7 +22,7 @@ from logloom.operators.semantics import LEAST_LINES, MONTH_NAMES, preset
 from logloom.functions.regex import translate
 from logloom.sources import library as L
 from logloom.sources.lines import head, message_samples, not_blank, not_empty, read_lines
-from logloom.sources.sinks import as_json, error_entries, write_json_array
+from logloom.sources.sinks import as_json, error_entries, read_json_array, write_json_array
 
 from . import render as R
 from .learn import failing_samples, file_samples, learn, rebuild_with_report, unknown_forms
@@ -672,7 +672,7 @@ def json_array_sink(spark, sf_dir):
     """The one JSON array that tasks wrote together, read again."""
     path = _folder(spark, "array")
     write_json_array(events(_parsed(spark, sf_dir, fields=["priority", "hostname", "parsed_content"])), path, R.OPTIONS.tz)
-    held = spark.read.schema("priority long, hostname string, parsed_content struct<syslog: string>").option("multiLine", "true").json(path)
+    held = read_json_array(spark, path, "priority long, hostname string, parsed_content struct<syslog: string>")
     return held.select(F.col("parsed_content.syslog").alias("line"), "priority", "hostname")
 
 

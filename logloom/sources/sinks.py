@@ -6,7 +6,7 @@ import json
 import uuid
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 
@@ -36,13 +36,13 @@ def write_json_array(events: DataFrame, path: str, tz: str = "Asia/Shanghai") ->
     """One indented JSON array in a file of any file system that Spark writes to.
 
     Tasks write their events side by side into a folder beside it, with commas between them; the parts, in their order, are then put behind
-    each other as bytes, by the file system and not row by row.
+    each other as bytes, by the file system and not row by row. Only the last line of an event is a closing brace without a margin (see `read_json_array`).
     """
     spark = events.sparkSession
 
     @F.pandas_udf("string")
     def indented(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: json.dumps(json.loads(v), ensure_ascii=False, indent=2))
+        return values.map(lambda v: json.dumps(found, ensure_ascii=False, indent=2) if (found := json.loads(v)) else "{\n}")
 
     # The lower 33 bits of the id number the rows of a task.
     first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
@@ -70,6 +70,12 @@ def write_json_array(events: DataFrame, path: str, tz: str = "Asia/Shanghai") ->
         files.delete(folder, True)
 
 
+def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The events of an array that `write_json_array` wrote, by many tasks: a file is split at the ends of events, so none reads it whole."""
+    held = spark.read.option("lineSep", "\n}").text(path).select(F.regexp_replace("value", r"^[\s,\[]+", "").alias("value"))
+    return held.where(F.col("value").startswith("{")).select(F.from_json(F.concat("value", F.lit("\n}")), schema).alias("event")).select("event.*")
+
+
 def error_entries(unmatched: DataFrame) -> DataFrame:
     meta = F.struct(F.lit("no_pattern_matched").alias("reason"), F.col("line_no")).alias("_meta")
     return unmatched.select(meta, F.col("value").alias("raw"))

@@ -4,6 +4,7 @@ import json
 import random
 import re
 import time
+from datetime import datetime
 
 from logloom.cli import main
 from logloom.operators import drain
@@ -14,10 +15,13 @@ from logloom.operators.rules import build_rules, guide_forms, message_groups, re
 from logloom.operators.semantics import annotated, layout, preset, token_class
 from logloom.plans import learn as plans_learn
 from logloom.plans.learn import failing_samples, learn, learn_files, rebuild_rules
+from logloom.plans.parse import events, parse
+from logloom.plans.queries import QUERIES
+from logloom.plans.render import LIBRARY, OPTIONS, lines
 from logloom.settings import Settings
 from logloom.sources import library as L
 from logloom.sources.lines import head, not_blank, read_lines, read_stream
-from logloom.sources.sinks import as_json, write_json_array
+from logloom.sources.sinks import as_json, read_json_array, write_json_array
 from logloom.streaming.learner import gathered, learner_of
 from logloom.streaming.progress import Progress
 from logloom.streaming.parse import parse_stream, stream_to_jsonl
@@ -452,6 +456,23 @@ def test_json_array_of_many_parts(spark, tmp_path):
     assert json.loads((tmp_path / "a.json").read_text()) == []
 
 
+def test_json_array_is_read_by_many_tasks(spark, tmp_path):
+    rows = [(i, datetime(2024, 1, 1 + i % 28), i % 9, ("click", "view\n}", "a},{ [b]")[i % 3]) for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        found = QUERIES["json_array_sink"](spark, str(tmp_path))
+        assert found.rdd.getNumPartitions() > 10
+        wanted = events(parse(lines(spark, str(tmp_path)), LIBRARY, [], OPTIONS)).select("parsed_content.syslog", "priority", "hostname").collect()
+        assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, map(tuple, wanted))) and len(wanted) > 100
+        # Events without any field, and braces at the beginning of a line of a text.
+        write_json_array(spark.createDataFrame([(None,), ("x\n}",), (None,), ("{",)], "a string"), str(tmp_path / "a.json"))
+        assert sorted(str(r["a"]) for r in read_json_array(spark, str(tmp_path / "a.json"), "a string").collect()) == ["None", "None", "x\n}", "{"]
+        assert len(json.loads((tmp_path / "a.json").read_text())) == 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_rebuild_over_many_files_runs_the_same_jobs(spark):
     """Stable and mixed files, one without patterns, keys without numbers; jobs do not grow with the files."""
     win = L.Pattern("win", r"^<(?P<priority>\d+)>\S+\ \d+\ (?P<timestamp>\S+)\ (?P<hostname>\S+)\ (?P<message>.+)$")
