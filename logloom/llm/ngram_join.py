@@ -11,7 +11,8 @@ lift their count to ceil(t / (1 + t) (|x| + |y|)), and rows without a pair are d
 
 Only what decides the components is multiplied. In each of a few rounds, rows are put in blocks by the least column of their
 prefix (in a few orders, others in each round) and their size, which gathers near copies; a large group makes many blocks, and the
-next round mixes its rows anew. What is left are columns of the prefixes whose rows are in several components: pairs of different
+next round mixes its rows anew. Rows that are left outside a large component whose columns they share then meet a few of its members, so
+that those which belong to it do not meet them all. What is left are columns of the prefixes whose rows are in several components: pairs of different
 components that pass the bounds of sizes and places there, and of their counts in each block of columns, go into row blocks in
 which both meet, whose product decides them. So a group of m near copies costs about its number of rows, and no link between components is missed.
 
@@ -48,6 +49,8 @@ FREQUENT_MOST = 1 << 18
 CHUNK, TILE_PAIRS = 512, 1 << 18
 #: Rounds of row blocks, and keys of each row in a round; rows and entries of a row block; columns of a column block.
 ROUNDS, KEYS, BLOCK_ROWS, BLOCK_ENTRIES, BLOCK_COLUMNS = 2, 2, 256, 1 << 18, 2048
+#: Members of a large component that rows outside it meet first; a component is large where more of its rows have one column.
+MEMBERS = 32
 #: Rows of one key of a round that one task takes, about; first bits by which most columns are told to be rare.
 KEY_ROWS, FILTER_BITS = 4096, 20
 
@@ -362,14 +365,19 @@ def jaccard_components(docs: DataFrame, rule: Jaccard = Jaccard(), id_col: str =
     place = F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).cast("int") - ROUNDS * KEYS
     live = scratch.keep(index.select("id", F.shiftright("np", 32).alias("n"), "column", "part", place.alias("place")), "live-0")
     links = linked = None
-    for k in range(1, ROUNDS + 2):
+    for k in range(1, ROUNDS + 3):
         if live.isEmpty():
             break
-        found = _gathered(texts, live, rule, scratch, k) if k <= ROUNDS else _across(texts, live, described, rule, scratch)
+        if k <= ROUNDS:
+            found = _gathered(texts, live, rule, scratch, k)
+        else:
+            found = _attached(texts, live, rule, scratch) if k == ROUNDS + 1 else _across(texts, live, described, rule, scratch)
         found = scratch.keep(found, f"links-{k}")
+        if k == ROUNDS + 1 and found.isEmpty():
+            continue
         links = found if links is None else links.union(found)
         linked = components(links, scratch, f"graph{k}")
-        if k <= ROUNDS:
+        if k <= ROUNDS + 1:
             live = _open(live, linked, scratch, k)
             scratch.drop(f"live-{k - 1}")
     # Rows are named by a skew-safe join with their class, so that no large class makes a task long.
@@ -405,9 +413,26 @@ def _multiplied(sets: DataFrame, keys: list[str], rule: Jaccard, cut: bool) -> D
 def _open(live: DataFrame, linked: DataFrame, scratch: Scratch, k: int) -> DataFrame:
     """The entries of columns whose rows are in several components, with their component, and the column's number of entries and largest component."""
     entries = live.select("id", "n", "column", "part", "place").join(few(linked.withColumnRenamed("node", "id")), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    sizes = entries.groupBy("column", "component").count().groupBy("column").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.count("*").alias("components"), F.sum("count").alias("entries"))
+    sizes = entries.groupBy("column", "component").count().groupBy("column").agg(F.max_by("component", F.struct("count", "component")).alias("major"), F.count("*").alias("components"), F.sum("count").alias("entries"), F.max("count").alias("held"))
     sizes = scratch.keep(sizes.where("components > 1").drop("components"), f"columns-{k}")
-    return scratch.keep(heavy_join(entries, sizes, ["column"], "entries").select("id", "n", "column", "part", "place", "component", "major", "entries"), f"live-{k}")
+    return scratch.keep(heavy_join(entries, sizes, ["column"], "entries").select("id", "n", "column", "part", "place", "component", "major", "entries", "held"), f"live-{k}")
+
+
+def _attached(texts: DataFrame, live: DataFrame, rule: Jaccard, scratch: Scratch) -> DataFrame:
+    """Links (a, b) of rows outside large components with MEMBERS rows of each whose columns they share: about one row for each entry, whatever the size of a component."""
+    near = live.where(f"place >= 0 AND held > {MEMBERS}")
+    outside = scratch.keep(near.where("component <> major").select(F.col("major").alias("key"), "id", "n").distinct(), "outside")
+    if outside.isEmpty():
+        return outside.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    parts = F.ceil(F.greatest(F.count("*") / (BLOCK_ROWS // 2), F.sum("n") / (BLOCK_ENTRIES // 2)))
+    parts = scratch.keep(outside.groupBy("key").agg(parts.alias("parts"), F.count("*").alias("rows")), "outside-parts")
+    order = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
+    inside = near.where("component = major").select(F.col("major").alias("key"), "id").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= MEMBERS)
+    inside = inside.join(parts, "key").select("key", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    dealt = heavy_join(outside, parts, ["key"], "rows").select("key", "id", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+    member = scratch.keep(dealt.union(inside), "attached")
+    sets = wanted(texts, member, ["id"]).transform(in_workers, _whole_sets(rule, "id", "key", "part"), "id long, key long, part long, values binary")
+    return _multiplied(sets, ["key", "part"], rule, cut=False)
 
 
 def _across(texts: DataFrame, live: DataFrame, described: DataFrame, rule: Jaccard, scratch: Scratch) -> DataFrame:

@@ -645,3 +645,22 @@ def test_every_text_of_a_batch_is_checked(monkeypatch, name, put):
     lib = sentencepiece_codec._codec(piece_model()).library
     assert agree.tolist() == [True] * 150 + [False] and decoded[150] == "the last"
     assert ids[bounds[150] : bounds[151]].tolist() == lib.encode("the last", add_bos=True, add_eos=True)
+
+
+def test_rows_left_outside_a_large_component_do_not_meet_all_its_rows(spark, monkeypatch):
+    from logloom.llm import ngram_join, shared
+
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join([*words[: i % 290], f"own{i}", *words[i % 290 + 1 :]])) for i in range(150)]
+    gathered, keep, made = ngram_join._gathered, shared.Scratch.keep, {}
+    # The rounds miss the links of some rows.
+    monkeypatch.setattr(ngram_join, "_gathered", lambda *x: gathered(*x).where("a NOT IN (5, 6, 7) AND b NOT IN (5, 6, 7)"))
+
+    def counted(self, df, name, *more, **options):
+        made[name] = (out := keep(self, df, name, *more, **options)).count()
+        return out
+
+    monkeypatch.setattr(shared.Scratch, "keep", counted)
+    found = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["component_id"] for r in found} == {0} and len(found) == 150
+    assert made.get("met-pairs", 0) == 0
