@@ -8,7 +8,7 @@ from __future__ import annotations
 import json
 import logging
 import time
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 from logloom.operators.rules import KIND_PATTERNS, SKIPPED, read_answer
@@ -22,7 +22,7 @@ HEADER_PROMPT = "The first tokens of a log line are numbered below. Say which of
 MAPPING_PROMPT = "Say which fields the messages below hold, each with what guides to it: kv_key (KEY=\"value\"), json_key, token (a label before the value) or keyword (a word before it), and kind, one of {kinds}. message_content may instead have source whole or unknown.{forwarded}\nAnswer: {{\"mappings\": [{{\"field_name\": \"...\", \"kv_key\": \"...\"}}]}}\nMessages:\n{samples}"
 FORWARDED = " The messages wrap a forwarded line: priority and severity come from its own <number>; give them inner pri."
 REVIEW_PROMPT = "Each entry is a learned log template with its count and a sample. Name as noise only those that clearly are no log line (no priority, time, host or program) and occur twice at most; when in doubt, keep. Say whether the lines wrap forwarded ones.\nAnswer: {{\"noise_names\": [], \"forwarded\": false}}\nTemplates:\n{templates}"
-#: Samples and templates shown in one question, and characters of each.
+#: Samples or templates shown in one question, and characters of each sample. A review has as many questions as all templates with their whole samples need.
 SHOWN, CHARS = 40, 300
 
 
@@ -93,13 +93,30 @@ class ModelAnnotator:
         return kept
 
     def check_templates(self, patterns: list[Pattern]) -> tuple[list[str], bool]:
-        """Names of patterns that are noise, and whether the lines wrap forwarded ones. Without an answer nothing is noise."""
-        if not patterns:
-            return [], False
-        listed = "\n".join(json.dumps({"name": p.name, "count": p.count, "sample": p.sample[:CHARS]}, ensure_ascii=False) for p in patterns[:SHOWN])
-        answer = self.asking.json(REVIEW_PROMPT.format(templates=listed), retries=2) or {}
-        names, noise = {p.name for p in patterns}, answer.get("noise_names")
-        return [n for n in map(str, noise if isinstance(noise, list) else []) if n in names], answer.get("forwarded") is True
+        """Names of patterns that are noise, and whether any lines wrap forwarded ones. All patterns are asked about; of a question without an answer nothing is noise."""
+        found: list[str] = []
+        forwarded = False
+        for asked in _questions(patterns):
+            listed = "\n".join(json.dumps({"name": p.name, "count": p.count, "sample": p.sample}, ensure_ascii=False) for p in asked)
+            answer = self.asking.json(REVIEW_PROMPT.format(templates=listed), retries=2) or {}
+            names, noise = {p.name for p in asked}, answer.get("noise_names")
+            found += [n for n in map(str, noise if isinstance(noise, list) else []) if n in names]
+            forwarded |= answer.get("forwarded") is True
+        return found, forwarded
+
+
+def _questions(patterns: list[Pattern]) -> Iterator[list[Pattern]]:
+    """All patterns in their order, cut where a question has SHOWN of them or their samples would be longer than SHOWN times CHARS; a longer sample has its own."""
+    asked: list[Pattern] = []
+    chars = 0
+    for p in patterns:
+        if asked and (len(asked) == SHOWN or chars + len(p.sample) > SHOWN * CHARS):
+            yield asked
+            asked, chars = [], 0
+        asked.append(p)
+        chars += len(p.sample)
+    if asked:
+        yield asked
 
 
 def _entries(answer: dict, name: str) -> list[dict]:
@@ -109,5 +126,5 @@ def _entries(answer: dict, name: str) -> list[dict]:
 
 
 def without_noise(patterns: list[Pattern], annotator: ModelAnnotator) -> list[Pattern]:
-    noise, _ = annotator.check_templates(patterns)
+    noise = set(annotator.check_templates(patterns)[0])
     return [p for p in patterns if p.name not in noise]

@@ -351,8 +351,8 @@ class Reviewer:
     """A client that answers as a model would: patterns of one or two lines are noise, and so is a name that does not exist."""
 
     def ask(self, prompt: str, system: str) -> str:
-        shown = [json.loads(line) for line in prompt.splitlines() if line.startswith('{"name"')]
-        return json.dumps({"noise_names": [*[p["name"] for p in shown if p["count"] <= 2], "fmt_999"], "forwarded": False})
+        shown = [json.loads(line) for line in prompt.split("\n") if line.startswith('{"name"')]
+        return json.dumps({"noise_names": [*[p["name"] for p in shown if p["count"] <= 2], "fmt_none"], "forwarded": False})
 
 
 @query(

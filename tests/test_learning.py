@@ -16,7 +16,7 @@ from logloom.operators.semantics import annotated, layout, preset, token_class
 from logloom.plans import learn as plans_learn
 from logloom.plans.learn import failing_samples, learn, learn_files, rebuild_rules
 from logloom.plans.parse import events, parse
-from logloom.plans.queries import QUERIES
+from logloom.plans.queries import QUERIES, Reviewer
 from logloom.plans.render import LIBRARY, OPTIONS, lines
 from logloom.settings import Settings
 from logloom.sources import library as L
@@ -338,6 +338,27 @@ def test_answers_are_checked():
     assert ModelAnnotator(ask).check_templates(patterns) == ([], False) and ModelAnnotator(ask).check_templates([]) == ([], False)
 
 
+def test_all_templates_are_reviewed():
+    """More than one question shows, number 999 among them, a sample with a line separator, samples longer than a question has room for."""
+    patterns = [L.Pattern(f"fmt_{i:03d}", f"^{i}", count=3 if i < 1050 else 2, sample="a\u2028b\n" if i % 7 else "x" * 2000) for i in range(1100)]
+    assert without_noise(patterns, ModelAnnotator(Asking(Reviewer(), cooldown=0))) == patterns[:1050]
+    patterns = [L.Pattern(f"p{i}", f"^{i}", count=1, sample=f"{i}" + "y" * n + "end") for i, n in enumerate([1] * 41 + [7000, 7000, 20_000])]
+    ask, _ = asking('{"noise_names": ["p0", "p40"]}', "", "", '{"noise_names": ["p42", "p0"], "forwarded": true}', '{"noise_names": ["p43"], "forwarded": false}')
+    assert ModelAnnotator(ask).check_templates(patterns) == (["p0", "p42", "p43"], True)
+    shown = [json.loads(line) for i in (0, 1, 3, 4) for line in ask.client.asked[i].split("\n") if line.startswith('{"name"')]
+    assert [(x["name"], x["sample"]) for x in shown] == [(p.name, p.sample) for p in patterns] and len(ask.client.asked) == 5
+
+
+def test_reviewed_patterns_of_many_forms(spark, tmp_path):
+    """60 forms in one file, each of two to four lines: those of two are noise, wherever they stand."""
+    names = ["noise" + "".join("abcdefghij"[int(d)] for d in f"{i:02d}") for i in range(60)]
+    types = [name for i, name in enumerate(names) for _ in range(i % 3 + 2)]
+    rows = [(4 * i + 3, datetime(2024, 6, 1), i, name) for i, name in enumerate(types)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    found = QUERIES["reviewed_patterns"](spark, str(tmp_path)).collect()
+    assert sorted((r["regex"], r["count"]) for r in found) == [(rf"^{name}\ without\ a\ header\ \d+$", i % 3 + 2) for i, name in enumerate(names) if i % 3]
+
+
 def test_large_libraries_are_planned_quickly(spark):
     patterns = [L.Pattern(f"p{i}", rf"^<(?P<priority>\d+)>kind{i} (?P<hostname>\S+) (?P<message>.+)$", priority=i) for i in range(2000)]
     lines = frame(spark, ["<13>kind1999 host one message", "<14>kind0 other two", "none", "<15>kind7 h \ue000\ue001 x"])
